@@ -1,9 +1,607 @@
 """All registered queries with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .operators import appends, cooccurrence as co, incremental as inc, layer1, probes, profile, topk
+from .operators.mine import Options, item_swu, mine, positions
+from .plans.oracle import hausp_sql, mine_sql, pos_sql
+from .sources import tables as T
+
+#: Ratio and longest searched length of the order-year sequences; the first year of the append batch.
+XI, LMAX, FIRST_NEW = 0.03, 5, 2000
+#: Ratio for the order-line sequences.
+XI_LINES = 0.0005
+SWEEP = [0.03, 0.04, 0.05, 0.08]
+RATIOS = [0.2] * 5
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def years(spark: SparkSession, d: str) -> DataFrame:
+    return positions(T.order_years(spark, d))
+
+
+def line_pos(spark: SparkSession, d: str) -> DataFrame:
+    return positions(T.lines(spark, d))
+
+
+ON_YEARS, ON_LINES, ON_WEEKS = (f"WITH {pos_sql(x)}" for x in (T.ORDER_YEARS, T.LINES, T.EVENT_WEEKS))
+TH = f", t AS (SELECT CAST({XI_LINES} AS DOUBLE) * sum(util) AS theta FROM pos)"
+MINED = f"{ON_YEARS}, {mine_sql(LMAX, xi=XI)}"
+
+
+# ---- per sequence and per item
+
+
+@query(f"""{ON_LINES}, per AS (SELECT sid, count(DISTINCT tid) AS i, count(*) AS n, sum(util) AS s FROM pos GROUP BY 1)
+SELECT count(*) AS sequences, (SELECT count(DISTINCT item) FROM pos) AS items, avg(i) AS mean_itemsets, avg(n) AS mean_items, CAST(sum(s) AS BIGINT) AS total_utility FROM per""")
+def dataset_stats(spark, d):
+    return layer1.dataset_stats(line_pos(spark, d))
+
+
+@query(f"{ON_LINES} SELECT max(item) AS max_item, count(DISTINCT item) AS items, CAST(count(DISTINCT item) AS DOUBLE) / max(item) AS density FROM pos")
+def identifier_space(spark, d):
+    return layer1.identifier_space(line_pos(spark, d))
+
+
+@query(f"{ON_LINES} SELECT sid, CAST(sum(util) AS BIGINT) AS su FROM pos GROUP BY 1")
+def seq_utility(spark, d):
+    return layer1.seq_utility(line_pos(spark, d))
+
+
+@query(f"{ON_LINES} SELECT CAST(sum(util) AS BIGINT) AS total, CAST({XI_LINES} AS DOUBLE) * CAST(sum(util) AS BIGINT) AS theta FROM pos")
+def total_threshold(spark, d):
+    return layer1.threshold(line_pos(spark, d), XI_LINES)
+
+
+@query(f"{ON_LINES} SELECT sid, k, tid, item, util, pre, rem, su FROM pos")
+def prefix_remaining_utility(spark, d):
+    return line_pos(spark, d).select("sid", "k", "tid", "item", "util", "pre", "rem", "su")
+
+
+@query(f"{ON_LINES} SELECT item, swu FROM swu")
+def item_swu_all(spark, d):
+    return item_swu(line_pos(spark, d))
+
+
+@query(f"{ON_LINES}{TH} SELECT item, swu, swu >= theta AS promising FROM swu, t")
+def promising_items(spark, d):
+    return layer1.promising_items(line_pos(spark, d), XI_LINES)
+
+
+@query(f"{ON_LINES}{TH} SELECT item, swu, CAST(row_number() OVER (ORDER BY swu DESC, item) - 1 AS INT) AS compact_id FROM swu, t WHERE swu >= theta")
+def compact_order(spark, d):
+    return layer1.compact_order(line_pos(spark, d), XI_LINES)
+
+
+@query(f"{ON_LINES}{TH} SELECT CAST(len AS INT) AS len, item FROM swu, t, range(1, 31) r(len) WHERE swu >= theta * len")
+def length_aware_swu(spark, d):
+    return layer1.length_aware_swu(line_pos(spark, d), XI_LINES, range(1, 31))
+
+
+@query(f"""{ON_LINES}{TH}, per AS (SELECT item, sid, max(util) AS iu, max(util + rem) AS reach, max(su) AS su FROM pos GROUP BY 1, 2)
+SELECT item, CAST(sum(iu) AS BIGINT) AS u, CAST(sum(reach) AS BIGINT) AS bound, count(*) AS support, CAST(sum(su) AS BIGINT) AS swu,
+ (sum(iu) >= any_value(theta) OR sum(su) >= any_value(theta) * 2) AS kept FROM per, t GROUP BY item""")
+def root_lists(spark, d):
+    return layer1.root_lists(line_pos(spark, d), XI_LINES)
+
+
+@query(f"{ON_LINES}, x AS (SELECT item, CAST(sum(util) AS BIGINT) AS total FROM pos GROUP BY 1) SELECT item, total, CAST(row_number() OVER (ORDER BY total DESC, item) AS INT) AS rank FROM x")
+def item_total_rank(spark, d):
+    return layer1.item_total_rank(line_pos(spark, d))
+
+
+# ---- co-occurrence
+
+ENDS = ", e AS (SELECT sid, item, min(tid) AS f, max(tid) AS l, max(su) AS su FROM pos GROUP BY 1, 2)"
+S_SQL = "SELECT x.item AS a, y.item AS b, CAST(sum(x.su) AS BIGINT) AS swu FROM e x JOIN e y ON x.sid = y.sid AND x.item != y.item AND x.f < y.l GROUP BY 1, 2"
+I_SQL = "SELECT a, b, CAST(sum(su) AS BIGINT) AS swu FROM (SELECT DISTINCT x.sid, x.item AS a, y.item AS b, x.su FROM pos x JOIN pos y ON x.sid = y.sid AND x.tid = y.tid AND x.item < y.item) GROUP BY 1, 2"
+
+
+@query(f"{ON_LINES}{ENDS} SELECT item, CAST(sum(su) AS BIGINT) AS swu FROM e WHERE f < l GROUP BY 1")
+def eucs_self(spark, d):
+    return co.self_pairs(line_pos(spark, d))
+
+
+@query(f"{ON_LINES}{ENDS} {S_SQL}")
+def eucs_s(spark, d):
+    return co.s_pairs(line_pos(spark, d))
+
+
+@query(f"{ON_LINES} {I_SQL}")
+def eucs_i(spark, d):
+    return co.i_pairs(line_pos(spark, d))
+
+
+@query(f"""{ON_YEARS}{ENDS}, t AS (SELECT CAST({XI} AS DOUBLE) * sum(util) AS theta FROM pos)
+SELECT 's' AS kind, a AS last_item, b AS new_item FROM ({S_SQL}), t WHERE swu >= theta
+UNION ALL SELECT 's', item, item FROM (SELECT item, sum(su) AS swu FROM e WHERE f < l GROUP BY 1), t WHERE swu >= theta
+UNION ALL SELECT 'i', a, b FROM ({I_SQL}), t WHERE swu >= theta""")
+def eucs_prefilter(spark, d):
+    pos = years(spark, d)
+    return co.pair_filter(pos, layer1.threshold(pos, XI).first()["theta"])
+
+
+@query(f"""WITH p0 AS ({T.ORDER_YEARS}), r AS (SELECT sid, tid, item, sum(util) AS util FROM p0 WHERE util > 0 GROUP BY 1, 2, 3),
+hit AS (SELECT DISTINCT sid FROM r WHERE tid >= {FIRST_NEW}),
+e AS (SELECT v, sid, item, min(tid) AS f, max(tid) AS l FROM (SELECT 'o' AS v, * FROM r SEMI JOIN hit USING (sid) WHERE tid < {FIRST_NEW} UNION ALL SELECT 'n', * FROM r SEMI JOIN hit USING (sid)) GROUP BY 1, 2, 3),
+s AS (SELECT v, sid, sum(util) AS su FROM (SELECT 'o' AS v, * FROM r WHERE tid < {FIRST_NEW} UNION ALL SELECT 'n', * FROM r) GROUP BY 1, 2)
+SELECT a, b, CAST(sum(d) AS BIGINT) AS delta FROM (SELECT x.item AS a, y.item AS b, CASE WHEN x.v = 'n' THEN su ELSE -su END AS d
+ FROM e x JOIN e y ON x.v = y.v AND x.sid = y.sid AND x.item != y.item AND x.f < y.l JOIN s ON s.v = x.v AND s.sid = x.sid) GROUP BY 1, 2 HAVING sum(d) != 0""")
+def eucs_append_delta(spark, d):
+    raw, old, batch = _append(spark, d)
+    return co.append_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)))
+
+
+# ---- the search
+
+L2 = f"""{ON_YEARS}, x AS (SELECT p.item AS a, x.item AS b, x.tid = p.tid AS same, x.sid, x.k, max(p.util) + any_value(x.util) AS iu, any_value(x.rem) AS rem
+ FROM pos p JOIN pos x ON p.sid = x.sid AND x.k > p.k GROUP BY 1, 2, 3, 4, 5)
+SELECT pattern, CAST(sum(iu) AS BIGINT) AS u, CAST(sum(reach) AS BIGINT) AS bound, count(*) AS support
+FROM (SELECT '<(' || a || CASE WHEN same THEN ',' ELSE ')(' END || b || ')>' AS pattern, sid, max(iu) AS iu, max(iu + rem) AS reach FROM x WHERE {{}} GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _level2(spark, d, sign):
+    from .operators.mine import evaluate, extend, rendered
+
+    pos = years(spark, d)
+    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    return evaluate(extend(front, pos).where(F.col("pat").contains(sign))).select(rendered().alias("pattern"), "u", "bound", "support")
+
+
+@query(L2.format("same"))
+def i_extension_l2(spark, d):
+    return _level2(spark, d, ",")
+
+
+@query(L2.format("NOT same"))
+def s_extension_l2(spark, d):
+    return _level2(spark, d, ")(")
+
+
+@query(f"{MINED} {hausp_sql()}")
+def mine_hausp(spark, d):
+    return mine(years(spark, d), XI).patterns()
+
+
+@query(f"{MINED} {hausp_sql()}")
+def mine_hausp_pair_filter(spark, d):
+    return mine(years(spark, d), XI, options=Options(eucs=True)).patterns()
+
+
+WEEK_XI, WEEK_LMAX = 0.12, 8
+
+
+@query(f"{ON_WEEKS}, {mine_sql(WEEK_LMAX, xi=WEEK_XI)} SELECT '<(' || pat || ')>' AS pattern, len, u, bound, support FROM nodes")
+def mine_event_nodes(spark, d):
+    """Every node of the search over event weeks: what the bound lets through before the last test."""
+    from .operators.mine import rendered
+
+    return mine(positions(T.event_weeks(spark, d)), WEEK_XI).nodes().select(rendered().alias("pattern"), "len", "u", "bound", "support")
+
+
+@query(f"{MINED} SELECT xi, count(*) AS patterns, max(len) AS longest FROM nodes, (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in SWEEP)}]) AS xi), (SELECT sum(util) AS total FROM pos) WHERE u >= xi * total * len GROUP BY 1")
+def mine_threshold_sweep(spark, d):
+    return probes.threshold_sweep(years(spark, d), SWEEP)
+
+
+@query(f"""{MINED} SELECT len, count(*) AS nodes, CAST(sum(CASE WHEN u >= theta * len THEN 1 ELSE 0 END) AS BIGINT) AS patterns,
+ CAST(sum(CASE WHEN bound < theta * (len + 1) THEN 1 ELSE 0 END) AS BIGINT) AS cut, CAST(sum(support) AS BIGINT) AS support FROM nodes, t GROUP BY 1""")
+def level_profile(spark, d):
+    found = mine(years(spark, d), XI)
+    hit, cut = F.col("u") >= F.lit(found.theta) * F.col("len"), F.col("bound") < F.lit(found.theta) * (F.col("len") + 1)
+    number = lambda t: F.sum(F.when(t, 1).otherwise(0)).cast("long")
+    return found.nodes().groupBy("len").agg(F.count("*").alias("nodes"), number(hit).alias("patterns"), number(cut).alias("cut"), F.sum("support").alias("support"))
+
+
+@query(f"""{MINED} SELECT count(*) AS lists, CAST(sum(CASE WHEN bound >= theta * (len + 1) THEN 1 ELSE 0 END) AS BIGINT) AS extended,
+ CAST(sum(CASE WHEN u >= theta * len THEN 1 ELSE 0 END) AS BIGINT) AS patterns, CAST(count(*) AS DOUBLE) / nullif(sum(CASE WHEN u >= theta * len THEN 1 ELSE 0 END), 0) AS eta FROM nodes, t""")
+def search_counters(spark, d):
+    found = mine(years(spark, d), XI)
+    number = lambda t: F.sum(F.when(t, 1).otherwise(0)).cast("long")
+    hit = F.col("u") >= F.lit(found.theta) * F.col("len")
+    return found.nodes().agg(
+        F.count("*").alias("lists"),
+        number(F.col("bound") >= F.lit(found.theta) * (F.col("len") + 1)).alias("extended"),
+        number(hit).alias("patterns"),
+        F.try_divide(F.count("*").cast("double"), number(hit)).alias("eta"),
+    )
+
+
+def _tightness(spark, d):
+    return mine(years(spark, d), XI).nodes()
+
+
+@query(f"{MINED} SELECT CAST(sum(u) AS DOUBLE) / sum(bound) AS tightness FROM nodes")
+def tightness_r(spark, d):
+    return _tightness(spark, d).agg((F.sum("u").cast("double") / F.sum("bound")).alias("tightness"))
+
+
+# averages of doubles depend on the order of addition, so both sides are rounded
+@query(f"{MINED} SELECT round(avg((CAST(u AS DOUBLE) / len) / (CAST(bound AS DOUBLE) / (len + 1))), 9) AS tightness FROM nodes")
+def tightness_i(spark, d):
+    return _tightness(spark, d).agg(F.round(F.avg((F.col("u") / F.col("len")) / (F.col("bound") / (F.col("len") + 1))), 9).alias("tightness"))
+
+
+@query(f"{MINED} SELECT round(avg(CAST(u AS DOUBLE) / bound), 9) AS tightness FROM nodes")
+def tightness_ub(spark, d):
+    return _tightness(spark, d).agg(F.round(F.avg(F.col("u") / F.col("bound")), 9).alias("tightness"))
+
+
+K = 20
+TOPK = f"{MINED} SELECT * FROM (SELECT '<(' || pat || ')>' AS pattern, len, u AS utility, CAST(u AS DOUBLE) / len AS avg_utility, support, CAST(rank() OVER (ORDER BY CAST(u AS HUGEINT) * 60 // len DESC) AS INT) AS rank FROM nodes) WHERE rank <= {K}"
+
+
+@query(TOPK)
+def topk_hausp(spark, d):
+    return topk.topk(years(spark, d), K)[0]
+
+
+@query(TOPK)
+def topk_warm_start(spark, d):
+    raw = T.order_years(spark, d)
+    _, tau = topk.topk(positions(raw.where(F.col("tid") < FIRST_NEW)), K)
+    return topk.topk(positions(raw), K, start=tau)[0]
+
+
+# ---- batches
+
+SID_BATCH = """n AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT sid FROM r0)),
+b AS (SELECT sid, CAST({} AS INT) AS batch_id FROM n)"""
+
+
+def _cuts(ratios, how):
+    size = "floor(n * CAST({} AS DOUBLE) + 0.5)" if how == "round" else "floor(n * CAST({} AS DOUBLE))"
+    ends = [" + ".join(size.format(r) for r in ratios[: i + 1]) for i in range(len(ratios) - 1)]
+    return "CASE " + " ".join(f"WHEN i < {e} THEN {k}" for k, e in enumerate(ends)) + f" ELSE {len(ratios) - 1} END"
+
+
+def _batch_sql(ratios, how="round"):
+    return f"WITH r0 AS ({T.ORDER_YEARS}), {SID_BATCH.format(_cuts(ratios, how))}"
+
+
+def _batch_query(ratios, how):
+    return f"{_batch_sql(ratios, how)} SELECT batch_id, count(*) AS sequences, min(sid) AS first_sid, max(sid) AS last_sid FROM b GROUP BY 1"
+
+
+def _batch_frame(spark, d, ratios, how="round"):
+    dealt = inc.with_batch(T.order_years(spark, d), ratios, how).select("sid", "batch_id").distinct()
+    return dealt.groupBy("batch_id").agg(F.count("*").alias("sequences"), F.min("sid").alias("first_sid"), F.max("sid").alias("last_sid"))
+
+
+ODD = [0.33, 0.27, 0.4]
+
+
+@query(_batch_query(ODD, "round"))
+def batch_split_round(spark, d):
+    return _batch_frame(spark, d, ODD)
+
+
+@query(_batch_query(ODD, "floor"))
+def batch_split_floor(spark, d):
+    return _batch_frame(spark, d, ODD, "floor")
+
+
+@query(_batch_query(inc.equal_schedule(10), "round"))
+def equal_schedule(spark, d):
+    return _batch_frame(spark, d, inc.equal_schedule(10))
+
+
+@query(_batch_query(inc.warm_schedule(5, 0.5), "round"))
+def warm_schedule(spark, d):
+    return _batch_frame(spark, d, inc.warm_schedule(5, 0.5))
+
+
+def _by_batch_sql(batch_sql: str, n: int) -> str:
+    parts, unions = [], []
+    for b in range(n):
+        pos = pos_sql(f"SELECT sid, tid, item, util FROM rb WHERE batch_id <= {b}")
+        for name in ("raw0", "raw", "pos", "swu"):
+            import re
+
+            pos = re.sub(rf"\b{name}\b(?= AS \(|[^_])(?! >|\.)", f"{name}_{b}", pos) if name != "swu" else re.sub(r"^swu AS", f"swu_{b} AS", pos, flags=re.M)
+        parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({{xi}} AS DOUBLE) * sum(util) FROM pos_{b})", xi=XI, suffix=f"_{b}_", pos=f"pos_{b}", swu=f"swu_{b}"))
+        unions.append(f"SELECT {b} AS batch_id, * FROM ({hausp_sql(f'_{b}_')})")
+    return f"{batch_sql},\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(unions)
+
+
+@query(_by_batch_sql(f"{_batch_sql(RATIOS[:3] + [0.4])}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 3))
+def incremental_hausp(spark, d):
+    """New sequences in batches: the answer after each of the first three batches."""
+    return inc.by_batch(inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), XI, 3)
+
+
+def _append(spark, d):
+    raw = T.order_years(spark, d).groupBy("sid", "tid", "item").agg(F.sum("util").cast("long").alias("util"))
+    return raw, raw.where(F.col("tid") < FIRST_NEW), raw.where(F.col("tid") >= FIRST_NEW)
+
+
+@query(f"{MINED} {hausp_sql()}")
+def append_prefix(spark, d):
+    """Stored years with the later years appended in place."""
+    _, old, batch = _append(spark, d)
+    return mine(positions(inc.append(old, batch)), XI).patterns()
+
+
+@query(f"{MINED} {hausp_sql()}")
+def append_rewrite(spark, d):
+    """The same batch in the rewrite form."""
+    _, old, batch = _append(spark, d)
+    return mine(positions(inc.rewrite(old, batch)), XI).patterns()
+
+
+@query(f"{MINED} {hausp_sql()}")
+def append_parts(spark, d):
+    """Parts of one key that arrive in several batches, joined in order of arrival."""
+    raw = T.order_years(spark, d).withColumn("batch_id", (F.col("tid") >= FIRST_NEW).cast("int")).withColumn("part_seq", F.lit(0))
+    return mine(positions(inc.numbered_parts(raw)), XI).patterns()
+
+
+APPENDED = f"""WITH p0 AS ({T.ORDER_YEARS}), r AS (SELECT sid, tid, item, CAST(sum(util) AS BIGINT) AS util FROM p0 WHERE util > 0 GROUP BY 1, 2, 3),
+hit AS (SELECT DISTINCT sid FROM r WHERE tid >= {FIRST_NEW}),
+v AS (SELECT -1 AS s, * FROM r SEMI JOIN hit USING (sid) WHERE tid < {FIRST_NEW} UNION ALL SELECT 1, * FROM r SEMI JOIN hit USING (sid)),
+w AS (SELECT *, sum(util) OVER (PARTITION BY s, sid) AS su, sum(util) OVER (PARTITION BY s, sid ORDER BY tid, item) AS upto FROM v)"""
+
+
+@query(f"{APPENDED} SELECT item, CAST(sum(s * su) AS BIGINT) AS delta FROM (SELECT DISTINCT s, sid, item, su FROM w) GROUP BY 1")
+def swu_append_delta(spark, d):
+    raw, old, batch = _append(spark, d)
+    return inc.swu_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)))
+
+
+@query(f"""{APPENDED} SELECT item, CAST(sum(s * u) AS BIGINT) AS d_u, CAST(sum(s * b) AS BIGINT) AS d_bound, CAST(sum(s) AS BIGINT) AS d_support
+FROM (SELECT s, sid, item, max(util) AS u, max(su - upto + util) AS b FROM w GROUP BY 1, 2, 3) GROUP BY 1""")
+def root_terms_delta(spark, d):
+    raw, old, batch = _append(spark, d)
+    return inc.root_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)))
+
+
+@query(f"""{APPENDED} SELECT (SELECT count(*) FROM r WHERE tid >= {FIRST_NEW}) AS prefix_positions, (SELECT count(*) FROM r SEMI JOIN hit USING (sid)) AS rewrite_positions,
+(SELECT count(*) FROM hit WHERE sid IN (SELECT sid FROM r WHERE tid < {FIRST_NEW})) AS touched, (SELECT count(*) FROM hit WHERE sid NOT IN (SELECT sid FROM r WHERE tid < {FIRST_NEW})) AS new_sequences""")
+def maintenance_counts(spark, d):
+    _, old, batch = _append(spark, d)
+    return inc.maintenance_counts(old, batch)
+
+
+def _two(sql_a: str, sql_b: str, xi: float) -> str:
+    """CTEs of two searches, with nodes_a_ / nodes_b_."""
+    out = []
+    for n, sql in (("a", sql_a), ("b", sql_b)):
+        pos = pos_sql(sql).replace("raw0", f"raw0{n}").replace("raw AS", f"raw{n} AS").replace("FROM raw WINDOW", f"FROM raw{n} WINDOW").replace("pos AS", f"pos{n} AS").replace("FROM pos)", f"FROM pos{n})").replace("swu AS (", f"swu{n} AS (", 1)
+        out.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({xi} AS DOUBLE) * sum(util) FROM pos{n})", suffix=f"_{n}_", pos=f"pos{n}", swu=f"swu{n}"))
+    return "WITH " + ",\n".join(out)
+
+
+@query(f"""{_two(f"SELECT * FROM ({T.ORDER_YEARS}) WHERE tid < {FIRST_NEW}", T.ORDER_YEARS, 0.04)}, a AS ({hausp_sql('_a_')}), b AS ({hausp_sql('_b_')})
+SELECT coalesce(a.pattern, b.pattern) AS pattern, CASE WHEN a.pattern IS NULL THEN 'promoted' WHEN b.pattern IS NULL THEN 'demoted' ELSE 'kept' END AS status FROM a FULL JOIN b ON a.pattern = b.pattern""")
+def promoted_demoted(spark, d):
+    raw, old, _ = _append(spark, d)
+    return inc.changes(mine(positions(old), 0.04).patterns(), mine(positions(raw), 0.04).patterns())
+
+
+@query(f"""WITH rb AS (SELECT r.*, CASE WHEN sid % 5 = 4 THEN 1 ELSE 0 END AS late FROM ({T.ORDER_YEARS}) r WHERE util > 0),
+whole AS (SELECT sid, item, su FROM (SELECT DISTINCT sid, item, sum(util) OVER (PARTITION BY sid) AS su FROM rb)),
+good AS (SELECT item FROM whole GROUP BY 1 HAVING sum(su) >= 2 * CAST({XI} AS DOUBLE) * (SELECT sum(util) FROM rb)),
+{pos_sql("SELECT sid, tid, item, util FROM rb SEMI JOIN good USING (item) WHERE late = 1")}, {mine_sql(LMAX, theta=f"(SELECT CAST({XI} AS DOUBLE) * sum(util) FROM rb WHERE late = 1)")} {hausp_sql()}""")
+def batch_promotion_candidates(spark, d):
+    """Every fifth customer's sequence comes as a batch of new sequences."""
+    raw = T.order_years(spark, d)
+    late = F.col("sid") % 5 == 4
+    return inc.batch_candidates(raw.where(~late), raw.where(late), XI).patterns()
+
+
+# ---- pre-large state
+
+
+def _prelarge(spark, d):
+    return inc.prelarge(inc.with_batch(T.order_years(spark, d), [0.7, 0.005, 0.005, 0.29]), XI, 0.4, 4)
+
+
+@query()
+def prelarge_patterns(spark, d):
+    from .operators.mine import rendered
+
+    return _prelarge(spark, d)[0].select(rendered().alias("pattern"), "len", F.col("u").alias("utility"), "support", "large")
+
+
+@query()
+def prelarge_decision(spark, d):
+    return spark.createDataFrame(_prelarge(spark, d)[1], "batch_id int, rescan boolean, safety double, buffer long")
+
+
+# ---- appends in theory
+
+TERMS = f"""{ON_YEARS}, f1 AS (SELECT CAST(item AS VARCHAR) AS pat, sid, tid, k, util AS iu FROM pos),
+f2 AS (SELECT p.pat || (CASE WHEN x.tid = p.tid THEN ',' ELSE ')(' END) || x.item AS pat, x.sid, x.tid, x.k, max(p.iu) + any_value(x.util) AS iu FROM f1 p JOIN pos x ON p.sid = x.sid AND x.k > p.k GROUP BY p.pat, x.tid = p.tid, x.item, x.sid, x.tid, x.k),
+f3 AS (SELECT p.pat || (CASE WHEN x.tid = p.tid THEN ',' ELSE ')(' END) || x.item AS pat, x.sid, x.tid, x.k, max(p.iu) + any_value(x.util) AS iu FROM f2 p JOIN pos x ON p.sid = x.sid AND x.k > p.k GROUP BY p.pat, x.tid = p.tid, x.item, x.sid, x.tid, x.k),
+per AS (SELECT len, pat, sid, coalesce(max(iu) FILTER (tid < {FIRST_NEW}), 0) AS u, coalesce(max(iu) FILTER (tid >= {FIRST_NEW}), 0) AS uhat
+ FROM (SELECT 1 AS len, * FROM f1 UNION ALL SELECT 2, * FROM f2 UNION ALL SELECT 3, * FROM f3) GROUP BY 1, 2, 3),
+terms AS (SELECT len, pat, CAST(sum(u) AS BIGINT) AS u_old, CAST(sum(greatest(u, uhat)) AS BIGINT) AS u_new, CAST(sum(uhat) AS BIGINT) AS uhat, CAST(sum(greatest(0, uhat - u)) AS BIGINT) AS du FROM per GROUP BY 1, 2),
+tot AS (SELECT sum(CASE WHEN tid < {FIRST_NEW} THEN util ELSE 0 END) AS ud, sum(CASE WHEN tid >= {FIRST_NEW} THEN util ELSE 0 END) AS ub FROM pos),
+lim AS (SELECT CAST({XI} AS DOUBLE) * ud AS th, CAST({XI} AS DOUBLE) * ud + CAST({XI} AS DOUBLE) * ub AS thn, CAST({XI} AS DOUBLE) * ub AS lb FROM tot)"""
+
+
+def _count_sql(n: int) -> str:
+    tests = {"c_uhat": f"uhat > lb * {n}", "c_du": f"du > lb * {n}", "c_new": f"du > lb * {n} AND NOT u_old >= th * {n}", "h": f"u_new >= thn * {n}", "p": f"u_new >= thn * {n} AND NOT u_old >= th * {n}"}
+    cols = [f"CAST(sum(CASE WHEN {t} THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k, t in tests.items()]
+    cols += [f"CAST(sum(CASE WHEN ({t}) AND ok THEN 1 ELSE 0 END) AS BIGINT) AS {k}_swu" for k, t in tests.items() if k.startswith("c_")]
+    return f"""{TERMS}, good AS (SELECT CAST(item AS VARCHAR) AS item FROM swu, lim WHERE swu >= thn * {n}),
+x AS (SELECT *, len(list_filter(regexp_extract_all(pat, '[0-9]+'), i -> NOT list_contains((SELECT list(item) FROM good), i))) = 0 AS ok FROM terms, lim WHERE len = {n})
+SELECT {', '.join(cols)} FROM x"""
+
+
+@query(f"{TERMS} SELECT pat, CAST(len AS INT) AS len, u_old, u_new, uhat, du FROM terms WHERE len <= 2")
+def append_terms(spark, d):
+    return appends.pattern_terms(years(spark, d), FIRST_NEW, 2)
+
+
+@query(_count_sql(2))
+def append_l2_counts(spark, d):
+    return appends.counts(years(spark, d), FIRST_NEW, XI, 2)
+
+
+@query(_count_sql(3))
+def append_l3_counts(spark, d):
+    return appends.counts(years(spark, d), FIRST_NEW, XI, 3)
+
+
+@query(f"{TERMS} SELECT '<(' || pat || ')>' AS pattern, CAST(len AS INT) AS len, u_new AS utility FROM terms, lim WHERE u_new >= thn * len")
+def append_update(spark, d):
+    """Patterns up to length 3 by the update formula; the SQL states the definition."""
+    return appends.update(years(spark, d), FIRST_NEW, XI, 3)
+
+
+@query(f"""{ON_YEARS}, m AS (SELECT *, coalesce(max(util) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mx FROM pos),
+b AS (SELECT sid, item, max(least(util + pre, 2 * greatest(util, mx))) AS b FROM m WHERE tid >= {FIRST_NEW} GROUP BY 1, 2) SELECT item, CAST(sum(b) AS BIGINT) AS bound2 FROM b GROUP BY 1""")
+def anchored_bound_l1(spark, d):
+    return appends.anchored_bound(years(spark, d), FIRST_NEW)
+
+
+@query(f"""{TERMS} SELECT (SELECT count(*) FROM per WHERE len = 3 AND uhat > 0) AS anchored3,
+(SELECT CAST(sum(a * ((n - 1) * (n - 2) // 2)) AS BIGINT) FROM (SELECT sid, count(*) AS n, sum(CASE WHEN tid >= {FIRST_NEW} THEN 1 ELSE 0 END) AS a FROM pos GROUP BY 1) WHERE a > 0) AS bound3""")
+def anchored_l3(spark, d):
+    return appends.anchored3(years(spark, d), FIRST_NEW)
+
+
+# ---- baskets and schedules
+
+BASKETS = f"""WITH r AS ({T.ORDER_ROWS}), i AS (SELECT cust, basket, item, min(day) AS day, sum(util) AS util FROM r GROUP BY 1, 2, 3),
+bk AS (SELECT cust, basket, min(day) AS day, CAST(sum(util) AS BIGINT) AS util, count(*) AS rows, CAST(max(util) AS BIGINT) AS maxrow FROM i GROUP BY 1, 2)"""
+L5 = """d AS (SELECT day, sum(count(*)) OVER (ORDER BY day) AS upto, sum(count(*)) OVER () AS al FROM bk GROUP BY day),
+z AS (SELECT (SELECT min(day) + 1 FROM d WHERE upto >= ceil(al / 2)) AS s, (SELECT max(day) FROM d) AS l),
+sched AS (SELECT CAST(b AS INT) AS batch, CAST(s + (b - 1) * ((l - s + 1) // 5) AS INT) AS first_day, CAST(CASE WHEN b = 5 THEN l + 1 ELSE s + b * ((l - s + 1) // 5) END AS INT) AS end_day FROM z, range(1, 6) x(b))"""
+W8 = "sched AS (SELECT CAST(b AS INT) AS batch, CAST(m + 1 - 56 + (b - 1) * 7 AS INT) AS first_day, CAST(m + 1 - 56 + b * 7 AS INT) AS end_day FROM (SELECT max(day) AS m FROM bk), range(1, 9) x(b))"
+PROFILE = """, f AS (SELECT *, min(day) OVER (PARTITION BY cust) AS first FROM bk),
+c AS (SELECT batch, cust, sum((day >= first_day)::INT) AS n, sum((day >= first_day AND first < first_day)::INT) AS nk, sum((day < first_day)::INT) AS ln,
+ sum(CASE WHEN day >= first_day THEN util ELSE 0 END) AS u, sum(CASE WHEN day >= first_day AND first < first_day THEN util ELSE 0 END) AS ua, sum(CASE WHEN day < first_day THEN util ELSE 0 END) AS ub,
+ sum(rows) AS ra, sum(CASE WHEN day >= first_day AND first < first_day THEN rows ELSE 0 END) AS rp, max(maxrow) AS mr FROM f JOIN sched ON day < end_day GROUP BY 1, 2)
+SELECT batch, CAST(sum(n) AS BIGINT) AS baskets, CAST(sum(nk) AS DOUBLE) / sum(n) AS r, CAST(sum((nk > 0)::INT) AS DOUBLE) / sum((ln > 0)::INT) AS t, CAST(sum(u) AS DOUBLE) / sum(ub) AS g,
+ CAST(sum(ua) AS DOUBLE) / sum(u) AS a, CAST(median(CASE WHEN nk > 0 THEN ln END) AS DOUBLE) AS l, CAST(sum(CASE WHEN nk > 0 THEN ra END) AS DOUBLE) / sum(rp) AS w,
+ CAST(sum(u) AS DOUBLE) / max(CASE WHEN n > 0 THEN mr END) AS kappa, CAST(sum((nk > 0)::INT) AS BIGINT) AS touched, CAST(sum((n > 0 AND nk = 0)::INT) AS BIGINT) AS new_sequences FROM c GROUP BY 1 HAVING sum(n) > 0"""
+
+
+def _baskets(spark, d):
+    return profile.basket_table(T.order_rows(spark, d))
+
+
+@query(f"{BASKETS} SELECT * FROM bk")
+def basket_table(spark, d):
+    return _baskets(spark, d)
+
+
+@query(f"{BASKETS} SELECT * FROM bk QUALIFY count(*) OVER (PARTITION BY cust) >= 5")
+def min5_filter(spark, d):
+    return profile.min_baskets(_baskets(spark, d))
+
+
+@query(f"{BASKETS}, {L5} SELECT * FROM sched")
+def schedule_l5(spark, d):
+    return profile.schedule_l5(_baskets(spark, d))
+
+
+@query(f"{BASKETS}, {W8} SELECT * FROM sched")
+def schedule_w8(spark, d):
+    return profile.schedule_w8(_baskets(spark, d))
+
+
+@query(f"{BASKETS}, {L5}{PROFILE}")
+def update_profile(spark, d):
+    b = _baskets(spark, d)
+    return profile.update_profile(b, profile.schedule_l5(b))
+
+
+@query(f"{BASKETS}, {W8}{PROFILE}")
+def update_profile_weeks(spark, d):
+    b = _baskets(spark, d)
+    return profile.update_profile(b, profile.schedule_w8(b))
+
+
+@query(f"{BASKETS.replace('bk AS', 'bk0 AS')}, bk AS (SELECT * FROM bk0 QUALIFY count(*) OVER (PARTITION BY cust) >= 5), {L5}{PROFILE}")
+def update_profile_min5(spark, d):
+    b = profile.min_baskets(_baskets(spark, d))
+    return profile.update_profile(b, profile.schedule_l5(b))
+
+
+@query(f"SELECT cust, count(*) AS rows, CAST(sum(util) AS BIGINT) AS util FROM ({T.ORDER_ROWS}) WHERE (cust * 2654435761) % 4294967296 < 0.25 * 4294967296 GROUP BY 1")
+def customer_hash_sample(spark, d):
+    """A quarter of the customers by key hash: sampling is the feature here."""
+    return profile.hash_sample(T.order_rows(spark, d), 0.25).groupBy("cust").agg(F.count("*").alias("rows"), F.sum("util").cast("long").alias("util"))
+
+
+@query(f"""{BASKETS}, {L5}, q AS (SELECT coalesce(batch, 0) AS batch, r.* FROM r LEFT JOIN sched ON day >= first_day AND day < end_day)
+SELECT batch, cust, count(DISTINCT day) AS itemsets, count(*) AS items, CAST(sum(util) AS BIGINT) AS util FROM q GROUP BY 1, 2""")
+def maintenance_export(spark, d):
+    rows = T.order_rows(spark, d)
+    return profile.batch_lines(rows, profile.schedule_l5(profile.basket_table(rows)))
+
+
+@query("""WITH r AS (SELECT o_custkey AS cust, CAST(o_orderdate AS DATE) AS day, l_partkey AS item, CAST(round(l_quantity) AS BIGINT) AS qty, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT * FROM r WHERE qty > 0 AND amount > 0), p AS (SELECT item, CAST(greatest(1, round_even(median(amount / qty), 0)) AS BIGINT) AS profit, row_number() OVER (ORDER BY item) AS id FROM g GROUP BY item),
+s AS (SELECT cust, day, item, CAST(sum(qty) AS BIGINT) AS qty FROM g GROUP BY 1, 2, 3), n AS (SELECT *, dense_rank() OVER (PARTITION BY cust ORDER BY day) - 1 AS tid FROM s)
+SELECT cust AS sid, CAST(tid AS INT) AS tid, CAST(id AS INT) AS item, qty, profit FROM n JOIN p USING (item)""")
+def retail_build(spark, d):
+    orders = T.read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), F.to_date("o_orderdate").alias("day"))
+    rows = T.read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"), F.round("l_quantity").cast("long").alias("qty"), F.col("l_extendedprice").alias("amount"))
+    return T.retail(rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+
+
+# ---- probes
+
+GRID = [5, 10, 15]
+
+
+def _grid_sql() -> str:
+    parts, unions = [f"r0 AS ({T.ORDER_YEARS})", "best AS (SELECT item FROM r0 WHERE util > 0 GROUP BY 1 ORDER BY sum(util) DESC, item LIMIT 1)"], []
+    for i, f in enumerate(GRID):
+        pos = pos_sql(f"SELECT sid, tid, item, util * (CASE WHEN item = (SELECT item FROM best) THEN {f} ELSE 10 END) AS util FROM r0")
+        pos = pos.replace("raw0", f"raw0{i}").replace("raw AS", f"raw{i} AS").replace("FROM raw WINDOW", f"FROM raw{i} WINDOW").replace("pos AS", f"pos{i} AS").replace("FROM pos)", f"FROM pos{i})").replace("swu AS (", f"swu{i} AS (", 1)
+        parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({XI} AS DOUBLE) * sum(util) FROM pos{i})", suffix=f"_{i}_", pos=f"pos{i}", swu=f"swu{i}"))
+        unions.append(f"SELECT {i} AS at, pattern FROM ({hausp_sql(f'_{i}_')})")
+    each = " || ".join(f"CASE WHEN max((at = {i})::INT) = 1 THEN '1' ELSE '0' END" for i in range(len(GRID)))
+    return f"WITH {', '.join(parts)} SELECT pattern, {each} AS status FROM ({' UNION ALL '.join(unions)}) GROUP BY 1"
+
+
+@query(_grid_sql())
+def price_grid_status(spark, d):
+    raw = T.order_years(spark, d)
+    return probes.price_grid(raw, XI, probes.best_item(positions(raw)), GRID)
+
+
+@query(f"""{ON_LINES.replace(T.LINES, T.ORDER_YEARS)}, a AS (SELECT sid, min(tid) AS e FROM (SELECT sid, tid FROM pos WHERE item IN (1, 2) GROUP BY 1, 2 HAVING count(DISTINCT item) = 2) GROUP BY 1)
+SELECT sid, min(tid) AS ends FROM pos JOIN a USING (sid) WHERE item = 3 AND tid > e GROUP BY 1""")
+def pattern_support(spark, d):
+    """Customers with both of priorities 1 and 2 in a year, and 3 in a later one."""
+    return probes.support(years(spark, d), [[1, 2], [3]])
+
+
+@query(f"{MINED} SELECT len, support, count(*) AS patterns FROM nodes GROUP BY 1, 2")
+def support_histogram(spark, d):
+    return probes.support_histogram(mine(years(spark, d), XI).nodes())
+
+
+@query(f"{MINED} SELECT 'left' AS side, pattern FROM ({hausp_sql()}) WHERE false")
+def pattern_set_difference(spark, d):
+    """The plain search against the one with the pair filter: no row may come."""
+    pos = years(spark, d)
+    return probes.compare_sets(mine(pos, XI).patterns().select("pattern"), mine(pos, XI, options=Options(eucs=True)).patterns().select("pattern"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

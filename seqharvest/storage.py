@@ -38,3 +38,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = table_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and held in the shared folder, with its partitioning and without its plan."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
