@@ -439,7 +439,8 @@ def _count_sql(n: int) -> str:
     cols = [f"CAST(sum(CASE WHEN {t} THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k, t in tests.items()]
     cols += [f"CAST(sum(CASE WHEN ({t}) AND ok THEN 1 ELSE 0 END) AS BIGINT) AS {k}_swu" for k, t in tests.items() if k.startswith("c_")]
     return f"""{TERMS}, good AS (SELECT CAST(item AS VARCHAR) AS item FROM swu, lim WHERE swu >= thn * {n}),
-x AS (SELECT *, len(list_filter(regexp_extract_all(pat, '[0-9]+'), i -> NOT list_contains((SELECT list(item) FROM good), i))) = 0 AS ok FROM terms, lim WHERE len = {n})
+bad AS (SELECT DISTINCT pat FROM (SELECT pat, unnest(regexp_extract_all(pat, '[0-9]+')) AS item FROM terms WHERE len = {n}) ANTI JOIN good USING (item)),
+x AS (SELECT *, pat NOT IN (SELECT pat FROM bad) AS ok FROM terms, lim WHERE len = {n})
 SELECT {', '.join(cols)} FROM x"""
 
 
@@ -569,8 +570,8 @@ def _grid_sql() -> str:
         pos = pos_sql(f"SELECT sid, tid, item, util * (CASE WHEN item = (SELECT item FROM best) THEN {f} ELSE 10 END) AS util FROM r0")
         pos = pos.replace("raw0", f"raw0{i}").replace("raw AS", f"raw{i} AS").replace("FROM raw WINDOW", f"FROM raw{i} WINDOW").replace("pos AS", f"pos{i} AS").replace("FROM pos)", f"FROM pos{i})").replace("swu AS (", f"swu{i} AS (", 1)
         parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({XI} AS DOUBLE) * sum(util) FROM pos{i})", suffix=f"_{i}_", pos=f"pos{i}", swu=f"swu{i}"))
-        unions.append(f"SELECT {i} AS at, pattern FROM ({hausp_sql(f'_{i}_')})")
-    each = " || ".join(f"CASE WHEN max((at = {i})::INT) = 1 THEN '1' ELSE '0' END" for i in range(len(GRID)))
+        unions.append(f"SELECT {i} AS place, pattern FROM ({hausp_sql(f'_{i}_')})")
+    each = " || ".join(f"CASE WHEN max((place = {i})::INT) = 1 THEN '1' ELSE '0' END" for i in range(len(GRID)))
     return f"WITH {', '.join(parts)} SELECT pattern, {each} AS status FROM ({' UNION ALL '.join(unions)}) GROUP BY 1"
 
 
