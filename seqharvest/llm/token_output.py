@@ -20,11 +20,14 @@ rows are written each; an empty table gives an empty file.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +39,26 @@ BLOCK, EVERY, LIMIT = 1 << 17, 64, 16
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
+#: White space that a text may hold besides the plain space.
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+class Numbers(dict):
+    """Unit -> number, in order of appearance; take() gives the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.fresh.append(unit)
+        return n
+
+    def take(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct space-led unit encoded once.
 
@@ -44,64 +67,89 @@ class Encoder:
     Texts in which single spaces don't mark such places are encoded whole.
     """
 
-    ROOM = 400_000
+    ROOM = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # units come once: a cache of words inside would only cost time
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one character of its name each
         for name, i in vocab.items():
             self.width[i] = len(name)
         self.reset()
 
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """The encoder that this worker process has kept from earlier tasks, or a new one."""
+        kept = vars(sys.modules.setdefault("_seqharvest_process", types.ModuleType("_seqharvest_process"))).setdefault("encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def reset(self) -> None:
-        self.units: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.units = Numbers()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.int64) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        easy = [u for u in units if u and not u[0].isspace()]
-        hard = [u for u in units if not u or u[0].isspace()]
-        ids = self.whole([" " + u for u in hard])
-        sizes = [len(x) for x in ids]
+        """Encode units, in their order; each gets a space in front."""
+        hard = {i for i, u in enumerate(units) if not u or u[0] in SPACES}
+        easy = [u for i, u in enumerate(units) if i not in hard] if hard else units
+        sizes = np.zeros(len(units), np.int64)
+        is_easy = np.ones(len(units), bool)
+        is_easy[list(hard)] = False
+        ids = np.zeros(0, np.int32)
         if easy:
             # many units in one call; the widths of the tokens tell where each unit ends
-            groups = [easy[i : i + 200] for i in range(0, len(easy), 200)]
-            got = np.concatenate(self.whole(["".join([" " + u for u in g]) for g in groups]))
-            ends = np.cumsum([len(u.encode()) + 1 for u in easy])
-            at = np.searchsorted(np.cumsum(self.width[got]), ends) + 1
-            ids.append(got)
-            sizes.extend(np.diff(at, prepend=0).tolist())
-        for n, u in enumerate(hard + easy, len(self.units)):
-            self.units[u] = n
-        new = np.asarray(sizes, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
-        self.sizes = np.concatenate([self.sizes, new])
-        self.flat = np.concatenate([self.flat, *ids])
+            ids = np.concatenate(self.whole([" " + " ".join(easy[i : i + 200]) for i in range(0, len(easy), 200)]))
+            raw = np.frombuffer((" " + " ".join(easy)).encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            at = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            sizes[is_easy] = np.diff(at, prepend=0)
+        starts = np.zeros(len(units), np.int64)
+        starts[is_easy] = np.cumsum(sizes[is_easy]) - sizes[is_easy]
+        more = [ids]
+        at = len(ids)
+        for i, x in zip(sorted(hard), self.whole([" " + units[i] for i in sorted(hard)]), strict=True):
+            starts[i], sizes[i] = at, len(x)
+            at += len(x)
+            more.append(x)
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, *more])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.units) > self.ROOM:
             self.reset()
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if UNSAFE.search(t) or t[:1] != "" and " " not in t]
+        odd = [i for i, t in enumerate(texts) if " " not in t or UNSAFE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        split = {i: texts[i].split(" ") for i in range(len(texts)) if out[i] is None}
-        fresh = set().union(*(x[1:] for x in split.values())) - self.units.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        firsts = dict(zip(split, self.whole([x[0] for x in split.values()]), strict=True))
-        for i, x in split.items():
-            n = np.fromiter(map(self.units.__getitem__, x[1:]), np.int64, len(x) - 1)
-            size = self.sizes[n]
-            ends = np.cumsum(size)
-            at = np.repeat(self.starts[n] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-            out[i] = np.concatenate([firsts[i], self.flat[at]])
+        plain = [i for i in range(len(texts)) if out[i] is None]
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        edge = split.offsets.to_numpy()
+        firsts = self.whole(split.values.take(pa.array(edge[:-1])).to_pylist())
+        led = np.ones(edge[-1], bool)
+        led[edge[:-1]] = False
+        coded = split.values.filter(pa.array(led)).dictionary_encode()
+        n = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        if fresh := self.units.take():
+            self._learn(fresh)
+        size = self.sizes[n].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[n] - ends + size, size) + np.arange(ends[-1])]
+        last = 0
+        for i, first, to in zip(plain, firsts, ends[np.cumsum(np.diff(edge) - 1) - 1].tolist(), strict=True):
+            out[i] = np.concatenate([first, ids[last:to]])
+            last = to
         return out
 
 
@@ -189,19 +237,19 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc(), "text")
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(tokenizer)
+        encode = Encoder.of_process(tokenizer)
         part, start, size = TaskContext.get().partitionId(), 0, 0
         who: list[int] = []
         held: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
-            ids = np.concatenate([x for pair in zip(held, repeat(np.array([end_id]))) for x in pair]).astype("<u4")
+            ids = np.concatenate([x for pair in zip(held, repeat(np.array([end_id], np.int32))) for x in pair]).astype("<u4")
             columns = [
                 pa.array([part], pa.int64()),
                 pa.array([start], pa.int64()),
@@ -213,8 +261,8 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
 
         for batch in batches:
             numbers, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(bodies), 500):
-                for number, ids in zip(numbers[lo : lo + 500], encode(bodies[lo : lo + 500]), strict=True):
+            for lo in range(0, len(bodies), 2000):
+                for number, ids in zip(numbers[lo : lo + 2000], encode(bodies[lo : lo + 2000]), strict=True):
                     who.append(number)
                     held.append(ids)
                     size += len(ids) + 1
