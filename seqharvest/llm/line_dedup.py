@@ -34,8 +34,9 @@ SPACE = r" \t\r\x0B\f"
 
 def canonical(text: Column) -> Column:
     """The text with variable fields masked and single spaces, line for line."""
-    masked = F.regexp_replace(text, rf"(?<![^\n{SPACE}])[^\n{SPACE}0-9]*+[0-9][^\n{SPACE}]*+", "<*>")
-    single = F.regexp_replace(masked, f"[{SPACE}]+", " ")
+    # most texts hold no digit or no wide space at all: a look for one costs less than building the text anew
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, rf"(?<![^\n{SPACE}])[^\n{SPACE}0-9]*+[0-9][^\n{SPACE}]*+", "<*>")).otherwise(text)
+    single = F.when(text.rlike(r"[\t\r\x0B\f]|  "), F.regexp_replace(masked, f"[{SPACE}]+", " ")).otherwise(masked)
     return F.trim(F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
 
 
