@@ -13,8 +13,8 @@ from ..storage import written
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """u with m, the smallest of u and its neighbours v."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """u with m, the smallest of u and its neighbours v; written, so that a join with it is a plain shuffle, which Spark splits at hot nodes."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -219,6 +219,7 @@ def join(
 
     keyed = signed.where("node is not null").select("node", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1")
+    shared = written(shared, "prefixes")  # so that both sides of the join are plain shuffles, which Spark splits at hot keys
     edges = keyed.join(shared, "key").where("node != leader").select("node", "leader")
     groups = components(edges, "node", "leader").withColumnRenamed("root", "group")
     groups = written(groups.join(nodes, "node"), "groups")
@@ -246,6 +247,7 @@ def join(
     roots = components(found.where("b is not null"), "a", "b")
     about = nodes.select("node", "copies").join(degree, "node", "left").join(roots, "node", "left")
     about = about.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    about = written(about, "about")
     with_words = signed.where("node is not null").select("doc_id", "row", "node").join(about, "node").select("doc_id", "row", "node", "root", "n_links")
     without = signed.where("node is null").select("doc_id", "row", "node", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionAll(without)
@@ -259,7 +261,7 @@ def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
 def classes(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest doc_id of those it is linked to, directly or through others), n_links."""
     rows = written(join(docs, **options), "joined")
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    least = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     return (
         rows.where("root is not null").join(least, "root").select("doc_id", "class_id", "n_links")
         .unionAll(rows.where("root is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_links"))
@@ -271,6 +273,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     rows = written(join(docs, doc_id=doc_id, **options), "joined").where("root is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.row").alias("kept"))
+    first = written(first, "firsts")
     gone = rows.join(first, "root").where("row != kept").select("row")
     twice = rows.groupBy("row").agg(F.count("*").alias("times")).where("times > 1").select("row")
     hashed, row = _with_row(docs)
