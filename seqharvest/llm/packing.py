@@ -21,6 +21,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import written
+
 SHARE = 1_000
 
 
@@ -72,7 +74,7 @@ def pack(rows: DataFrame, *, keep: list[str], length: Column, buckets: int = 8,
     if clash := {k.lower() for k in keep} & {"length", "bucket", "batch", "place", "padding"}:
         raise ValueError(f"kept columns clash with result columns: {sorted(clash)}")
     spark = rows.sparkSession
-    sized = rows.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("length"))
+    sized = written(rows.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("length")), "lengths")  # texts are read once
     found = sized.groupBy("length").agg(F.count("*").alias("n")).collect()
     lengths = np.array(sorted(r["length"] for r in found), np.int64)
     count = {r["length"]: r["n"] for r in found}
