@@ -49,6 +49,14 @@ def depth_for(threshold: float, trees: int, recall: float, longest: int = MAX_DE
 
 
 class WordHash(dict):
+    """Word -> 64-bit hash.  trim() empties it when it holds many, so that a worker's memory stays small."""
+
+    ROOM = 150_000
+
+    def trim(self) -> None:
+        if len(self) > self.ROOM:
+            self.clear()
+
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -117,8 +125,7 @@ def signatures(docs: DataFrame, row: str, *, doc_id: str, text: str, ngram: int,
                     names=["doc_id", "row", "node", "n", "keys"],
                 )
                 lo, held, size = i + 1, [], 0
-            if len(hashes) > 1_000_000:
-                hashes.clear()
+                hashes.trim()
 
     return source.mapInArrow(run, "doc_id long, row long, node long, n long, keys array<long>")
 
@@ -236,7 +243,11 @@ def join(
         hashes = WordHash()
         for batch in batches:
             at = batch.schema.get_field_index("body")
-            got = pa.array([shingles(words(x.as_py()), hashes, ngram).tobytes() for x in batch.column(at)], pa.binary())
+            made = []
+            for x in batch.column(at):
+                made.append(shingles(words(x.as_py()), hashes, ngram).tobytes())
+                hashes.trim()
+            got = pa.array(made, pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], got], names=[*(n for n in batch.schema.names if n != "body"), "set"])
 
     filled = texts.select("node", "group", "copies", "chunks", "chunk", "body").mapInArrow(sets, "node long, group long, copies long, chunks int, chunk int, set binary")

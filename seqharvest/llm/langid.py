@@ -105,7 +105,7 @@ class Pieces:
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         for m in np.unique(size).tolist():
             who = np.flatnonzero(size == m)
-            for part in np.array_split(who, max(1, len(who) // 50_000)):
+            for part in np.array_split(who, max(1, len(who) // 20_000)):
                 chars = np.frombuffer("".join(MARK + words[i] for i in part.tolist()).encode("utf-32-le"), np.uint32).reshape(len(part), m)
                 edges = {}
                 with np.errstate(over="ignore"):
@@ -246,9 +246,10 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str], text: str
         for batch in batches:
             langs, scores = [], []
             at = batch.schema.get_field_index(name)
-            for lang, score in scorer.texts(batch.column(at).to_pylist()):
-                langs.append(lang)
-                scores.append(score)
+            for lo in range(0, batch.num_rows, 500):
+                for lang, score in scorer.texts(batch.column(at).slice(lo, 500).to_pylist()):
+                    langs.append(lang)
+                    scores.append(score)
             kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != name]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n, _ in kept), *out])
 
@@ -258,7 +259,7 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str], text: str
 class WordCache(dict):
     """Word -> row of its scores; a word's lattice is summed once in a task until ``LIMIT`` words are held, then the cache starts anew."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __init__(self, model: Model):
         super().__init__()
