@@ -1,3 +1,24 @@
-"""DuckDB SQL of the text queries that SQL can express."""
+"""DuckDB SQL of the text queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, k, w[i : i + k - 1] AS g FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, k, i, w[i : i + k - 1] AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+h AS (SELECT doc_id, k, i, item FROM g JOIN win USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+OP5 = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[i : i + 4]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM pairs JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.8),
+r AS (SELECT a, b FROM link UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(m.least, doc_id)) AS class_id, coalesce(k.n, 0) AS n_links FROM d LEFT JOIN m ON m.a = doc_id LEFT JOIN k ON k.a = doc_id"""
+
+SQL: dict[str, str] = {"op2_decontaminate": OP2, "op5_ngram_jaccard": OP5}
