@@ -11,7 +11,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .mine import extend, item_swu, rendered
+from ..storage import cut
+from .mine import extend, item_swu, kept, rendered
 
 
 def anchored(pos: DataFrame, first_new: int, longest: int) -> DataFrame:
@@ -86,3 +87,38 @@ def anchored3(pos: DataFrame, first_new: int) -> DataFrame:
     per = pos.groupBy("sid").agg(F.count("*").alias("n"), F.sum(F.when(F.col("tid") >= first_new, 1).otherwise(0)).alias("a")).where("a > 0")
     bound = per.agg(F.sum(F.expr("a * ((n - 1) * (n - 2) div 2)")).cast("long").alias("bound3"))
     return found.crossJoin(bound)
+
+
+def backward(pos: DataFrame, first_new: int, xi: float, longest: int | None = None) -> DataFrame:
+    """(pattern, len, uhat, bound, candidate, extended): the nodes of the search that grows anchored patterns at their front.
+
+    Positions are mirrored, so that putting an item before a pattern is the
+    extension of mining; the search starts from the new positions.  bound is
+    len * (len + 1) times the sum over sequences of the largest of
+    min((iu + before) / (len + 1), max(iu / len, largest before)), a whole
+    number.  A candidate's uhat exceeds xi * len of the batch's utility; no
+    candidate is lost below a node that isn't extended.  longest ends the search.
+    """
+    _, batch = totals(pos, first_new)
+    limit = xi * batch
+    touched = pos.where(F.col("tid") >= first_new).select("sid").distinct()
+    ahead = Window.partitionBy("sid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    here = pos.join(touched, "sid", "left_semi").withColumn("most", F.coalesce(F.max("util").over(ahead), F.lit(0)))
+    mirrored = cut(here.select("sid", (-F.col("tid")).alias("tid"), (-F.col("k")).alias("k"), "item", "util", F.col("pre").alias("rem"), "most"))
+    front = mirrored.where(F.col("tid") <= -first_new).select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    levels, n = [], 1
+    while True:
+        iu, before, most = F.col("iu"), F.col("rem"), F.col("most")
+        each = F.least(n * (iu + before), F.greatest((n + 1) * iu, n * (n + 1) * most))
+        per = front.join(mirrored.select("sid", "k", "most"), ["sid", "k"]).groupBy("pat", "sid").agg(F.max(iu).alias("uhat"), F.max(each).alias("b"))
+        nodes = per.groupBy("pat").agg(F.sum("uhat").cast("long").alias("uhat"), F.sum("b").cast("long").alias("bound"))
+        goes_on = (F.col("bound") > F.lit(limit) * (n * (n + 1))) & F.lit(xi * (n + 1) < 1)
+        nodes = cut(nodes.select("pat", F.lit(n).alias("len"), "uhat", "bound", (F.col("uhat") > F.lit(limit) * n).alias("candidate"), goes_on.alias("extended")))
+        levels.append(nodes)
+        count = nodes.where("extended").count()
+        if not count or n == longest:
+            break
+        front = cut(extend(kept(front, nodes.where("extended"), count), mirrored))
+        n += 1
+    sets = F.transform(F.split("pat", r"\)\("), lambda x: F.array_join(F.reverse(F.split(x, ",")), ","))
+    return reduce(DataFrame.unionByName, levels).select(rendered(F.array_join(F.reverse(sets), ")(")).alias("pattern"), "len", "uhat", "bound", "candidate", "extended")

@@ -195,7 +195,7 @@ def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFr
             nodes = found.nodes()
             good = nodes.where(F.col("u") >= F.lit(lower * total) * F.col("len")).select("pat")
             # every prefix of a kept pattern is kept
-            prefixes = good.select(F.explode(_prefixes(F.col("pat"))).alias("pat")).distinct()
+            prefixes = good.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct()
             state = cut(nodes.join(prefixes, "pat", "left_semi"))
         else:
             held += size
@@ -205,7 +205,7 @@ def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFr
     return state.withColumn("large", F.col("u") >= F.lit(xi * total) * F.col("len")), log
 
 
-def _prefixes(pat):
+def prefixes(pat):
     """All prefixes of a pattern that end after an item."""
     parts = F.regexp_extract_all(pat, F.lit(r"(?:\)\(|,)?[0-9]+"), F.lit(0))
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ""))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
-from .mine import mine, positions, total_utility
+from .incremental import prefixes
+from .mine import Mined, extend, mine, positions, rendered, total_utility
 
 
 def price_grid(raw: DataFrame, xi: float, item: int, tenths: list[int]) -> DataFrame:
@@ -70,3 +73,43 @@ def compare_sets(one: DataFrame, other: DataFrame) -> DataFrame:
     """Rows (side, pattern, ...) that only one of two pattern tables has."""
     only = lambda a, b, side: a.exceptAll(b).select(F.lit(side).alias("side"), "*")
     return only(one, other, "left").unionAll(only(other, one, "right"))
+
+
+def holders(pos: DataFrame, names: DataFrame) -> DataFrame:
+    """(pat, sid): the sequences that hold each pattern of names(pat); only prefixes of the patterns are followed."""
+    known = cut(names.select("pat").distinct())
+    paths = cut(known.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct())
+    longest = known.agg(F.max(F.size(F.regexp_extract_all("pat", F.lit("[0-9]+"), F.lit(0))))).first()[0] or 1
+    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem").join(paths, "pat", "left_semi")
+    out = None
+    for n in range(1, longest + 1):
+        here = front.select("pat", "sid").distinct().join(known, "pat", "left_semi")
+        out = here if out is None else out.unionAll(here)
+        if n < longest:
+            front = cut(extend(front, pos).join(paths, "pat", "left_semi"))
+    return out
+
+
+def rare_holders(pos: DataFrame, found: Mined, most: int) -> DataFrame:
+    """(sid, patterns): how many patterns with a support of at most most each sequence holds."""
+    rare = found.nodes().where((F.col("u") >= F.lit(found.theta) * F.col("len")) & (F.col("support") <= most))
+    return holders(pos, rare).groupBy("sid").agg(F.count("*").alias("patterns"))
+
+
+def alone(pos: DataFrame, theta: float) -> DataFrame:
+    """(sid, pattern, utility): patterns that a sequence supports by itself, at a threshold of the whole database.
+
+    Utility in one sequence is its largest occurrence, so a level's nodes are
+    kept by (pattern, sequence); a sequence's bound prunes its own branches only.
+    """
+    pos = cut(pos.where(F.col("su") >= theta))
+    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    levels, n = [], 1
+    while True:
+        nodes = cut(front.groupBy("pat", "sid").agg(F.max("iu").alias("u"), F.max(F.col("iu") + F.col("rem")).alias("bound")))
+        levels.append(nodes.where(F.col("u") >= F.lit(theta) * n).select("sid", rendered().alias("pattern"), F.col("u").alias("utility")))
+        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (n + 1)).select("pat", "sid")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionAll, levels)
+        front = cut(extend(front.join(open_, ["pat", "sid"], "left_semi"), pos))
+        n += 1

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import appends, cooccurrence as co, incremental as inc, layer1, probes, profile, topk
+from .operators import appends, cooccurrence as co, incremental as inc, layer1, probes, profile, results, topk
 from .operators.mine import Options, item_swu, mine, positions
+from .operators.tree import PatternTree
 from .plans.oracle import hausp_sql, mine_sql, pos_sql
 from .sources import tables as T
 
@@ -600,6 +601,109 @@ def pattern_set_difference(spark, d):
     return probes.compare_sets(mine(pos, XI).patterns().select("pattern"), mine(pos, XI, options=Options(eucs=True)).patterns().select("pattern"))
 
 
+# ---- the kept tree, the backward search, holders and lone patterns
+
+
+@query(SQL["incremental_hausp"])
+def tree_hausp(spark, d):
+    """The batches of incremental_hausp by the kept pattern tree."""
+    raw, tree, out = inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), PatternTree(XI), None
+    for b in range(3):
+        found = tree.add(raw.where(F.col("batch_id") == b)).patterns().select(F.lit(b).alias("batch_id"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: Ratio at which the backward search has nodes to cut off.
+XI_BACK = 0.15
+
+
+@query(f"{TERMS} SELECT '<(' || pat || ')>' AS pattern, CAST(len AS INT) AS len, uhat FROM terms, tot WHERE uhat > CAST({XI_BACK} AS DOUBLE) * ub * len")
+def backward_candidates(spark, d):
+    """Candidates of at most three items by the backward search; the SQL states the definition over all patterns."""
+    return appends.backward(years(spark, d), FIRST_NEW, XI_BACK, longest=3).where("candidate").select("pattern", "len", "uhat")
+
+
+@query(f"""{TERMS}, mx AS (SELECT sid, k, tid, item, util, pre, coalesce(max(util) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS most FROM pos),
+at2 AS (SELECT x.sid, x.k, x.pre, x.most, (x.tid = y.tid) AS same, x.item AS a, y.item AS b, max(x.util + y.util) AS u FROM mx x JOIN mx y ON x.sid = y.sid AND y.k > x.k WHERE y.tid >= {FIRST_NEW} GROUP BY ALL),
+b2 AS (SELECT same, a, b, sid, max(least(2 * (u + pre), greatest(3 * u, 6 * most))) AS v FROM at2 GROUP BY ALL)
+SELECT count(*) AS nodes2 FROM (SELECT same, a, b FROM b2, tot GROUP BY same, a, b HAVING sum(v) > CAST({XI_BACK} AS DOUBLE) * max(ub) * 6)""")
+def backward_nodes2(spark, d):
+    """How many nodes of two items the backward search extends."""
+    found = appends.backward(years(spark, d), FIRST_NEW, XI_BACK, longest=2)
+    return found.agg(F.coalesce(F.sum(F.when((F.col("len") == 2) & F.col("extended"), 1)), F.lit(0)).cast("long").alias("nodes2"))
+
+
+#: Largest support of a rare pattern.
+RARE = 500
+
+
+@query(f"""{MINED}, held AS ({' UNION ALL '.join(f'SELECT DISTINCT pat, sid FROM f{n}' for n in range(1, LMAX + 1))})
+SELECT sid, count(*) AS patterns FROM held JOIN nodes USING (pat), t WHERE u >= theta * len AND support <= {RARE} GROUP BY 1""")
+def rare_pattern_holders(spark, d):
+    pos = years(spark, d)
+    return probes.rare_holders(pos, mine(pos, XI), RARE)
+
+
+#: Share of the largest order that a lone pattern's average must reach, and the longest pattern of the SQL.
+LONE, LONE_MAX = 0.6, 9
+
+
+def _lone_sql() -> str:
+    out = [f"t AS (SELECT CAST({LONE} AS DOUBLE) * max(util) AS theta FROM pos)", "f1 AS (SELECT CAST(item AS VARCHAR) AS pat, sid, tid, k, util AS iu, rem FROM pos, t WHERE su >= theta)"]
+    for n in range(1, LONE_MAX + 1):
+        out.append(f"n{n} AS MATERIALIZED (SELECT pat, sid, max(iu) AS u, max(iu + rem) AS bound FROM f{n} GROUP BY 1, 2)")
+        out.append(
+            f"f{n + 1} AS MATERIALIZED (SELECT p.pat || (CASE WHEN x.tid = p.tid THEN ',' ELSE ')(' END) || x.item AS pat, x.sid, x.tid, x.k, max(p.iu) + any_value(x.util) AS iu, any_value(x.rem) AS rem"
+            f" FROM (f{n} SEMI JOIN (SELECT pat, sid FROM n{n}, t WHERE bound >= theta * {n + 1}) USING (pat, sid)) p JOIN pos x ON p.sid = x.sid AND x.k > p.k GROUP BY p.pat, x.tid = p.tid, x.item, x.sid, x.tid, x.k)"
+        )
+    guard = f"coalesce((SELECT CASE WHEN count(*) > 0 THEN error('longer ones are open') ELSE 0 END FROM f{LONE_MAX + 1}), 0) = 0"
+    union = " UNION ALL ".join(f"SELECT sid, '<(' || pat || ')>' AS pattern, u AS utility FROM n{n}, t WHERE u >= theta * {n}" for n in range(1, LONE_MAX + 1))
+    return f"{ON_YEARS}, {', '.join(out)} SELECT * FROM ({union}) WHERE {guard}"
+
+
+@query(_lone_sql())
+def lone_patterns(spark, d):
+    """Patterns that one customer alone supports at a share of the largest order."""
+    pos = years(spark, d)
+    most = pos.agg(F.coalesce(F.max("util"), F.lit(0))).first()[0]
+    return probes.alone(pos, LONE * most)
+
+
+# ---- tables of measurements: order lines stand for runs
+
+RUNS = "(SELECT l_returnflag AS config, l_linestatus AS arm, l_linenumber AS trial, CAST(round(l_extendedprice * 100) AS BIGINT) AS value FROM lineitem)"
+
+
+def _runs(spark, d):
+    return T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_linestatus").alias("arm"), F.col("l_linenumber").alias("trial"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"))
+
+
+@query(f"""WITH p AS (SELECT config, arm, trial, count(*) AS n FROM {RUNS} GROUP BY ALL)
+SELECT config, arm, CAST(sum(n) AS BIGINT) AS rows, count(*) AS trials, CAST(sum((n > 1)::INT) AS BIGINT) AS repeated, count(*) < 3 AS short FROM p GROUP BY 1, 2""")
+def audit_runs(spark, d):
+    return results.audit(_runs(spark, d), ["config", "arm"], "trial", "value").drop("mean", "cv")
+
+
+@query("SELECT * FROM (SELECT DISTINCT l_partkey AS config FROM lineitem), (SELECT DISTINCT l_linenumber AS arm FROM lineitem) EXCEPT SELECT l_partkey, l_linenumber FROM lineitem")
+def audit_holes(spark, d):
+    """Parts that never stand in some place of an order."""
+    return results.holes(T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("config"), F.col("l_linenumber").alias("arm")), ["config"], "arm")
+
+
+@query(f"SELECT config, arm, count(value) AS runs, CAST(median(value) AS DOUBLE) AS median FROM {RUNS} GROUP BY 1, 2")
+def run_medians(spark, d):
+    return results.medians(_runs(spark, d), ["config", "arm"], "value").drop("sd")
+
+
+@query(f"""WITH p AS (SELECT trial, arm, CAST(sum(value) AS BIGINT) AS v FROM {RUNS} GROUP BY 1, 2)
+SELECT trial, CAST(max(v) FILTER (arm = 'F') AS DOUBLE) AS base, CAST(max(v) FILTER (arm = 'O') AS DOUBLE) AS other, CAST(max(v) FILTER (arm = 'O') AS DOUBLE) / max(v) FILTER (arm = 'F') AS ratio
+FROM p GROUP BY 1 HAVING count(*) = 2""")
+def paired_runs(spark, d):
+    runs = _runs(spark, d).withColumn("one", F.lit(1))
+    return results.paired(runs, ["trial"], "arm", "one", "value", "F", "O")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
