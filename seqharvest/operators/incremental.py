@@ -195,8 +195,8 @@ def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFr
             nodes = found.nodes()
             good = nodes.where(F.col("u") >= F.lit(lower * total) * F.col("len")).select("pat")
             # every prefix of a kept pattern is kept
-            prefixes = good.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct()
-            state = cut(nodes.join(prefixes, "pat", "left_semi"))
+            ways = good.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct()
+            state = cut(nodes.join(ways, "pat", "left_semi"))
         else:
             held += size
             gain = delta_nodes(delta, state)
