@@ -140,7 +140,7 @@ class Encoder:
         led = np.ones(edge[-1], bool)
         led[edge[:-1]] = False
         coded = split.values.filter(pa.array(led)).dictionary_encode()
-        n = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        n = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
         if fresh := self.units.take():
             self._learn(fresh)
         size = self.sizes[n].astype(np.int64)
