@@ -67,7 +67,8 @@ class Encoder:
     Texts in which single spaces don't mark such places are encoded whole.
     """
 
-    ROOM = 1_500_000
+    #: Units kept; beyond it, those that only one call has asked for are forgotten.
+    ROOM = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,7 +93,24 @@ class Encoder:
 
     def reset(self) -> None:
         self.units = Numbers()
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.starts, self.sizes, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _ids(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units n, one after another, and where each ends."""
+        size = self.sizes[n].astype(np.int64)
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.starts[n] - ends + size, size) + np.arange(size.sum())], ends
+
+    def _shrink(self) -> None:
+        """Keep the units that several calls have asked for, at most half the room: the most used, ties by age."""
+        keep = np.flatnonzero(self.used > 1)
+        keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: self.ROOM // 2]])
+        names = np.array(list(self.units), object)[keep].tolist()
+        self.flat, ends = self._ids(keep)
+        self.sizes = self.sizes[keep]
+        self.starts, self.used = ends - self.sizes, np.ones(len(keep), np.int32)
+        self.units = Numbers()
+        self.units.update(zip(names, range(len(names))))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,11 +140,12 @@ class Encoder:
             more.append(x)
         self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int32)])
         self.flat = np.concatenate([self.flat, *more])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.units) > self.ROOM:
-            self.reset()
+            self._shrink()
         out: list = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if " " not in t or UNSAFE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
@@ -140,12 +159,11 @@ class Encoder:
         led = np.ones(edge[-1], bool)
         led[edge[:-1]] = False
         coded = split.values.filter(pa.array(led)).dictionary_encode()
-        n = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        distinct = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         if fresh := self.units.take():
             self._learn(fresh)
-        size = self.sizes[n].astype(np.int64)
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.starts[n] - ends + size, size) + np.arange(ends[-1])]
+        self.used[distinct] += 1
+        ids, ends = self._ids(distinct[coded.indices.to_numpy()])
         last = 0
         for i, first, to in zip(plain, firsts, ends[np.cumsum(np.diff(edge) - 1) - 1].tolist(), strict=True):
             out[i] = np.concatenate([first, ids[last:to]])
