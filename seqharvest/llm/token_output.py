@@ -35,6 +35,8 @@ from ..storage import written
 from .common import ship
 
 BLOCK, EVERY, LIMIT = 1 << 17, 64, 16
+#: Bytes of text that are encoded at a time.
+PIECE = 4 << 20
 #: A space between two white-space characters, or before the end: there a cut before the space could fall inside a token.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -171,6 +173,15 @@ class Encoder:
         return out
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the rows, with ``PIECE`` bytes of text (column 1) each or a single longer text more."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(ends)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Code lengths of least total size with none over ``limit`` (package-merge); 0 where the count is 0."""
     out = np.zeros(len(counts), np.int64)
@@ -278,9 +289,8 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
             return pa.RecordBatch.from_arrays(columns, names=["part", "start", "doc_ids", "n_tokens", "ids"])
 
         for batch in batches:
-            numbers, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(bodies), 2000):
-                for number, ids in zip(numbers[lo : lo + 2000], encode(bodies[lo : lo + 2000]), strict=True):
+            for piece in pieces(batch):
+                for number, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
                     who.append(number)
                     held.append(ids)
                     size += len(ids) + 1
