@@ -228,11 +228,12 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ids) else 0
     at = ends - size
-    value = codes[ids] << (24 - (at & 7) - size)
-    first, n = at >> 3, (total + 7) // 8 + 3
-    out = np.bincount(first, value >> 16, n) + np.bincount(first + 1, (value >> 8) & 255, n) + np.bincount(first + 2, value & 255, n)
+    # a code lies in 48 bits from the start of a 32-bit word: in that word and the upper half of the next
+    value = codes[ids] << (48 - (at & 31) - size)
+    word, n = at >> 5, (total + 31) // 32 + 1
+    out = np.bincount(word, value >> 16, n) + np.bincount(word + 1, (value & 0xFFFF) << 16, n)
     marks = np.append(at[::EVERY], total)
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), np.diff(marks).astype("<u2").tobytes()
+    return out.astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], np.diff(marks).astype("<u2").tobytes()
 
 
 def table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
