@@ -360,3 +360,23 @@ def test_pipeline_stages(spark):
     assert decontaminate.scan(docs, items, keys=["doc_id"]).where("n_hit > 0").count() == 0
     assert jaccard_join.classes(docs).where("doc_id != class_id").count() <= 2
     assert pipe.run(spark, DATA).count() == docs.count()
+
+
+def test_encoder_forgets_and_pieces_cover(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output.Encoder, "ROOM", 40)
+    encoder, rng = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(8)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcé.\n") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))) for _ in range(5)]
+        for got, want in zip(encoder(texts), encoder.whole(texts), strict=True):
+            assert got.tolist() == want.tolist()
+    assert len(encoder.units) == len(encoder.sizes) == len(encoder.starts) == len(encoder.used)
+
+    monkeypatch.setattr(token_output, "PIECE", 10)
+    for sizes in ([], [0], [3, 4, 5, 0, 40, 1, 1], [0, 0, 0], [10, 10, 10], [100]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(["x" * n for n in sizes], pa.string())], names=["doc_id", "text"])
+        cut = list(token_output.pieces(batch))
+        assert [i for p in cut for i in p.column(0).to_pylist()] == list(range(len(sizes)))
+        assert all(sum(map(len, p.column(1).to_pylist()[1:])) <= 10 for p in cut)
