@@ -6,8 +6,9 @@ the first ``leading`` tokens.  Inside a leaf, a token is constant at its
 position if lines of at least ``min_docs`` documents have it there; other tokens
 are generalised to ``<*>``, as long as at least ``similarity`` of the line's
 tokens (variable fields left out) stay.  Otherwise the line is a template as it
-stands.  A template that occurs in ``min_docs`` documents or more recurs: its
-lines are dropped, except for the first by (doc_id, row, line).
+stands.  A generalised template needs ``min_docs`` documents, or its lines count
+as they stand; a line that stands in ``exact_docs`` documents recurs.  Lines of
+what recurs are dropped, except for the first by (doc_id, row, line).
 
 Only hashes of lines are shuffled, counts are combined before each shuffle, and
 texts are shuffled once, for their decisions.  Documents per leaf and token are
@@ -27,6 +28,8 @@ from ..storage import written
 from .common import free_name
 
 LEADING, MIN_DOCS, SIMILARITY = 3, 3, 0.8
+#: Documents from which on a (masked) line recurs as it stands.
+EXACT_DOCS = 2
 #: Rows up to which a table of hashes is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
 SPACE = r" \t\r\x0B\f"
@@ -49,7 +52,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int = LEADING, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """doc, row, and for each of the document's lines whether it is dropped (``drops``, by position); documents that lose nothing are left out."""
     lines = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc"), F.col(row).alias("row"), F.posexplode(F.split(canonical(F.col(text)), "\n")).alias("at", "line")
@@ -61,14 +64,16 @@ def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int
 
     per_line = held.where("line_id is not null and long").select("leaf", "line_id", "doc", "row").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("docs"))
     leaves = written(per_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where(f"lines > 1 and docs >= {min_docs}").select("leaf"), "leaves")
-    template = _generalised(tokens, leaves, per_line, leading, min_docs, similarity)
+    template = written(_generalised(tokens, leaves, per_line, leading, min_docs, similarity), "generalised")
+    often = held.join(_small(template), "line_id").select("template", "doc", "row").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    template = template.join(often.where(F.col("docs") >= min_docs), "template", "left_semi").select("line_id", "template")
 
     placed = held.where("line_id is not null").join(_small(template), "line_id", "left").select("doc", "row", "at", F.coalesce("template", "line_id").alias("template"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "at")
     recurring = (
         placed.groupBy("template", "doc", "row").agg(F.min("at").alias("at"))
         .groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first"))
-        .where(F.col("docs") >= min_docs)
+        .where(F.col("docs") >= exact_docs)
     )
     recurring = written(recurring.select("template", "first"), "templates")
     gone = placed.join(_small(recurring), "template").where(order != F.col("first")).select("doc", "row", "at")

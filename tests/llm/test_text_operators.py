@@ -340,6 +340,15 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_of_two_documents_is_dropped(spark):
+    line = "A passage that stands in two documents and in no other one"
+    rows = [(1, f"first own line\n{line}", "en", "s", 1), (2, f"{line}\nsecond own line", "en", "s", 1)]
+    # a template of two documents is none: these lines differ
+    rows += [(3 + i, f"Error in module disk while reading block from {x}", "en", "s", 1) for i, x in enumerate(["alpha", "beta"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "second own line", 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_clashing_columns_are_kept(spark):
     docs = spark.createDataFrame([(1, "hello there my friend of old", 5, 6, 7, "x")], "doc_id long, text string, row_hash int, body int, dedup_row int, node string")
     items = spark.createDataFrame([(1, "nothing like it")], "item_id long, text string")
