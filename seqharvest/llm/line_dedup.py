@@ -2,10 +2,14 @@
 
 A line's tokens are what stands between white space; a token with a digit is a
 variable field, written ``<*>``.  The tree has a fixed depth: token count, then
-the first ``leading`` tokens.  Inside a leaf, a token is constant at its
-position if lines of at least ``min_docs`` documents have it there; other tokens
-are generalised to ``<*>``, as long as at least ``similarity`` of the line's
-tokens (variable fields left out) stay.  Otherwise the line is a template as it
+the first ``leading`` tokens.  Inside a leaf, a line's tokens are ranked by the
+documents that have them at their positions.  The measure is the last token that
+must stay so that ``similarity`` of the line's tokens (variable fields left out)
+do; it must be held by ``min_docs`` documents.  A token is constant if it is held
+by ``common`` of the measure's documents and by ``min_docs``; other tokens are
+generalised to ``<*>``.  Counts are compared with counts of the same line only,
+so a template stays one when the corpus or other lines of the leaf grow.  A line
+without such a measure, or with constant tokens only, is a template as it
 stands.  A generalised template needs ``min_docs`` documents, or its lines count
 as they stand; a line that stands in ``exact_docs`` documents recurs.  Lines of
 what recurs are dropped, except for the first by (doc_id, row, line).
@@ -28,6 +32,8 @@ from ..storage import written
 from .common import free_name
 
 LEADING, MIN_DOCS, SIMILARITY = 3, 3, 0.8
+#: Share of the measure's documents that a constant token is held by.
+COMMON = 0.8
 #: Documents from which on a (masked) line recurs as it stands.
 EXACT_DOCS = 2
 #: Rows up to which a table of hashes is broadcast; a larger one is joined by shuffling.
@@ -52,7 +58,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int = LEADING, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int = LEADING, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, similarity: float = SIMILARITY, common: float = COMMON) -> DataFrame:
     """doc, row, and for each of the document's lines whether it is dropped (``drops``, by position); documents that lose nothing are left out."""
     lines = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc"), F.col(row).alias("row"), F.posexplode(F.split(canonical(F.col(text)), "\n")).alias("at", "line")
@@ -64,7 +70,7 @@ def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int
 
     per_line = held.where("line_id is not null and long").select("leaf", "line_id", "doc", "row").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("docs"))
     leaves = written(per_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where(f"lines > 1 and docs >= {min_docs}").select("leaf"), "leaves")
-    template = written(_generalised(tokens, leaves, per_line, leading, min_docs, similarity), "generalised")
+    template = written(_generalised(tokens, leaves, per_line, leading, min_docs, similarity, common), "generalised")
     often = held.join(_small(template), "line_id").select("template", "doc", "row").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     template = template.join(often.where(F.col("docs") >= min_docs), "template", "left_semi").select("line_id", "template")
 
@@ -87,7 +93,7 @@ def decisions(docs: DataFrame, row: str, *, doc_id: str, text: str, leading: int
     return gone.select("doc", "row", F.flatten(flags).alias("drops"))
 
 
-def _generalised(tokens: DataFrame, leaves: DataFrame, per_line: DataFrame, leading: int, min_docs: int, similarity: float) -> DataFrame:
+def _generalised(tokens: DataFrame, leaves: DataFrame, per_line: DataFrame, leading: int, min_docs: int, similarity: float, common: float) -> DataFrame:
     """line_id, template of the lines that are generalised."""
     near = _small(leaves)
     body = (
@@ -99,14 +105,17 @@ def _generalised(tokens: DataFrame, leaves: DataFrame, per_line: DataFrame, lead
     counted = written(body.join(per_line, ["leaf", "line_id"]).select("line_id", "leaf", "tokens", "docs"), "leaf-lines")
     place = counted.select("line_id", "leaf", "docs", F.posexplode(F.slice("tokens", leading + 1, 2_000_000_000)).alias("at", "token"))
     place = place.where(F.col("token") != "<*>").select("line_id", "docs", F.xxhash64("leaf", "at", "token").alias("key"))
-    fixed = place.groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("key", F.lit(True).alias("fixed"))
+    held = place.groupBy("key").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs)
     lead = F.size(F.filter(F.slice("tokens", 1, leading), lambda t: t != "<*>"))
-    per = place.join(fixed, "key", "left").groupBy("line_id").agg(
-        F.count("*").alias("n"), F.count("fixed").alias("stay"), F.bit_xor(F.when(F.col("fixed"), F.col("key"))).alias("what")
+    # most held first; tokens below min_docs are never constant and need no key
+    per = place.join(held, "key", "left").groupBy("line_id").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("held").isNotNull(), F.struct("held", "key"))), asc=False).alias("ranked")
     )
     per = per.join(counted.select("line_id", "leaf", lead.alias("lead")), "line_id")
-    keeps = (F.col("lead") + F.col("stay")) >= F.lit(similarity) * (F.col("lead") + F.col("n"))
-    return per.where((F.col("stay") < F.col("n")) & keeps).select("line_id", F.xxhash64("leaf", F.coalesce("what", F.lit(0)), "stay").alias("template"))
+    least = F.ceil(F.lit(similarity) * (F.col("lead") + F.col("n")) - 1e-9) - F.col("lead")
+    per = per.withColumn("measure", F.get("ranked", F.greatest(F.lit(0), least - 1).cast("int"))["held"]).where("measure is not null")
+    per = per.withColumn("stay", F.transform(F.filter("ranked", lambda x: x["held"] >= F.lit(common) * F.col("measure")), lambda x: x["key"]))
+    return per.where(F.size("stay") < F.col("n")).select("line_id", F.xxhash64("leaf", F.array_sort("stay")).alias("template"))
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None, drop_emptied: bool = False, **options) -> DataFrame:

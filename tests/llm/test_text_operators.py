@@ -349,6 +349,17 @@ def test_line_of_two_documents_is_dropped(spark):
     assert got == {1: rows[0][1], 2: "second own line", 3: rows[2][1], 4: rows[3][1]}
 
 
+@pytest.mark.parametrize("n", [20, 200, 1600])
+def test_template_recurs_at_every_size(spark, n):
+    rng, fields = random.Random(n), [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "xy"]
+    rows = [(i, f"Error in module m{rng.choice(fields)} while reading block from the old d{rng.choice(fields)}", "en", "s", 1) for i in range(n)]
+    # other lines of the leaf, as many again, that are no template
+    rows += [(n + i, "Error in module " + " ".join(f"w{rng.choice(fields)}{rng.choice(fields)}" for _ in range(8)), "en", "s", 1) for i in range(n)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, n))
+    assert all(got[n + i] == rows[n + i][1] for i in range(n))
+
+
 def test_clashing_columns_are_kept(spark):
     docs = spark.createDataFrame([(1, "hello there my friend of old", 5, 6, 7, "x")], "doc_id long, text string, row_hash int, body int, dedup_row int, node string")
     items = spark.createDataFrame([(1, "nothing like it")], "item_id long, text string")
