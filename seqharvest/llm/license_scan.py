@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join (native: DataFrame functions only).
 
-Templates are short license notices, a fixed list.  A text block is a line, and
-both are sets of words.  A block meets a template if it holds at least
+Templates are short license notices, a fixed list.  A text block is a line, or a
+window of the text's words that is a quarter longer than the template, whatever
+the line breaks; all are sets of words.  A block meets a template if it holds at least
 ``threshold`` of the template's words (containment).  The join finds every such
 pair without comparing all:
 
@@ -18,6 +19,9 @@ The templates' vocabulary is a constant of this module, so its frequencies are
 all that is broadcast or sent to the driver.  A document's blocks are joined
 where the document is read; nothing is shuffled but the word counts.
 
+Windows are tried only in a text that holds enough of the template's words, and
+only from a word of the template on, which is where a best window can begin.
+
 Besides, base phrases are looked for in the words of the whole text.
 
 Defined results: a null text is empty, has no words, no labels and score 0.
@@ -32,6 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import LOWER, SEPARATORS, UPPER, ascii_lower, word_array
 
 THRESHOLD = 0.8
+#: Words of a window for one word of the template.
+SLACK = 1.25
 
 # Phrases whose consecutive words give a base label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -87,8 +93,8 @@ def scan(
     phrases: dict[str, str] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The ``keep`` columns with n_words, places (label, word position) of phrases, and blocks (line, label, containment) that meet a template."""
-    made = ("n_words", "places", "blocks")
+    """The ``keep`` columns with n_words, places (label, word position) of phrases, blocks (line, label, containment) that meet a template, and notices (word position, label, containment), the best window of each template that one meets."""
+    made = ("n_words", "places", "blocks", "notices")
     if clash := {k.lower() for k in keep} & {*made, "body", "all_words"}:
         raise ValueError(f"kept columns clash with result columns: {sorted(clash)}")
     vocabulary = sorted({w for t in templates.values() for w in _words(t)})
@@ -132,6 +138,30 @@ def scan(
 
         return F.filter(F.array(*[one(*r) for r in rows]), lambda x: x.isNotNull())
 
+    notice = "array<struct<at:bigint,label:string,containment:double>>"
+    mine = F.array(*[F.lit(w) for w in vocabulary])
+
+    def windows(ws: Column) -> Column:
+        def one(held: Column, label: str, words: list[str], least: int) -> Column:
+            n, span = len(words), ceil(SLACK * len(templates[label].replace(".", " ").split()))
+            whole = F.array(*[F.lit(w) for w in words])
+            hits = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(whole, w), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
+
+            def begun(all_hits: Column) -> Column:
+                def at(h: Column, j: Column) -> Column:
+                    near = F.filter(F.slice(all_hits, j + 1, span), lambda x: x["i"] < h["i"] + span)
+                    return F.struct((F.size(F.array_distinct(F.transform(near, lambda x: x["w"]))) / n).cast("double").alias("containment"), (-h["i"]).cast("bigint").alias("back"))
+
+                return F.array_max(F.transform(all_hits, at))
+
+            # a one-element array binds the hits, so that they are found once
+            best = F.get(F.transform(F.array(hits), begun), F.lit(0))
+            met = F.filter(F.array(best), lambda b: b["containment"] >= (least - 1e-9) / n)
+            found = F.transform(met, lambda b: F.struct((-b["back"]).alias("at"), F.lit(label).alias("label"), b["containment"].alias("containment")))
+            return F.when(F.size(F.array_intersect(whole, held)) >= least, found).otherwise(F.array().cast(notice))
+
+        return F.flatten(F.flatten(F.transform(F.array(F.array_intersect(mine, ws)), lambda held: F.array(*[one(held, *r) for r in rows])))).cast(notice)
+
     numbered = F.filter(F.transform(F.split("body", "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"].rlike(mark))
     blocks = F.flatten(F.transform(numbered, lambda x: candidates(x["s"], x["i"])))
     return source.select(
@@ -139,4 +169,5 @@ def scan(
         F.size("all_words").cast("long").alias("n_words"),
         F.when(F.col("body").rlike(any_end), places(lowered)).otherwise(F.array().cast(place)).alias("places"),
         F.when(F.col("body").rlike(mark), blocks.cast(block)).otherwise(F.array().cast(block)).alias("blocks"),
+        F.when(F.col("body").rlike(mark), F.flatten(F.transform(F.array(lowered), windows))).otherwise(F.array().cast(notice)).alias("notices"),
     )

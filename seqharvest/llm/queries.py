@@ -75,7 +75,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir), keep=["doc_id"])
     at = F.transform("places", lambda p: p["at"])
     base = F.transform("places", lambda p: p["label"])
-    more = F.transform("blocks", lambda b: b["label"])
+    met = F.concat(*[F.transform(c, lambda b: F.struct(b["label"].alias("label"), b["containment"].alias("containment"))) for c in ("blocks", "notices")])
+    more = F.transform(met, lambda b: b["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
         "doc_id",
@@ -85,7 +86,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(at).alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.concat(base, more)).alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(met, lambda b: b["containment"])), F.lit(0.0))).alias("score"),
     )
 
 

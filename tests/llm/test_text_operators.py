@@ -281,6 +281,22 @@ def test_licenses(spark, odd, empty, texts):
         assert got[i] == want
 
 
+def test_wrapped_licenses(spark):
+    def wrapped(body, width):
+        ws = body.split()
+        return "alpha beta\n" + "\n".join(" ".join(ws[i : i + width]) for i in range(0, len(ws), width)) + "\ngamma delta"
+
+    labels = sorted(license_scan.TEMPLATES)
+    rows = [(100 * i + width, wrapped(license_scan.TEMPLATES[label], width), "en", "s", 1) for i, label in enumerate(labels) for width in (2, 5, 13)]
+    # the words of a notice, but far from each other
+    rows.append((9999, ("\n" + "filler " * 40).join(license_scan.TEMPLATES["mit-grant"].split()), "en", "s", 1))
+    got = {r["doc_id"]: r["notices"] for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"]).collect()}
+    assert got[9999] == []
+    for i, label in enumerate(labels):
+        for width in (2, 5, 13):
+            assert [(b["containment"], b["at"]) for b in got[100 * i + width] if b["label"] == label] == [(1.0, 2)], label
+
+
 def test_quality(spark, odd, empty):
     rows = [(i, ("ABC!! DEF## " if i % 3 == 0 else "plain words in a line ") * (5 + i % 7), "en", "s", 1) for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
