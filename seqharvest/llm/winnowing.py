@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, ship
 
-K, WINDOW = 16, 64
+K, WINDOW = 16, 16
 PIECE = 1 << 20
 MULT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 KEEP = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 0 for c in range(128)], np.uint64)

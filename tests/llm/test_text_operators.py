@@ -264,6 +264,16 @@ def test_shared_passages_share_a_fingerprint():
         assert a & b
 
 
+def test_short_shared_passages():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = "".join(rng.choice("abcdefgh") for _ in range(31))
+    for n in (0, 40, 200):
+        for _ in range(30):
+            a, b = (set(winnowing.winnow(text(n) + shared + text(n))[0].tolist()) for _ in range(2))
+            assert a & b
+
+
 def test_licenses(spark, odd, empty, texts):
     phrases = (("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"]))
     for r in queries.op8_license_scan(spark, DATA).collect():
