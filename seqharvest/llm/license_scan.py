@@ -58,7 +58,7 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-notice": "released under the mit license",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license version 2.0",
-    "rights-reserved": "copyright all rights reserved",
+    "rights-reserved": "all rights reserved",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 

@@ -307,6 +307,19 @@ def test_wrapped_licenses(spark):
             assert [(b["containment"], b["at"]) for b in got[100 * i + width] if b["label"] == label] == [(1.0, 2)], label
 
 
+def test_notice_lines_of_the_data(spark):
+    lines = {
+        "All rights reserved.": {"rights-reserved"},
+        "Released under the MIT license.": {"mit-notice"},
+        "Licensed under the Apache License, Version 2.0.": {"apache-notice"},
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl-notice", "agpl-notice", "lgpl-notice"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by", "cc-by-nc", "cc-by-sa"},
+    }
+    rows = [(i, line, "en", "s", 1) for i, line in enumerate(lines)]
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"]).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
 def test_quality(spark, odd, empty):
     rows = [(i, ("ABC!! DEF## " if i % 3 == 0 else "plain words in a line ") * (5 + i % 7), "en", "s", 1) for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
