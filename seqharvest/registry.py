@@ -321,8 +321,8 @@ def _by_batch_sql(batch_sql: str, n: int) -> str:
 
 @query(_by_batch_sql(f"{_batch_sql(RATIOS[:3] + [0.4])}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 3))
 def incremental_hausp(spark, d):
-    """New sequences in batches: the answer after each of the first three batches."""
-    return inc.by_batch(inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), XI, 3)
+    """New sequences in batches: the answer after each of the four batches."""
+    return inc.by_batch(inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), XI, 4)
 
 
 def _append(spark, d):
@@ -608,7 +608,7 @@ def pattern_set_difference(spark, d):
 def tree_hausp(spark, d):
     """The batches of incremental_hausp by the kept pattern tree."""
     raw, tree, out = inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), PatternTree(XI), None
-    for b in range(3):
+    for b in range(4):
         found = tree.add(raw.where(F.col("batch_id") == b)).patterns().select(F.lit(b).alias("batch_id"), "*")
         out = found if out is None else out.unionByName(found)
     return out

@@ -28,6 +28,13 @@ def test_query_equals_sql(spark, name):
             assert x == y or (isinstance(x, float) and np.isclose(x, float(y), rtol=1e-12, equal_nan=True)), name
 
 
+@pytest.mark.parametrize("name", ["incremental_hausp", "tree_hausp"])
+def test_last_batch_covers_every_customer(spark, name):
+    got = registry.queries()[name](spark, DATA).toPandas()
+    assert set(got.batch_id) == {0, 1, 2, 3}
+    assert rows(got[got.batch_id == 3].drop(columns="batch_id")) == rows(registry.queries()["mine_hausp"](spark, DATA).toPandas())
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
