@@ -28,13 +28,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 #   card   [0-9]([\x20-]?[0-9])+
 #   phone  \+[0-9][\x20().0-9-]+[0-9]
 LOCAL = "[A-Za-z0-9._%+-]"
+# Length of an IBAN -> countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A known country's IBAN by its length; otherwise, and for other countries, the longest run of groups."""
+    known = []
+    for size, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(size - 4, 4)
+        known.append(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    longest = "[A-Z][A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+"
+    return rf"(?=[A-Z](?<![A-Za-z0-9][A-Z]))(?:{'|'.join([*known, longest])})(?![A-Za-z0-9])"
+
+
 KINDS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
-    "secret": r"[A-Za-z0-9](?<![A-Za-z0-9_-][A-Za-z0-9])[A-Za-z0-9_-]{31,127}+(?![A-Za-z0-9_-])",
+    "iban": _iban(),
+    "secret": r"[A-Za-z0-9](?<![A-Za-z0-9_-][A-Za-z0-9])[A-Za-z0-9_-]{31,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold for a kind to be looked for; a cheap test.

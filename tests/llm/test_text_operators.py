@@ -364,6 +364,13 @@ def test_personal_data(spark, odd, empty):
     assert cut == {1: "mail [email] now", 2: None}
 
 
+def test_ibans_before_capitals_and_long_secrets(spark):
+    texts = ["IBAN ES91 2100 0418 4502 0005 1332 BIC X", "IBAN BE68 5390 0754 7034 EUR", "IBAN BE68539007547034 BIC", "IBAN AT61 1904 3002 3457 3201 BIC", "IBAN GB82 WEST 1234 5698 7654 32 EUR", "IBAN BE69 5390 0754 7034 EUR", "token = " + "a1" * 64, "token = " + "a1" * 100]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: [s["match"] for s in [*r["iban_spans"], *r["secret_spans"]]] for r in pii.find(docs, keep=["doc_id"]).collect()}
+    assert got == {0: [texts[0][5:34]], 1: [texts[1][5:24]], 2: [texts[2][5:21]], 3: [texts[3][5:29]], 4: [texts[4][5:32]], 5: [], 6: [texts[6][8:]], 7: [texts[7][8:]]}
+
+
 def test_line_dedup(spark, odd, empty):
     rows = [(i, f"Unique start {'abcdefghij'[i]} of text\nPage {i} of 10\nRead more about our many great offers now\n\nown line {'zyxwvutsrq'[i]}", "en", "s", 1) for i in range(6)]
     rows.append((10, "The quick brown fox jumps over dogs today\nThe quick brown cat sleeps under trees now", "en", "s", 1))
