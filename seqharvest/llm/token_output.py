@@ -13,12 +13,18 @@ writes and reads the tables, so they may lie in any store, and a lost task is
 simply run again.  What goes to the driver: one count per id of the vocabulary
 and one total per partition.
 
+Codes have 16 bits at most, or a bit more than the number of distinct ids asks for.
+
+The tokenizer is used as its file sets it up, with special tokens as it knows them.
+The file is read where the driver runs and goes to the executors by broadcast.
+
 Defined results: a null text is empty and gives the end id alone; repeated
 rows are written each; an empty table gives an empty file.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -66,18 +72,27 @@ class Encoder:
 
     The tokenizer never joins text across a space that a non-space follows, so
     a text is the sequence of its units from one such space to the next.
-    Texts in which single spaces don't mark such places are encoded whole.
+    Texts in which single spaces don't mark such places, or that hold an added token,
+    are encoded whole; so is every text if the tokenizer isn't a plain byte-level one.
     """
 
     #: Units kept; beyond it, those that only one call has asked for are forgotten.
     ROOM = 800_000
 
-    def __init__(self, path: str):
+    def __init__(self, described: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        if hasattr(self.tok.model, "_resize_cache"):
+        self.tok = Tokenizer.from_str(described)
+        about = json.loads(described)
+        before, model = about.get("pre_tokenizer") or {}, about["model"]
+        self.by_unit = (
+            not any(about.get(k) for k in ("normalizer", "truncation", "padding"))
+            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        self.added = sorted({t["content"] for t in about["added_tokens"]})
+        if self.by_unit and hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # units come once: a cache of words inside would only cost time
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one character of its name each
@@ -86,12 +101,12 @@ class Encoder:
         self.reset()
 
     @classmethod
-    def of_process(cls, path: str) -> Encoder:
+    def of_process(cls, described: str) -> Encoder:
         """The encoder that this worker process has kept from earlier tasks, or a new one."""
         kept = vars(sys.modules.setdefault("_seqharvest_process", types.ModuleType("_seqharvest_process"))).setdefault("encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        if (key := hash(described)) not in kept:
+            kept[key] = cls(described)
+        return kept[key]
 
     def reset(self) -> None:
         self.units = Numbers()
@@ -149,7 +164,9 @@ class Encoder:
         if len(self.units) > self.ROOM:
             self._shrink()
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if " " not in t or UNSAFE.search(t)]
+        if not self.by_unit:
+            return self.whole(texts)
+        odd = [i for i, t in enumerate(texts) if " " not in t or any(x in t for x in self.added) or UNSAFE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         plain = [i for i in range(len(texts)) if out[i] is None]
@@ -183,7 +200,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Code lengths of least total size with none over ``limit`` (package-merge); 0 where the count is 0."""
+    """Code lengths of least total size with none over ``limit`` (package-merge), or over what so many ids need; 0 where the count is 0."""
     out = np.zeros(len(counts), np.int64)
     order = np.flatnonzero(counts)
     order = order[np.argsort(counts[order], kind="stable")]
@@ -192,7 +209,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
         out[order] = 1
         return out
     if n > 1 << limit:
-        raise ValueError(f"{n} ids need codes of more than {limit} bits")
+        limit = (n - 1).bit_length() + 1
     weight = counts[order].astype(np.float64)
     level, leaves = weight, [np.ones(n, bool)]
     for _ in range(limit - 1):
@@ -228,23 +245,24 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ids) else 0
     at = ends - size
-    # a code lies in 48 bits from the start of a 32-bit word: in that word and the upper half of the next
-    value = codes[ids] << (48 - (at & 31) - size)
+    # a code lies in 64 bits from the start of a 32-bit word: in that word and the next
+    value = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
     word, n = at >> 5, (total + 31) // 32 + 1
-    out = np.bincount(word, value >> 16, n) + np.bincount(word + 1, (value & 0xFFFF) << 16, n)
+    out = np.bincount(word, value >> np.uint64(32), n) + np.bincount(word + 1, value & np.uint64(0xFFFFFFFF), n)
     marks = np.append(at[::EVERY], total)
     return out.astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], np.diff(marks).astype("<u2").tobytes()
 
 
-def table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """(id, code length) of every ``limit``-bit window."""
+def table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, int]:
+    """(id, code length) of every window of ``limit`` bits, or of as many as the longest code has; and that number."""
+    limit = max(limit, int(lengths.max(initial=0)))
     ids = np.zeros(1 << limit, np.int64)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     reach = 1 << (limit - lengths[order])
     filled = np.repeat(order, reach)
     ids[: len(filled)] = filled
-    return ids, np.where(np.arange(1 << limit) < len(filled), lengths[ids], 1)
+    return ids, np.where(np.arange(1 << limit) < len(filled), lengths[ids], 1), limit
 
 
 def unpack(payload: bytes, checkpoints: bytes, n: int, ids: np.ndarray, size: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -252,11 +270,11 @@ def unpack(payload: bytes, checkpoints: bytes, n: int, ids: np.ndarray, size: np
     run = np.frombuffer(checkpoints, "<u2").astype(np.int64)
     at = np.cumsum(run) - run
     raw = np.frombuffer(payload + bytes(EVERY * limit // 8 + 8), np.uint8).astype(np.int64)
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     out = np.empty((len(run), EVERY), np.int64)
     mask = (1 << limit) - 1
     for t in range(EVERY if n else 0):
-        bits = (window[at >> 3] >> (24 - limit - (at & 7))) & mask
+        bits = (window[at >> 3] >> (32 - limit - (at & 7))) & mask
         out[:, t] = ids[bits]
         at = at + size[bits]
     return out.reshape(-1)[:n]
@@ -267,13 +285,15 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    with open(tokenizer, encoding="utf-8") as file:
+        described = spark.sparkContext.broadcast(file.read())
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder.of_process(tokenizer)
+        encode = Encoder.of_process(described.value)
         part, start, size = TaskContext.get().partitionId(), 0, 0
         who: list[int] = []
         held: list[np.ndarray] = []

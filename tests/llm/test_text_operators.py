@@ -139,8 +139,8 @@ def test_tokens_round_trip(spark, odd, empty, docs, tmp_path):
 
     name = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(name)
-    tok.encode_special_tokens = True
-    both = odd.where("doc_id is not null").unionByName(docs.where("doc_id > 20").select(odd.columns))
+    special = spark.createDataFrame([(10**6, "hello <|endoftext|> world", "en", "s", 1), (10**6 + 1, "<|endoftext|>", "en", "s", 1)], SCHEMA)
+    both = odd.where("doc_id is not null").unionByName(special).unionByName(docs.where("doc_id > 20").select(odd.columns))
     token_output.write(both, str(tmp_path / "f"), name)
     start = 0
     got = sorted(token_output.read(spark, str(tmp_path / "f")).collect(), key=lambda r: r["start"])
@@ -157,7 +157,7 @@ def test_tokens_round_trip(spark, odd, empty, docs, tmp_path):
 def test_encoder_on_odd_spaces():
     import public_tokenizers
 
-    enc, rng = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    enc, rng = token_output.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read()), random.Random(3)
     abc = [" ", "\n", "a", "B", "foo", "'s", "\t", "é", "1", " x", "  ", "　", "\x1c", ".", "<|endoftext|>"]
     many = ["".join(rng.choice(abc) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     assert [x.tolist() for x in enc(many)] == [x.tolist() for x in enc.whole(many)]
@@ -433,7 +433,7 @@ def test_encoder_forgets_and_pieces_cover(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(token_output.Encoder, "ROOM", 40)
-    encoder, rng = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(8)
+    encoder, rng = token_output.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read()), random.Random(8)
     for _ in range(30):
         texts = [" ".join("".join(rng.choice("abcé.\n") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))) for _ in range(5)]
         for got, want in zip(encoder(texts), encoder.whole(texts), strict=True):
