@@ -25,7 +25,6 @@ rows are written each; an empty table gives an empty file.
 from __future__ import annotations
 
 import json
-import re
 import sys
 import types
 from collections.abc import Iterator
@@ -42,13 +41,12 @@ from .common import ship
 
 BLOCK, EVERY, LIMIT = 1 << 17, 64, 16
 #: Bytes of text that are encoded at a time.
-PIECE = 4 << 20
-#: A space between two white-space characters, or before the end: there a cut before the space could fall inside a token.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
-
-
-#: White space that a text may hold besides the plain space.
+PIECE = 8 << 20
+#: All white space.
 SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+_ANY_SPACE = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted(SPACES)) + "]"
+#: A space between two white-space characters, or before the end: there a cut before the space could fall inside a token.
+UNSAFE = rf"{_ANY_SPACE} (?:{_ANY_SPACE}|\z)"
 
 
 class Numbers(dict):
@@ -160,19 +158,23 @@ class Encoder:
         self.used = np.concatenate([self.used, np.zeros(len(units), np.int32)])
         self.flat = np.concatenate([self.flat, *more])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if not self.by_unit:
+            return self.whole(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
         if len(self.units) > self.ROOM:
             self._shrink()
-        out: list = [None] * len(texts)
-        if not self.by_unit:
-            return self.whole(texts)
-        odd = [i for i, t in enumerate(texts) if " " not in t or any(x in t for x in self.added) or UNSAFE.search(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cannot = pc.or_(pc.invert(pc.match_substring(column, " ")), pc.match_substring_regex(column, UNSAFE))
+        for x in self.added:
+            cannot = pc.or_(cannot, pc.match_substring(column, x))
+        out: list = [None] * len(column)
+        odd = np.flatnonzero(cannot.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(odd, self.whole(column.filter(cannot).to_pylist()), strict=True):
             out[i] = ids
-        plain = [i for i in range(len(texts)) if out[i] is None]
+        plain = [i for i in range(len(out)) if out[i] is None]
         if not plain:
             return out
-        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        split = pc.split_pattern(column.filter(pc.invert(cannot)), " ")
         edge = split.offsets.to_numpy()
         firsts = self.whole(split.values.take(pa.array(edge[:-1])).to_pylist())
         led = np.ones(edge[-1], bool)
@@ -281,7 +283,10 @@ def unpack(payload: bytes, checkpoints: bytes, n: int, ids: np.ndarray, size: np
 
 
 def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Blocks of ids in ascending doc_id order: part, start (in the part), doc_ids, n_tokens, ids."""
+    """Blocks of ids in ascending doc_id order: part, start (in the part), doc_ids, n_tokens, ids.
+
+    The last row of a part has no ids: it lists the part's distinct ids (as doc_ids) and how often each occurs (as n_tokens).
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -295,23 +300,25 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder.of_process(described.value)
         part, start, size = TaskContext.get().partitionId(), 0, 0
+        total = np.zeros(1, np.int64)
         who: list[int] = []
         held: list[np.ndarray] = []
 
+        def row(start, who: list, counts: list, raw: bytes | None) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, start, who, counts, raw), kinds)], names=["part", "start", "doc_ids", "n_tokens", "ids"])
+
         def block() -> pa.RecordBatch:
+            nonlocal total
             ids = np.concatenate([x for pair in zip(held, repeat(np.array([end_id], np.int32))) for x in pair]).astype("<u4")
-            columns = [
-                pa.array([part], pa.int64()),
-                pa.array([start], pa.int64()),
-                pa.array([who], pa.list_(pa.int64())),
-                pa.array([[len(x) + 1 for x in held]], pa.list_(pa.int64())),
-                pa.array([ids.tobytes() if ids.max() >= 65536 else ids.astype("<u2").tobytes()], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "start", "doc_ids", "n_tokens", "ids"])
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            return row(start, who, [len(x) + 1 for x in held], ids.tobytes() if ids.max() >= 65536 else ids.astype("<u2").tobytes())
 
         for batch in batches:
             for piece in pieces(batch):
-                for number, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
+                for number, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
                     who.append(number)
                     held.append(ids)
                     size += len(ids) + 1
@@ -320,6 +327,8 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
                         start, size, who, held = start + size, 0, [], []
         if held:
             yield block()
+        if len(seen := np.flatnonzero(total)):
+            yield row(None, seen.tolist(), total[seen].tolist(), None)
 
     return rows.mapInArrow(run, "part long, start long, doc_ids array<long>, n_tokens array<long>, ids binary")
 
@@ -331,19 +340,10 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Tokenize, count all ids, and write the file (tables ``blocks`` and ``code`` under path)."""
     spark = docs.sparkSession
-    blocks = written(tokenized(docs, tokenizer, doc_id=doc_id, text=text, end_id=end_id), "token-ids")
+    every = written(tokenized(docs, tokenizer, doc_id=doc_id, text=text, end_id=end_id), "token-ids")
+    blocks = every.where("ids is not null")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for counts, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(_ids(raw, sum(counts)), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    found = blocks.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = every.where("ids is null").select(F.inline(F.arrays_zip("doc_ids", "n_tokens")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max([r["id"] for r in found], default=0), np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
