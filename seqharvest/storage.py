@@ -3,17 +3,24 @@
 Long plans are cut by writing a table and reading it back, never by a
 local checkpoint: the table outlives any executor.  Tables go to the folder
 that the cluster names in ``spark.checkpoint.dir``; a private folder is made
-only where that setting is absent (tests, one machine).
+only where that setting is absent and all of Spark runs in one process (tests, one
+machine).  Inside ``steps()``, tables are deleted when their results are written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _PRIVATE: dict[str, str] = {}
+#: Paths of the tables written in each steps() block that is open, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = "file://" + tempfile.mkdtemp(prefix="seqharvest-")
@@ -32,10 +41,28 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqharvest/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and return it as read back."""
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is returned must be written with ``outlives``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", *, outlives: bool = False) -> DataFrame:
+    """Write df to the shared folder and return it as read back.  outlives: the table belongs to the block of steps around the innermost one."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    if len(_OPEN) > outlives:
+        _OPEN[-1 - outlives].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,4 +72,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    # a checkpoint counts the rows and then writes them: held meanwhile, so that they are not computed twice
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint()
+    finally:
+        df.unpersist()
