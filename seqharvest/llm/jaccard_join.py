@@ -2,17 +2,24 @@
 
 A document is the set of its ``NGRAM``-word shingles (A-Z lower-cased; one of
 fewer words has one shingle).  Documents of equal sets form one node.  Every
-node has ``trees`` MinHash signatures; nodes that share a signature's prefix are
-neighbours in the sorted trie of that tree.  Matched prefixes are shortened
-from ``MAX_DEPTH`` until the expected share of pairs at the threshold that some
-tree finds reaches ``recall``; shorter prefixes find all that longer ones do, so
-the last length alone is looked up.
-
-Nodes that share prefixes, directly or through others, are gathered into
-groups, and the shingle sets of a group's nodes are compared exactly.  A large
-group is dealt into chunks, and each pair of chunks is a task of its own of
-bounded size, which returns a link count for each of its nodes and a spanning
-forest of its links: no list of all pairs is made, and no link is lost.
+node has ``trees`` MinHash signatures.  A signature is kept as a label whose high bits
+stand for its prefix of ``depth`` hashes and whose low bits for the hash after it, so
+labels in order are the leaves of the tree's trie: neighbours with equal labels share the
+longer prefix, those with equal high bits the shorter one.
+
+Each node begins with the longer prefix in every tree.  It shortens its prefixes one
+after another until the expected share of the pairs at the threshold that it finds
+reaches ``recall``: first where nothing else stands under the shorter prefix, then
+where that brings in the fewest other nodes.  So a prefix that much dissimilar text
+shares (boilerplate) stays long.  Two nodes are a candidate pair of a tree if they
+share what the one that has shortened more still asks for.
+
+Candidates are verified before anything is closed: every subtree that somebody
+asks for is dealt into chunks, and each pair of chunks is a tile, a task of bounded
+size.  A tile takes the pairs that no earlier tree has, so each pair is compared once,
+exactly, by its whole shingle sets, and returns a link count for each node and a
+spanning forest of its links: no list of all pairs is made, and no verified link is lost.
+Classes are the components of those links only.
 
 Defined results: documents without words (or null) have no shingles, link to
 nothing and are a class each.  Nodes are told apart by 64-bit hashes of their
@@ -22,13 +29,14 @@ sets.  Repeated rows are documents of their own, linked to one another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import written
+from ..storage import steps, written
 from .common import free_name, ship, words
 from .graph import components
 
@@ -37,15 +45,19 @@ NGRAM, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 30, 8, 0.9995
 CHUNK_NODES, CHUNK_SHINGLES = 512, 1_000_000
 #: Rows of 16 bytes up to which a table of chosen rows is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Rows of a batch of results.
+OUT = 4_096
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+#: Low bits of a label, which stand for the hash after the prefix.
+LOW_BITS = 8
 
 
-def depth_for(threshold: float, trees: int, recall: float, longest: int = MAX_DEPTH) -> int:
-    """The longest prefix by which the forest finds a pair at the threshold with probability ``recall``."""
-    for depth in range(longest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def lengths(threshold: float, trees: int, recall: float, longest: int = MAX_DEPTH) -> tuple[int, int]:
+    """(depth, k): a node finds a pair at the threshold with probability ``recall`` by prefixes of depth + 1 hashes that are shortened to depth in the k trees, the fewest that do."""
+    missed = lambda d: log1p(-(threshold**d)) if threshold**d < 1 else -1e9
+    most = log(1 - recall)
+    depth = next((d for d in range(longest, 1, -1) if trees * missed(d) <= most), 1)
+    return depth, next((k for k in range(trees) if k * missed(depth) + (trees - k) * missed(depth + 1) <= most), trees)
 
 
 class WordHash(dict):
@@ -78,28 +90,32 @@ def shingles(ws: list[bytes], hashes: WordHash, n: int = NGRAM) -> np.ndarray:
 
 def _signer(trees: int, depth: int):
     rng = np.random.default_rng(20_240_601)
-    mult = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    flip = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+    size = depth + 1
+    mult = rng.integers(0, 1 << 63, trees * size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flip = rng.integers(0, 1 << 63, trees * size, dtype=np.uint64)
+    low = np.uint64((1 << LOW_BITS) - 1)
 
     def sign(sets: list[np.ndarray]) -> np.ndarray:
-        """Prefix keys of many sets at once, sets x trees."""
+        """Labels of many sets at once, sets x trees."""
         starts = np.cumsum([0, *map(len, sets[:-1])])
         h = np.concatenate(sets)
-        keys = np.zeros((len(sets), trees), np.uint64)
+        labels = np.zeros((len(sets), trees), np.uint64)
+        least = lambda d: np.minimum.reduceat((h ^ flip[d]) * mult[d], starts)
         with np.errstate(over="ignore"):
             for t in range(trees):
                 key = np.full(len(sets), t + 1, np.uint64)
-                for d in range(t * depth, (t + 1) * depth):
-                    key = (key ^ np.minimum.reduceat((h ^ flip[d]) * mult[d], starts)) * MIX[2]
+                for d in range(t * size, t * size + depth):
+                    key = (key ^ least(d)) * MIX[2]
                     key ^= key >> np.uint64(29)
-                keys[:, t] = key
-        return keys.view(np.int64)
+                after = least(t * size + depth) * MIX[1]
+                labels[:, t] = (key & ~low) | (after >> np.uint64(64 - LOW_BITS))
+        return labels.view(np.int64)
 
     return sign
 
 
 def signatures(docs: DataFrame, row: str, *, doc_id: str, text: str, ngram: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, row, node (hash of the shingle set, null without words), n (shingles), keys (one prefix key a tree)."""
+    """doc_id, row, node (hash of the shingle set, null without words), n (shingles), labels (one a tree)."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,32 +129,39 @@ def signatures(docs: DataFrame, row: str, *, doc_id: str, text: str, ngram: int,
                 if size < 65_536 and i + 1 < len(bodies):
                     continue
                 full = [s for s in held if len(s)]
-                keys = iter(sign(full) if full else [])
+                labels = iter(sign(full) if full else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, len(held)),
                         batch.column(1).slice(lo, len(held)),
                         pa.array([int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in held], pa.int64()),
                         pa.array([len(s) for s in held], pa.int64()),
-                        pa.array([next(keys) if len(s) else None for s in held], pa.list_(pa.int64())),
+                        pa.array([next(labels) if len(s) else None for s in held], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "row", "node", "n", "keys"],
+                    names=["doc_id", "row", "node", "n", "labels"],
                 )
                 lo, held, size = i + 1, [], 0
                 hashes.trim()
 
-    return source.mapInArrow(run, "doc_id long, row long, node long, n long, keys array<long>")
+    return source.mapInArrow(run, "doc_id long, row long, node long, n long, labels array<long>")
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs have a Jaccard similarity of the threshold or more; exact, by products of incidence matrices over slices of the shingles."""
+def _links(left: list[np.ndarray], right: list[np.ndarray], asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs asked for have a Jaccard similarity of the threshold or more; exact."""
+    if asked.sum() * 16 <= asked.size or asked.size <= 256:  # one by one
+        out = np.zeros(asked.shape, bool)
+        for x, y in zip(*np.nonzero(asked)):
+            common = len(np.intersect1d(left[x], right[y], assume_unique=True))
+            out[x, y] = common / max(1, len(left[x]) + len(right[y]) - common) >= threshold
+        return out
+    # products of incidence matrices over slices of the shingles
     both = left + right
     size = np.array([len(s) for s in both], np.int64)
     values, column = np.unique(np.concatenate(both), return_inverse=True)
     row = np.repeat(np.arange(len(both)), size)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    inter = np.zeros((len(left), len(right)), np.int64)
+    inter = np.zeros(asked.shape, np.int64)
     step = 4096
     for lo in range(0, len(values), step):
         a, b = np.searchsorted(column, [lo, lo + step])
@@ -146,7 +169,7 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
         m[row[a:b], column[a:b] - lo] = 1
         inter += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
     union = size[: len(left), None] + size[None, len(left) :] - inter
-    return inter / np.maximum(union, 1) >= threshold
+    return asked & (inter / np.maximum(union, 1) >= threshold)
 
 
 def _forest(mask: np.ndarray) -> np.ndarray:
@@ -160,53 +183,185 @@ def _forest(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links inside tiles (group, i, j).  Rows (a, b, n): an edge of a spanning forest if b is given, else n documents that a links to."""
-    n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tiles = nodes.select("group", "i", "j", "chunk", "node", "copies", "set").repartition(4 * n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+TILE = ("deep", "bucket", "i", "j")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each tile, sorted by tile, as arrays; a node once."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {}
+        for name, c in zip(batch.schema.names, batch.columns, strict=True):
+            x = c.flatten().to_numpy().reshape(len(c), -1) if name == "labels" else c.to_numpy(zero_copy_only=False)
+            now[name] = np.concatenate([held[name], x]) if held else x
+        change = np.any([now[k][1:] != now[k][:-1] for k in TILE], axis=0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield {k: v[a:b] for k, v in now.items()}
+        held = {k: v[edges[-1] :] for k, v in now.items()}
+    if held and len(held["node"]):
+        yield held
+
+
+def _new_pairs(tile: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the left and of the right rows of a tile, and which of their pairs the tile has to verify."""
+    deep, i, j, tree = (int(tile[k][0]) for k in ("deep", "i", "j", "tree"))
+    _, first = np.unique(tile["node"], return_index=True)
+    chunk = tile["chunk"][first]
+    left, right = first[chunk == i], first[chunk == j]
+    short = (tile["bits"][:, None] >> np.arange(tree + 1)) & 1 == 1
+    label, n = tile["labels"], tile["n"]
+    asked = np.minimum(n[left, None], n[None, right]) >= threshold * np.maximum(n[left, None], n[None, right]) - 1e-9
+    if not deep:
+        asked &= short[left, None, tree] | short[None, right, tree]
+
+    def found(x, y, a, b) -> np.ndarray:
+        return (x != 0) & ((x ^ y) >> LOW_BITS == 0) & ((x == y) | a | b)
+
+    if len(left) * len(right) * tree <= 100_000:
+        asked &= ~found(label[left, None, :tree], label[None, right, :tree], short[left, None, :tree], short[None, right, :tree]).any(2)
+    else:
+        for t in range(tree):
+            asked &= ~found(label[left, None, t], label[None, right, t], short[left, None, t], short[None, right, t])
+    return left, right, np.triu(asked, 1) if i == j else asked
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    parts = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tiles.repartition(4 * parts, *TILE).sortWithinPartitions(*TILE, "node")
+
+
+def _joined(parts: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
+
+
+def _asked(tiles: DataFrame, threshold: float) -> DataFrame:
+    """The rows of the tiles that have a pair to verify; ``pairs``: how many with a row further on."""
+    names = [*TILE, "tree", "chunk", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(key: tuple, rows: dict[int, tuple]) -> pa.RecordBatch | None:
-            _, i, j = key
-            part = [[(x, w, s) for x, (c, w, s) in rows.items() if c == k] for k in ((i,) if i == j else (i, j))]
-            left, right = part[0], part[-1]
-            if not left or not right:
-                return None
-            names = np.array([x for p in part for x, _, _ in p], np.int64)
-            copies = np.array([w for p in part for _, w, _ in p], np.int64)
-            sets = [[np.frombuffer(s, np.uint64) for _, _, s in p] for p in (left, right)]
-            got = _links(*sets, threshold)
-            if i == j:
-                np.fill_diagonal(got, False)
-                full = got
-            else:
-                k = len(left)
-                full = np.zeros((len(names), len(names)), bool)
-                full[:k, k:], full[k:, :k] = got, got.T
+        out, size = [], 0
+        kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+        for tile in _tiles(batches):
+            left, right, asked = _new_pairs(tile, threshold)
+            pairs = np.zeros(len(tile["node"]), np.int64)
+            pairs[left] = asked.sum(1)
+            has = np.union1d(left[asked.any(1)], right[asked.any(0)])
+            if not len(has):
+                continue
+            out.append([*(tile[k][has] for k in names), pairs[has]])
+            size += len(has)
+            if size >= OUT:
+                yield _joined(out, [*names, "pairs"], kinds)
+                out, size = [], 0
+        if out:
+            yield _joined(out, [*names, "pairs"], kinds)
+
+    return _dealt(tiles.select(*names, "n", "labels", "bits")).mapInArrow(run, "deep int, bucket long, i int, j int, tree int, chunk int, node long, pairs long")
+
+
+def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
+    """Links inside tiles.  Rows (a, b, n): an edge of a spanning forest if b is given, else n documents that a links to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, edges, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, n = (np.concatenate([x[k] for x in counts]) for k in (0, 1))
+            c, d = (np.concatenate([x[k] for x in edges]) for k in (0, 1))
+            b = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(d, pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c]), pa.int64()), b, pa.array(np.concatenate([n, np.zeros(len(c), np.int64)]), pa.int64())], names=["a", "b", "n"])
+
+        for tile in _tiles(batches):
+            left, right, asked = _new_pairs(tile, threshold)
+            if not asked.any():
+                continue
+            sets = [[np.frombuffer(s, np.uint64) for s in tile["set"][side]] for side in (left, right)]
+            got = _links(*sets, asked, threshold)
+            both = np.union1d(left, right)
+            full = np.zeros((len(both), len(both)), bool)
+            at = [np.searchsorted(both, side) for side in (left, right)]
+            full[np.ix_(*at)] = got
+            full |= full.T
+            names, copies = tile["node"][both], tile["copies"][both]
             label = _forest(full)
             linked = full @ copies
             has, edge = np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([names[has], names[edge]]), pa.int64()),
-                    pa.array([*[None] * len(has), *names[label[edge]].tolist()], pa.int64()),
-                    pa.array(np.concatenate([linked[has], np.zeros(len(edge), np.int64)]), pa.int64()),
-                ],
-                names=["a", "b", "n"],
-            )
-
-        key, rows = None, {}
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != key:
-                    if key and (out := tile(key, rows)):
-                        yield out
-                    key, rows = r[:3], {}
-                rows[r[4]] = (r[3], r[5], r[6])
-        if key and (out := tile(key, rows)):
-            yield out
+            counts.append((names[has], linked[has]))
+            edges.append((names[edge], names[label[edge]]))
+            size += len(has)
+            if size >= OUT:
+                yield flush()
+                counts, edges, size = [], [], 0
+        if counts:
+            yield flush()
+
+    return _dealt(tiles).mapInArrow(run, "a long, b long, n long")
+
+
+def _paths(nodes: DataFrame, trees: int, shortened: int) -> DataFrame:
+    """Nodes that share a prefix with others (written): node, row, n, copies, entries (tree, label, short), labels (0 where nothing is shared), bits (of the trees with a shortened prefix)."""
+    keyed = nodes.select("node", F.posexplode("labels").alias("tree", "label")).withColumn("key", F.shiftright("label", LOW_BITS))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(shared, "prefixes")  # so that both sides of the join are plain shuffles, which Spark splits at hot keys
+    matched = written(keyed.join(shared, "key").drop("key"), "matched")
+    longer = written(matched.groupBy("label").agg(F.count("*").alias("run")), "longer-prefixes")
+    entry = F.struct((F.col("m") - F.col("run")).alias("more"), "tree", "label")
+    paths = matched.join(longer, "label").groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    # prefixes that nothing is shared in are shortened first
+    left = F.lit(shortened - trees) + F.size("found")
+    paths = paths.withColumn("entries", F.transform("found", lambda e, i: F.struct(e["tree"].alias("tree"), e["label"].alias("label"), (i < left).alias("short"))))
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e["tree"])
+    paths = paths.select(
+        "node",
+        "entries",
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.get(F.filter("entries", lambda e: e["tree"] == t), F.lit(0))["label"], F.lit(0).cast("long"))).alias("labels"),
+        F.aggregate(F.filter("entries", lambda e: e["short"]), F.lit(0).cast("long"), lambda a, e: a + bit(e)).alias("bits"),
+    )
+    return written(paths.join(nodes.select("node", "row", "n", "copies"), "node"), "paths")
+
+
+def _dealt_out(paths: DataFrame) -> DataFrame:
+    """A row for each tile that a node is in: the tile's key, tree, chunk (of the node), node.
+
+    A bucket is a subtree: that of a shorter prefix that some of its nodes ask for, or (deep) that of a longer
+    prefix, of those that don't.  In the former, chunks of nodes that don't ask meet only chunks of those that do.
+    """
+    chosen = paths.select("node", "n", F.inline("entries")).withColumn("key", F.shiftright("label", LOW_BITS))
+    chunks = lambda test: F.greatest(F.ceil(F.count_if(test) / CHUNK_NODES), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / CHUNK_SHINGLES)).cast("int")
+    asked = chosen.groupBy("key").agg(F.count("*").alias("m"), chunks(F.col("short")).alias("own"), chunks(~F.col("short")).alias("others"))
+    asked = written(asked.where("m > 1 and own > 0").drop("m"), "asked-prefixes")
+    long = chosen.where(~F.col("short"))
+    deep = long.groupBy("label").agg(F.count("*").alias("m"), chunks(F.lit(True)).alias("own"))
+    deep = written(deep.where("m > 1").drop("m"), "asked-longer-prefixes")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    short = F.col("short")
+    a = chosen.join(asked, "key").select(
+        F.lit(0).alias("deep"), F.col("key").alias("bucket"), "tree", "node",
+        F.when(short, place(F.col("own"))).otherwise(F.col("own") + place(F.greatest(F.col("others"), F.lit(1)))).alias("chunk"),
+        F.explode(upto(F.when(short, F.col("own") + F.col("others")).otherwise(F.col("own")))).alias("other"),
+    )
+    b = long.join(deep, "label").select(F.lit(1).alias("deep"), F.col("label").alias("bucket"), "tree", "node", place(F.col("own")).alias("chunk"), F.explode(upto(F.col("own"))).alias("other"))
+    return a.unionAll(b).select("deep", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "tree", "chunk", "node")
 
-    return tiles.mapInArrow(run, "a long, b long, n long")
+
+def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(paths, tiles) of nodes (node, row, n, copies, labels), both written; the sum of the tiles' ``pairs`` is the number of pairs to verify."""
+    if trees > 62:
+        raise ValueError("at most 62 trees")
+    paths = _paths(nodes, trees, lengths(threshold, trees, recall)[1])
+    tiles = _dealt_out(paths).join(paths.select("node", "n", "labels", "bits"), "node")
+    return paths, written(_asked(tiles, threshold), "tiles")
+
+
+def signed_nodes(docs: DataFrame, row: str, *, doc_id: str, text: str, ngram: int, threshold: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(documents with their node, nodes), both written."""
+    signed = written(signatures(docs, row, doc_id=doc_id, text=text, ngram=ngram, trees=trees, depth=lengths(threshold, trees, recall)[0]), "signatures")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("labels").alias("labels"))
+    return signed.drop("labels"), written(nodes, "nodes")
 
 
 def join(
@@ -221,38 +376,31 @@ def join(
 ) -> DataFrame:
     """A row per document: doc_id, row (hash of all its columns), node, root (of its class), n_links (documents at the threshold or above)."""
     hashed, row = _with_row(docs)
-    signed = written(signatures(hashed, row, doc_id=doc_id, text=text, ngram=ngram, trees=trees, depth=depth_for(threshold, trees, recall)), "signatures")
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n").alias("n")), "nodes")
-
-    keyed = signed.where("node is not null").select("node", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1")
-    shared = written(shared, "prefixes")  # so that both sides of the join are plain shuffles, which Spark splits at hot keys
-    edges = keyed.join(shared, "key").where("node != leader").select("node", "leader")
-    groups = components(edges, "node", "leader").withColumnRenamed("root", "group")
-    groups = written(groups.join(nodes, "node"), "groups")
+    signed, nodes = signed_nodes(hashed, row, doc_id=doc_id, text=text, ngram=ngram, threshold=threshold, trees=trees, recall=recall)
+    paths, tiles = candidates(nodes, threshold=threshold, trees=trees, recall=recall)
 
-    sizes = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    sizes = sizes.select("group", F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    chosen = groups.join(sizes, "group").select("node", "group", "copies", "row", "chunks", F.expr("cast(pmod(xxhash64(node), chunks) as int)").alias("chunk"))
+    chosen = paths.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "row", "n", "copies", "labels", "bits")
     chosen = written(chosen, "chosen")
+    rows = chosen.select(F.col("row"), F.col("node"))
     if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = hashed.select(F.col(row).alias("row"), F.col(text).cast("string").alias("body")).join(chosen, "row")
+        rows = F.broadcast(rows)
+    texts = hashed.select(F.col(row).alias("row"), F.col(text).cast("string").alias("body")).join(rows, "row").select("node", "body")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            at = batch.schema.get_field_index("body")
-            made = []
-            for x in batch.column(at):
+            made, lo, size = [], 0, 0
+            for k, x in enumerate(batch.column(1)):
                 made.append(shingles(words(x.as_py()), hashes, ngram).tobytes())
+                size += len(made[-1])
                 hashes.trim()
-            got = pa.array(made, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], got], names=[*(n for n in batch.schema.names if n != "body"), "set"])
+                if size >= 1 << 22 or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(made)), pa.array(made, pa.binary())], names=["node", "set"])
+                    made, lo, size = [], k + 1, 0
 
-    filled = texts.select("node", "group", "copies", "chunks", "chunk", "body").mapInArrow(sets, "node long, group long, copies long, chunks int, chunk int, set binary")
-    tiled = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found = written(_compare(tiled, threshold), "links")
+    filled = written(texts.mapInArrow(sets, "node long, set binary"), "sets")
+    work = tiles.drop("pairs").join(chosen.drop("row"), "node").join(filled, "node")
+    found = written(_verified(work, threshold), "links")
 
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
     roots = components(found.where("b is not null"), "a", "b")
@@ -271,7 +419,8 @@ def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest doc_id of those it is linked to, directly or through others), n_links."""
-    rows = written(join(docs, **options), "joined")
+    with steps(docs.sparkSession):
+        rows = written(join(docs, **options), "joined", outlives=True)
     least = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     return (
         rows.where("root is not null").join(least, "root").select("doc_id", "class_id", "n_links")
@@ -281,7 +430,8 @@ def classes(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents without all but the first (by doc_id, nulls last) of each class; columns as they are."""
-    rows = written(join(docs, doc_id=doc_id, **options), "joined").where("root is not null")
+    with steps(docs.sparkSession):
+        rows = written(join(docs, doc_id=doc_id, **options), "joined", outlives=True).where("root is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.row").alias("kept"))
     first = written(first, "firsts")
