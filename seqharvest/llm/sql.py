@@ -5,7 +5,7 @@ template, every position with every phrase.  It relies on doc_id being unique.
 """
 
 from .license_scan import PHRASES, TEMPLATES, THRESHOLD, plan
-from .line_dedup import LEADING, MIN_DOCS, SIMILARITY
+from .line_dedup import COMMON, EXACT_DOCS, LEADING, MIN_DOCS, SIMILARITY, anchors, least_size
 from .pii import AROUND, CONTEXT
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -36,15 +36,20 @@ def _values(rows: list[tuple[str, list[str], int]]) -> str:
 
 OP1 = rf"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 k AS (SELECT doc_id, pos, raw, list_transform(list_filter(string_split_regex(raw, '[ \t\r\x0B\f]+'), lambda x: x != ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-t AS MATERIALIZED (SELECT doc_id, pos, w, array_to_string(w, ' ') AS line, {{'n': len(w), 'head': w[1 : {LEADING}]}} AS leaf FROM k WHERE len(list_filter(w, lambda x: x != '<*>')) > 0),
-per AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM t WHERE len(w) > {LEADING} GROUP BY 1, 2),
-c AS MATERIALIZED (SELECT * FROM per WHERE leaf IN (SELECT leaf FROM per GROUP BY 1 HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS})),
-p AS (SELECT * FROM (SELECT leaf, line, docs, unnest(range({LEADING} + 1, len(w) + 1)) AS i, unnest(w[{LEADING} + 1 :]) AS token FROM c) WHERE token != '<*>'),
-f AS (SELECT leaf, i, token FROM p GROUP BY 1, 2, 3 HAVING sum(docs) >= {MIN_DOCS}),
-m AS (SELECT line, leaf, count(*) AS n, count(f.token) AS stay, list({{'i': i, 't': token}} ORDER BY i) FILTER (f.token IS NOT NULL) AS fixed FROM p LEFT JOIN f USING (leaf, i, token) GROUP BY 1, 2),
-g AS (SELECT line, leaf, fixed FROM (SELECT *, len(list_filter(leaf.head, lambda x: x != '<*>')) AS lead FROM m) WHERE stay < n AND lead + stay >= CAST({SIMILARITY} AS DOUBLE) * (lead + n)),
-placed AS MATERIALIZED (SELECT doc_id, pos, CASE WHEN g.line IS NULL THEN {{'line': t.line, 'leaf': NULL, 'fixed': NULL}} ELSE {{'line': NULL, 'leaf': g.leaf, 'fixed': g.fixed}} END AS template FROM t LEFT JOIN g USING (line)),
-r AS (SELECT template, min({{'d': doc_id, 'pos': pos}}) AS first FROM placed GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+t AS MATERIALIZED (SELECT doc_id, pos, w, array_to_string(w, ' ') AS line FROM k WHERE len(list_filter(w, lambda x: x != '<*>')) > 0),
+per AS MATERIALIZED (SELECT line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM t WHERE len(w) > {LEADING} GROUP BY 1),
+kinds(kind, fixed, least) AS (VALUES {', '.join(f"({k}, {[i + 1 for i in at]}, {least_size(k, LEADING)})" for k, at in enumerate(anchors(LEADING)))}),
+every AS MATERIALIZED (SELECT line, w, docs, kind, fixed, {{'kind': kind, 'n': len(w), 'head': list_transform(fixed, lambda i: w[i])}} AS leaf FROM per, kinds WHERE len(w) >= least),
+c AS MATERIALIZED (SELECT * FROM every WHERE leaf IN (SELECT leaf FROM every GROUP BY 1 HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS})),
+p AS MATERIALIZED (SELECT * FROM (SELECT leaf, line, docs, fixed, generate_subscripts(w, 1) AS i, unnest(w) AS token FROM c) WHERE token != '<*>' AND NOT list_contains(fixed, i)),
+f AS (SELECT leaf, i, token, sum(docs) AS held FROM p GROUP BY 1, 2, 3 HAVING sum(docs) >= {MIN_DOCS}),
+m AS (SELECT leaf, line, count(*) AS n, len(list_filter(leaf.head, lambda x: x != '<*>')) AS lead, list(held ORDER BY held DESC) FILTER (held IS NOT NULL) AS ranked, list({{'i': i, 't': token, 'h': held}} ORDER BY i) FILTER (held IS NOT NULL) AS known FROM p LEFT JOIN f USING (leaf, i, token) GROUP BY 1, 2),
+q AS (SELECT *, ranked[greatest(1, CAST(ceil(CAST({SIMILARITY} AS DOUBLE) * (lead + n) - 1e-9) AS BIGINT) - lead)] AS measure FROM m),
+g AS MATERIALIZED (SELECT line, leaf, list_transform(stay, lambda x: {{'i': x.i, 't': x.t}}) AS fixed FROM (SELECT *, list_filter(known, lambda x: x.h >= CAST({COMMON} AS DOUBLE) * measure) AS stay FROM q WHERE measure IS NOT NULL) WHERE len(stay) < n),
+o AS (SELECT leaf, fixed, count(DISTINCT doc_id) AS docs FROM t JOIN g USING (line) GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+best AS (SELECT line, arg_max({{'leaf': leaf, 'fixed': fixed}}, {{'docs': docs, 'kind': -leaf.kind}}) AS template FROM g JOIN o USING (leaf, fixed) GROUP BY 1),
+placed AS MATERIALIZED (SELECT doc_id, pos, CASE WHEN best.line IS NULL THEN {{'line': t.line, 'leaf': NULL, 'fixed': NULL}} ELSE {{'line': NULL, 'leaf': best.template.leaf, 'fixed': best.template.fixed}} END AS template FROM t LEFT JOIN best USING (line)),
+r AS (SELECT template, min({{'d': doc_id, 'pos': pos}}) AS first FROM placed GROUP BY 1 HAVING count(DISTINCT doc_id) >= {EXACT_DOCS}),
 gone AS (SELECT doc_id, pos, true AS gone FROM placed JOIN r ON placed.template IS NOT DISTINCT FROM r.template WHERE {{'d': doc_id, 'pos': pos}} != first),
 kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (gone IS NULL) AS body, count(*) AS n_lines, count(gone) AS n_dropped FROM l LEFT JOIN gone USING (doc_id, pos) GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(body, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM documents LEFT JOIN kept USING (doc_id)"""
