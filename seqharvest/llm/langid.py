@@ -9,6 +9,7 @@ word counts of labelled texts.
 A text is lower-cased; its words are the runs between ASCII non-letters.  A word gets the vocabulary's word mark in front; words of more than
 ``SPAN`` characters are scored in consecutive parts.  A character that no piece
 covers is emitted by an escape of low probability, the same in all languages.
+Pieces that are not lower case, or of more than ``LONGEST`` characters, are left out.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 ties go to the first language in sorted order.  With no labelled text at all,
@@ -24,11 +25,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import free_name, ship
 
 SPAN = 32
+#: Characters of the longest piece used.
+LONGEST = 16
+#: Rows and bytes of text that are scored at a time.
+ROWS, BYTES = 500, 4 << 20
 MARK = "▁"
 ESCAPE = 1e-7
 LETTER = re.compile(r"[^\W\d_]")
@@ -55,7 +61,7 @@ class Pieces:
     """Pieces by the hash of their characters, for arrays of words at once."""
 
     def __init__(self, pieces: list[str]):
-        low = sorted({p for p in pieces if p == p.lower() and 0 < len(p) <= 16})
+        low = sorted({p for p in pieces if p == p.lower() and 0 < len(p) <= LONGEST})
         self.n = len(low)
         self.longest = max(map(len, low), default=0)
         hashes = np.zeros(self.n, np.uint64)
@@ -246,8 +252,10 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str], text: str
         for batch in batches:
             langs, scores = [], []
             at = batch.schema.get_field_index(name)
-            for lo in range(0, batch.num_rows, 500):
-                for lang, score in scorer.texts(batch.column(at).slice(lo, 500).to_pylist()):
+            size = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero((np.diff(size // BYTES) > 0) | (np.arange(1, len(size)) % ROWS == 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                for lang, score in scorer.texts(batch.column(at).slice(lo, hi - lo).to_pylist()):
                     langs.append(lang)
                     scores.append(score)
             kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != name]

@@ -3,12 +3,13 @@
 The global histogram of lengths decides the bucket boundaries: dynamic
 programming over the distinct lengths finds the ``buckets`` boundaries of least
 total padding (each document is padded to its bucket's upper boundary).  Inside
-a bucket, documents form batches of at most ``budget`` padded tokens.
+a bucket, documents form batches of at most ``budget`` padded tokens.  A token is what
+``length`` counts; the caller says what that is.
 
 The histogram has a row for each distinct length, which is what the driver
 gets.  Documents are numbered inside ``(bucket, share)``: a bucket is dealt into
-shares of about ``SHARE`` documents by a hash, so that no task gets a whole
-bucket, and the counts of the shares before it complete a document's place in
+shares of about ``SHARE`` documents by a hash of the row's number in the written
+table of lengths, so that no task gets a whole bucket, however many rows are equal, and the counts of the shares before it complete a document's place in
 the bucket.  Texts are not moved.
 
 Defined results: a null or empty text has length 0 and is packed like any
@@ -74,7 +75,9 @@ def pack(rows: DataFrame, *, keep: list[str], length: Column, buckets: int = 8,
     if clash := {k.lower() for k in keep} & {"length", "bucket", "batch", "place", "padding"}:
         raise ValueError(f"kept columns clash with result columns: {sorted(clash)}")
     spark = rows.sparkSession
-    sized = written(rows.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("length")), "lengths")  # texts are read once
+    kept = [f"kept_{i}" for i in range(len(keep))]  # names that no column made here has
+    row = "row_number"
+    sized = written(rows.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, kept, strict=True)], F.coalesce(length, F.lit(0)).cast("long").alias("length"), F.monotonically_increasing_id().alias(row)), "lengths")  # texts are read once
     found = sized.groupBy("length").agg(F.count("*").alias("n")).collect()
     lengths = np.array(sorted(r["length"] for r in found), np.int64)
     count = {r["length"]: r["n"] for r in found}
@@ -89,7 +92,7 @@ def pack(rows: DataFrame, *, keep: list[str], length: Column, buckets: int = 8,
             out = F.when(F.col("length") <= b, F.lit(v)).otherwise(out)
         return out.cast("long")
 
-    dealt = sized.withColumn("bucket", by_bucket(upper)).withColumn("share", F.pmod(F.xxhash64(*keep, "length"), by_bucket(shares)))
+    dealt = sized.withColumn("bucket", by_bucket(upper)).withColumn("share", F.pmod(F.xxhash64(row), by_bucket(shares)))
     per = dealt.groupBy("bucket", "share").agg(F.count("*").alias("n"))
     # A running sum over the shares, of which there is one for each SHARE documents: the sums of blocks of shares come first.
     per = per.withColumn("block", F.expr("share div 1000"))
@@ -98,7 +101,7 @@ def pack(rows: DataFrame, *, keep: list[str], length: Column, buckets: int = 8,
     before_block = blocks.select("bucket", "block", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     in_block = per.select("bucket", "block", "share", F.coalesce(F.sum("n").over(ahead.partitionBy("bucket", "block")), F.lit(0)).alias("off"))
     first = in_block.join(before_block, ["bucket", "block"]).select("bucket", "share", (F.col("base") + F.col("off")).alias("first"))
-    numbered = dealt.withColumn("in_share", F.row_number().over(Window.partitionBy("bucket", "share").orderBy("length", *keep)) - 1)
+    numbered = dealt.withColumn("in_share", F.row_number().over(Window.partitionBy("bucket", "share").orderBy("length", *kept, row)) - 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket")))).cast("long")
     at = F.col("first") + F.col("in_share")
     return (
@@ -106,7 +109,7 @@ def pack(rows: DataFrame, *, keep: list[str], length: Column, buckets: int = 8,
         .withColumn("at", at)
         .withColumn("room", room)
         .select(
-            *keep,
+            *[F.col(n).alias(k) for k, n in zip(keep, kept, strict=True)],
             "length",
             "bucket",
             F.expr("at div room").alias("batch"),

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import written
+from ..storage import steps, written
 from .common import ship
 
 BLOCK, EVERY, LIMIT = 1 << 17, 64, 16
@@ -340,41 +340,42 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Tokenize, count all ids, and write the file (tables ``blocks`` and ``code`` under path)."""
     spark = docs.sparkSession
-    every = written(tokenized(docs, tokenizer, doc_id=doc_id, text=text, end_id=end_id), "token-ids")
-    blocks = every.where("ids is not null")
-
-    found = every.where("ids is null").select(F.inline(F.arrays_zip("doc_ids", "n_tokens")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 + max([r["id"] for r in found], default=0), np.int64)
-    for r in found:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts)
-    sizes = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    before, offset = 0, {}
-    for r in sorted(blocks.groupBy("part").agg(F.sum(sizes).alias("n")).collect()):
-        offset[r["part"]] = before
-        before += r["n"]
-    shared = spark.sparkContext.broadcast((canonical(lengths), lengths, offset))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths, offset = shared.value
-        for batch in batches:
-            part, start, who, n, raw = (batch.column(i).to_pylist() for i in range(5))
-            packed = [pack(_ids(x, sum(k)), codes, lengths) for x, k in zip(raw, n, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([offset[p] + s for p, s in zip(part, start, strict=True)], pa.int64()),
-                    batch.column(2),
-                    batch.column(3),
-                    pa.array([c for _, c in packed], pa.binary()),
-                    pa.array([p for p, _ in packed], pa.binary()),
-                ],
-                names=["start", "doc_ids", "n_tokens", "checkpoints", "payload"],
-            )
-
-    out = blocks.mapInArrow(encode, "start long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, payload binary")
-    out.write.option("compression", "none").parquet(f"{path}/blocks")
-    code = spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, bits int")
-    code.coalesce(1).write.parquet(f"{path}/code")
+    with steps(spark):
+        every = written(tokenized(docs, tokenizer, doc_id=doc_id, text=text, end_id=end_id), "token-ids")
+        blocks = every.where("ids is not null")
+
+        found = every.where("ids is null").select(F.inline(F.arrays_zip("doc_ids", "n_tokens")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(1 + max([r["id"] for r in found], default=0), np.int64)
+        for r in found:
+            counts[r["id"]] = r["n"]
+        lengths = code_lengths(counts)
+        sizes = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+        before, offset = 0, {}
+        for r in sorted(blocks.groupBy("part").agg(F.sum(sizes).alias("n")).collect()):
+            offset[r["part"]] = before
+            before += r["n"]
+        shared = spark.sparkContext.broadcast((canonical(lengths), lengths, offset))
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, lengths, offset = shared.value
+            for batch in batches:
+                part, start, who, n, raw = (batch.column(i).to_pylist() for i in range(5))
+                packed = [pack(_ids(x, sum(k)), codes, lengths) for x, k in zip(raw, n, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([offset[p] + s for p, s in zip(part, start, strict=True)], pa.int64()),
+                        batch.column(2),
+                        batch.column(3),
+                        pa.array([c for _, c in packed], pa.binary()),
+                        pa.array([p for p, _ in packed], pa.binary()),
+                    ],
+                    names=["start", "doc_ids", "n_tokens", "checkpoints", "payload"],
+                )
+
+        out = blocks.mapInArrow(encode, "start long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, payload binary")
+        out.write.option("compression", "none").parquet(f"{path}/blocks")
+        code = spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, bits int")
+        code.coalesce(1).write.parquet(f"{path}/code")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

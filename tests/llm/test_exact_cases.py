@@ -213,3 +213,152 @@ def test_clashing_names_in_every_operator(spark):
     model = langid.fit(docs.withColumn("lang", F.lit("en")), vocab_path=queries.piece_vocabulary(), sample_by=F.xxhash64("doc_id"))
     assert langid.predict(docs, model, keep=["doc_id", "row_hash"]).count() == 2
     assert quality_rules.score(docs, quality_rules.Model(0.0), keep=["doc_id", "row_hash"]).count() == 2
+
+
+def test_leading_fields_and_shared_values(spark):
+    from seqharvest.llm import line_dedup
+
+    names = ["alpha", "alpha", "alpha", "beta", "gamma"]
+    rows = [(i, f"we thank you {x} for visiting our shop today", "en", "s", 1) for i, x in enumerate(names)]
+    rows += [(10 + i, f"Hello dear {x} and welcome to the shop", "en", "s", 1) for i, x in enumerate(["ann", "bob", "cid", "dan"])]
+    rows += [(20 + i, f"{x} has sent you a new message", "en", "s", 1) for i, x in enumerate(["Ann", "Bob", "Cid"])]
+    # two documents are no template, nor are other words in other places
+    rows += [(30, "good morning uma and have a nice day", "en", "s", 1), (31, "good morning ugo and have a nice day", "en", "s", 1)]
+    rows += [(40 + i, t, "en", "s", 1) for i, t in enumerate(["the old man and his sea boat", "the red fox and her den hole", "the new sun and our moon light"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = {0, 10, 20, 30, 31, 40, 41, 42}
+    assert got == {i: t if i in kept else "" for i, t, *_ in rows}
+
+
+def test_notices_against_every_window(spark):
+    from math import ceil
+
+    from seqharvest.llm import license_scan
+
+    rng = random.Random(3)
+    templates = {f"t{i}": " ".join(rng.choice("abcdefghijklm") + rng.choice("xyz") for _ in range(rng.randint(2, 14))) for i in range(12)}
+    pool = sorted({w for t in templates.values() for w in t.split()}) + ["other", "words"]
+
+    def text():
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            ws = rng.choice(list(templates.values())).split()
+            out += [w if rng.random() < 0.85 else rng.choice(pool) for w in ws] + [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+        return "".join(w + rng.choice([" ", " ", "\n", ", "]) for w in out)
+
+    rows = [(i, text(), "en", "s", 1) for i in range(60)] + [(60, None, "en", "s", 1), (61, rng.choice(list(templates.values())), "en", "s", 1)] * 2
+    got = license_scan.scan(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"], templates=templates)
+    assert got.count() == len(rows)
+    texts = {i: t or "" for i, t, *_ in rows}
+    split = lambda t: t.replace(",", " ").split()
+    met = 0
+    for r in got.collect():
+        lines, windows = set(), {}
+        for label, body in templates.items():
+            want, span = set(body.split()), ceil(license_scan.SLACK * len(body.split()))
+            least = ceil(0.8 * len(want) - 1e-9)
+            for n, line in enumerate(texts[r["doc_id"]].split("\n")):
+                if len(want & set(split(line))) >= least:
+                    lines.add((n, label, len(want & set(split(line))) / len(want)))
+            ws = split(texts[r["doc_id"]])
+            best = max([(len(want & set(ws[i : i + span])), -i) for i in range(len(ws)) if ws[i] in want], default=(0, 0))
+            if best[0] >= least:
+                windows[label] = (-best[1], best[0] / len(want))
+        assert {tuple(b) for b in r["blocks"]} == lines
+        assert {b["label"]: (b["at"], b["containment"]) for b in r["notices"]} == windows
+        met += len(lines) + len(windows)
+    assert met > 50
+
+
+def test_plan_does_not_grow_with_templates(spark):
+    from seqharvest.llm import license_scan
+
+    rng = random.Random(1)
+    templates = {f"t{i}": " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(300)) for i in range(500)}
+    rows = [(1, "first " + "\n".join(templates["t7"].split()) + " last", "en", "s", 1), (2, "w1 w2 w3 nothing", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = license_scan.scan(docs, keep=["doc_id"], templates=templates)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [(b["label"], b["at"], b["containment"]) for b in got[1]["notices"]] == [("t7", 1, 1.0)] and not got[2]["notices"]
+
+
+def signed(spark, texts):
+    from seqharvest.llm import jaccard_join
+
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    hashed, row = jaccard_join._with_row(docs)
+    options = {"threshold": 0.8, "trees": jaccard_join.TREES, "recall": jaccard_join.RECALL}
+    _, nodes = jaccard_join.signed_nodes(hashed, row, doc_id="doc_id", text="text", ngram=5, **options)
+    return docs, nodes
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    from seqharvest.llm import jaccard_join
+
+    for threshold, trees, recall in ((0.8, 30, 0.9995), (0.8, 60, 0.99999), (0.5, 40, 0.99), (0.9, 20, 0.999)):
+        depth, k = jaccard_join.lengths(threshold, trees, recall)
+        missed = lambda n: (1 - threshold**depth) ** n * (1 - threshold ** (depth + 1)) ** (trees - n)  # noqa: B023, E731
+        assert missed(k) <= 1 - recall and (k == 0 or missed(k - 1) > 1 - recall)
+    assert jaccard_join.lengths(0.8, 30, 0.9995) == (6, 8)
+
+
+def test_a_chain_is_compared_in_linear_time(spark):
+    from seqharvest.llm import jaccard_join
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(40 * 600 + 200)]
+    counted = {}
+    for n in (150, 600):
+        # neighbours share 80 of 160 shingles: Jaccard 0.5
+        docs, nodes = signed(spark, [" ".join(words[40 * i : 40 * i + 124]) for i in range(n)])
+        counted[n] = jaccard_join.candidates(nodes)[1].groupBy().sum("pairs").first()[0] or 0
+        got = jaccard_join.classes(docs).collect()
+        assert all((r["class_id"], r["n_links"]) == (r["doc_id"], 0) for r in got)
+    assert counted[600] <= 600 and counted[600] <= 8 * max(20, counted[150])
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_links_of_a_large_group(spark, monkeypatch, chunk):
+    from seqharvest.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", chunk)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        ws = base[:]
+        for _ in range(rng.randint(0, 3)):
+            ws[rng.randrange(len(ws))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    texts += texts[:9] + ["", "one two"] * 2
+    docs, _ = signed(spark, texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [[j for j, b in enumerate(sets) if j != i and a and 5 * len(a & b) >= 4 * len(a | b)] for i, a in enumerate(sets)]
+    got = {r["doc_id"]: r for r in jaccard_join.classes(docs).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == [len(x) for x in links]
+    for i, x in enumerate(links):
+        assert all(got[j]["class_id"] == got[i]["class_id"] for j in x)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipe
+
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n ", "en", "a", 3), (None, "no id here at all", "en", "a", 1), (5, "same words same words same words", "en", "a", 1)]
+    rows += [rows[-1], (6, "word " * 30_000, "en", "a", 1), (7, "x" * 150_000, "en", "a", 1)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    with_extra = odd.withColumn("row_hash", F.lit(1)).withColumn("body", F.lit("x"))
+    for docs in (odd, with_extra, odd.limit(0)):
+        n = docs.count()
+        for name, stage in pipe.STAGES[1:]:
+            out = stage(spark, docs, DATA)
+            assert out.count() <= n, name
+            if name != "packing":
+                assert tuple(out.columns) == pipe.COLUMNS, name
+    kept = {r["doc_id"] for r in pipe.near_copies(spark, odd, DATA).collect()}
+    assert kept == {1, 2, 3, None, 5, 6, 7} and pipe.near_copies(spark, odd, DATA).count() == len(rows) - 1
+    assert pipe.lines(spark, odd, DATA).count() == len(rows) == pipe.packed(spark, odd, DATA).count() == pipe.benchmark(spark, odd, DATA).count()
+    assert pipe.language(spark, odd.limit(0), DATA).count() == 0
