@@ -38,7 +38,8 @@ def pair_filter(pos: DataFrame, theta: float) -> DataFrame:
     return s.unionAll(own).unionAll(i)
 
 
-def append_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Change of the S pairs between the positions of touched sequences before and after an append."""
-    before = s_pairs(old).select("a", "b", (-F.col("swu")).alias("swu"))
-    return s_pairs(new).unionAll(before).groupBy("a", "b").agg(F.sum("swu").cast("long").alias("delta")).where("delta != 0")
+def append_delta(old: DataFrame, new: DataFrame, of=s_pairs) -> DataFrame:
+    """Change of the S pairs (of: i_pairs, self_pairs) between the positions of touched sequences before and after an append."""
+    both = of(new).unionAll(of(old).withColumn("swu", -F.col("swu")))
+    keys = [c for c in both.columns if c != "swu"]
+    return both.groupBy(*keys).agg(F.sum("swu").cast("long").alias("delta")).where("delta != 0")

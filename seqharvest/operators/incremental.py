@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..storage import cut
+from ..storage import cut, written
 from .mine import Mined, evaluate, extend, item_swu, kept, mine, positions, total_utility
 
 
@@ -35,7 +35,7 @@ def warm_schedule(k: int, first: float) -> list[float]:
 def with_batch(raw: DataFrame, ratios: list[float], how: str = "round") -> DataFrame:
     """raw with batch_id: sequences in order of sid are dealt out by the ratios.
 
-    The order is found from counts of ranges of sids, so no task sorts them all.
+    No task sorts them all.
     """
     sids = raw.select("sid").distinct()
     numbered = ranked(sids, "sid")
@@ -46,21 +46,20 @@ def with_batch(raw: DataFrame, ratios: list[float], how: str = "round") -> DataF
     return raw.join(numbered.select("sid", batch.cast("int").alias("batch_id")), "sid")
 
 
-def ranked(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """df (distinct, numeric key) with number, the global position by key from 0."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn("number", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // parts))
-    dealt = df.withColumn("range", F.expr(f"({key} - {low}) div {width}"))
-    counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
-    base, before = 0, {}
-    for r in sorted(counts):
-        before[r] = base
-        base += counts[r]
-    first = F.create_map(*[x for r, b in before.items() for x in (F.lit(r).cast("long"), F.lit(b).cast("long"))])
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
-    return dealt.withColumn("number", first[F.col("range")] + inside).drop("range")
+def ranked(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with number, its rows' global position in the order, from 0.
+
+    Ranges of the order (at sampled quantiles) are written, so that they stay; their counts give each
+    range's first number.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranked")
+    rows, before = [], 0
+    for r in sorted(dealt.groupBy("range").count().collect()):
+        rows.append((r["range"], before))
+        before += r["count"]
+    first = F.broadcast(df.sparkSession.createDataFrame(rows, "range int, first long"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return dealt.join(first, "range").withColumn("number", F.col("first") + inside).drop("range", "first")
 
 
 # ---- appended sequences
@@ -117,6 +116,11 @@ def maintenance_counts(old: DataFrame, batch: DataFrame) -> DataFrame:
     return old.sparkSession.createDataFrame([(appended, rewritten, seen, mine_.count() - seen)], "prefix_positions long, rewrite_positions long, touched long, new_sequences long")
 
 
+def root_entries(pos: DataFrame) -> DataFrame:
+    """One row: entries of all single items' lists, one for each position."""
+    return pos.agg(F.count("*").alias("root_entries"))
+
+
 # ---- mining batch by batch
 
 

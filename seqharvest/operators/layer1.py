@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .incremental import ranked
 from .mine import item_swu
 
 
@@ -23,9 +24,9 @@ def promising_items(pos: DataFrame, xi: float) -> DataFrame:
 
 
 def compact_order(pos: DataFrame, xi: float) -> DataFrame:
-    """Promising items numbered by descending SWU, ties by item.  A row per item: the one window is over the item dictionary."""
-    good = promising_items(pos, xi).where("promising")
-    return good.select("item", "swu", (F.row_number().over(Window.orderBy(F.desc("swu"), "item")) - 1).cast("int").alias("compact_id"))
+    """Promising items numbered by descending SWU, ties by item."""
+    good = ranked(promising_items(pos, xi).where("promising"), F.desc("swu"), F.asc("item"))
+    return good.select("item", "swu", F.col("number").cast("int").alias("compact_id"))
 
 
 def length_aware_swu(pos: DataFrame, xi: float, lengths: range) -> DataFrame:
@@ -59,4 +60,4 @@ def identifier_space(pos: DataFrame) -> DataFrame:
 def item_total_rank(pos: DataFrame) -> DataFrame:
     """Items by total utility, ties to the lowest id."""
     totals = pos.groupBy("item").agg(F.sum("util").cast("long").alias("total"))
-    return totals.select("item", "total", F.row_number().over(Window.orderBy(F.desc("total"), "item")).alias("rank"))
+    return ranked(totals, F.desc("total"), F.asc("item")).select("item", "total", (F.col("number") + 1).cast("int").alias("rank"))

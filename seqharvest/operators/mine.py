@@ -1,10 +1,13 @@
 """Level-wise mining of high-average-utility sequential patterns.
 
-A frontier row (pat, sid, k, tid, iu, rem) is an occurrence end of a pattern in
-a sequence: iu is the largest utility of the occurrences that end at position
-k, rem the utility after k.  The frontier stays partitioned by sid: extending
-it, the windows over (pat, sid) and the first half of the evaluation need no
-shuffle; only one row per pattern and partition is shuffled.
+A frontier row is an occurrence end of a pattern in a sequence: iu is the largest
+utility of the occurrences that end at position k, rem the utility after k.  A
+pattern is known by the number of its parent, the new item, and whether that item stands inside the
+parent's last itemset; its name is made once, with its node.  The frontier stays
+partitioned by (sid, share): extending it, the windows over it and the first half of the
+evaluation need no shuffle; only one row per pattern and partition is shuffled.
+A sequence of more than ``HEAVY`` positions has several shares, each with the patterns that
+begin with some of its items, so that no task has to do a long sequence alone.
 
 Pruning is by filters: an item extends a pattern of length L only if its
 sequence-weighted utility reaches theta * (L + 1), and a pattern is extended
@@ -21,6 +24,8 @@ from ..storage import cut
 
 #: Rows up to which a table of pattern names is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
+#: Positions of a sequence for each share.
+HEAVY = 2_000
 
 
 def positions(raw: DataFrame) -> DataFrame:
@@ -133,42 +138,82 @@ def kept(front: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     return front.join(F.broadcast(names) if count <= BROADCAST_ROWS else names, "pat", "left_semi")
 
 
-def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None) -> Mined:
-    """Mine pos at theta, or at xi of its total utility.
+class Search:
+    """A search level by level: nodes() evaluates the frontier, advance() extends it by one item.
 
     A level's frontier is computed once and cut off from its plan, which would
     otherwise grow with the length of the patterns.
     """
+
+    def __init__(self, pos: DataFrame, least: float, pairs: DataFrame | None = None):
+        """pos: positions, cut; least: the SWU that an item of any pattern has at least; pairs: the extensions that are allowed, if not all."""
+        self.pairs, self.length, self.names = pairs, 1, None
+        shares = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("sid")) / HEAVY)).cast("int")
+        dealt = pos.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        known = item_swu(pos).where(F.col("swu") >= least)
+        self.items = cut(dealt.join(known, "item").select("sid", "share", "shares", "tid", "k", "item", "util", "rem", "swu").repartition("sid", "share"))
+        own = F.pmod(F.xxhash64("item"), F.col("shares")) == F.col("share")
+        self.front = self.items.where(own).select("sid", "share", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", F.col("util").alias("iu"), "rem")
+
+    def nodes(self) -> DataFrame:
+        """id, parent, inside, item, pat, len, u, bound, support of the frontier's patterns."""
+        per = self.front.groupBy("sid", "share", "parent", "inside", "item").agg(F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach"))
+        nodes = per.groupBy("parent", "inside", "item").agg(F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support"))
+        item = F.col("item").cast("string")
+        if self.names is None:
+            nodes = nodes.withColumn("pat", item)
+        else:
+            named = nodes.join(self.names.select(F.col("id").alias("parent"), F.col("pat").alias("start")), "parent")
+            nodes = named.withColumn("pat", F.concat("start", F.when(F.col("inside"), F.lit(",")).otherwise(F.lit(")(")), item))
+        return cut(nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), "u", "bound", "support"))
+
+    def advance(self, open_: DataFrame, count: int, least: float) -> None:
+        """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``."""
+        self.names = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
+        parents = self.names.select(F.col("id"), "parent", "inside", "item")
+        ends = self.front.join(parents, ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
+        first = ends.groupBy("sid", "share", "parent").agg(F.min("k").alias("first"))
+        later = first.join(self.items.where(F.col("swu") >= least), ["sid", "share"]).where("k > first")
+        none = lambda kind: F.lit(None).cast(kind)
+        both = later.select("sid", "share", "parent", "tid", "k", "item", "util", "rem", none("long").alias("iu")).unionAll(
+            ends.select("sid", "share", "parent", "tid", "k", none("int").alias("item"), none("long").alias("util"), none("long").alias("rem"), "iu")
+        )
+        # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
+        within = Window.partitionBy("sid", "share", "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("sid", "share", "parent").orderBy("tid").rangeBetween(Window.unboundedPreceding, -1)
+        best = both.withColumn("i_best", F.max("iu").over(within)).withColumn("s_best", F.max("iu").over(before)).where("item is not null")
+        child = lambda inside, top: F.when(top.isNotNull(), F.struct(F.lit(inside).alias("inside"), (top + F.col("util")).alias("iu")))
+        children = F.filter(F.array(child(False, F.col("s_best")), child(True, F.col("i_best"))), lambda x: x.isNotNull())
+        grown = best.select("sid", "share", "parent", "item", "tid", "k", "rem", F.inline(children)).select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
+        if self.pairs is not None:
+            last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
+            allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
+            grown = grown.join(last, "parent").join(allowed, ["inside", "last_item", "item"], "left_semi").drop("last_item")
+        self.front = cut(grown)
+        self.length += 1
+
+
+def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None) -> Mined:
+    """Mine pos at theta, or at xi of its total utility."""
     options = options or Options()
     pos = cut(pos)
     total = total_utility(pos)
     theta = xi * total if theta is None else theta
-    weighted = cut(pos.join(item_swu(pos).where(F.col("swu") >= theta), "item").repartition("sid"))
-    front = weighted.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
-    out = Mined(theta, total)
     pairs = None
     if options.eucs:
         from .cooccurrence import pair_filter
 
         pairs = cut(pair_filter(pos, theta))
-    length = 1
+    search, out = Search(pos, theta, pairs), Mined(theta, total)
     while True:
-        nodes = cut(evaluate(front).select("pat", F.lit(length).alias("len"), "u", "bound", "support"))
-        out.levels.append(nodes)
-        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (length + 1)) if options.bound else nodes
+        nodes = search.nodes()
+        out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
+        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
         count = open_.count()
         if not count:
             break
-        if options.max_len == length:
-            out.cut_at = length
+        if options.max_len == search.length:
+            out.cut_at = search.length
             break
-        items = weighted.where(F.col("swu") >= F.lit(theta) * (length + 1)) if options.length_swu else weighted
-        grown = extend(kept(front, open_, count), items)
-        if pairs is not None:
-            last = F.regexp_extract("pat", r"([0-9]+)[,)(]+[0-9]+$", 1).cast("int")
-            new = F.regexp_extract("pat", r"([0-9]+)$", 1).cast("int")
-            kind = F.when(F.col("pat").rlike(r",[0-9]+$"), "i").otherwise("s")
-            grown = grown.withColumns({"last_item": last, "new_item": new, "kind": kind}).join(pairs, ["kind", "last_item", "new_item"], "left_semi").drop("last_item", "new_item", "kind")
-        front = cut(grown)
-        length += 1
+        search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta)
     return out

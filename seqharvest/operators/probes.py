@@ -69,6 +69,23 @@ def choose_xi(pos: DataFrame, wanted: int, *, low: float, high: float, steps: in
     return best[1]
 
 
+def xi_grid(pos: DataFrame, start: float, steps: int, least: int = 10) -> DataFrame:
+    """(step, xi, patterns, accepted) for the ratios start * 2^(-step/2), step 0 to steps - 1; a level with ``least`` patterns is accepted."""
+    grid = [(k, start * 2 ** (-k / 2)) for k in range(steps)]
+    found = threshold_sweep(pos, [x for _, x in grid]).drop("longest")
+    every = pos.sparkSession.createDataFrame(grid, "step int, xi double").join(F.broadcast(found), "xi", "left")
+    return every.select("step", "xi", F.coalesce("patterns", F.lit(0)).alias("patterns"), (F.coalesce("patterns", F.lit(0)) >= least).alias("accepted"))
+
+
+def barren(nodes: DataFrame, theta: float) -> DataFrame:
+    """(len, nodes, barren, patterns): barren nodes are no prefix of any pattern."""
+    hit = F.col("u") >= F.lit(theta) * F.col("len")
+    ways = nodes.where(hit).select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct()
+    fruitful = nodes.join(ways, "pat", "left_semi").groupBy("len").agg(F.count("*").alias("fruitful"))
+    per = nodes.groupBy("len").agg(F.count("*").alias("nodes"), F.count_if(hit).alias("patterns"))
+    return per.join(fruitful, "len", "left").select("len", "nodes", (F.col("nodes") - F.coalesce("fruitful", F.lit(0))).alias("barren"), "patterns")
+
+
 def compare_sets(one: DataFrame, other: DataFrame) -> DataFrame:
     """Rows (side, pattern, ...) that only one of two pattern tables has."""
     only = lambda a, b, side: a.exceptAll(b).select(F.lit(side).alias("side"), "*")

@@ -78,7 +78,7 @@ def hash_sample(rows: DataFrame, share: float) -> DataFrame:
 
 
 def batch_lines(rows: DataFrame, schedule: DataFrame) -> DataFrame:
-    """One row per (batch, cust) with its items in order of day; the base is batch 0.  Baskets over two batches are refused."""
+    """One row per (batch, cust): its itemsets, items and utility; the base is batch 0.  Baskets over two batches are refused.  logs.export_lines gives the lines."""
     sched = F.broadcast(schedule.select(F.col("batch").alias("b"), "first_day", "end_day"))
     dealt = rows.join(sched, (F.col("day") >= F.col("first_day")) & (F.col("day") < F.col("end_day")), "left").withColumn("batch", F.coalesce("b", F.lit(0)))
     split = dealt.groupBy("basket").agg(F.countDistinct("batch").alias("n")).where("n > 1")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+from functools import reduce
 from math import erfc, sqrt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .mine import Mined
+from .mine import Mined, Options
 
 DONE = ("OK", "OOM", "OT")
 
@@ -28,6 +31,11 @@ def metrics(found: Mined, **labels) -> DataFrame:
     )
 
 
+def config(options: Options, **labels) -> str:
+    """A run's switches and labels as JSON, in order of name."""
+    return json.dumps(asdict(options) | labels, sort_keys=True)
+
+
 def append_metrics(rows: DataFrame, path: str) -> None:
     """Append rows to a metrics table; a table of other columns or types is refused."""
     spark = rows.sparkSession
@@ -56,17 +64,16 @@ def pending(plan: DataFrame, results: DataFrame, keys: list[str], status: str =
 
 def audit(results: DataFrame, keys: list[str], trial: str, value: str, trials: int = 3) -> DataFrame:
     """Per configuration: rows, trials, repeated (trials with more than one row), short (fewer trials than wanted), mean, cv."""
-    per = results.groupBy(*keys, trial).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
-    spread = F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1)))
-    return per.groupBy(*keys).agg(
-        n.cast("long").alias("rows"),
+    per = results.groupBy(*keys, trial).agg(F.count("*").alias("n"))
+    counted = per.groupBy(*keys).agg(
+        F.sum("n").cast("long").alias("rows"),
         F.count("*").alias("trials"),
         F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).cast("long").alias("repeated"),
         (F.count("*") < trials).alias("short"),
-        (s / n).alias("mean"),
-        F.when((n > 1) & (s != 0), spread / (s / n)).alias("cv"),
     )
+    spread = results.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return counted.join(spread, same).select(*keys, "rows", "trials", "repeated", "short", "mean", F.try_divide("sd", "mean").alias("cv"))
 
 
 def holes(results: DataFrame, keys: list[str], arm: str) -> DataFrame:

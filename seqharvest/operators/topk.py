@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from itertools import groupby
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
-from .mine import Mined, Options, evaluate, extend, item_swu, kept, rendered, total_utility
+from .mine import Mined, Options, Search, rendered, total_utility
 
 SLACK = 1 - 1e-12
 
@@ -16,11 +19,16 @@ def _kth(nodes: DataFrame, k: int) -> float:
     return rows[-1][0] if len(rows) == k else 0.0
 
 
-def exact(column_u: str = "u", column_len: str = "len", longest: int = 1):
-    """Order key without division: u * lcm(1..longest) / len is a whole number."""
-    from math import lcm
-
-    return (F.col(column_u).cast("decimal(38,0)") * F.lit(lcm(*range(1, longest + 1))).cast("decimal(20,0)") / F.col(column_len).cast("decimal(10,0)")).cast("decimal(38,0)")
+def ranks(pairs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(u, len, rank) of the (u, len, number of nodes) that rank among the first k by u / len, compared as exact fractions."""
+    out, before = [], 0
+    for average, group in groupby(sorted(pairs, key=lambda p: -Fraction(p[0], p[1])), key=lambda p: Fraction(p[0], p[1])):
+        group = list(group)
+        if before >= k:
+            break
+        out += [(u, n, before + 1) for u, n, _ in group]
+        before += sum(c for *_, c in group)
+    return out
 
 
 def topk(pos: DataFrame, k: int, *, start: float = 0.0, options: Options | None = None) -> tuple[DataFrame, float]:
@@ -30,37 +38,26 @@ def topk(pos: DataFrame, k: int, *, start: float = 0.0, options: Options | None
     far; start must not exceed the k-th average of this database.
     """
     options = options or Options()
+    spark = pos.sparkSession
     pos = cut(pos)
-    total = total_utility(pos)
-    weighted = cut(pos.join(item_swu(pos), "item").repartition("sid"))
-    front = weighted.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
-    out, tau, length = Mined(0.0, total), start, 1
-    best = None
+    search, out = Search(pos, 0.0), Mined(0.0, total_utility(pos))
+    tau, best = start, None
     while True:
-        nodes = cut(evaluate(front).select("pat", F.lit(length).alias("len"), "u", "bound", "support"))
-        out.levels.append(nodes)
-        top = nodes.orderBy(F.desc(F.col("u") / length)).limit(k) if best is None else best.unionByName(nodes.orderBy(F.desc(F.col("u") / length)).limit(k))
-        best = top.orderBy(F.desc(F.col("u") / F.col("len"))).limit(k)
-        best = cut(best)
+        nodes = search.nodes()
+        out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
+        length = search.length
+        top = out.levels[-1].orderBy(F.desc("u")).limit(k)
+        best = cut((top if best is None else best.unionByName(top)).orderBy(F.desc(F.col("u") / F.col("len"))).limit(k))
         tau = max(tau, _kth(best, k))
         open_ = nodes.where(F.col("bound") >= F.lit(tau * SLACK) * (length + 1))
         count = open_.count()
         if not count or options.max_len == length:
             out.cut_at = length if count else None
             break
-        grown = extend(kept(front, open_, count), weighted.where(F.col("swu") >= F.lit(tau * SLACK) * (length + 1)))
-        front = cut(grown)
-        length += 1
-    # only nodes that can tie with the k-th are ranked: a bounded number but for ties
+        search.advance(open_, count, tau * SLACK * (length + 1))
+    # only nodes that can tie with the k-th are ranked: a bounded number of averages but for ties of different length
     close = out.nodes().where(F.col("u") >= F.lit(tau * SLACK) * F.col("len"))
-    key = exact(longest=length)
-    limit = close.select(key.alias("key")).orderBy(F.desc("key")).limit(k).agg(F.min("key").alias("least"))
-    chosen = close.crossJoin(F.broadcast(limit)).where(key >= F.col("least"))
-    above = chosen.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).collect()
-    ranks, seen = {}, 0
-    for r in sorted(above, key=lambda r: -r["key"]):
-        ranks[r["key"]] = seen + 1
-        seen += r["n"]
-    rank = F.create_map(*[x for a, b in ranks.items() for x in (F.lit(a).cast("decimal(38,0)"), F.lit(b))]) if ranks else None
-    shown = chosen.select(rendered().alias("pattern"), "len", F.col("u").alias("utility"), (F.col("u") / F.col("len")).alias("avg_utility"), "support", (rank[key] if ranks else F.lit(1)).cast("int").alias("rank"))
-    return shown, tau
+    found = [(r["u"], r["len"], r["n"]) for r in close.groupBy("u", "len").agg(F.count("*").alias("n")).collect()]
+    ranked = spark.createDataFrame(ranks(found, k), "u long, len int, rank int")
+    shown = close.join(F.broadcast(ranked), ["u", "len"])
+    return shown.select(rendered().alias("pattern"), "len", F.col("u").alias("utility"), (F.col("u") / F.col("len")).alias("avg_utility"), "support", "rank"), tau

@@ -8,7 +8,7 @@ from .operators import appends, cooccurrence as co, incremental as inc, layer1,
 from .operators.mine import Options, item_swu, mine, positions
 from .operators.tree import PatternTree
 from .plans.oracle import hausp_sql, mine_sql, pos_sql
-from .sources import tables as T
+from .sources import logs, tables as T
 
 #: Ratio and longest searched length of the order-year sequences; the first year of the append batch.
 XI, LMAX, FIRST_NEW = 0.03, 5, 2000
@@ -147,6 +147,25 @@ def eucs_append_delta(spark, d):
     return co.append_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)))
 
 
+VERSIONS = f"""WITH p0 AS ({T.ORDER_YEARS}), r AS (SELECT sid, tid, item, sum(util) AS util FROM p0 WHERE util > 0 GROUP BY 1, 2, 3),
+hit AS (SELECT DISTINCT sid FROM r WHERE tid >= {FIRST_NEW}),
+v AS (SELECT -1 AS v, * FROM r SEMI JOIN hit USING (sid) WHERE tid < {FIRST_NEW} UNION ALL SELECT 1, * FROM r SEMI JOIN hit USING (sid)),
+s AS (SELECT v, sid, sum(util) AS su FROM v GROUP BY 1, 2)"""
+
+
+@query(f"""{VERSIONS} SELECT a, b, CAST(sum(v * su) AS BIGINT) AS delta FROM (SELECT DISTINCT x.v, x.sid, x.item AS a, y.item AS b FROM v x JOIN v y ON x.v = y.v AND x.sid = y.sid AND x.tid = y.tid AND x.item < y.item)
+JOIN s USING (v, sid) GROUP BY 1, 2 HAVING sum(v * su) != 0""")
+def eucs_append_delta_i(spark, d):
+    raw, old, batch = _append(spark, d)
+    return co.append_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)), co.i_pairs)
+
+
+@query(f"""{VERSIONS} SELECT item, CAST(sum(v * su) AS BIGINT) AS delta FROM (SELECT v, sid, item FROM v GROUP BY 1, 2, 3 HAVING min(tid) < max(tid)) JOIN s USING (v, sid) GROUP BY 1 HAVING sum(v * su) != 0""")
+def eucs_append_delta_self(spark, d):
+    raw, old, batch = _append(spark, d)
+    return co.append_delta(positions(inc.touched(old, batch)), positions(inc.touched(raw, batch)), co.self_pairs)
+
+
 # ---- the search
 
 L2 = f"""{ON_YEARS}, x AS (SELECT p.item AS a, x.item AS b, x.tid = p.tid AS same, x.sid, x.k, max(p.util) + any_value(x.util) AS iu, any_value(x.rem) AS rem
@@ -222,6 +241,23 @@ def search_counters(spark, d):
     )
 
 
+@query(f"""{MINED}, p AS (SELECT pat FROM nodes, t WHERE u >= theta * len), w AS (SELECT DISTINCT n.pat FROM nodes n JOIN p ON p.pat = n.pat OR starts_with(p.pat, n.pat || ',') OR starts_with(p.pat, n.pat || ')'))
+SELECT len, count(*) AS nodes, CAST(sum((w.pat IS NULL)::INT) AS BIGINT) AS barren, CAST(sum((u >= theta * len)::INT) AS BIGINT) AS patterns FROM nodes LEFT JOIN w USING (pat), t GROUP BY 1""")
+def depth_profile(spark, d):
+    found = mine(years(spark, d), XI)
+    return probes.barren(found.nodes(), found.theta)
+
+
+GRID_STEPS = 5
+
+
+@query(f"""{MINED}, g AS (SELECT CAST(k AS INT) AS step, CAST(0.08 AS DOUBLE) * pow(2, -CAST(k AS DOUBLE) / 2) AS xi FROM range({GRID_STEPS}) x(k)), n AS (SELECT step, xi, (SELECT count(*) FROM nodes, (SELECT sum(util) AS total FROM pos) WHERE u >= xi * total * len) AS patterns FROM g)
+SELECT step, round(xi, 12) AS xi, patterns, patterns >= 10 AS accepted FROM n""".replace(f"CAST({XI} AS DOUBLE) * sum(util)", "CAST(0.02 AS DOUBLE) * sum(util)"))
+def xi_grid(spark, d):
+    """Ratios a factor of the square root of two apart."""
+    return probes.xi_grid(years(spark, d), 0.08, GRID_STEPS).withColumn("xi", F.round("xi", 12))
+
+
 def _tightness(spark, d):
     return mine(years(spark, d), XI).nodes()
 
@@ -319,7 +355,7 @@ def _by_batch_sql(batch_sql: str, n: int) -> str:
     return f"{batch_sql},\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(unions)
 
 
-@query(_by_batch_sql(f"{_batch_sql(RATIOS[:3] + [0.4])}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 3))
+@query(_by_batch_sql(f"{_batch_sql(RATIOS[:3] + [0.4])}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 4))
 def incremental_hausp(spark, d):
     """New sequences in batches: the answer after each of the four batches."""
     return inc.by_batch(inc.with_batch(T.order_years(spark, d), RATIOS[:3] + [0.4]), XI, 4)
@@ -351,6 +387,26 @@ def append_parts(spark, d):
     return mine(positions(inc.numbered_parts(raw)), XI).patterns()
 
 
+@query(f"""WITH {pos_sql(f"SELECT sid, CAST(dense_rank() OVER (PARTITION BY sid ORDER BY b, p, tid) AS INT) AS tid, item, util FROM (SELECT *, tid >= {FIRST_NEW} AS b, CASE WHEN tid >= {FIRST_NEW} THEN tid % 2 ELSE 0 END AS p FROM ({T.ORDER_YEARS}))")}, {mine_sql(LMAX, xi=XI)} {hausp_sql()}""")
+def append_two_parts(spark, d):
+    """A batch that holds two parts of each key: the later years' even ones, then the odd ones."""
+    late = F.col("tid") >= FIRST_NEW
+    raw = T.order_years(spark, d).withColumn("batch_id", late.cast("int")).withColumn("part_seq", F.when(late, F.col("tid") % 2).otherwise(0))
+    return mine(positions(inc.numbered_parts(raw)), XI).patterns()
+
+
+@query(f"{ON_YEARS} SELECT count(*) AS root_entries FROM pos")
+def maintenance_root_entries(spark, d):
+    _, old, batch = _append(spark, d)
+    return inc.root_entries(positions(inc.append(old, batch)))
+
+
+@query(_by_batch_sql(f"{_batch_sql(inc.equal_schedule(3))}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 3))
+def equal_hausp(spark, d):
+    """The answers after each of three equal batches of new sequences."""
+    return inc.by_batch(inc.with_batch(T.order_years(spark, d), inc.equal_schedule(3)), XI, 3)
+
+
 APPENDED = f"""WITH p0 AS ({T.ORDER_YEARS}), r AS (SELECT sid, tid, item, CAST(sum(util) AS BIGINT) AS util FROM p0 WHERE util > 0 GROUP BY 1, 2, 3),
 hit AS (SELECT DISTINCT sid FROM r WHERE tid >= {FIRST_NEW}),
 v AS (SELECT -1 AS s, * FROM r SEMI JOIN hit USING (sid) WHERE tid < {FIRST_NEW} UNION ALL SELECT 1, * FROM r SEMI JOIN hit USING (sid)),
@@ -407,20 +463,70 @@ def batch_promotion_candidates(spark, d):
 # ---- pre-large state
 
 
-def _prelarge(spark, d):
-    return inc.prelarge(inc.with_batch(T.order_years(spark, d), [0.7, 0.005, 0.005, 0.29]), XI, 0.4, 4)
+#: Shares of the batches, and how much lower the ratio of the kept patterns is.
+PRE_RATIOS, PRE_KEPT_RATIOS, MU = [0.7, 0.005, 0.005, 0.29], [0.99, 0.005, 0.005], 0.4
+PRE_LMAX = 8
+
+
+def _decisions_sql(ratios: list[float]) -> str:
+    """CTEs r0, b, rb, sizes, steps(batch_id, rescan, safety, buffer, at_rescan, held, total): the decisions, one after another."""
+    lower = f"greatest(CAST(1e-4 AS DOUBLE), CAST({XI} AS DOUBLE) * (1 - CAST({MU} AS DOUBLE)))"
+    room = f"((CAST({XI} AS DOUBLE) - {lower}) / (1 - CAST({XI} AS DOUBLE)) * at_rescan)"
+    return f"""{_batch_sql(ratios).replace("WITH ", "WITH RECURSIVE ", 1)}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid)),
+sizes AS (SELECT batch_id, CAST(sum(util) AS BIGINT) AS size FROM rb WHERE util > 0 GROUP BY 1),
+steps AS (SELECT 0 AS batch_id, true AS rescan, CAST(0 AS DOUBLE) AS safety, size AS buffer, size AS at_rescan, CAST(0 AS BIGINT) AS held, size AS total FROM sizes WHERE batch_id = 0
+ UNION ALL SELECT s.batch_id, held + size > {room}, {room}, held + size, CASE WHEN held + size > {room} THEN total + size ELSE at_rescan END, CASE WHEN held + size > {room} THEN 0 ELSE held + size END, total + size FROM steps JOIN sizes s ON s.batch_id = steps.batch_id + 1)"""
+
+
+def _kept_sql(ratios: list[float]) -> str:
+    """Patterns kept at the last rescan, with their terms over all rows."""
+    lower = f"CAST({XI * (1 - MU)!r} AS DOUBLE)"
+    scanned = "SELECT sid, tid, item, util FROM rb WHERE batch_id <= (SELECT max(batch_id) FROM steps WHERE rescan)"
+    pos = pos_sql(scanned)
+    every = pos_sql("SELECT sid, tid, item, util FROM rb").replace("raw0", "raw0e").replace("raw AS", "rawe AS").replace("FROM raw WINDOW", "FROM rawe WINDOW").replace("pos AS", "pose AS").replace("FROM pos)", "FROM pose)").replace("swu AS (", "swue AS (", 1)
+    grown = ["e1 AS MATERIALIZED (SELECT CAST(item AS VARCHAR) AS pat, sid, tid, k, util AS iu FROM pose SEMI JOIN (SELECT pat FROM kept) q ON q.pat = CAST(item AS VARCHAR))"]
+    for n in range(2, PRE_LMAX + 1):
+        grown.append(
+            f"e{n} AS MATERIALIZED (SELECT * FROM (SELECT g.pat || (CASE WHEN x.tid = g.tid THEN ',' ELSE ')(' END) || CAST(x.item AS VARCHAR) AS pat, x.sid, x.tid, x.k, max(g.iu) + any_value(x.util) AS iu"
+            f" FROM e{n - 1} g JOIN pose x ON g.sid = x.sid AND x.k > g.k GROUP BY g.pat, (x.tid = g.tid), x.item, x.sid, x.tid, x.k) SEMI JOIN kept USING (pat))"
+        )
+    terms = " UNION ALL ".join(f"SELECT pat, {n} AS len, CAST(sum(iu) AS BIGINT) AS u, count(*) AS support FROM (SELECT pat, sid, max(iu) AS iu FROM e{n} GROUP BY 1, 2) GROUP BY 1" for n in range(1, PRE_LMAX + 1))
+    return f"""{_decisions_sql(ratios)}, {pos}, {mine_sql(PRE_LMAX, theta=f"(SELECT {lower} * sum(util) FROM pos)")},
+good AS (SELECT pat FROM nodes, t WHERE u >= theta * len),
+kept AS MATERIALIZED (SELECT DISTINCT n.pat FROM nodes n JOIN good g ON g.pat = n.pat OR starts_with(g.pat, n.pat || ',') OR starts_with(g.pat, n.pat || ')')),
+{every}, {', '.join(grown)}
+SELECT '<(' || pat || ')>' AS pattern, len, u AS utility, support, u >= CAST({XI} AS DOUBLE) * (SELECT CAST(sum(util) AS BIGINT) FROM pose) * len AS large FROM ({terms})"""
 
 
-@query()
-def prelarge_patterns(spark, d):
+def _prelarge(spark, d, ratios):
+    return inc.prelarge(inc.with_batch(T.order_years(spark, d), ratios), XI, MU, len(ratios))
+
+
+def _kept(spark, d, ratios):
     from .operators.mine import rendered
 
-    return _prelarge(spark, d)[0].select(rendered().alias("pattern"), "len", F.col("u").alias("utility"), "support", "large")
+    return _prelarge(spark, d, ratios)[0].select(rendered().alias("pattern"), "len", F.col("u").alias("utility"), "support", "large")
+
+
+@query(_kept_sql(PRE_RATIOS))
+def prelarge_patterns(spark, d):
+    """The state after a last batch that asks for a rescan."""
+    return _kept(spark, d, PRE_RATIOS)
+
+
+@query(_kept_sql(PRE_KEPT_RATIOS))
+def prelarge_kept_patterns(spark, d):
+    """The state after batches that fit into the safety utility, so that stored patterns are only updated."""
+    return _kept(spark, d, PRE_KEPT_RATIOS)
+
+
+DECISION = "SELECT CAST(batch_id AS INT) AS batch_id, rescan, round(safety, 3) AS safety, buffer FROM steps"
 
 
-@query()
+@query(f"{_decisions_sql(PRE_RATIOS)} {DECISION}")
 def prelarge_decision(spark, d):
-    return spark.createDataFrame(_prelarge(spark, d)[1], "batch_id int, rescan boolean, safety double, buffer long")
+    log = spark.createDataFrame(_prelarge(spark, d, PRE_RATIOS)[1], "batch_id int, rescan boolean, safety double, buffer long")
+    return log.withColumn("safety", F.round("safety", 3))
 
 
 # ---- appends in theory
@@ -560,6 +666,32 @@ def retail_build(spark, d):
     return T.retail(rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
 
 
+RAW = f"""WITH r AS ({T.ORDER_ROWS}), p AS (SELECT cust, basket, item, min(day) AS day, CAST(sum(util) AS BIGINT) AS qty FROM r WHERE util > 0 GROUP BY 1, 2, 3),
+k AS (SELECT cust, basket, CAST(row_number() OVER (PARTITION BY cust ORDER BY min(day), basket) - 1 AS INT) AS tid FROM p GROUP BY 1, 2), q AS (SELECT cust AS sid, tid, item + 1 AS item, qty FROM p JOIN k USING (cust, basket))"""
+
+
+@query(f"{RAW} SELECT * FROM q")
+def raw_sequences(spark, d):
+    return logs.sequences(T.order_rows(spark, d).where("util > 0"))
+
+
+@query(f"{RAW}, i AS (SELECT sid, tid, string_agg(item || '[' || qty || ']', ' ' ORDER BY item) || ' -1' AS s FROM q GROUP BY 1, 2) SELECT sid, string_agg(s, ' ' ORDER BY tid) || ' -2' AS line FROM i GROUP BY 1")
+def raw_sequence_lines(spark, d):
+    return logs.lines(logs.sequences(T.order_rows(spark, d).where("util > 0")), "sid")
+
+
+@query(f"""{BASKETS}, {L5}, q AS (SELECT coalesce(batch, 0) AS batch, cust, basket, item + 1 AS item, CAST(sum(util) AS BIGINT) AS qty FROM r LEFT JOIN sched ON day >= first_day AND day < end_day GROUP BY 1, 2, 3, 4),
+sets AS (SELECT batch, cust, basket, string_agg(item || '[' || qty || ']', ' ' ORDER BY item) || ' -1' AS s FROM q GROUP BY 1, 2, 3) SELECT batch, cust, string_agg(s, ' ' ORDER BY basket) || ' -2' AS line FROM sets GROUP BY 1, 2""")
+def maintenance_lines(spark, d):
+    rows = T.order_rows(spark, d)
+    return logs.export_lines(rows, profile.schedule_l5(profile.basket_table(rows)))
+
+
+@query("SELECT c_custkey AS cust, c_mktsegment AS segment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS code FROM customer")
+def dictionary_codes(spark, d):
+    return logs.encoded(T.read(spark, d, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("segment")), "segment", "code").select("cust", "segment", "code")
+
+
 # ---- probes
 
 GRID = [5, 10, 15]
@@ -679,10 +811,11 @@ def _runs(spark, d):
     return T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_linestatus").alias("arm"), F.col("l_linenumber").alias("trial"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"))
 
 
-@query(f"""WITH p AS (SELECT config, arm, trial, count(*) AS n FROM {RUNS} GROUP BY ALL)
-SELECT config, arm, CAST(sum(n) AS BIGINT) AS rows, count(*) AS trials, CAST(sum((n > 1)::INT) AS BIGINT) AS repeated, count(*) < 3 AS short FROM p GROUP BY 1, 2""")
+@query(f"""WITH p AS (SELECT config, arm, trial, count(*) AS n FROM {RUNS} GROUP BY ALL), q AS (SELECT config, arm, avg(value) AS mean, stddev_samp(value) AS sd FROM {RUNS} GROUP BY ALL)
+SELECT config, arm, CAST(sum(n) AS BIGINT) AS rows, count(*) AS trials, CAST(sum((n > 1)::INT) AS BIGINT) AS repeated, count(*) < 3 AS short, round(any_value(mean), 3) AS mean, round(any_value(sd / mean), 9) AS cv FROM p JOIN q USING (config, arm) GROUP BY 1, 2""")
 def audit_runs(spark, d):
-    return results.audit(_runs(spark, d), ["config", "arm"], "trial", "value").drop("mean", "cv")
+    found = results.audit(_runs(spark, d), ["config", "arm"], "trial", "value")
+    return found.withColumns({"mean": F.round("mean", 3), "cv": F.round("cv", 9)})
 
 
 @query("SELECT * FROM (SELECT DISTINCT l_partkey AS config FROM lineitem), (SELECT DISTINCT l_linenumber AS arm FROM lineitem) EXCEPT SELECT l_partkey, l_linenumber FROM lineitem")
@@ -691,9 +824,9 @@ def audit_holes(spark, d):
     return results.holes(T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("config"), F.col("l_linenumber").alias("arm")), ["config"], "arm")
 
 
-@query(f"SELECT config, arm, count(value) AS runs, CAST(median(value) AS DOUBLE) AS median FROM {RUNS} GROUP BY 1, 2")
+@query(f"SELECT config, arm, count(value) AS runs, CAST(median(value) AS DOUBLE) AS median, round(stddev_samp(value), 3) AS sd FROM {RUNS} GROUP BY 1, 2")
 def run_medians(spark, d):
-    return results.medians(_runs(spark, d), ["config", "arm"], "value").drop("sd")
+    return results.medians(_runs(spark, d), ["config", "arm"], "value").withColumn("sd", F.round("sd", 3))
 
 
 @query(f"""WITH p AS (SELECT trial, arm, CAST(sum(value) AS BIGINT) AS v FROM {RUNS} GROUP BY 1, 2)

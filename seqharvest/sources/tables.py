@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +64,13 @@ ORDER_ROWS = """SELECT o_custkey AS cust, o_orderkey AS basket, CAST(date_diff('
 def retail(rows: DataFrame) -> DataFrame:
     """Transaction rows (cust, day, item, qty, amount) -> sequences: customer, customer-day, items with summed quantity and a median unit price of at least 1.
 
-    Customers, days of a customer and items get dense ids by ascending key.
+    A sequence has its customer's key; days of a customer and items get dense ids by ascending key.
     """
-    from pyspark.sql import Window
+    from ..operators.incremental import ranked
 
     good = rows.where("qty > 0 and amount > 0")
     price = good.groupBy("item").agg(F.greatest(F.lit(1), F.bround(F.median(F.col("amount") / F.col("qty")))).cast("long").alias("profit"))
-    items = price.withColumn("item_id", F.row_number().over(Window.orderBy("item")))  # one row an item
+    items = ranked(price, "item").select("item", "profit", (F.col("number") + 1).alias("item_id"))
     days = good.groupBy("cust", "day", "item").agg(F.sum("qty").cast("long").alias("qty"))
     tid = (F.dense_rank().over(Window.partitionBy("cust").orderBy("day")) - 1).alias("tid")
     return days.select("cust", "item", "qty", tid).join(items, "item").select(F.col("cust").alias("sid"), "tid", F.col("item_id").alias("item"), "qty", "profit")

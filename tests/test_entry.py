@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from seqharvest import registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["dataset_stats", "root_lists", "eucs_i", "mine_hausp", "level_profile", "swu_append_delta", "append_l2_counts", "append_update", "update_profile", "maintenance_export", "retail_build", "pattern_support", "batch_split_floor"]
+NAMES = ["dataset_stats", "root_lists", "eucs_i", "mine_hausp", "level_profile", "swu_append_delta", "append_l2_counts", "append_update", "update_profile", "maintenance_export", "retail_build", "pattern_support", "batch_split_floor", "compact_order", "item_total_rank", "eucs_append_delta_i", "eucs_append_delta_self", "depth_profile", "xi_grid", "append_two_parts", "maintenance_root_entries", "prelarge_patterns", "prelarge_kept_patterns", "prelarge_decision", "raw_sequences", "raw_sequence_lines", "maintenance_lines", "dictionary_codes", "topk_hausp", "mine_hausp_pair_filter", "incremental_hausp", "audit_runs", "run_medians"]
 
 
 def rows(df):
@@ -19,7 +19,7 @@ def rows(df):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "part", "events"):
+    for t in ("orders", "lineitem", "part", "events", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = rows(registry.queries()[name](spark, DATA).toPandas()), rows(con.sql(registry.oracle_sql()[name]).df())
     assert len(got) == len(want)
