@@ -30,9 +30,10 @@ get equal results, a row each.  A template without words never occurs.
 
 from __future__ import annotations
 
+import json
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..storage import steps, written
 from .common import LOWER, UPPER, free_name, word_array
@@ -86,6 +87,11 @@ def _lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def _listed(spark: SparkSession, rows: list[dict], schema: str, name: str) -> DataFrame:
+    """A written table of the rows, made without Python on executors."""
+    return written(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))), name)
+
+
 def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -151,32 +157,31 @@ def scan(
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in keep], F.lit("/"), text_of)
 
-    # one reading of the texts: a row with the document's results of its own, and one for each word that it has of the templates
-    vocabulary = sorted({w for t in templates.values() for w in _words(t)})
-    known = spark.createDataFrame(list(enumerate(vocabulary)), f"`{number}` int, `{word}` string")
-    ends = sorted({p.split()[-1] for p in phrases.values()})
-    source = docs.select(*keep, hashed.alias(row), text_of.alias(word), word_array(text_of).alias(body))
-    some = F.col(word).rlike("(?i)(?:" + "|".join(ends) + ")")
-    places = F.when(some, _places(F.transform(body, _lower), phrases)).otherwise(F.array().cast(PLACE))
-    # a document's own results come first, so that they aren't made again for each of its words
-    sized = source.select(*keep, row, F.size(body).cast("long").alias("n_words"), places.alias("places"), F.array_distinct(body).alias(body))
-    wide = sized.select(*keep, row, "n_words", "places", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col(body))).alias(word))
-    own = F.col(word).isNull()
-    wide = wide.withColumn(word, _lower(F.col(word))).join(_near(known, len(vocabulary)), word, "left").where(own | F.col(number).isNotNull())
-    wide = written(wide.select(row, number, *[F.when(own, F.col(f"`{c}`")).alias(c) for c in [*keep, "n_words", "places"]]), "license-words")
-    base, words = wide.where(F.col(number).isNull()).drop(number), wide.where(F.col(number).isNotNull()).select(F.col(row).alias("id"), F.col(number).alias("number"))
-
-    held = written(words.groupBy("id").agg(F.collect_set("number").alias("held")), "license-held")
-    counts = {vocabulary[r["number"]]: r["n"] for r in held.select(F.explode("held").alias("number")).groupBy("number").agg(F.count("*").alias("n")).collect()}
-    rows, _ = plan(templates, counts, threshold)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    listed = [(t, label, [place[w] for w in ws], ws, k, ceil(SLACK * len(templates[label].replace(".", " ").split()))) for t, (label, ws, k) in enumerate(rows)]
-    table = spark.createDataFrame(listed, "template int, label string, numbers array<int>, names array<string>, least int, span int")
-    table = _near(table, len(listed))
-    prefixes = [(n, t, i) for t, _, numbers, _, k, _ in listed for i, n in enumerate(numbers[: len(numbers) - k + 1])]
-    index = _near(spark.createDataFrame(prefixes, "number int, template int, place int"), len(prefixes))
-
     with steps(spark):
+        # one reading of the texts: a row with the document's results of its own, and one for each word that it has of the templates
+        vocabulary = sorted({w for t in templates.values() for w in _words(t)})
+        known = _listed(spark, [{number: i, word: w} for i, w in enumerate(vocabulary)], f"`{number}`: int, `{word}`: string", "license-vocabulary")
+        ends = sorted({p.split()[-1] for p in phrases.values()})
+        source = docs.select(*keep, hashed.alias(row), text_of.alias(word), word_array(text_of).alias(body))
+        some = F.col(word).rlike("(?i)(?:" + "|".join(ends) + ")")
+        places = F.when(some, _places(F.transform(body, _lower), phrases)).otherwise(F.array().cast(PLACE))
+        # a document's own results come first, so that they aren't made again for each of its words
+        sized = source.select(*keep, row, F.size(body).cast("long").alias("n_words"), places.alias("places"), F.array_distinct(body).alias(body))
+        wide = sized.select(*keep, row, "n_words", "places", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col(body))).alias(word))
+        own = F.col(word).isNull()
+        wide = wide.withColumn(word, _lower(F.col(word))).join(_near(known, len(vocabulary)), word, "left").where(own | F.col(number).isNotNull())
+        wide = written(wide.select(row, number, *[F.when(own, F.col(f"`{c}`")).alias(c) for c in [*keep, "n_words", "places"]]), "license-words", outlives=True)
+        base, words = wide.where(F.col(number).isNull()).drop(number), wide.where(F.col(number).isNotNull()).select(F.col(row).alias("id"), F.col(number).alias("number"))
+
+        held = written(words.groupBy("id").agg(F.collect_set("number").alias("held")), "license-held")
+        counts = {vocabulary[r["number"]]: r["n"] for r in held.select(F.explode("held").alias("number")).groupBy("number").agg(F.count("*").alias("n")).collect()}
+        rows, _ = plan(templates, counts, threshold)
+        place = {w: i for i, w in enumerate(vocabulary)}
+        listed = [{"template": t, "label": label, "numbers": [place[w] for w in ws], "names": ws, "least": k, "span": ceil(SLACK * len(templates[label].replace(".", " ").split()))} for t, (label, ws, k) in enumerate(rows)]
+        table = _near(_listed(spark, listed, "template: int, label: string, numbers: array<int>, names: array<string>, least: int, span: int", "license-templates"), len(listed))
+        prefixes = [{"number": n, "template": x["template"], "place": i} for x in listed for i, n in enumerate(x["numbers"][: len(x["numbers"]) - x["least"] + 1])]
+        index = _near(_listed(spark, prefixes, "number: int, template: int, place: int", "license-prefixes"), len(prefixes))
+
         pairs = held.select("id", "held", F.explode("held").alias("number")).join(index, "number").join(table, "template")
         n = F.size("numbers")
         head = F.slice("numbers", F.lit(1), n - F.col("least") + 1)
