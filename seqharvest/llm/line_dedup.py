@@ -23,7 +23,7 @@ in a shorter line a leading token is too much of it to be taken for a field.
 
 Only hashes of lines are shuffled, counts are combined before each shuffle, and
 texts are shuffled once, for their decisions; a second time if more than
-``BROADCAST_ROWS`` lines lie in leaves with others.  Documents per leaf and token are
+``WANTED_ROWS`` lines lie in leaves with others.  Documents per leaf and token are
 summed over distinct lines, so a document that has two lines of one leaf counts
 twice there; documents per template are counted exactly.
 
@@ -46,6 +46,8 @@ COMMON = 0.8
 EXACT_DOCS = 2
 #: Rows up to which a table of hashes is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Lines (16 bytes each) up to which the places of lines whose tokens are wanted are broadcast; for more, texts are shuffled.
+WANTED_ROWS = 1_000_000
 SPACE = r" \t\r\x0B\f"
 
 
@@ -122,7 +124,7 @@ def _generalised(some: DataFrame, held: DataFrame, leading: int, min_docs: int,
     # the tokens of each line, from the first row that has it
     wanted = near.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "line_id"))).alias("wanted"))
     wanted = written(wanted.withColumnRenamed("row", "wanted_row"), "wanted-lines")
-    few = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
+    few = F.broadcast(wanted) if near.count() <= WANTED_ROWS else wanted
     found = some.select("row", "body").join(few, F.col("row") == F.col("wanted_row")).select("wanted", F.split(canonical(F.col("body")), "\n").alias("lines"))
     found = found.select("lines", F.inline("wanted")).select("line_id", F.split(F.get("lines", F.col("at")), " ").alias("tokens")).dropDuplicates(["line_id"])
     counted = written(near.select("line_id", "leaf", "kind", "docs").join(found, "line_id"), "leaf-lines")
