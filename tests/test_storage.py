@@ -31,7 +31,8 @@ def test_no_private_folder_on_a_cluster(spark):
     Context.master = "local-cluster[3,2,3000]"
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session)
-    assert storage.shared_dir(spark).startswith("file:")
+    Context.master = "local[4]"
+    assert storage.shared_dir(Session).startswith("file://")
 
 
 def test_a_cut_table_is_computed_once(spark):
