@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..storage import table_path
-from . import decontaminate, jaccard_join, langid, license_scan, line_dedup, packing, pii, quality_rules, token_output, winnowing
+from . import decontaminate, jaccard_join, langid, license_scan, line_dedup, packing, phrases, pii, quality_rules, token_output, toxicity, whitening, winnowing
 from .common import word_array
 
 
@@ -107,8 +107,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=id_remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = (op1_line_dedup, op2_decontaminate, op3_language, op4_token_output, op5_ngram_jaccard, op6_packing, op7_winnowing, op8_license_scan, op9_quality, op10_pii, op11_phrases, op12_whitening, op13_toxicity)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_language, op4_token_output, op5_ngram_jaccard, op6_packing, op7_winnowing, op8_license_scan, op9_quality, op10_pii)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

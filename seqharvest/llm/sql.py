@@ -97,4 +97,19 @@ o AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k
 string_agg(kind || ':' || a || ':' || z, ',' ORDER BY place, a) FILTER (place < 4) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY place, a) AS spans FROM s GROUP BY 1)
 SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in list(_PII)[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontaminate": OP2, "op5_ngram_jaccard": OP5, "op8_license_scan": OP8, "op10_pii": OP10}
+PIECES = r"string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+
+# phrases are lists of words; every cut of every candidate is scored
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({PIECES}) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS MATERIALIZED (SELECT lang, m, w[i : i + m - 1] AS g, count(*) AS a FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) x(m)) GROUP BY 1, 2, 3 HAVING m = 1 OR count(*) >= 100),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, g, a, k, g[1:k] AS x, g[k + 1:] AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+s AS (SELECT c.lang, c.m, c.g, c.a, c.k, x.a AS l, y.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+ FROM c JOIN f x ON x.lang = c.lang AND x.g = c.x JOIN f y ON y.lang = c.lang AND y.g = c.y JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, g[i : i + z - 1] AS g, max(a) AS most FROM (SELECT lang, g, a, z, unnest(range(1, m - z + 2)) AS i FROM f, range(2, 5) y(z) WHERE m > z) GROUP BY 1, 2),
+kept AS (SELECT lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM best b LEFT JOIN inner_ USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000"""
+
+SQL: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontaminate": OP2, "op5_ngram_jaccard": OP5, "op8_license_scan": OP8, "op10_pii": OP10, "op11_phrases": OP11}
