@@ -123,6 +123,13 @@ class Automaton:
             for s in np.argsort(np.frombuffer(length, np.int32), kind="stable").tolist()[1:]:
                 self.marked[s] = s if s in self.short else self.marked[link[s]]
 
+    @classmethod
+    def of(cls, state: dict) -> Automaton:
+        """The automaton of a state that was sent as vars()."""
+        auto = cls.__new__(cls)
+        vars(auto).update(state)
+        return auto
+
     def window_state(self, s: int) -> int:
         """The state of the last ``window`` words of a match that ended in s."""
         while self.length[self.link[s]] >= self.window:
@@ -197,7 +204,8 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, limit: int) -> Itera
 
 
 def _automata(spark, items: DataFrame, item_id: str, item_text: str, window: int, limit: int) -> list[Broadcast]:
-    return [spark.sparkContext.broadcast(Automaton(block, window)) for block in _blocks(items, item_id, item_text, limit)]
+    # what is sent are plain arrays and dicts, so that executors can read it without this package
+    return [spark.sparkContext.broadcast(vars(Automaton(block, window))) for block in _blocks(items, item_id, item_text, limit)]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -231,7 +239,7 @@ def scan(
 
     def one_pass(shared: Broadcast, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
+            auto = Automaton.of(shared.value)
             for batch in batches:
                 rows = {k: [] for k in _HITS}
                 before = [None] * batch.num_rows if first else list(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist(), strict=True))
@@ -288,7 +296,7 @@ def _strip_at_once(docs: DataFrame, shared: Broadcast, text: str, max_coverage:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
+        auto = Automaton.of(shared.value)
         for batch in batches:
             keep, bodies = [], []
             for body in batch.column(at).to_pylist():
@@ -317,7 +325,7 @@ def _strip_in_rounds(docs: DataFrame, automata: list[Broadcast], text: str, max_
         for shared in automata:
 
             def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                auto = shared.value
+                auto = Automaton.of(shared.value)
                 for batch in batches:
                     olds = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else repeat(None, batch.num_rows)
                     spans = [merged([*auto.scan(words(body.as_py()))[0], *_pairs(old)]) for body, old in zip(batch.column(at), olds, strict=True)]

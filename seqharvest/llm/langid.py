@@ -135,6 +135,16 @@ class Model:
     pieces: Pieces
     prob: np.ndarray  # (pieces + 1) x languages; the last row is 0
 
+    def sent(self) -> tuple[list[str], dict, np.ndarray]:
+        """The model as plain values, which executors can read without this package."""
+        return self.langs, vars(self.pieces), self.prob
+
+    @classmethod
+    def of(cls, langs: list[str], pieces: dict, prob: np.ndarray) -> Model:
+        own = Pieces.__new__(Pieces)
+        vars(own).update(pieces)
+        return cls(langs, own, prob)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log P(word | language), words x languages."""
         whole, owner = [], []
@@ -244,11 +254,10 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str], text: str
     name = free_name(keep, "body")
     source = docs.select(*keep, F.col(text).cast("string").alias(name))
     schema = T.StructType([f for f in source.schema if f.name != name] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = WordCache(model)
+        scorer = WordCache(Model.of(*shared.value))
         for batch in batches:
             langs, scores = [], []
             at = batch.schema.get_field_index(name)
