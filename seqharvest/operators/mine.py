@@ -4,10 +4,11 @@ A frontier row is an occurrence end of a pattern in a sequence: iu is the larges
 utility of the occurrences that end at position k, rem the utility after k.  A
 pattern is known by the number of its parent, the new item, and whether that item stands inside the
 parent's last itemset; its name is made once, with its node.  The frontier stays
-partitioned by (sid, share): extending it, the windows over it and the first half of the
+bucketed by (sid, share): extending it, the windows over it and the first half of the
 evaluation need no shuffle; only one row per pattern and partition is shuffled.
 A sequence of more than ``HEAVY`` positions has several shares, each with the patterns that
-begin with some of its items, so that no task has to do a long sequence alone.
+begin with some of its items, so that no task has to do a long sequence alone; items are dealt in order of their
+first position, and a share has no position before its own first item.
 
 Pruning is by filters: an item extends a pattern of length L only if its
 sequence-weighted utility reaches theta * (L + 1), and a pattern is extended
@@ -20,12 +21,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..storage import cut
+from ..storage import cut, steps
 
 #: Rows up to which a table of pattern names is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
-#: Positions of a sequence for each share.
-HEAVY = 2_000
+#: Positions of a sequence for each share, and the most shares that a sequence has.
+HEAVY, SHARES = 2_000, 64
 
 
 def positions(raw: DataFrame) -> DataFrame:
@@ -138,6 +139,24 @@ def kept(front: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     return front.join(F.broadcast(names) if count <= BROADCAST_ROWS else names, "pat", "left_semi")
 
 
+def _dealt(pos: DataFrame) -> DataFrame:
+    """pos by share, with own: whether the share has the patterns that begin with the item."""
+    heavy = pos.groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items")).where(F.col("n") > HEAVY)
+    shares = F.least(F.lit(SHARES), F.ceil(F.col("n") / HEAVY), F.col("items")).cast("int").alias("shares")
+    heavy = cut(heavy.select("sid", shares, "items"))
+    light = pos.withColumns({"share": F.lit(0), "own": F.lit(True)})
+    if heavy.isEmpty():
+        return light
+    long = pos.join(heavy, "sid")
+    first = long.groupBy("sid", "item", "shares", "items").agg(F.min("k").alias("k"))
+    turn = F.row_number().over(Window.partitionBy("sid").orderBy("k")) - 1
+    own = cut(first.select("sid", "item", "k", F.floor(turn * F.col("shares") / F.col("items")).cast("int").alias("own_share")))
+    begins = own.groupBy("sid", F.col("own_share").alias("share")).agg(F.min("k").alias("begin"))
+    parts = long.join(begins, "sid").where("k >= begin").join(own.select("sid", "item", "own_share"), ["sid", "item"])
+    parts = parts.select(*pos.columns, "share", (F.col("share") == F.col("own_share")).alias("own"))
+    return light.join(heavy, "sid", "left_anti").unionByName(parts)
+
+
 class Search:
     """A search level by level: nodes() evaluates the frontier, advance() extends it by one item.
 
@@ -148,12 +167,12 @@ class Search:
     def __init__(self, pos: DataFrame, least: float, pairs: DataFrame | None = None):
         """pos: positions, cut; least: the SWU that an item of any pattern has at least; pairs: the extensions that are allowed, if not all."""
         self.pairs, self.length, self.names = pairs, 1, None
-        shares = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("sid")) / HEAVY)).cast("int")
-        dealt = pos.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         known = item_swu(pos).where(F.col("swu") >= least)
-        self.items = cut(dealt.join(known, "item").select("sid", "share", "shares", "tid", "k", "item", "util", "rem", "swu").repartition("sid", "share"))
-        own = F.pmod(F.xxhash64("item"), F.col("shares")) == F.col("share")
-        self.front = self.items.where(own).select("sid", "share", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", F.col("util").alias("iu"), "rem")
+        dealt = _dealt(pos).join(known, "item")
+        n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        columns = ("sid", "share", "own", "tid", "k", "item", "util", "rem", "swu")
+        self.items = cut(dealt.select(*columns).repartition(n, "sid", "share"), "sid", "share")
+        self.front = self.items.where("own").select("sid", "share", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", F.col("util").alias("iu"), "rem")
 
     def nodes(self) -> DataFrame:
         """id, parent, inside, item, pat, len, u, bound, support of the frontier's patterns."""
@@ -165,7 +184,8 @@ class Search:
         else:
             named = nodes.join(self.names.select(F.col("id").alias("parent"), F.col("pat").alias("start")), "parent")
             nodes = named.withColumn("pat", F.concat("start", F.when(F.col("inside"), F.lit(",")).otherwise(F.lit(")(")), item))
-        return cut(nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), "u", "bound", "support"))
+        named = nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), "u", "bound", "support")
+        return cut(named, outlives=True)  # the search's result
 
     def advance(self, open_: DataFrame, count: int, least: float) -> None:
         """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``."""
@@ -189,31 +209,32 @@ class Search:
             last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
             allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
             grown = grown.join(last, "parent").join(allowed, ["inside", "last_item", "item"], "left_semi").drop("last_item")
-        self.front = cut(grown)
+        self.front = cut(grown, "sid", "share")
         self.length += 1
 
 
 def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None) -> Mined:
     """Mine pos at theta, or at xi of its total utility."""
     options = options or Options()
-    pos = cut(pos)
-    total = total_utility(pos)
-    theta = xi * total if theta is None else theta
-    pairs = None
-    if options.eucs:
-        from .cooccurrence import pair_filter
-
-        pairs = cut(pair_filter(pos, theta))
-    search, out = Search(pos, theta, pairs), Mined(theta, total)
-    while True:
-        nodes = search.nodes()
-        out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
-        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
-        count = open_.count()
-        if not count:
-            break
-        if options.max_len == search.length:
-            out.cut_at = search.length
-            break
-        search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta)
+    with steps(pos.sparkSession):
+        pos = cut(pos)
+        total = total_utility(pos)
+        theta = xi * total if theta is None else theta
+        pairs = None
+        if options.eucs:
+            from .cooccurrence import pair_filter
+
+            pairs = cut(pair_filter(pos, theta))
+        search, out = Search(pos, theta, pairs), Mined(theta, total)
+        while True:
+            nodes = search.nodes()
+            out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
+            open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
+            count = open_.count()
+            if not count:
+                break
+            if options.max_len == search.length:
+                out.cut_at = search.length
+                break
+            search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta)
     return out

@@ -7,7 +7,7 @@ from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import cut
+from ..storage import cut, steps
 from .mine import Mined, Options, Search, rendered, total_utility
 
 SLACK = 1 - 1e-12
@@ -39,22 +39,23 @@ def topk(pos: DataFrame, k: int, *, start: float = 0.0, options: Options | None
     """
     options = options or Options()
     spark = pos.sparkSession
-    pos = cut(pos)
-    search, out = Search(pos, 0.0), Mined(0.0, total_utility(pos))
-    tau, best = start, None
-    while True:
-        nodes = search.nodes()
-        out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
-        length = search.length
-        top = out.levels[-1].orderBy(F.desc("u")).limit(k)
-        best = cut((top if best is None else best.unionByName(top)).orderBy(F.desc(F.col("u") / F.col("len"))).limit(k))
-        tau = max(tau, _kth(best, k))
-        open_ = nodes.where(F.col("bound") >= F.lit(tau * SLACK) * (length + 1))
-        count = open_.count()
-        if not count or options.max_len == length:
-            out.cut_at = length if count else None
-            break
-        search.advance(open_, count, tau * SLACK * (length + 1))
+    with steps(spark):
+        pos = cut(pos)
+        search, out = Search(pos, 0.0), Mined(0.0, total_utility(pos))
+        tau, best = start, None
+        while True:
+            nodes = search.nodes()
+            out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
+            length = search.length
+            top = out.levels[-1].orderBy(F.desc("u")).limit(k)
+            best = cut((top if best is None else best.unionByName(top)).orderBy(F.desc(F.col("u") / F.col("len"))).limit(k))
+            tau = max(tau, _kth(best, k))
+            open_ = nodes.where(F.col("bound") >= F.lit(tau * SLACK) * (length + 1))
+            count = open_.count()
+            if not count or options.max_len == length:
+                out.cut_at = length if count else None
+                break
+            search.advance(open_, count, tau * SLACK * (length + 1))
     # only nodes that can tie with the k-th are ranked: a bounded number of averages but for ties of different length
     close = out.nodes().where(F.col("u") >= F.lit(tau * SLACK) * F.col("len"))
     found = [(r["u"], r["len"], r["n"]) for r in close.groupBy("u", "len").agg(F.count("*").alias("n")).collect()]

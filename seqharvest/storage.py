@@ -4,23 +4,31 @@ Long plans are cut by writing a table and reading it back, never by a
 local checkpoint: the table outlives any executor.  Tables go to the folder
 that the cluster names in ``spark.checkpoint.dir``; a private folder is made
 only where that setting is absent and all of Spark runs in one process (tests, one
-machine).  Inside ``steps()``, tables are deleted when their results are written.
+machine).  Inside ``steps()``, tables are deleted when their results are written; blocks
+belong to the thread that opened them.  Tables written outside any block hold
+results, and are deleted when the driver's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _PRIVATE: dict[str, str] = {}
-#: Paths of the tables written in each steps() block that is open, innermost last.
-_OPEN: list[list[str]] = []
+#: The steps() blocks that are open in this thread, innermost last; each lists the paths of its tables.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("steps", default=())
+#: Path of a bucketed table -> its name in the session's catalog.
+_NAMES: dict[str, str] = {}
+#: Tables that no block deletes.
+_RESULTS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,39 +50,63 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder, and its name if it has one."""
+    if name := _NAMES.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _delete_results() -> None:
+    for spark, path in _RESULTS:
+        with contextlib.suppress(Exception):  # Spark may be gone
+            delete(spark, path)
+
+
 @contextmanager
 def steps(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end; what is returned must be written with ``outlives``."""
-    _OPEN.append([])
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in own:
             delete(spark, path)
 
 
+def _owned(spark: SparkSession, path: str, outlives: bool) -> None:
+    blocks = _OPEN.get()
+    if len(blocks) > outlives:
+        blocks[-1 - outlives].append(path)
+    else:
+        _RESULTS.append((spark, path))
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd", *, outlives: bool = False) -> DataFrame:
     """Write df to the shared folder and return it as read back.  outlives: the table belongs to the block of steps around the innermost one."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    if len(_OPEN) > outlives:
-        _OPEN[-1 - outlives].append(path)
+    _owned(spark, path, outlives)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and held in the shared folder, with its partitioning and without its plan."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    # a checkpoint counts the rows and then writes them: held meanwhile, so that they are not computed twice
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint()
-    finally:
-        df.unpersist()
+def cut(df: DataFrame, *keys: str, outlives: bool = False) -> DataFrame:
+    """df computed once and held in the shared folder, without its plan.
+
+    keys: bucketed by them, in as many buckets as shuffles have partitions, so that a join, window or
+    sum by these keys needs no shuffle; df should be partitioned so already, else each task writes a file a bucket.
+    """
+    spark = df.sparkSession
+    if not keys:
+        return written(df, "cut", "lz4", outlives=outlives)
+    path = table_path(spark, "cut")
+    _owned(spark, path, outlives)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"seqharvest_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, *keys).option("compression", "lz4").option("path", path).saveAsTable(name)
+    _NAMES[path] = name
+    return spark.table(name)
