@@ -3,15 +3,16 @@
 A document is the set of its ``NGRAM``-word shingles (A-Z lower-cased; one of
 fewer words has one shingle).  Documents of equal sets form one node.  Every
 node has ``trees`` MinHash signatures.  A signature is kept as a label whose high bits
-stand for its prefix of ``depth`` hashes and whose low bits for the hash after it, so
-labels in order are the leaves of the tree's trie: neighbours with equal labels share the
-longer prefix, those with equal high bits the shorter one.
-
-Each node begins with the longer prefix in every tree.  It shortens its prefixes one
-after another until the expected share of the pairs at the threshold that it finds
-reaches ``recall``: first where nothing else stands under the shorter prefix, then
-where that brings in the fewest other nodes.  So a prefix that much dissimilar text
-shares (boilerplate) stays long.  Two nodes are a candidate pair of a tree if they
+stand for its prefix of ``depth`` hashes and whose lower bytes for the hash after it and the one after that, so
+labels in order are the leaves of the tree's trie: neighbours share a prefix of ``depth`` hashes, of
+one more, or of two more, as far as their high bits agree.
+
+Each node begins with the longest prefix in every tree.  It shortens its prefixes by a hash, one
+after another, until a pair at the threshold is found with a probability of ``recall``, as the lengths of its
+prefixes give it: first where that brings in the fewest other nodes.  Trees in which nothing stands under a
+shorter prefix can't find anything by it and never count as shortened.  A node whose trees are all
+shortened, or hold nothing more, finds what prefixes of ``depth`` find in all trees, which is at least as much.
+So a prefix that much dissimilar text shares (boilerplate) stays long where others suffice.  Two nodes are a candidate pair of a tree if they
 share what the one that has shortened more still asks for.
 
 Candidates are verified before anything is closed: every subtree that somebody
@@ -34,7 +35,7 @@ from math import log, log1p
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import steps, written
 from .common import free_name, ship, words
@@ -48,16 +49,41 @@ BROADCAST_ROWS = 200_000
 #: Rows of a batch of results.
 OUT = 4_096
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-#: Low bits of a label, which stand for the hash after the prefix.
-LOW_BITS = 8
+#: Bits of a label for each of the hashes after its prefix, and how many of them.
+STEP, STEPS = 8, 2
+#: Trees whose levels one number holds, two bits each.
+MOST_TREES = 31
 
 
-def lengths(threshold: float, trees: int, recall: float, longest: int = MAX_DEPTH) -> tuple[int, int]:
-    """(depth, k): a node finds a pair at the threshold with probability ``recall`` by prefixes of depth + 1 hashes that are shortened to depth in the k trees, the fewest that do."""
+def prefix_depth(threshold: float, trees: int, recall: float, longest: int = MAX_DEPTH) -> int:
+    """The most hashes that all trees' prefixes may have for a pair at the threshold to be found with probability ``recall``."""
     missed = lambda d: log1p(-(threshold**d)) if threshold**d < 1 else -1e9
-    most = log(1 - recall)
-    depth = next((d for d in range(longest, 1, -1) if trees * missed(d) <= most), 1)
-    return depth, next((k for k in range(trees) if k * missed(depth) + (trees - k) * missed(depth + 1) <= most), trees)
+    return next((d for d in range(longest, 1, -1) if trees * missed(d) <= log(1 - recall)), 1)
+
+
+def levels(entries: list[tuple[int, int, int, int]], threshold: float, depth: int, trees: int, recall: float) -> list[tuple[int, int]]:
+    """(tree, level) of a node's trees in which anything shares its shortest prefix; level: hashes that its prefix has over ``depth``.
+
+    entries: tree, and the nodes under its prefixes of depth, depth + 1 and depth + 2 hashes (itself among them).
+    """
+    missed = [log1p(-(threshold ** (depth + k))) if threshold < 1 else -1e9 for k in range(STEPS + 1)]
+    level = {tree: STEPS for tree, *_ in entries}
+    # a step to a shorter prefix, after the steps before it; one that brings in nobody is made along with the next
+    steps_ = []
+    for tree, *under in entries:
+        before, work = STEPS, 0
+        for k in reversed(range(STEPS)):
+            if under[k] > under[before]:
+                work = max(work, under[k] - under[before])
+                steps_.append((work, tree, -k, missed[k] - missed[before]))
+                before = k
+    chance, most = trees * missed[STEPS], log(1 - recall)
+    for _, tree, k, gain in sorted(steps_):
+        if chance <= most:
+            break
+        chance += gain
+        level[tree] = -k
+    return sorted(level.items())
 
 
 class WordHash(dict):
@@ -90,10 +116,10 @@ def shingles(ws: list[bytes], hashes: WordHash, n: int = NGRAM) -> np.ndarray:
 
 def _signer(trees: int, depth: int):
     rng = np.random.default_rng(20_240_601)
-    size = depth + 1
+    size = depth + STEPS
     mult = rng.integers(0, 1 << 63, trees * size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     flip = rng.integers(0, 1 << 63, trees * size, dtype=np.uint64)
-    low = np.uint64((1 << LOW_BITS) - 1)
+    low = np.uint64((1 << STEP * STEPS) - 1)
 
     def sign(sets: list[np.ndarray]) -> np.ndarray:
         """Labels of many sets at once, sets x trees."""
@@ -107,8 +133,11 @@ def _signer(trees: int, depth: int):
                 for d in range(t * size, t * size + depth):
                     key = (key ^ least(d)) * MIX[2]
                     key ^= key >> np.uint64(29)
-                after = least(t * size + depth) * MIX[1]
-                labels[:, t] = (key & ~low) | (after >> np.uint64(64 - LOW_BITS))
+                label = key & ~low
+                for k in range(STEPS):
+                    after = least(t * size + depth + k) * MIX[1]
+                    label |= (after >> np.uint64(64 - STEP)) << np.uint64(STEP * (STEPS - 1 - k))
+                labels[:, t] = label
         return labels.view(np.int64)
 
     return sign
@@ -183,7 +212,7 @@ def _forest(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-TILE = ("deep", "bucket", "i", "j")
+TILE = ("level", "bucket", "i", "j")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -207,24 +236,24 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
 
 def _new_pairs(tile: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the left and of the right rows of a tile, and which of their pairs the tile has to verify."""
-    deep, i, j, tree = (int(tile[k][0]) for k in ("deep", "i", "j", "tree"))
+    level, i, j, tree = (int(tile[k][0]) for k in ("level", "i", "j", "tree"))
     _, first = np.unique(tile["node"], return_index=True)
     chunk = tile["chunk"][first]
     left, right = first[chunk == i], first[chunk == j]
-    short = (tile["bits"][:, None] >> np.arange(tree + 1)) & 1 == 1
+    # bits of the label that a node doesn't ask for in each tree so far
+    spare = STEP * (STEPS - ((tile["levels"][:, None] >> (2 * np.arange(tree + 1))) & 3))
     label, n = tile["labels"], tile["n"]
     asked = np.minimum(n[left, None], n[None, right]) >= threshold * np.maximum(n[left, None], n[None, right]) - 1e-9
-    if not deep:
-        asked &= short[left, None, tree] | short[None, right, tree]
+    asked &= np.maximum(spare[left, None, tree], spare[None, right, tree]) == STEP * (STEPS - level)
 
     def found(x, y, a, b) -> np.ndarray:
-        return (x != 0) & ((x ^ y) >> LOW_BITS == 0) & ((x == y) | a | b)
+        return (x != 0) & ((x ^ y) >> np.maximum(a, b) == 0)
 
     if len(left) * len(right) * tree <= 100_000:
-        asked &= ~found(label[left, None, :tree], label[None, right, :tree], short[left, None, :tree], short[None, right, :tree]).any(2)
+        asked &= ~found(label[left, None, :tree], label[None, right, :tree], spare[left, None, :tree], spare[None, right, :tree]).any(2)
     else:
         for t in range(tree):
-            asked &= ~found(label[left, None, t], label[None, right, t], short[left, None, t], short[None, right, t])
+            asked &= ~found(label[left, None, t], label[None, right, t], spare[left, None, t], spare[None, right, t])
     return left, right, np.triu(asked, 1) if i == j else asked
 
 
@@ -259,7 +288,7 @@ def _asked(tiles: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield _joined(out, [*names, "pairs"], kinds)
 
-    return _dealt(tiles.select(*names, "n", "labels", "bits")).mapInArrow(run, "deep int, bucket long, i int, j int, tree int, chunk int, node long, pairs long")
+    return _dealt(tiles.select(*names, "n", "labels", "levels")).mapInArrow(run, "level int, bucket long, i int, j int, tree int, chunk int, node long, pairs long")
 
 
 def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
@@ -301,65 +330,74 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
     return _dealt(tiles).mapInArrow(run, "a long, b long, n long")
 
 
-def _paths(nodes: DataFrame, trees: int, shortened: int) -> DataFrame:
-    """Nodes that share a prefix with others (written): node, row, n, copies, entries (tree, label, short), labels (0 where nothing is shared), bits (of the trees with a shortened prefix)."""
-    keyed = nodes.select("node", F.posexplode("labels").alias("tree", "label")).withColumn("key", F.shiftright("label", LOW_BITS))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = written(shared, "prefixes")  # so that both sides of the join are plain shuffles, which Spark splits at hot keys
-    matched = written(keyed.join(shared, "key").drop("key"), "matched")
-    longer = written(matched.groupBy("label").agg(F.count("*").alias("run")), "longer-prefixes")
-    entry = F.struct((F.col("m") - F.col("run")).alias("more"), "tree", "label")
-    paths = matched.join(longer, "label").groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    # prefixes that nothing is shared in are shortened first
-    left = F.lit(shortened - trees) + F.size("found")
-    paths = paths.withColumn("entries", F.transform("found", lambda e, i: F.struct(e["tree"].alias("tree"), e["label"].alias("label"), (i < left).alias("short"))))
-    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e["tree"])
-    paths = paths.select(
-        "node",
-        "entries",
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.get(F.filter("entries", lambda e: e["tree"] == t), F.lit(0))["label"], F.lit(0).cast("long"))).alias("labels"),
-        F.aggregate(F.filter("entries", lambda e: e["short"]), F.lit(0).cast("long"), lambda a, e: a + bit(e)).alias("bits"),
-    )
+def _paths(nodes: DataFrame, threshold: float, depth: int, trees: int, recall: float) -> DataFrame:
+    """Nodes that share a prefix with others (written): node, row, n, copies, entries (tree, label, level), labels (0 where nothing is shared), levels (two bits a tree)."""
+    keyed = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    per = keyed.groupBy("label").agg(F.count("*").alias("m2"))
+    # labels under one prefix of ``depth`` hashes are at most 2 ** (STEP * STEPS)
+    short = Window.partitionBy(F.shiftright("label", STEP * STEPS))
+    runs = per.withColumn("m0", F.sum("m2").over(short)).where("m0 > 1")
+    middle = Window.partitionBy(F.shiftright("label", STEP * STEPS), F.shiftright("label", STEP))
+    runs = written(runs.withColumn("m1", F.sum("m2").over(middle)), "prefixes")  # so that both sides of the join are plain shuffles, which Spark splits at hot labels
+    entry = F.struct("tree", "label", "m0", "m1", "m2")
+    paths = keyed.join(runs, "label").groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("tree", pa.int32()), ("label", pa.int64()), ("level", pa.int32())]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, OUT):
+                part = batch.slice(lo, OUT)
+                out, labels, packed = [], [], []
+                for found in part.column(1).to_pylist():
+                    got = levels([(e["tree"], e["m0"], e["m1"], e["m2"]) for e in found], threshold, depth, trees, recall)
+                    label = [0] * trees
+                    for e in found:
+                        label[e["tree"]] = e["label"]
+                    out.append([{"tree": t, "label": label[t], "level": k} for t, k in got])
+                    labels.append(label)
+                    packed.append(sum(k << (2 * t) for t, k in got))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind), pa.array(labels, pa.list_(pa.int64())), pa.array(packed, pa.int64())], names=["node", "entries", "labels", "levels"])
+
+    paths = paths.mapInArrow(run, "node long, entries array<struct<tree: int, label: long, level: int>>, labels array<long>, levels long")
     return written(paths.join(nodes.select("node", "row", "n", "copies"), "node"), "paths")
 
 
 def _dealt_out(paths: DataFrame) -> DataFrame:
     """A row for each tile that a node is in: the tile's key, tree, chunk (of the node), node.
 
-    A bucket is a subtree: that of a shorter prefix that some of its nodes ask for, or (deep) that of a longer
-    prefix, of those that don't.  In the former, chunks of nodes that don't ask meet only chunks of those that do.
+    A bucket is a subtree: that of a prefix which some of its nodes ask for (their level is the bucket's), with the nodes
+    below it that ask for longer ones.  Chunks of the latter meet only chunks of those that ask.
     """
-    chosen = paths.select("node", "n", F.inline("entries")).withColumn("key", F.shiftright("label", LOW_BITS))
+    chosen = paths.select("node", "n", F.inline("entries")).withColumnRenamed("level", "own_level")
+    # a node stands under its own prefix and all shorter ones
+    at = chosen.select("node", "n", "tree", "label", "own_level", F.explode(F.sequence(F.lit(0), F.col("own_level"))).alias("level"))
+    bits = STEP * (STEPS - F.col("level"))
+    at = at.select("node", "n", "tree", "level", F.call_function("shiftright", "label", bits.cast("int")).alias("bucket"), (F.col("level") == F.col("own_level")).alias("asks"))
     chunks = lambda test: F.greatest(F.ceil(F.count_if(test) / CHUNK_NODES), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / CHUNK_SHINGLES)).cast("int")
-    asked = chosen.groupBy("key").agg(F.count("*").alias("m"), chunks(F.col("short")).alias("own"), chunks(~F.col("short")).alias("others"))
+    asked = at.groupBy("level", "bucket").agg(F.count("*").alias("m"), chunks(F.col("asks")).alias("own"), chunks(~F.col("asks")).alias("others"))
     asked = written(asked.where("m > 1 and own > 0").drop("m"), "asked-prefixes")
-    long = chosen.where(~F.col("short"))
-    deep = long.groupBy("label").agg(F.count("*").alias("m"), chunks(F.lit(True)).alias("own"))
-    deep = written(deep.where("m > 1").drop("m"), "asked-longer-prefixes")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    short = F.col("short")
-    a = chosen.join(asked, "key").select(
-        F.lit(0).alias("deep"), F.col("key").alias("bucket"), "tree", "node",
-        F.when(short, place(F.col("own"))).otherwise(F.col("own") + place(F.greatest(F.col("others"), F.lit(1)))).alias("chunk"),
-        F.explode(upto(F.when(short, F.col("own") + F.col("others")).otherwise(F.col("own")))).alias("other"),
+    asks, own, others = F.col("asks"), F.col("own"), F.col("others")
+    dealt = at.join(asked, ["level", "bucket"]).select(
+        "level", "bucket", "tree", "node",
+        F.when(asks, place(own)).otherwise(own + place(F.greatest(others, F.lit(1)))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.when(asks, own + others).otherwise(own) - 1)).alias("other"),
     )
-    b = long.join(deep, "label").select(F.lit(1).alias("deep"), F.col("label").alias("bucket"), "tree", "node", place(F.col("own")).alias("chunk"), F.explode(upto(F.col("own"))).alias("other"))
-    return a.unionAll(b).select("deep", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "tree", "chunk", "node")
+    return dealt.select("level", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "tree", "chunk", "node")
 
 
 def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(paths, tiles) of nodes (node, row, n, copies, labels), both written; the sum of the tiles' ``pairs`` is the number of pairs to verify."""
-    if trees > 62:
-        raise ValueError("at most 62 trees")
-    paths = _paths(nodes, trees, lengths(threshold, trees, recall)[1])
-    tiles = _dealt_out(paths).join(paths.select("node", "n", "labels", "bits"), "node")
+    if trees > MOST_TREES:
+        raise ValueError(f"at most {MOST_TREES} trees")
+    paths = _paths(nodes, threshold, prefix_depth(threshold, trees, recall), trees, recall)
+    tiles = _dealt_out(paths).join(paths.select("node", "n", "labels", "levels"), "node")
     return paths, written(_asked(tiles, threshold), "tiles")
 
 
 def signed_nodes(docs: DataFrame, row: str, *, doc_id: str, text: str, ngram: int, threshold: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """(documents with their node, nodes), both written."""
-    signed = written(signatures(docs, row, doc_id=doc_id, text=text, ngram=ngram, trees=trees, depth=lengths(threshold, trees, recall)[0]), "signatures")
+    signed = written(signatures(docs, row, doc_id=doc_id, text=text, ngram=ngram, trees=trees, depth=prefix_depth(threshold, trees, recall)), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("labels").alias("labels"))
     return signed.drop("labels"), written(nodes, "nodes")
 
@@ -379,7 +417,7 @@ def join(
     signed, nodes = signed_nodes(hashed, row, doc_id=doc_id, text=text, ngram=ngram, threshold=threshold, trees=trees, recall=recall)
     paths, tiles = candidates(nodes, threshold=threshold, trees=trees, recall=recall)
 
-    chosen = paths.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "row", "n", "copies", "labels", "bits")
+    chosen = paths.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "row", "n", "copies", "labels", "levels")
     chosen = written(chosen, "chosen")
     rows = chosen.select(F.col("row"), F.col("node"))
     if chosen.count() <= BROADCAST_ROWS:

@@ -293,14 +293,70 @@ def signed(spark, texts):
     return docs, nodes
 
 
-def test_prefixes_are_shortened_until_the_recall():
+def found_pairs(spark, sets, trees, recall):
+    """(share of the pairs (0, 1), (2, 3) ... of sets that are candidates, nodes with a tree whose prefix isn't the shortest, and with one that isn't the longest)."""
+    import numpy as np
+    import pandas as pd
+
     from seqharvest.llm import jaccard_join
 
-    for threshold, trees, recall in ((0.8, 30, 0.9995), (0.8, 60, 0.99999), (0.5, 40, 0.99), (0.9, 20, 0.999)):
-        depth, k = jaccard_join.lengths(threshold, trees, recall)
-        missed = lambda n: (1 - threshold**depth) ** n * (1 - threshold ** (depth + 1)) ** (trees - n)  # noqa: B023, E731
-        assert missed(k) <= 1 - recall and (k == 0 or missed(k - 1) > 1 - recall)
-    assert jaccard_join.lengths(0.8, 30, 0.9995) == (6, 8)
+    sign = jaccard_join._signer(trees, jaccard_join.prefix_depth(0.8, trees, recall))
+    rows = [(i, i, len(s), 1, x.tolist()) for lo in range(0, len(sets), 500) for i, (s, x) in enumerate(zip(sets[lo : lo + 500], sign(sets[lo : lo + 500])), lo)]
+    nodes = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "row", "n", "copies", "labels"]), "node long, row long, n long, copies long, labels array<long>")
+    paths, tiles = jaccard_join.candidates(nodes, trees=trees, recall=recall)
+    # a tile's rows may hold several pairs: each pair is looked for in its own right
+    about = {r["node"]: (np.array(r["labels"]), r["levels"]) for r in paths.select("node", "labels", "levels").collect()}
+    met = 0
+    for i in range(0, len(sets), 2):
+        if i in about and i + 1 in about:
+            (x, a), (y, b) = about[i], about[i + 1]
+            met += any(x[t] and (x[t] ^ y[t]) >> 8 * (2 - min(a >> 2 * t & 3, b >> 2 * t & 3)) == 0 for t in range(trees))
+    long = sum(any(x[t] and level >> 2 * t & 3 for t in range(trees)) for x, level in about.values())
+    short = sum(any(x[t] and level >> 2 * t & 3 < 2 for t in range(trees)) for x, level in about.values())
+    return met / (len(sets) // 2), long, short, tiles
+
+
+def made_pairs(n, templates, seed=5):
+    """Pairs of sets of Jaccard 0.8, 80 of 100; sets of a template have 40 in common, pairs of them 0.29 at most."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    parts = [fresh(40) for _ in range(templates)]
+    out = []
+    for i in range(n):
+        common = np.concatenate([parts[i % templates], fresh(40)]) if templates else fresh(80)
+        out += [np.unique(np.concatenate([common, fresh(10)])) for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize("recall,templates", [(0.97, 0), (0.99, 0), (0.97, 60), (0.99, 60)])
+def test_the_forest_finds_what_it_is_asked_for(spark, recall, templates):
+    got, long, short, tiles = found_pairs(spark, made_pairs(6_000, templates), 10, recall)
+    assert got >= recall - 2 * (recall * (1 - recall) / 6_000) ** 0.5, got
+    assert short > 5_000  # prefixes are shortened ...
+    assert not templates or long > 1_000  # ... but not all of them where much is shared
+
+
+def test_the_forest_of_the_query_finds_almost_all(spark):
+    assert found_pairs(spark, made_pairs(3_000, 0), 30, 0.9995)[0] >= 0.999
+
+
+def test_levels_of_a_node():
+    from math import log1p
+
+    from seqharvest.llm.jaccard_join import levels
+
+    # nothing but what shares the longest prefix: nothing to shorten
+    assert levels([(0, 2, 2, 2), (3, 5, 5, 5)], 0.8, 4, 10, 0.99) == [(0, 2), (3, 2)]
+    # few trees hold anything: all are shortened
+    assert levels([(0, 2, 1, 1), (3, 9, 4, 1)], 0.8, 4, 10, 0.99) == [(0, 0), (3, 0)]
+    # the cheapest steps come first, and no more of them than are needed
+    entries = [(t, 2 + t, 1, 1) for t in range(10)]
+    got = levels(entries, 0.8, 4, 10, 0.985)
+    missed = [log1p(-(0.8 ** (4 + k))) for k in range(3)]
+    n = sum(k == 0 for _, k in got)
+    assert [k for _, k in got] == [0] * n + [2] * (10 - n) and n * missed[0] + (10 - n) * missed[2] <= log1p(-0.985) < (n - 1) * missed[0] + (11 - n) * missed[2]
 
 
 def test_a_chain_is_compared_in_linear_time(spark):
