@@ -184,7 +184,7 @@ def fit(
     place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(room))
     chosen = known.where(place < F.when(F.col("y") == 1, share(1)).otherwise(share(0))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body")).where("doc_id is not null")
-    texts = texts.join(chosen, "doc_id").select("y", "half", "body")
+    texts = texts.join(F.broadcast(chosen), "doc_id").select("y", "half", "body")  # about 2 * sample rows of some 20 bytes
 
     # places without replacement: a window is kept by its hash, at a rate that the number of windows gives
     n = texts.where("half = 0").groupBy("y").agg(F.sum(F.length(F.coalesce("body", F.lit("")))).alias("n")).collect()
