@@ -94,7 +94,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd", *, outlives: bool = F
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, *keys: str, outlives: bool = False) -> DataFrame:
+def cut(df: DataFrame, *keys: str, codec: str = "lz4", outlives: bool = False) -> DataFrame:
     """df computed once and held in the shared folder, without its plan.
 
     keys: bucketed by them, in as many buckets as shuffles have partitions, so that a join, window or
@@ -102,11 +102,11 @@ def cut(df: DataFrame, *keys: str, outlives: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     if not keys:
-        return written(df, "cut", "lz4", outlives=outlives)
+        return written(df, "cut", codec, outlives=outlives)
     path = table_path(spark, "cut")
     _owned(spark, path, outlives)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"seqharvest_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, *keys).option("compression", "lz4").option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(n, *keys).option("compression", codec).option("path", path).saveAsTable(name)
     _NAMES[path] = name
     return spark.table(name)
