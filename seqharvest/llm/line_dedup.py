@@ -21,9 +21,9 @@ Lines of at most ``leading`` tokens are never generalised: with the default simi
 of their tokens could differ.  Wildcard children hold lines of twice as many tokens, since
 in a shorter line a leading token is too much of it to be taken for a field.
 
-Only hashes of lines are shuffled, counts are combined before each shuffle, and
-texts are shuffled once, for their decisions; a second time if more than
-``WANTED_ROWS`` lines lie in leaves with others.  Documents per leaf and token are
+Counts are combined before each shuffle, and texts are shuffled once: they are written in buckets of
+their rows' hashes, which both the look at single lines and the decisions are joined with as they lie.  All other shuffles are of hashes.
+Documents per leaf and token are
 summed over distinct lines, so a document that has two lines of one leaf counts
 twice there; documents per template are counted exactly.
 
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..storage import steps, written
+from ..storage import cut, steps, written
 from .common import free_name
 
 LEADING, MIN_DOCS, SIMILARITY = 3, 3, 0.8
@@ -46,8 +46,6 @@ COMMON = 0.8
 EXACT_DOCS = 2
 #: Rows up to which a table of hashes is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
-#: Lines (16 bytes each) up to which the places of lines whose tokens are wanted are broadcast; for more, texts are shuffled.
-WANTED_ROWS = 1_000_000
 SPACE = r" \t\r\x0B\f"
 
 
@@ -124,8 +122,7 @@ def _generalised(some: DataFrame, held: DataFrame, leading: int, min_docs: int,
     # the tokens of each line, from the first row that has it
     wanted = near.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "line_id"))).alias("wanted"))
     wanted = written(wanted.withColumnRenamed("row", "wanted_row"), "wanted-lines")
-    few = F.broadcast(wanted) if near.count() <= WANTED_ROWS else wanted
-    found = some.select("row", "body").join(few, F.col("row") == F.col("wanted_row")).select("wanted", F.split(canonical(F.col("body")), "\n").alias("lines"))
+    found = some.select("row", "body").join(wanted, F.col("row") == F.col("wanted_row")).select("wanted", F.split(canonical(F.col("body")), "\n").alias("lines"))
     found = found.select("lines", F.inline("wanted")).select("line_id", F.split(F.get("lines", F.col("at")), " ").alias("tokens")).dropDuplicates(["line_id"])
     counted = written(near.select("line_id", "leaf", "kind", "docs").join(found, "line_id"), "leaf-lines")
 
@@ -177,12 +174,16 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", counts
     drop_emptied: documents of which every line that is not blank is dropped go.
     """
     row = free_name(docs.columns, "row_hash")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     names = [free_name([*docs.columns, row], x) for x in ("dedup_doc", "dedup_row", "dedup_drops")]
     with steps(docs.sparkSession):
+        hashed = cut(hashed.repartition(parts, row), row, codec="zstd", outlives=True)
         found = written(decisions(hashed, row, doc_id=doc_id, text=text, **options).toDF(*names), "line-decisions", outlives=True)
     who, which, drops = (F.col(n) for n in names)
-    joined = hashed.join(found, (F.col(row) == which) & F.col(f"`{doc_id}`").eqNullSafe(who), "left")
+    # the documents' ids are compared, but not joined by, so that the buckets serve the join
+    same = F.coalesce(F.col(f"`{doc_id}`") == who, F.col(f"`{doc_id}`").isNull() & who.isNull())
+    joined = hashed.join(found, (F.col(row) == which) & same, "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda line, i: ~F.coalesce(F.get(drops, i), F.lit(False)))
     out = F.when(drops.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
