@@ -134,6 +134,26 @@ def extend(front: DataFrame, pos: DataFrame) -> DataFrame:
     return grown.select("x.pat", "sid", "tid", "k", "x.iu", "rem")
 
 
+def grow(ends: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """All one-item extensions of occurrence ends (keys, parent, tid, k, iu) by later positions (keys, tid, k, item, util, ...) of the same keys.
+
+    Rows: the positions' columns, and parent, inside, iu.
+    """
+    first = ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"))
+    later = first.join(items, list(keys)).where("k > first")
+    more = [c for c in items.columns if c not in (*keys, "tid", "k", "item")]
+    both = later.select(*keys, "parent", "tid", "k", "item", *more, F.lit(None).cast("long").alias("iu")).unionAll(
+        ends.select(*keys, "parent", "tid", "k", F.lit(None).cast("int").alias("item"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in more], "iu")
+    )
+    # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
+    within = Window.partitionBy(*keys, "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "parent").orderBy("tid").rangeBetween(Window.unboundedPreceding, -1)
+    best = both.withColumn("i_best", F.max("iu").over(within)).withColumn("s_best", F.max("iu").over(before)).where("item is not null")
+    child = lambda inside, top: F.when(top.isNotNull(), F.struct(F.lit(inside).alias("inside"), (top + F.col("util")).alias("iu")))
+    children = F.filter(F.array(child(False, F.col("s_best")), child(True, F.col("i_best"))), lambda x: x.isNotNull())
+    return best.select(*keys, "parent", "tid", "k", "item", *more, F.inline(children))
+
+
 def kept(front: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     names = nodes.select("pat")
     return front.join(F.broadcast(names) if count <= BROADCAST_ROWS else names, "pat", "left_semi")
@@ -192,19 +212,7 @@ class Search:
         self.names = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
         parents = self.names.select(F.col("id"), "parent", "inside", "item")
         ends = self.front.join(parents, ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
-        first = ends.groupBy("sid", "share", "parent").agg(F.min("k").alias("first"))
-        later = first.join(self.items.where(F.col("swu") >= least), ["sid", "share"]).where("k > first")
-        none = lambda kind: F.lit(None).cast(kind)
-        both = later.select("sid", "share", "parent", "tid", "k", "item", "util", "rem", none("long").alias("iu")).unionAll(
-            ends.select("sid", "share", "parent", "tid", "k", none("int").alias("item"), none("long").alias("util"), none("long").alias("rem"), "iu")
-        )
-        # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
-        within = Window.partitionBy("sid", "share", "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
-        before = Window.partitionBy("sid", "share", "parent").orderBy("tid").rangeBetween(Window.unboundedPreceding, -1)
-        best = both.withColumn("i_best", F.max("iu").over(within)).withColumn("s_best", F.max("iu").over(before)).where("item is not null")
-        child = lambda inside, top: F.when(top.isNotNull(), F.struct(F.lit(inside).alias("inside"), (top + F.col("util")).alias("iu")))
-        children = F.filter(F.array(child(False, F.col("s_best")), child(True, F.col("i_best"))), lambda x: x.isNotNull())
-        grown = best.select("sid", "share", "parent", "item", "tid", "k", "rem", F.inline(children)).select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
+        grown = grow(ends, self.items.where(F.col("swu") >= least), "sid", "share").select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
         if self.pairs is not None:
             last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
             allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
