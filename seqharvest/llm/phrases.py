@@ -2,10 +2,10 @@
 
 A text is split at punctuation and line ends into pieces, a piece at spaces into words.
 Phrases are grown to the right, and only from frequent ones.  Words are counted first, then pairs
-of frequent words.  Every occurrence of a frequent pair that goes on with a frequent pair
+of frequent words, by their hashes only, which finds all frequent ones.  Every occurrence of such a pair
 is a pointer into its text: it is projected to the words that follow, as far as
-each two in a row are a frequent pair, and equal projections are added up before and
-after the shuffle.  The projections of a prefix go to one task, which sorts
+each two in a row are such a pair, and equal projections are added up before and
+after the shuffle; their sums are the exact counts of pairs.  The projections of a prefix go to one task, which sorts
 them and extends the prefix to the right, depth first.  A prefix of more than ``ROWS`` projections is
 extended by one word by a distributed count instead, and its longer prefixes have tasks of their own, so no task
 is larger than the bound, whatever a prefix's share of the corpus.
@@ -35,8 +35,12 @@ LEAST, LONGEST, TOP, ABSORBED = 100, 5, 2_000, 100
 ROWS = 20_000
 #: log2 of the bits of a bitmap of frequent words or pairs.
 BITS = 26
+#: High bits of a hash that pairs are counted by: as many as a small key has room for.
+KEPT = 40
 #: Words and bytes of distinct words that a mapper gathers before it emits, and bytes of text split at once.
 CHUNK, ROOM, BLOCK = 1_000_000, 1 << 25, 1 << 22
+#: Words that a mapper knows to be rare or frequent, and rows that it adds up before it emits them.
+RARE, HELD = 300_000, 500_000
 #: Shares of a language in the first choice of its best phrases.
 SHARES = 32
 
@@ -47,7 +51,7 @@ BREAK = re.compile(rb"[ \xff]")
 
 
 class Numbers(dict):
-    """Word -> number in order of appearance; END is 0."""
+    """Word -> number in order of appearance; END is 0.  It is given up when it holds ``ROOM`` bytes."""
 
     def __init__(self):
         super().__init__({END: 0})
@@ -60,6 +64,27 @@ class Numbers(dict):
         return n
 
 
+class Frequent(Numbers):
+    """Word -> number of the words that a bitmap lets through, with their hashes.  All others are 0, as ends are, for no phrase holds them."""
+
+    def __init__(self, lang: str, bits: np.ndarray, width: int):
+        super().__init__()
+        self.seed, self.bits, self.down, self.hashes = xxhash.xxh64_intdigest(lang.encode()), bits, 64 - width, [0]
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= RARE:  # forget the rare ones
+            kept = {w: n for w, n in self.items() if n or w == END}
+            self.clear()
+            self.update(kept)
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        slot = h >> self.down
+        if not int(self.bits[slot >> 6]) >> (slot & 63) & 1:
+            self[word] = 0
+            return 0
+        self.hashes.append(h)
+        return super().__missing__(word)
+
+
 def _blocks(body: bytes) -> Iterator[bytes]:
     """A text with marked ends of pieces, in parts of about BLOCK bytes that end before a space or mark."""
     body, lo = body.translate(TABLE), 0
@@ -69,40 +94,44 @@ def _blocks(body: bytes) -> Iterator[bytes]:
     yield body[lo:]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[tuple[str, np.ndarray, int, list[bytes]]]:
-    """(language, word numbers with 0 between pieces, numbers that phrases may start at, words by number) of batches (lang, text).
+def chunks(batches: Iterator[pa.RecordBatch], ahead: int, numbers: Callable[[str], Numbers] | None = None) -> Iterator[tuple[str, np.ndarray, int, Numbers]]:
+    """(language, word numbers with 0 between pieces, numbers that phrases may start at, the language's numbers) of batches (lang, text).
 
     Phrases of up to ahead + 1 words that start before the bound lie within the numbers; a long text is cut with so many words of overlap.
+    Numbers are made by language, and hold for all chunks until they are replaced by new ones.
     """
-    numbers, held, size = Numbers(), {}, 0
+    known: dict[str, Numbers] = {}
+    held: dict[str, list[np.ndarray]] = {}
+    size = 0
+    make = numbers or (lambda _: Numbers())
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for lang, body in zip(langs, batch.column(1).cast(pa.binary())):
             for block in _blocks(body.as_py()):
+                own = known[lang] if lang in known else known.setdefault(lang, make(lang))
                 marked = block.replace(END, b" \xff ").split()
-                ids = np.fromiter(map(numbers.__getitem__, marked), np.int64, len(marked))
+                ids = np.fromiter(map(own.__getitem__, marked), np.int64, len(marked))
                 held.setdefault(lang, []).append(ids)
                 size += len(ids)
-                if size < CHUNK and numbers.size < ROOM:
+                if size < CHUNK and own.size < ROOM:
                     continue
                 # within a text: the last words are carried over, as starts of phrases that go on
-                whole = {x: np.concatenate(parts) for x, parts in held.items()}
-                for x, parts in whole.items():
-                    yield x, parts, len(parts) - (min(ahead, len(parts)) if x == lang else 0), numbers.words
-                last = whole[lang][len(whole[lang]) - min(ahead, len(whole[lang])) :]
-                rest = [numbers.words[i] for i in last]
-                numbers, size = Numbers(), len(rest)
-                held = {lang: [np.fromiter(map(numbers.__getitem__, rest), np.int64, len(rest))]}
+                rest = np.zeros(0, np.int64)
+                for x, parts in held.items():
+                    whole = np.concatenate(parts)
+                    over = min(ahead, len(whole)) if x == lang else 0
+                    rest = whole[len(whole) - over :] if x == lang else rest
+                    yield x, whole, len(whole) - over, known[x]
+                if own.size >= ROOM:
+                    words = [own.words[i] for i in rest]
+                    own = known[lang] = make(lang)
+                    rest = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+                held, size = {lang: [rest]}, len(rest)
             held.setdefault(lang, []).append(np.zeros(1, np.int64))
             size += 1
     for lang, parts in held.items():
         ids = np.concatenate(parts)
-        yield lang, ids, len(ids), numbers.words
-
-
-def hashed(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        yield lang, ids, len(ids), known.setdefault(lang, make(lang))
 
 
 def paired(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -117,21 +146,23 @@ def passes(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap(frequent: DataFrame, words: list[str], width: int) -> np.ndarray:
-    """Bits of the hashes of frequent words or pairs, 2**width of them, merged by Spark; the driver gets 2**width / 64 rows at most."""
+def bitmap(hashes: DataFrame, width: int) -> np.ndarray:
+    """Bits of the hashes (column h, the high ``KEPT`` bits of one), 2**width of them, merged by Spark; the driver gets 2**width / 64 rows at most."""
+    slot = F.shiftrightunsigned("h", KEPT - width)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.select(F.shiftrightunsigned(slot, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (width - 6), np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
 
+def _word_hashes(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            h = [np.array([xxhash.xxh64_intdigest(r[k].encode(), xxhash.xxh64_intdigest(r[0].encode())) for r in rows], np.uint64) for k in range(1, 1 + len(words))]
-            slot = (h[0] if len(h) == 1 else paired(*h)) >> np.uint64(64 - width)
-            bit = (np.uint64(1) << (slot & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).view(np.int64)), pa.array(bit)], names=["at", "bit"])
+            h = [xxhash.xxh64_intdigest(w.encode(), xxhash.xxh64_intdigest(lang.encode())) >> (64 - KEPT) for lang, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], names=["h"])
 
-    found = frequent.select("lang", *words).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (width - 6), np.uint64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
+    return words.select("lang", "w1").mapInArrow(run, "h long")
 
 
 def _strings(words: list[bytes], at: np.ndarray) -> pa.Array:
@@ -140,65 +171,89 @@ def _strings(words: list[bytes], at: np.ndarray) -> pa.Array:
     return pa.array([words[i].decode() if i else None for i in used], pa.string()).take(pa.array(place.reshape(at.shape)))
 
 
-def _mapped(source: DataFrame, ahead: int, count: Callable, schema: str) -> DataFrame:
-    """count(lang, numbers, starts, words) -> (columns of word numbers, how often), as rows of (lang, words, c)."""
+def added(rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and their summed counts."""
+    if rows.shape[1] == 1:
+        found, place = np.unique(rows[:, 0], return_inverse=True)
+        return found[:, None], np.bincount(place, c, len(found)).astype(np.int64)
+    order = np.lexsort(rows.T[::-1])
+    rows, c = rows[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _counted(batches: Iterator[pa.RecordBatch], ahead: int, numbers, count: Callable) -> Iterator[tuple[str, Numbers, np.ndarray, np.ndarray]]:
+    """(language, its numbers, rows, how often) of count(numbers, ids, starts) -> rows of a chunk; rows are added up over chunks until ``HELD`` distinct ones are held."""
+    held: dict[str, list] = {}
+    for lang, ids, starts, own in chunks(batches, ahead, numbers):
+        rows = count(own, ids, starts)
+        now = [own, *added(rows, np.ones(len(rows), np.int64))]
+        if lang in held:
+            before = held.pop(lang)
+            if before[0] is own:
+                now[1:] = added(np.concatenate([before[1], now[1]]), np.concatenate([before[2], now[2]]))
+            else:
+                yield lang, *before
+        held[lang] = now
+        if len(now[1]) >= HELD:
+            yield lang, *held.pop(lang)
+    for lang, now in held.items():
+        yield lang, *now
+
+
+def _mapped(source: DataFrame, ahead: int, numbers, count: Callable, schema: str) -> DataFrame:
+    """Rows (lang, words, c) of _counted(), whose rows are word numbers."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, starts, words in chunks(batches, ahead):
-            columns, c = count(lang, ids, starts, words)
+        for lang, own, rows, c in _counted(batches, ahead, numbers, count):
             for lo in range(0, len(c), 100_000):
                 at = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c[at]), pa.string()), *(_strings(words, x[at]) for x in columns), pa.array(c[at], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c[at]), pa.string()), *(_strings(own.words, x) for x in rows[at].T), pa.array(c[at], pa.int64())], names=names)
 
     return source.mapInArrow(run, schema)
 
 
-def _word_counts(lang: str, ids: np.ndarray, starts: int, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    c = np.bincount(ids[:starts], minlength=len(words))
-    c[0] = 0
-    return [np.flatnonzero(c)], c[c > 0]
+def _words(own: Numbers, ids: np.ndarray, starts: int) -> np.ndarray:
+    return ids[:starts][ids[:starts] != 0][:, None]
 
 
-def _good(bits: np.ndarray, width: int, lang: str, ids: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the word at each place, and whether it may be a frequent one."""
-    used, place = np.unique(ids, return_inverse=True)
-    h = hashed(lang, [words[i] for i in used])
-    good = passes(bits, h, width) & (used != 0)
-    return h[place], good[place]
+def _frequent(bits, width: int) -> Callable[[str], Numbers]:
+    return lambda lang: Frequent(lang, bits.value, width)
 
 
-def _pair_counter(bits, width: int) -> Callable:
-    def count(lang: str, ids: np.ndarray, starts: int, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        _, good = _good(bits.value, width, lang, ids, words)
-        at = np.flatnonzero(good[:-1] & good[1:])
-        at = at[at < starts]
-        code, c = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
-        return [code // len(words), code % len(words)], c
+def _pairs_of(own: Frequent, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = np.array(own.hashes, np.uint64)
+    return paired(h[ids[at]], h[ids[at + 1]])
 
-    return count
 
+def _pair_hashes(source: DataFrame, word_bits, width: int) -> DataFrame:
+    """(h, c): hashes of pairs of frequent words, and how often they occur in a part of the texts."""
 
-def _projector(word_bits, pair_bits, width: int, longest: int) -> Callable:
-    def count(lang: str, ids: np.ndarray, starts: int, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        h, good = _good(word_bits.value, width, lang, ids, words)
+    def count(own: Frequent, ids: np.ndarray, starts: int) -> np.ndarray:
+        at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+        return (_pairs_of(own, ids, at[at < starts]) >> np.uint64(64 - KEPT)).view(np.int64)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rows, c in _counted(batches, 1, _frequent(word_bits, width), count):
+            for lo in range(0, len(c), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 100_000, 0]), pa.array(c[lo : lo + 100_000])], names=["h", "c"])
+
+    return source.mapInArrow(run, "h long, c long")
+
+
+def _projector(pair_bits, width: int, longest: int) -> Callable:
+    def count(own: Frequent, ids: np.ndarray, starts: int) -> np.ndarray:
         pair = np.zeros(len(ids) + longest, bool)
-        at = np.flatnonzero(good[:-1] & good[1:])
-        pair[at] = passes(pair_bits.value, paired(h[at], h[at + 1]), width)
-        at = np.flatnonzero(pair[:-1] & pair[1:])
-        at = at[at < starts]
+        at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+        pair[at] = passes(pair_bits.value, _pairs_of(own, ids, at), width)
+        at = np.flatnonzero(pair[:starts])
         padded = np.concatenate([ids, np.zeros(longest, np.int64)])
         columns, on = [padded[at], padded[at + 1]], np.ones(len(at), bool)
         for k in range(1, longest - 1):
             on = on & pair[at + k]
             columns.append(np.where(on, padded[at + k + 1], 0))
-        if not len(at):
-            return columns, np.zeros(0, np.int64)
-        rows = np.stack(columns, 1)
-        order = np.lexsort(rows.T[::-1])
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
-        return list(rows[first].T), np.diff(np.append(first, len(rows)))
+        return np.stack(columns, 1).astype(np.int32)
 
     return count
 
@@ -208,7 +263,7 @@ def grown(rows: list[tuple], known: int, least: int) -> Iterator[tuple[tuple[str
     longest = len(rows[0]) - 1 if rows else 0
 
     def extend(lo: int, hi: int, depth: int) -> Iterator[tuple[tuple[str, ...], int]]:
-        while lo < hi and rows[lo][depth] is None:  # projections that end here sort first
+        while lo < hi and rows[lo][depth] is None:  # what ends here sorts first
             lo += 1
         while lo < hi:
             word, total, end = rows[lo][depth], 0, lo
@@ -281,23 +336,22 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
         raise ValueError("phrases have two words or more")
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    counted = _mapped(source, 0, _word_counts, "lang string, w1 string, c long").groupBy("lang", "w1").agg(F.sum("c").alias("c"))
+    counted = _mapped(source, 0, None, _words, "lang string, w1 string, c long").groupBy("lang", "w1").agg(F.sum("c").alias("c"))
     counted = written(counted, "words")
     totals = written(counted.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     words = counted.where(F.col("c") >= least)
-    word_bits = spark.sparkContext.broadcast(bitmap(words, ["w1"], bits))
-    pairs = _mapped(source, 1, _pair_counter(word_bits, bits), "lang string, w1 string, w2 string, c long")
-    pairs = written(pairs.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("a")).where(F.col("a") >= least), "pairs")
-    one = words.select("lang", F.array("w1").alias("words"), F.col("c").alias("a"))
-    two = pairs.select("lang", F.array("w1", "w2").alias("words"), "a")
-    if longest == 2:
-        return written(one.unionByName(two), "phrases"), totals
-    pair_bits = spark.sparkContext.broadcast(bitmap(pairs, ["w1", "w2"], bits))
+    word_bits = spark.sparkContext.broadcast(bitmap(_word_hashes(words), bits))
+    hashes = _pair_hashes(source, word_bits, bits).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    pair_bits = spark.sparkContext.broadcast(bitmap(hashes, bits))
     names = [f"w{k}" for k in range(1, longest + 1)]
-    runs = _mapped(source, longest - 1, _projector(word_bits, pair_bits, bits, longest), ", ".join(["lang string", *(f"{w} string" for w in names), "c long"]))
+    runs = _mapped(source, longest - 1, _frequent(word_bits, bits), _projector(pair_bits, bits, longest), ", ".join(["lang string", *(f"{w} string" for w in names), "c long"]))
     runs = written(runs.groupBy("lang", *names).agg(F.sum("c").alias("c")), "projections")
-    phrases = written(one.unionByName(two).unionByName(_deepened(runs, names, least, rows)), "phrases")
-    return phrases, totals
+    one = words.select("lang", F.array("w1").alias("words"), F.col("c").alias("a"))
+    pairs = runs.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
+    phrases = one.unionByName(pairs.select("lang", F.array("w1", "w2").alias("words"), "a"))
+    if longest > 2:
+        phrases = phrases.unionByName(_deepened(runs.where("w3 is not null"), names, least, rows))
+    return written(phrases, "phrases"), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

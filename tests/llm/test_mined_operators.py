@@ -63,13 +63,16 @@ def mined(spark, made, **options):
     return sorted(map(tuple, phrases.collocations(df, **options).collect()))
 
 
-@pytest.mark.parametrize("options", [{}, {"rows": 3}, {"rows": 1}, {"bits": 6}, {"top": 7}])
+@pytest.mark.parametrize("options", [{}, {"rows": 3}, {"rows": 1}, {"bits": 6}, {"top": 7}, {"longest": 2}, {"longest": 3}])
 def test_phrases_are_those_of_plain_counting(spark, options):
     rows = texts(3)
-    assert mined(spark, rows, least=4, **options) == plainly(rows, 4, top=options.get("top", 2000))
+    assert mined(spark, rows, least=4, **options) == plainly(rows, 4, options.get("longest", 5), options.get("top", 2000))
 
 
 def test_phrases_over_the_ends_of_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ROOM", 30)
+    monkeypatch.setattr(phrases, "RARE", 3)
+    monkeypatch.setattr(phrases, "HELD", 5)
     monkeypatch.setattr(phrases, "CHUNK", 50)
     monkeypatch.setattr(phrases, "BLOCK", 40)
     rows = [*texts(5, 20), (" ".join(random.Random(1).choice("ab") for _ in range(4_000)), "en"), ("w" * 500 + " a b", "en")]
@@ -86,11 +89,11 @@ def test_chunks_count_every_start_once(monkeypatch, block, chunk):
     batch = pa.RecordBatch.from_arrays([pa.array([x or "und" for _, x in rows]), pa.array([t or "" for t, _ in rows])], names=["lang", "body"])
     for m in (1, 2, 5):
         got = Counter()
-        for lang, ids, starts, words in phrases.chunks(iter([batch]), m - 1):
+        for lang, ids, starts, numbers in phrases.chunks(iter([batch]), m - 1):
             for i in range(starts):
                 g = ids[i : i + m]
                 if len(g) == m and g.all():
-                    got[(lang, b" ".join(words[j] for j in g).decode())] += 1
+                    got[(lang, b" ".join(numbers.words[j] for j in g).decode())] += 1
         want = Counter()
         for text, lang in rows:
             for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
