@@ -147,7 +147,7 @@ def grow(ends: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     )
     # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
     within = Window.partitionBy(*keys, "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys, "parent").orderBy("tid").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "parent").orderBy(F.col("tid").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
     best = both.withColumn("i_best", F.max("iu").over(within)).withColumn("s_best", F.max("iu").over(before)).where("item is not null")
     child = lambda inside, top: F.when(top.isNotNull(), F.struct(F.lit(inside).alias("inside"), (top + F.col("util")).alias("iu")))
     children = F.filter(F.array(child(False, F.col("s_best")), child(True, F.col("i_best"))), lambda x: x.isNotNull())

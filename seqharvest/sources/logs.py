@@ -7,13 +7,10 @@ Rows whose util is not over 0, or that lack a field, go.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.incremental import ranked
+from .archives import read_workbook, read_zipped_csv
 from .qsdb import numbered_lines, read_sequences
 
 
@@ -30,6 +27,7 @@ def _joined(*names: str) -> Column:
     return F.concat(*[x for n in names for x in (F.lit("|"), F.col(n))][1:])
 
 
+# The logs' column names, keys of baskets and items, and scales of money.
 #: Kind of log -> its columns as (cust, basket, day, item, util); all fields are read as text.
 KINDS = {
     "tafeng": lambda: (F.col("CUSTOMER_ID"), _joined("CUSTOMER_ID", "TRANSACTION_DT"), F.unix_date(F.to_date("TRANSACTION_DT", "M/d/yyyy")), F.col("PRODUCT_ID"), _scaled(F.col("SALES_PRICE"), 1)),
@@ -54,63 +52,18 @@ def from_log(fields: DataFrame, kind: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """rows of CSV files with a header (online_retail: a workbook)."""
+    """rows of CSV files with a header (rees46: in zip archives too; online_retail: a workbook)."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind of log: {kind}")
-    fields = read_workbook(spark, path, "Invoice") if kind == "online_retail" else spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    if kind == "online_retail":
+        fields = read_workbook(spark, path, ["Invoice", "StockCode", "Quantity", "InvoiceDate", "Price", "Customer ID"])
+    elif path.lower().endswith(".zip"):
+        fields = read_zipped_csv(spark, path, ["event_time", "event_type", "product_id", "price", "user_id", "user_session"])
+    else:
+        fields = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     return from_log(fields, kind)
 
 
-def read_workbook(spark: SparkSession, path: str, first: str) -> DataFrame:
-    """Rows of all sheets of xlsx files, as text columns named by the header, the row that begins with ``first``.  A file is a task, read sheet by sheet."""
-
-    def cells(content: bytes) -> Iterator[list[str]]:
-        import io
-        import re
-        import zipfile
-        from xml.etree import ElementTree
-
-        tag = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-        text = lambda e: "".join(t.text or "" for t in e.iter(tag + "t"))
-        with zipfile.ZipFile(io.BytesIO(content)) as book:
-            strings = []
-            if "xl/sharedStrings.xml" in book.namelist():
-                strings = [text(e) for e in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot().iter(tag + "si")]
-            sheets = [(int(m[1]), n) for n in book.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n))]
-            for _, sheet in sorted(sheets):
-                for _, row in ElementTree.iterparse(book.open(sheet)):
-                    if row.tag != tag + "row":
-                        continue
-                    out: dict[int, str] = {}
-                    for c in row.iter(tag + "c"):
-                        at = 0
-                        for letter in re.match("[A-Z]+", c.get("r"))[0]:
-                            at = at * 26 + ord(letter) - 64
-                        v = c.find(tag + "v")
-                        out[at - 1] = text(c) if v is None else strings[int(v.text)] if c.get("t") == "s" else v.text
-                    yield [out.get(i, "") for i in range(1 + max(out, default=-1))]
-                    row.clear()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                header, held = None, []
-                for row in cells(content.as_py()):
-                    if row and row[0] == first:
-                        header = row
-                    elif header and row:
-                        held.append(json.dumps({k: v for k, v in zip(header, row) if v != ""}))
-                    if len(held) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["row"])
-                        held = []
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["row"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row string")
-    names = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"] if first == "Invoice" else sorted({k for r in rows.select(F.explode(F.json_object_keys("row")).alias("k")).distinct().collect() for k in r})
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return rows.select(F.from_json("row", schema).alias("r")).select("r.*")
-
-
 def encoded(rows: DataFrame, column: str, out: str) -> DataFrame:
     """rows with ``out``, a dense number from 0 of the column's values in ascending order.  Values are numbered range by range, so no task sorts them all."""
     codes = ranked(rows.select(column).where(F.col(column).isNotNull()).distinct(), column).withColumnRenamed("number", out)

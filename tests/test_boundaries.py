@@ -20,22 +20,6 @@ TOY = [
 ]
 TOY_COUNTS = {0.10: 13, 0.05: 118, 0.02: 157}
 
-ONE = {i: 1 for i in range(1, 9)}
-#: Kind of boundary -> profits, sequences.
-BOUNDARIES = {
-    "one item in one sequence": ({1: 3}, [[[(1, 2)]]]),
-    "all sequences equal": (ONE, [[[(1, 2)], [(2, 1), (3, 1)]]] * 4),
-    "an item after itself": (ONE, [[[(1, 1)], [(1, 3)], [(1, 2)]], [[(1, 1)], [(1, 1)]]]),
-    "several occurrences of one pattern": ({1: 2, 2: 5}, [[[(1, 1)], [(2, 1)], [(1, 4)], [(2, 2)]], [[(2, 1)], [(1, 1)]]]),
-    "wide itemsets": (ONE, [[[(i, i) for i in range(1, 7)]], [[(i, 7 - i) for i in range(1, 7)]]]),
-    "equal weighted utilities": ({1: 4, 2: 2, 3: 1}, [[[(1, 1), (2, 2), (3, 4)]], [[(3, 4)], [(2, 2)], [(1, 1)]]]),
-    "nothing after the last item": (ONE, [[[(1, 9)]], [[(2, 1)], [(1, 9)]]]),
-    "longer and longer itemsets": (ONE, [[[(1, 1)], [(1, 1), (2, 1)], [(1, 1), (2, 1), (3, 1)], [(1, 1), (2, 1), (3, 1), (4, 1)]]]),
-    "a pattern right at the threshold": (ONE, [[[(1, 5)]], [[(2, 95)]]]),
-    "a pattern that is not extended": ({1: 10, 2: 1}, [[[(1, 10)], [(2, 1)]], [[(1, 10)]]]),
-}
-
-
 @pytest.mark.parametrize("xi", sorted(TOY_COUNTS))
 def test_toy_database(spark, xi):
     rows = raw_rows(TOY, TOY_PROFITS)
@@ -43,14 +27,45 @@ def test_toy_database(spark, xi):
     assert found.total == 167 and found.patterns().count() == TOY_COUNTS[xi]
 
 
-def test_boundaries(spark):
-    # one table: the databases lie side by side as their own items and sequences, each mined by itself
-    for name, (profits, db) in BOUNDARIES.items():
-        rows = raw_rows(db, profits)
-        pos = positions(spark.createDataFrame(rows, SCHEMA))
-        assert as_set(mine(pos, 0.05).patterns()) == answer(rows, 0.05), name
-    pos = positions(spark.createDataFrame(raw_rows(BOUNDARIES["wide itemsets"][1], ONE), SCHEMA))
-    assert as_set(mine(pos, 0.05, options=Options(eucs=True)).patterns()) == answer(raw_rows(BOUNDARIES["wide itemsets"][1], ONE), 0.05)
+#: Where this engine's own steps have edges -> rows.
+EDGES = {
+    # names are joined from numbers: 1 then 2 must not be taken for 12, nor 11 after 1 for 1 after 11
+    "numbers that run together": [(0, 0, 1, 5), (0, 1, 2, 5), (0, 2, 12, 7), (1, 0, 11, 4), (1, 1, 1, 9), (2, 0, 1, 3), (2, 0, 11, 3)],
+    # positions() sums repeats and drops what has no utility before it numbers positions
+    "repeats, nothing and nulls": [(0, 0, 3, 2), (0, 0, 3, 5), (0, 1, 4, 0), (0, 1, 5, -3), (0, 2, 4, 6), (None, 0, 3, 9), (1, None, 3, 9), (1, 0, None, 9), (1, 1, 4, 1)],
+    # itemsets are ordered by number, items inside them too, however rows arrive
+    "rows in no order": [(0, 9, 2, 4), (0, -4, 7, 3), (0, 9, 1, 8), (0, 0, 7, 2), (0, -4, 1, 6)],
+    # the largest numbers that columns hold
+    "large numbers": [(2**62, 2**31 - 1, 2**31 - 1, 2**40), (2**62, -(2**31), 2**31 - 1, 2**41), (-(2**62), 0, 5, 2**42)],
+    # a share begins at its own first item: the last share has a single one, and items come back later
+    "a sequence of many shares": [(0, t, i, 1 + (t * i) % 5) for t, i in enumerate([1, 2, 1, 3, 2, 4, 1, 5])] + [(1, 0, 5, 2)],
+    # more sequences than partitions, each of one position: no frontier after the first
+    "single positions": [(s, 0, s % 3, s + 1) for s in range(40)],
+}
+
+
+def known(rows):
+    """The rows that count, repeats summed."""
+    out = {}
+    for s, t, i, u in rows:
+        if None not in (s, t, i) and u > 0:
+            out[s, t, i] = out.get((s, t, i), 0) + u
+    return [(*k, u) for k, u in out.items()]
+
+
+@pytest.mark.parametrize("name", EDGES)
+def test_edges(spark, monkeypatch, name):
+    monkeypatch.setattr(search, "HEAVY", 3)
+    rows = EDGES[name]
+    pos = positions(spark.createDataFrame(rows, SCHEMA))
+    assert as_set(mine(pos, 0.06).patterns()) == answer(known(rows), 0.06)
+
+
+def test_a_threshold_that_is_met_exactly(spark):
+    rows = [(0, 0, 1, 25), (0, 1, 2, 50), (1, 0, 3, 25)]
+    pos = positions(spark.createDataFrame(rows, SCHEMA))
+    # 0.25 of 100 is a double without error: utilities of 25 and 75 / 3 reach it
+    assert as_set(mine(pos, 0.25).patterns()) == {("<(1)>", 25, 1), ("<(2)>", 50, 1), ("<(3)>", 25, 1), ("<(1)(2)>", 75, 1)}
 
 
 def generated(seed):

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from seqharvest.sources import logs, qsdb
+from seqharvest.sources import archives, logs, qsdb
 
 ROWS = "cust long, basket long, day int, item long, util long"
 
@@ -51,6 +51,32 @@ def test_workbook(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("13085", "489434", 40148, "85048", 83400), ("17850", "5", 40200, "y", 1000)]
 
 
+def test_workbook_of_odd_form(spark, tmp_path):
+    """Cells and rows without references, inline and rich strings, a remark above the header, columns in another order, a sheet without a header."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    strings = f"<sst {ns}><si><t>Price</t></si><si><r><t>Stock</t></r><r><t>Code</t></r><rPh><t>no</t></rPh></si><si><t>x &amp; y</t></si></sst>"
+    inline = lambda v: f"<c t='inlineStr'><is><t>{v}</t></is></c>"
+    head = "<row>" + inline("Customer ID") + "<c t='s'><v>0</v></c><c t='s'><v>1</v></c>" + "".join(map(inline, ["Invoice", "InvoiceDate", "Quantity"])) + "</row>"
+    rows = "<row>" + inline("remark") + "</row>" + head + "<row><c><v>7.0</v></c><c><v>2.5</v></c><c t='s'><v>2</v></c>" + inline("i1") + "<c r='F4'><v>4</v></c><c r='E4'><v>40000.5</v></c></row>"
+    rows += "<row r='900'><c r='AA900'><v>1</v></c><c r='A900'/></row>"
+    with zipfile.ZipFile(tmp_path / "odd.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", strings)
+        z.writestr("xl/worksheets/first.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/second.xml", f"<worksheet {ns}><sheetData><row>{inline('nothing')}</row></sheetData></worksheet>")
+    got = logs.read_log(spark, str(tmp_path / "odd.xlsx"), "online_retail")
+    assert [tuple(r) for r in got.collect()] == [("7", "i1", 40000, "x & y", 10000)]
+    assert archives._column("A9") == 1 and archives._column("Z1") == 26 and archives._column("AB12") == 28
+
+
+def test_zipped_log(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "log.zip", "w") as z:
+        z.writestr("a/2019.csv", '\ufeffevent_time,event_type,product_id,price,user_id,user_session\r\n2019-10-01 00:00:01 UTC,purchase,"p,1",35.79,u,s\r\n2019-10-01 00:00:01 UTC,view,p,1,u,s\r\n')
+        z.writestr("b.csv", "user_id,price,product_id,event_type,event_time\nv,2,q,purchase,2019-10-02 00:00:01 UTC\n")
+        z.writestr("readme.txt", "nothing")
+    got = logs.read_log(spark, str(tmp_path / "log.zip"), "rees46")
+    assert sorted(map(tuple, got.collect())) == [("u", "u|s", 18170, "p,1", 3579), ("v", "v|", 18171, "q", 200)]
+
+
 def test_export_and_keyed_feed(spark, tmp_path):
     rows = [(1, 10, 1, 5, 2), (1, 10, 1, 3, 1), (1, 10, 1, 3, 4), (2, 11, 1, 5, 7), (1, 12, 8, 4, 6), (3, 13, 9, 4, 1)]
     schedule = spark.createDataFrame([(1, 5, 20)], "batch int, first_day int, end_day int")
