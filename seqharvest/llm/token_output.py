@@ -283,7 +283,7 @@ def unpack(payload: bytes, checkpoints: bytes, n: int, ids: np.ndarray, size: np
 
 
 def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Blocks of ids in ascending doc_id order: part, start (in the part), doc_ids, n_tokens, ids.
+    """Blocks of ids in ascending doc_id order (nulls first; rows of one id by their text's hash): part, start (in the part), doc_ids, n_tokens, ids.
 
     The last row of a part has no ids: it lists the part's distinct ids (as doc_ids) and how often each occurs (as n_tokens).
     """
@@ -292,7 +292,9 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     with open(tokenizer, encoding="utf-8") as file:
         described = spark.sparkContext.broadcast(file.read())
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc(), "text")
+    # rows of one id, or without one, may be many: the text's hash deals them out, and orders them
+    order = (F.col("doc_id").asc(), F.xxhash64("text").asc())
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
