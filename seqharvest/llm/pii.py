@@ -2,7 +2,7 @@
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, the
 mod-97 rule for IBANs, value ranges for IP parts, digit counts for cards and
-phones), and context words before a span adjust its score.
+phones), and context words near a span, up to ``AROUND`` characters before or after it, adjust its score.
 
 The patterns below give the matches of the plain ones in ``KINDS`` but start
 only where a match can start and never step back, so that long runs take
@@ -11,7 +11,7 @@ start inside such a run, and an e-mail's local part not inside its own run,
 unless another match has just ended there.
 
 Scores: 0.5 for a pattern, +0.4 if a validator confirmed it, +0.3 with a
-context word, at most 1.  Kinds without a validator of their own (secret) are
+context word on either side, at most 1.  Kinds without a validator of their own (secret) are
 reported from ``LEAST`` on, that is, with a context word.
 
 Defined results: a null text is empty and has no spans.  Positions are code
@@ -117,6 +117,8 @@ def _spans(text: Column, kind: str) -> Column:
 
     placed = F.aggregate(found, start, step, lambda acc: acc["out"])
     before = lambda s: F.substr(text, F.greatest(F.lit(1), s["start"] + 1 - AROUND), F.least(s["start"], F.lit(AROUND)))
+    after = lambda s: F.substr(text, s["start"] + F.length(s["m"]) + 1, F.lit(AROUND))
+    near = lambda s: before(s).rlike(CONTEXT[kind]) | after(s).rlike(CONTEXT[kind])
     sure = 0.5 if kind in ("secret", "email") else 0.9
     scored = F.transform(
         placed,
@@ -124,7 +126,7 @@ def _spans(text: Column, kind: str) -> Column:
             F.lit(kind).alias("kind"),
             s["start"].alias("start"),
             (s["start"] + F.length(s["m"])).alias("end"),
-            F.least(F.lit(1.0), F.lit(sure) + F.when(before(s).rlike(CONTEXT[kind]), 0.3).otherwise(0.0)).alias("score"),
+            F.least(F.lit(1.0), F.lit(sure) + F.when(near(s), 0.3).otherwise(0.0)).alias("score"),
             s["m"].alias("match"),
         ),
     )

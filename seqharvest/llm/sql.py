@@ -76,7 +76,7 @@ _PII = {
     "card": (2, r"[0-9](?:[\x20-]?[0-9])+", "length(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(g)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(g[length(g) - k] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(g[length(g) - k] AS INTEGER) + 1] END)) % 10 = 0"),
     "phone": (3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) BETWEEN 9 AND 15"),
     "iban": (4, _IBAN, f"body = ltrim_m AND length({_FLAT}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split({_FLAT}[5:] || {_FLAT}[:4], ''), lambda x: CASE WHEN x <= '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)), lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1"),
-    "secret": (5, r"[A-Za-z0-9_-]+", f"length(m) BETWEEN 32 AND 128 AND regexp_matches(m, '^[A-Za-z0-9]') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(t[greatest(1, a + 1 - {AROUND}) : a], '{CONTEXT['secret']}')"),
+    "secret": (5, r"[A-Za-z0-9_-]+", f"length(m) >= 32 AND regexp_matches(m, '^[A-Za-z0-9]') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND (regexp_matches(t[greatest(1, a + 1 - {AROUND}) : a], '{CONTEXT['secret']}') OR regexp_matches(t[a + 1 + length(m) : a + length(m) + {AROUND}], '{CONTEXT['secret']}'))"),
 }
 
 

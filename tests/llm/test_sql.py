@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 def made(seed):
     """Texts of licence words, personal data, recurring templates and odd characters."""
     rng = random.Random(seed)
-    data = ["mail a.b@c.de", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "+1 (310) 555-4510", "IBAN GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "token = " + "a1" * 20, "b2" * 20, "é😀", "\t", "", "  "]
+    data = ["mail a.b@c.de", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "+1 (310) 555-4510", "IBAN GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "token = " + "a1" * 20, "b2" * 20, "c3" * 90 + " password", "é😀", "\t", "", "  "]
     notes = [*license_scan.TEMPLATES.values(), "MIT license", "GNU General Public License", "apache license, apache license"]
     lines = ["Error in module disk while reading block from {}", "Page {} of 10", "The quick brown {} jumps over dogs today", "Read more about our many offers"]
     fill = ["alpha", "beta", "gamma", "7", "x9", "delta"]

@@ -154,6 +154,19 @@ def test_tokens_round_trip(spark, odd, empty, docs, tmp_path):
     assert token_output.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_rows_without_an_id_are_dealt_out(spark, tmp_path):
+    import public_tokenizers
+
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, f"text {i} of many") for i in range(10_000)] + [(7, "x"), (None, None), (-3, "y")], "doc_id long, text string")
+    parts = token_output.tokenized(docs, name).where("start is not null").groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 5_000
+    token_output.write(docs, str(tmp_path / "f"), name)
+    got = sorted(token_output.read(spark, str(tmp_path / "f")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 10_001 + [-3, 7]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+
+
 def test_encoder_on_odd_spaces():
     import public_tokenizers
 
@@ -364,6 +377,14 @@ def test_personal_data(spark, odd, empty):
     assert cut == {1: "mail [email] now", 2: None}
 
 
+def test_context_on_either_side(spark):
+    key = "a1" * 20
+    texts = [f"{key} is the token", f"token: {key}", f"{key} {'x' * 40} token", f"{'token'.ljust(45)}{key}", f"{key}\n(password)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: len(r["secret_spans"]) for r in pii.find(docs, keep=["doc_id"]).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_ibans_before_capitals_and_long_secrets(spark):
     texts = ["IBAN ES91 2100 0418 4502 0005 1332 BIC X", "IBAN BE68 5390 0754 7034 EUR", "IBAN BE68539007547034 BIC", "IBAN AT61 1904 3002 3457 3201 BIC", "IBAN GB82 WEST 1234 5698 7654 32 EUR", "IBAN BE69 5390 0754 7034 EUR", "token = " + "a1" * 64, "token = " + "a1" * 100]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
