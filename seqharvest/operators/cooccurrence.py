@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import cut
+from .mine import item_swu
+
 
 def _ends(pos: DataFrame) -> DataFrame:
     return pos.groupBy("sid", "item").agg(F.min("tid").alias("first"), F.max("tid").alias("last"), F.max("su").alias("su"))
@@ -30,8 +33,13 @@ def i_pairs(pos: DataFrame) -> DataFrame:
 
 
 def pair_filter(pos: DataFrame, theta: float) -> DataFrame:
-    """(kind, last_item, new_item) of the extensions that reach theta; sound for patterns of any length."""
+    """(kind, last_item, new_item) of the extensions that reach theta; sound for patterns of any length.
+
+    A pair's sum is at most that of either item, so items below theta form no pairs.
+    """
     enough = F.col("swu") >= theta
+    good = cut(item_swu(pos).where(enough).select("item"))
+    pos = pos.join(good, "item", "left_semi")
     s = s_pairs(pos).where(enough).select(F.lit("s").alias("kind"), F.col("a").alias("last_item"), F.col("b").alias("new_item"))
     own = self_pairs(pos).where(enough).select(F.lit("s").alias("kind"), F.col("item").alias("last_item"), F.col("item").alias("new_item"))
     i = i_pairs(pos).where(enough).select(F.lit("i").alias("kind"), F.col("a").alias("last_item"), F.col("b").alias("new_item"))

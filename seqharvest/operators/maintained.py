@@ -44,8 +44,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 class Maintained:
     """Mining at the ratio xi in a store of tables at path: add() takes raw(sid, tid, item, util), tid ordering a sequence's itemsets inside the batch."""
 
-    def __init__(self, spark: SparkSession, path: str, xi: float, *, margin: float = 0.1, buckets: int = 64, audit: bool = False):
-        self.spark, self.path, self.xi, self.margin, self.buckets = spark, path.rstrip("/"), xi, margin, buckets
+    def __init__(self, spark: SparkSession, path: str, xi: float, *, margin: float = 0.1, buckets: int | None = None, audit: bool = False):
+        """buckets: of a new store, as many as shuffles have partitions if not given."""
+        self.spark, self.path, self.xi, self.margin = spark, path.rstrip("/"), xi, margin
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: With audit: stored rows that each batch read, and rows that were stored before it.
         self.audit, self.read_rows, self.stored_rows = audit, {}, {}
         self.total, self.version, self.depth = 0, -1, {}
@@ -53,8 +55,9 @@ class Maintained:
             for r in spark.read.parquet(f"{self.path}/manifest").orderBy("batch").collect():
                 if r["batch"] == self.version + 1:
                     self.version, self.total, self.depth[r["batch"]] = r["batch"], r["total"], r["depth"]
-                    if r["xi"] != xi or r["buckets"] != buckets:
+                    if r["xi"] != xi or buckets not in (None, r["buckets"]):
                         raise ValueError("the store was made for another ratio or number of buckets")
+                    self.buckets = r["buckets"]
 
     def _there(self, path: str) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)

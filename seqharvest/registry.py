@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import appends, cooccurrence as co, incremental as inc, layer1, probes, profile, results, topk
+from .operators.maintained import Maintained
 from .operators.mine import Options, item_swu, mine, positions
 from .operators.tree import PatternTree
 from .plans.oracle import hausp_sql, mine_sql, pos_sql
 from .sources import logs, tables as T
+from .storage import cut, held_path
 
 #: Ratio and longest searched length of the order-year sequences; the first year of the append batch.
 XI, LMAX, FIRST_NEW = 0.03, 5, 2000
@@ -202,6 +204,28 @@ def mine_hausp_pair_filter(spark, d):
     return mine(years(spark, d), XI, options=Options(eucs=True)).patterns()
 
 
+#: Threshold of the searches over all parts, as a share of the mean item's utility, and the most items that their patterns have.
+MEAN_SHARE, LINES_LMAX = 1.0, 8
+MINED_LINES = f"{ON_LINES}, {mine_sql(LINES_LMAX, theta=f'(SELECT CAST({MEAN_SHARE} AS DOUBLE) * sum(util) / count(DISTINCT item) FROM pos)')}"
+
+
+def _lines_mined(spark, d, **options):
+    pos = cut(line_pos(spark, d))
+    total, items = pos.agg(F.sum("util"), F.countDistinct("item")).first()
+    return mine(pos, theta=MEAN_SHARE * total / items, options=Options(**options))
+
+
+@query(f"{MINED_LINES} {hausp_sql()}")
+def mine_lines(spark, d):
+    """Thousands of items: the patterns of order lines whose average utility is at least that of the mean item."""
+    return _lines_mined(spark, d).patterns()
+
+
+@query(f"{MINED_LINES} {hausp_sql()}")
+def mine_lines_pair_filter(spark, d):
+    return _lines_mined(spark, d, eucs=True).patterns()
+
+
 WEEK_XI, WEEK_LMAX = 0.12, 8
 
 
@@ -373,6 +397,35 @@ def append_prefix(spark, d):
     return mine(positions(inc.append(old, batch)), XI).patterns()
 
 
+#: Years that the append batches of the maintained search begin with.
+APPEND_YEARS = [1999, 2000, 2001]
+
+
+@query(f"{MINED} {hausp_sql()}")
+def append_maintained(spark, d):
+    """Years up to 1998 stored, then three years appended, each by a batch that extends its own tails; the answer after the last."""
+    raw, year = T.order_years(spark, d), F.col("tid")
+    kept = Maintained(spark, held_path(spark, "maintained"), XI)
+    for first, end in zip([None, *APPEND_YEARS], [*APPEND_YEARS, None]):
+        part = raw if first is None else raw.where(year >= first)
+        found = kept.add(part if end is None else part.where(year < end))
+    return found.patterns()
+
+
+TEN = inc.equal_schedule(10)
+
+
+@query(_by_batch_sql(f"{_batch_sql(TEN)}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 10))
+def ten_batches_hausp(spark, d):
+    """The answers after each of ten equal batches of new sequences, from one store."""
+    raw = cut(inc.with_batch(T.order_years(spark, d), TEN))
+    kept, out = Maintained(spark, held_path(spark, "maintained"), XI), None
+    for b in range(10):
+        found = kept.add(raw.where(F.col("batch_id") == b).drop("batch_id")).patterns().select(F.lit(b).alias("batch_id"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"{MINED} {hausp_sql()}")
 def append_rewrite(spark, d):
     """The same batch in the rewrite form."""

@@ -85,6 +85,13 @@ def _owned(spark: SparkSession, path: str, outlives: bool) -> None:
         _RESULTS.append((spark, path))
 
 
+def held_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a caller's own files; they are deleted like a table."""
+    path = table_path(spark, name)
+    _owned(spark, path, False)
+    return path
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd", *, outlives: bool = False) -> DataFrame:
     """Write df to the shared folder and return it as read back.  outlives: the table belongs to the block of steps around the innermost one."""
     spark = df.sparkSession

@@ -1,31 +1,28 @@
 """Mining over a stream of batches.
 
-Every micro-batch appends its rows to a store of raw rows, one folder per
-batch, and writes the patterns of all rows so far, one folder per batch.  A
-batch that ran before is not added again, so a restarted query repeats nothing.
-The threshold is global, so mining stands in foreachBatch, not in keyed state.
+The state of the search is a store of tables (operators/maintained.py): a micro-batch
+adds its own positions, sums and list ends to it, reads those of the sequences that it touches,
+and writes the patterns of all rows so far, one folder per batch.  The store's
+manifest tells which batches are in it, so a query that is started again repeats nothing.  The
+threshold is global, so mining stands in foreachBatch, not in keyed state.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import numbered_parts
-from ..operators.mine import mine, positions
+from ..operators.maintained import Maintained
 
 
-def start(stream: DataFrame, xi: float, *, store: str, answers: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """stream(sid, tid, item, util): tid orders the itemsets of a key inside its batch; appended parts open new itemsets."""
+def start(stream: DataFrame, xi: float, *, store: str, answers: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
+    """stream(sid, tid, item, util): tid orders the itemsets of a key inside its batch; appended parts open new itemsets.  options: those of the store."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = f"{store}/batch_id={batch_id}"
-        batch.select("sid", "tid", "item", "util").write.mode("overwrite").parquet(part)
-        rows = spark.read.option("basePath", store).parquet(store).where(F.col("batch_id") <= batch_id)
-        whole = numbered_parts(rows.withColumn("part_seq", F.lit(0)))
-        mine(positions(whole), xi).patterns().write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
+        kept = Maintained(batch.sparkSession, store, xi, **options)
+        # a batch that is stored already had its answer written, or has it written now: only the last one can be repeated
+        if batch_id >= kept.version:
+            kept.add(batch.select("sid", "tid", "item", "util"), batch_id).patterns().write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,40 +9,35 @@ from seqharvest.operators.maintained import Maintained
 from test_mining import SCHEMA, answer, as_set, random_rows
 
 
-def in_batches(seed, batches=4):
+def in_batches(seed, batches=3):
     """Rows of each batch, and all rows so far with itemsets numbered as they arrive: parts of stored sequences, and new sequences."""
     rng = random.Random(seed)
     rows = random_rows(seed)
     sets = sorted({(r[0], r[1]) for r in rows})
     last, when = {}, {}
     for sid, tid in sets:  # a sequence's itemsets arrive in their order
-        last[sid] = max(last.get(sid, 0), rng.choice([0, 0, 0, 1, 2, 3]))
+        last[sid] = max(last.get(sid, 0), rng.choice([0, 0, 1, 2]))
         when[sid, tid] = last[sid]
     for b in range(batches):
         yield [r for r in rows if when[r[0], r[1]] == b], [r for r in rows if when[r[0], r[1]] <= b]
 
 
-@pytest.mark.parametrize("seed,margin", [(5, 0.1), (6, 0.0), (7, 0.3), (8, 0.05)])
+@pytest.mark.parametrize("seed,margin", [(5, 0.1), (6, 0.0)])
 def test_appends_equal_mining_anew(spark, tmp_path, seed, margin):
-    kept = Maintained(spark, str(tmp_path), 0.08, margin=margin, buckets=4)
-    for new, so_far in in_batches(seed):
-        assert as_set(kept.add(spark.createDataFrame(new, SCHEMA)).patterns()) == answer(so_far, 0.08)
-
-
-def test_terms_are_those_of_a_search(spark, tmp_path):
     from seqharvest.operators.mine import mine, positions
 
-    kept = Maintained(spark, str(tmp_path), 0.08, buckets=4)
-    for new, so_far in in_batches(11):
+    kept = Maintained(spark, str(tmp_path), 0.1, margin=margin, buckets=4)
+    for new, so_far in in_batches(seed):
         found = kept.add(spark.createDataFrame(new, SCHEMA))
-    want = {r["pat"]: (r["u"], r["bound"], r["support"]) for r in mine(positions(spark.createDataFrame(so_far, SCHEMA)), 0.08).nodes().collect()}
+        assert as_set(found.patterns()) == answer(so_far, 0.1)
+    want = {r["pat"]: (r["u"], r["bound"], r["support"]) for r in mine(positions(spark.createDataFrame(so_far, SCHEMA)), 0.1).nodes().collect()}
     got = {r["pat"]: (r["u"], r["bound"], r["support"]) for r in found.nodes().collect()}
     assert set(want) <= set(got) and all(got[p] == want[p] for p in want)
 
 
 def test_restart_empty_batch_and_repeats(spark, tmp_path, monkeypatch):
     batches = list(in_batches(9))
-    kept = Maintained(spark, str(tmp_path), 0.1, buckets=4)
+    kept = Maintained(spark, str(tmp_path), 0.15, buckets=4)
     assert as_set(kept.add(spark.createDataFrame([], SCHEMA)).patterns()) == set()
     kept.add(spark.createDataFrame(batches[0][0], SCHEMA))
     # a batch that breaks off leaves nothing behind
@@ -50,11 +45,11 @@ def test_restart_empty_batch_and_repeats(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         kept.add(spark.createDataFrame(batches[1][0], SCHEMA))
     monkeypatch.undo()
-    again = Maintained(spark, str(tmp_path), 0.1, buckets=4)
-    assert again.version == 1 and as_set(again.answer().patterns()) == answer(batches[0][1], 0.1)
-    assert as_set(again.add(spark.createDataFrame(batches[1][0], SCHEMA), 2).patterns()) == answer(batches[1][1], 0.1)
-    assert as_set(again.add(spark.createDataFrame(batches[1][0], SCHEMA), 2).patterns()) == answer(batches[1][1], 0.1)
-    assert as_set(again.add(spark.createDataFrame([], SCHEMA)).patterns()) == answer(batches[1][1], 0.1)
+    again = Maintained(spark, str(tmp_path), 0.15)
+    assert again.version == 1 and as_set(again.answer().patterns()) == answer(batches[0][1], 0.15)
+    assert as_set(again.add(spark.createDataFrame(batches[1][0], SCHEMA), 2).patterns()) == answer(batches[1][1], 0.15)
+    assert as_set(again.add(spark.createDataFrame(batches[1][0], SCHEMA), 2).patterns()) == answer(batches[1][1], 0.15)
+    assert as_set(again.add(spark.createDataFrame([], SCHEMA)).patterns()) == answer(batches[1][1], 0.15)
     with pytest.raises(ValueError):
         again.add(spark.createDataFrame([], SCHEMA), 9)
     with pytest.raises(ValueError):
@@ -79,6 +74,6 @@ def test_a_batch_reads_what_it_touches(spark, tmp_path):
 
 def test_shuffled_parents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(maintained, "BROADCAST_ROWS", 0)
-    kept = Maintained(spark, str(tmp_path), 0.1, buckets=2)
-    for new, so_far in in_batches(12, 3):
-        assert as_set(kept.add(spark.createDataFrame(new, SCHEMA)).patterns()) == answer(so_far, 0.1)
+    kept = Maintained(spark, str(tmp_path), 0.15, buckets=2)
+    for new, so_far in in_batches(12, 2):
+        assert as_set(kept.add(spark.createDataFrame(new, SCHEMA)).patterns()) == answer(so_far, 0.15)
