@@ -343,20 +343,25 @@ def _paths(nodes: DataFrame, threshold: float, depth: int, trees: int, recall: f
     paths = keyed.join(runs, "label").groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("tree", pa.int32()), ("label", pa.int64()), ("level", pa.int32())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, OUT):
-                part = batch.slice(lo, OUT)
-                out, labels, packed = [], [], []
-                for found in part.column(1).to_pylist():
-                    got = levels([(e["tree"], e["m0"], e["m1"], e["m2"]) for e in found], threshold, depth, trees, recall)
-                    label = [0] * trees
-                    for e in found:
-                        label[e["tree"]] = e["label"]
-                    out.append([{"tree": t, "label": label[t], "level": k} for t, k in got])
-                    labels.append(label)
-                    packed.append(sum(k << (2 * t) for t, k in got))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind), pa.array(labels, pa.list_(pa.int64())), pa.array(packed, pa.int64())], names=["node", "entries", "labels", "levels"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = part.column(1)
+                size = np.diff(found.offsets.to_numpy())
+                tree, label, *under = (found.flatten().field(c).to_numpy() for c in ("tree", "label", "m0", "m1", "m2"))
+                row, at = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)])
+                level = np.empty(len(tree), np.int32)
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                    level[x:y] = [k for _, k in levels(list(zip(*(c[x:y].tolist() for c in (tree, *under)))), threshold, depth, trees, recall)]
+                labels, packed = np.zeros((len(size), trees), np.int64), np.zeros(len(size), np.int64)
+                labels[row, tree] = label
+                np.add.at(packed, row, level.astype(np.int64) << (2 * tree.astype(np.int64)))
+                entries = pa.StructArray.from_arrays([pa.array(tree, pa.int32()), pa.array(label), pa.array(level)], names=["tree", "label", "level"])
+                every = pa.array(np.arange(0, (len(size) + 1) * trees, trees), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), entries), pa.ListArray.from_arrays(every, pa.array(labels.ravel())), pa.array(packed)],
+                    names=["node", "entries", "labels", "levels"],
+                )
 
     paths = paths.mapInArrow(run, "node long, entries array<struct<tree: int, label: long, level: int>>, labels array<long>, levels long")
     return written(paths.join(nodes.select("node", "row", "n", "copies"), "node"), "paths")
