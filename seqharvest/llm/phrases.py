@@ -40,7 +40,7 @@ KEPT = 40
 #: Words and bytes of distinct words that a mapper gathers before it emits, and bytes of text split at once.
 CHUNK, ROOM, BLOCK = 1_000_000, 1 << 25, 1 << 22
 #: Words that a mapper knows to be rare or frequent, and rows that it adds up before it emits them.
-RARE, HELD = 300_000, 500_000
+RARE, HELD = 300_000, 1_500_000
 #: Shares of a language in the first choice of its best phrases.
 SHARES = 32
 
@@ -172,33 +172,40 @@ def _strings(words: list[bytes], at: np.ndarray) -> pa.Array:
 
 
 def added(rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and their summed counts."""
-    if rows.shape[1] == 1:
-        found, place = np.unique(rows[:, 0], return_inverse=True)
-        return found[:, None], np.bincount(place, c, len(found)).astype(np.int64)
-    order = np.lexsort(rows.T[::-1])
-    rows, c = rows[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], np.add.reduceat(c, first) if len(first) else c
+    """Distinct rows and their summed counts.  Rows of several columns hold numbers of 31 bits."""
+    keys = [rows[:, 0]] if rows.shape[1] == 1 else [sum(rows[:, j].astype(np.int64) << 32 * (1 - k) for k, j in enumerate(range(i, min(i + 2, rows.shape[1])))) for i in range(0, rows.shape[1], 2)]
+    order = np.lexsort(keys[::-1])
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for key in keys:
+        key = key[order]
+        change[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(change)
+    return rows[order[first]], np.add.reduceat(c[order], first) if len(first) else c
 
 
 def _counted(batches: Iterator[pa.RecordBatch], ahead: int, numbers, count: Callable) -> Iterator[tuple[str, Numbers, np.ndarray, np.ndarray]]:
-    """(language, its numbers, rows, how often) of count(numbers, ids, starts) -> rows of a chunk; rows are added up over chunks until ``HELD`` distinct ones are held."""
-    held: dict[str, list] = {}
+    """(language, its numbers, rows, how often) of count(numbers, ids, starts) -> rows of a chunk; rows are added up over chunks while that keeps them below ``HELD``."""
+    held: dict[str, tuple[Numbers, list[np.ndarray], list[np.ndarray]]] = {}
+
+    def summed(parts) -> tuple[np.ndarray, np.ndarray]:
+        return (parts[1][0], parts[2][0]) if len(parts[1]) == 1 else added(np.concatenate(parts[1]), np.concatenate(parts[2]))
+
     for lang, ids, starts, own in chunks(batches, ahead, numbers):
         rows = count(own, ids, starts)
-        now = [own, *added(rows, np.ones(len(rows), np.int64))]
-        if lang in held:
-            before = held.pop(lang)
-            if before[0] is own:
-                now[1:] = added(np.concatenate([before[1], now[1]]), np.concatenate([before[2], now[2]]))
+        if lang in held and held[lang][0] is not own:
+            yield lang, held[lang][0], *summed(held.pop(lang))
+        parts = held.setdefault(lang, (own, [], []))
+        for column, x in zip(parts[1:], added(rows, np.ones(len(rows), np.int64))):
+            column.append(x)
+        if sum(map(len, parts[2])) >= HELD:
+            rows, c = summed(held.pop(lang))
+            if len(c) >= HELD // 2:
+                yield lang, own, rows, c
             else:
-                yield lang, *before
-        held[lang] = now
-        if len(now[1]) >= HELD:
-            yield lang, *held.pop(lang)
-    for lang, now in held.items():
-        yield lang, *now
+                held[lang] = (own, [rows], [c])
+    for lang, parts in held.items():
+        yield lang, parts[0], *summed(parts)
 
 
 def _mapped(source: DataFrame, ahead: int, numbers, count: Callable, schema: str) -> DataFrame:
