@@ -366,7 +366,7 @@ def warm_schedule(spark, d):
     return _batch_frame(spark, d, inc.warm_schedule(5, 0.5))
 
 
-def _by_batch_sql(batch_sql: str, n: int) -> str:
+def _by_batch_sql(batch_sql: str, n: int, xi: float = XI) -> str:
     parts, unions = [], []
     for b in range(n):
         pos = pos_sql(f"SELECT sid, tid, item, util FROM rb WHERE batch_id <= {b}")
@@ -374,7 +374,7 @@ def _by_batch_sql(batch_sql: str, n: int) -> str:
             import re
 
             pos = re.sub(rf"\b{name}\b(?= AS \(|[^_])(?! >|\.)", f"{name}_{b}", pos) if name != "swu" else re.sub(r"^swu AS", f"swu_{b} AS", pos, flags=re.M)
-        parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({{xi}} AS DOUBLE) * sum(util) FROM pos_{b})", xi=XI, suffix=f"_{b}_", pos=f"pos_{b}", swu=f"swu_{b}"))
+        parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({{xi}} AS DOUBLE) * sum(util) FROM pos_{b})", xi=xi, suffix=f"_{b}_", pos=f"pos_{b}", swu=f"swu_{b}"))
         unions.append(f"SELECT {b} AS batch_id, * FROM ({hausp_sql(f'_{b}_')})")
     return f"{batch_sql},\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(unions)
 
@@ -412,14 +412,14 @@ def append_maintained(spark, d):
     return found.patterns()
 
 
-TEN = inc.equal_schedule(10)
+TEN, TEN_XI = inc.equal_schedule(10), 0.1
 
 
-@query(_by_batch_sql(f"{_batch_sql(TEN)}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 10))
+@query(_by_batch_sql(f"{_batch_sql(TEN)}, rb AS (SELECT r0.*, batch_id FROM r0 JOIN b USING (sid))", 10, TEN_XI))
 def ten_batches_hausp(spark, d):
     """The answers after each of ten equal batches of new sequences, from one store."""
     raw = cut(inc.with_batch(T.order_years(spark, d), TEN))
-    kept, out = Maintained(spark, held_path(spark, "maintained"), XI), None
+    kept, out = Maintained(spark, held_path(spark, "maintained"), TEN_XI), None
     for b in range(10):
         found = kept.add(raw.where(F.col("batch_id") == b).drop("batch_id")).patterns().select(F.lit(b).alias("batch_id"), "*")
         out = found if out is None else out.unionByName(found)

@@ -77,3 +77,32 @@ def test_backward_search_loses_no_candidate(spark):
         for key, u in best.items():
             total[key] = total.get(key, 0) + u
     assert found == {(p, u) for (p, n), u in total.items() if u > xi * n * batch and xi * n < 1}
+
+
+def test_patterns_are_written_as_text(spark, tmp_path):
+    from seqharvest.operators.mine import Options, mine, positions
+    from seqharvest.operators.results import config
+    from seqharvest.sources.qsdb import write_patterns
+
+    rows = [(0, 0, 1, 5), (0, 1, 2, 4), (1, 0, 1, 3)]
+    found = mine(positions(spark.createDataFrame(rows, "sid long, tid int, item int, util long")), 0.2).patterns()
+    write_patterns(found, str(tmp_path / "out"))
+    got = sorted(line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines())
+    want = sorted(f"{r['pattern']}\t{r['avg_utility']:.2f}\t{r['support']}" for r in found.collect())
+    assert got == want and len(got) == 3
+    assert config(Options(eucs=True), arm="a") == '{"arm": "a", "bound": true, "eucs": true, "length_swu": true, "max_len": null}'
+
+
+def test_a_ratio_is_chosen_by_the_number_of_patterns(spark):
+    from seqharvest.operators.mine import positions
+    from seqharvest.operators.probes import choose_xi
+    from test_mining import SCHEMA, answer, random_rows
+
+    rows = random_rows(9)
+    pos = positions(spark.createDataFrame(rows, SCHEMA))
+    xi = choose_xi(pos, 20, low=0.08, high=0.6)
+    n = len(answer(rows, xi))
+    # no ratio on a fine grid comes nearer to 20, in logarithms, by more than the last step of the bisection
+    grid = [len(answer(rows, 0.08 + k * 0.004)) for k in range(60)]
+    nearest = min((max(x, 0.5) / 20 if x > 20 else 20 / max(x, 0.5)) for x in grid)
+    assert 0.08 <= xi <= 0.6 and max(n / 20, 20 / max(n, 0.5)) <= nearest * 1.2
