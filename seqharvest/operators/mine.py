@@ -134,23 +134,29 @@ def extend(front: DataFrame, pos: DataFrame) -> DataFrame:
     return grown.select("x.pat", "sid", "tid", "k", "x.iu", "rem")
 
 
-def grow(ends: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",)) -> DataFrame:
     """All one-item extensions of occurrence ends (keys, parent, tid, k, iu) by later positions (keys, tid, k, item, util, ...) of the same keys.
 
-    Rows: the positions' columns, and parent, inside, iu.
+    Rows: the positions' columns, and parent, inside, iu.  parts: endings of the columns iu and util, if there are several of both.
     """
     first = ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"))
     later = first.join(items, list(keys)).where("k > first")
     more = [c for c in items.columns if c not in (*keys, "tid", "k", "item")]
-    both = later.select(*keys, "parent", "tid", "k", "item", *more, F.lit(None).cast("long").alias("iu")).unionAll(
-        ends.select(*keys, "parent", "tid", "k", F.lit(None).cast("int").alias("item"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in more], "iu")
+    sums = [f"iu{p}" for p in parts]
+    both = later.select(*keys, "parent", "tid", "k", "item", *more, *[F.lit(None).cast("long").alias(c) for c in sums]).unionAll(
+        ends.select(*keys, "parent", "tid", "k", F.lit(None).cast("int").alias("item"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in more], *sums)
     )
     # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
     within = Window.partitionBy(*keys, "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys, "parent").orderBy(F.col("tid").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    best = both.withColumn("i_best", F.max("iu").over(within)).withColumn("s_best", F.max("iu").over(before)).where("item is not null")
-    child = lambda inside, top: F.when(top.isNotNull(), F.struct(F.lit(inside).alias("inside"), (top + F.col("util")).alias("iu")))
-    children = F.filter(F.array(child(False, F.col("s_best")), child(True, F.col("i_best"))), lambda x: x.isNotNull())
+    best = both.select("*", *[F.max(f"iu{p}").over(within).alias(f"i_best{p}") for p in parts])
+    best = best.select("*", *[F.max(f"iu{p}").over(before).alias(f"s_best{p}") for p in parts]).where("item is not null")
+
+    def child(inside: bool) -> Column:
+        top = lambda p: F.col(f"{'i' if inside else 's'}_best{p}")
+        return F.when(top(parts[0]).isNotNull(), F.struct(F.lit(inside).alias("inside"), *[(top(p) + F.col(f"util{p}")).alias(f"iu{p}") for p in parts]))
+
+    children = F.filter(F.array(child(False), child(True)), lambda x: x.isNotNull())
     return best.select(*keys, "parent", "tid", "k", "item", *more, F.inline(children))
 
 

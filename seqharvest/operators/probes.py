@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
 from .incremental import prefixes
+from .prices import priced
 from .mine import Mined, extend, mine, positions, rendered, total_utility
 
 
-def price_grid(raw: DataFrame, xi: float, item: int, tenths: list[int]) -> DataFrame:
-    """Status string of each pattern that is one at some price: all prices times 10, the item's times f for each f of tenths."""
-    found = None
-    for i, f in enumerate(tenths):
-        scaled = raw.withColumn("util", F.col("util") * F.when(F.col("item") == item, f).otherwise(10))
-        here = mine(positions(scaled), xi).patterns().select("pattern", F.lit(i).alias("at"))
-        found = here if found is None else found.unionAll(here)
-    each = F.concat(*[F.when(F.array_contains("ats", i), "1").otherwise("0") for i in range(len(tenths))])
-    return found.groupBy("pattern").agg(F.collect_set("at").alias("ats")).select("pattern", each.alias("status"))
+def price_grid(raw: DataFrame, xi: float, items: list[int] | None, tenths: list[int]) -> DataFrame:
+    """Status string of each pattern that is one at some price: all prices times 10, those of the items (all items, if None) times f for each f of tenths."""
+    changed = F.lit(True) if items is None else F.col("item").isin(items)
+    return priced(raw, xi, [F.when(changed, f).otherwise(10) for f in tenths]).select("pattern", "status")
 
 
 def best_item(pos: DataFrame) -> int | None:

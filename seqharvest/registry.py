@@ -750,10 +750,10 @@ def dictionary_codes(spark, d):
 GRID = [5, 10, 15]
 
 
-def _grid_sql() -> str:
+def _grid_sql(changed: str) -> str:
     parts, unions = [f"r0 AS ({T.ORDER_YEARS})", "best AS (SELECT item FROM r0 WHERE util > 0 GROUP BY 1 ORDER BY sum(util) DESC, item LIMIT 1)"], []
     for i, f in enumerate(GRID):
-        pos = pos_sql(f"SELECT sid, tid, item, util * (CASE WHEN item = (SELECT item FROM best) THEN {f} ELSE 10 END) AS util FROM r0")
+        pos = pos_sql(f"SELECT sid, tid, item, util * (CASE WHEN {changed} THEN {f} ELSE 10 END) AS util FROM r0")
         pos = pos.replace("raw0", f"raw0{i}").replace("raw AS", f"raw{i} AS").replace("FROM raw WINDOW", f"FROM raw{i} WINDOW").replace("pos AS", f"pos{i} AS").replace("FROM pos)", f"FROM pos{i})").replace("swu AS (", f"swu{i} AS (", 1)
         parts.append(pos + ",\n" + mine_sql(LMAX, theta=f"(SELECT CAST({XI} AS DOUBLE) * sum(util) FROM pos{i})", suffix=f"_{i}_", pos=f"pos{i}", swu=f"swu{i}"))
         unions.append(f"SELECT {i} AS place, pattern FROM ({hausp_sql(f'_{i}_')})")
@@ -761,10 +761,23 @@ def _grid_sql() -> str:
     return f"WITH {', '.join(parts)} SELECT pattern, {each} AS status FROM ({' UNION ALL '.join(unions)}) GROUP BY 1"
 
 
-@query(_grid_sql())
+@query(_grid_sql("item = (SELECT item FROM best)"))
 def price_grid_status(spark, d):
+    """The price of the item of the largest utility on a grid: one search for all prices."""
     raw = T.order_years(spark, d)
-    return probes.price_grid(raw, XI, probes.best_item(positions(raw)), GRID)
+    return probes.price_grid(raw, XI, [probes.best_item(positions(raw))], GRID)
+
+
+@query(_grid_sql("item <= 2"))
+def price_grid_subclass(spark, d):
+    """The prices of a class of items."""
+    return probes.price_grid(T.order_years(spark, d), XI, [1, 2], GRID)
+
+
+@query(_grid_sql("true"))
+def price_grid_all(spark, d):
+    """All prices: patterns don't change with their scale."""
+    return probes.price_grid(T.order_years(spark, d), XI, None, GRID)
 
 
 @query(f"""{ON_LINES.replace(T.LINES, T.ORDER_YEARS)}, a AS (SELECT sid, min(tid) AS e FROM (SELECT sid, tid FROM pos WHERE item IN (1, 2) GROUP BY 1, 2 HAVING count(DISTINCT item) = 2) GROUP BY 1)
