@@ -9,23 +9,37 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import cut
-from .mine import extend, item_swu, kept, rendered
+from .incremental import follow
+from .mine import dealt, grow_named, item_swu, kept, rendered, roots
+
+
+def _held(pos: DataFrame) -> DataFrame:
+    """pos dealt, held in buckets of (sid, share)."""
+    n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(dealt(pos).repartition(n, "sid", "share"), "sid", "share")
+
+
+def _anchored(front: DataFrame, first_new: int) -> DataFrame:
+    """(pat, sid, u, uhat) of a frontier."""
+    best = lambda rows: F.coalesce(F.max(F.when(rows, F.col("iu"))), F.lit(0))
+    new = F.col("tid") >= first_new
+    return front.groupBy("pat", "sid", "share").agg(best(~new).alias("u"), best(new).alias("uhat")).select("pat", "sid", "u", "uhat")
 
 
 def anchored(pos: DataFrame, first_new: int, longest: int) -> DataFrame:
     """(pat, len, sid, u, uhat), zero where there is no such occurrence, of all patterns up to a length."""
-    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    pos = _held(pos)
+    front = roots(pos)
     levels = []
     for n in range(1, longest + 1):
-        new = F.col("tid") >= first_new
-        levels.append(
-            front.groupBy("pat", "sid").agg(F.coalesce(F.max(F.when(~new, F.col("iu"))), F.lit(0)).alias("u"), F.coalesce(F.max(F.when(new, F.col("iu"))), F.lit(0)).alias("uhat")).select("pat", F.lit(n).alias("len"), "sid", "u", "uhat")
-        )
+        levels.append(_anchored(front, first_new).withColumn("len", F.lit(n)).select("pat", "len", "sid", "u", "uhat"))
         if n < longest:
-            front = extend(front, pos)
+            front = grow_named(front, pos)
+            if n + 1 < longest:  # the last level is read once
+                front = cut(front, "sid", "share")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -48,6 +62,7 @@ def pattern_terms(pos: DataFrame, first_new: int, longest: int) -> DataFrame:
 
 def counts(pos: DataFrame, first_new: int, xi: float, length: int) -> DataFrame:
     """One row: c_uhat, c_du, c_C, h, p at a length, and the same for patterns whose items reach length * theta'."""
+    pos = cut(pos, "sid")
     before, batch = totals(pos, first_new)
     theta, theta_new, limit = xi * before, xi * before + xi * batch, xi * batch * length
     good = item_swu(pos).where(F.col("swu") >= theta_new * length).select(F.col("item").cast("string").alias("item"))
@@ -62,6 +77,7 @@ def counts(pos: DataFrame, first_new: int, xi: float, length: int) -> DataFrame:
 
 def update(pos: DataFrame, first_new: int, xi: float, longest: int) -> DataFrame:
     """Patterns after the batch, up to a length, by the update formula: kept ones, candidates whose gain is large enough, and degenerate ones."""
+    pos = cut(pos, "sid")
     before, batch = totals(pos, first_new)
     theta, theta_new = xi * before, xi * before + xi * batch
     n = F.col("len")
@@ -73,6 +89,36 @@ def update(pos: DataFrame, first_new: int, xi: float, longest: int) -> DataFrame
     return terms.where(reach & (old | candidate | degenerate)).select(rendered().alias("pattern"), "len", F.col("u_new").alias("utility"))
 
 
+def update_stored(stored: DataFrame, pos: DataFrame, first_new: int, xi: float) -> DataFrame:
+    """(pattern, len, utility) after the batch, of any length, from the patterns stored(pat, len, u) before it, all of them.
+
+    A pattern that was none before gains more than xi * len of the batch's utility, and so is a candidate of the
+    backward search.  Gains are read from touched sequences only, along the prefixes of stored patterns and candidates;
+    other sequences are read only for candidates that gain enough and aren't stored.  No pattern has xi * len > 1.
+    """
+    pos = cut(pos, "sid")
+    before, batch = totals(pos, first_new)
+    theta_new, limit = xi * before + xi * batch, xi * batch
+    stored = cut(stored.select("pat", F.col("len").cast("int").alias("len"), F.col("u").cast("long").alias("u")))
+    found = backward(pos, first_new, xi).where("candidate").select(F.regexp_replace("pattern", r"^<\(|\)>$", "").alias("pat"), "len")
+    names = cut(stored.select("pat", "len").unionByName(found).distinct())
+
+    def sums(rows: DataFrame, over: DataFrame, term: Column, name: str) -> DataFrame:
+        levels = [_anchored(front, first_new).groupBy("pat").agg(F.sum(term).cast("long").alias(name)) for _, front in follow(over, rows)]
+        none = rows.where("false").select("pat", F.lit(0).cast("long").alias(name))
+        return rows.join(reduce(DataFrame.unionByName, levels, none), "pat", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+    touched = pos.where(F.col("tid") >= first_new).select("sid").distinct()
+    here = _held(cut(pos.join(touched, "sid", "left_semi"), "sid"))
+    gains = cut(sums(names, here, F.greatest(F.lit(0), F.col("uhat") - F.col("u")), "du"))
+    fresh = cut(gains.join(stored, "pat", "left_anti").where(F.col("du") >= F.lit(limit * (1 - 1e-12)) * F.col("len")).select("pat", "len"))
+    known = stored
+    if not fresh.isEmpty():
+        known = stored.unionByName(sums(fresh, _held(cut(pos.where(F.col("tid") < first_new), "sid")), F.col("u"), "u"))
+    after = known.join(gains.select("pat", "du"), "pat").select("pat", "len", (F.col("u") + F.col("du")).alias("u"))
+    return after.where(F.col("u") >= F.lit(theta_new) * F.col("len")).select(rendered().alias("pattern"), "len", F.col("u").alias("utility"))
+
+
 def anchored_bound(pos: DataFrame, first_new: int) -> DataFrame:
     """(item, bound2): twice the sum over sequences of max over new positions of min((u + before) / 2, max(u, largest before)); whole numbers."""
     ahead = Window.partitionBy("sid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,6 +129,7 @@ def anchored_bound(pos: DataFrame, first_new: int) -> DataFrame:
 
 def anchored3(pos: DataFrame, first_new: int) -> DataFrame:
     """One row: distinct patterns of length 3 with an anchored occurrence, over sequences, and the bound n_new * C(n - 1, 2)."""
+    pos = cut(pos, "sid")
     found = anchored(pos, first_new, 3).where("len = 3 and uhat > 0").agg(F.count("*").alias("anchored3"))
     per = pos.groupBy("sid").agg(F.count("*").alias("n"), F.sum(F.when(F.col("tid") >= first_new, 1).otherwise(0)).alias("a")).where("a > 0")
     bound = per.agg(F.sum(F.expr("a * ((n - 1) * (n - 2) div 2)")).cast("long").alias("bound3"))
@@ -99,18 +146,20 @@ def backward(pos: DataFrame, first_new: int, xi: float, longest: int | None = No
     number.  A candidate's uhat exceeds xi * len of the batch's utility; no
     candidate is lost below a node that isn't extended.  longest ends the search.
     """
+    pos = cut(pos, "sid")
     _, batch = totals(pos, first_new)
     limit = xi * batch
     touched = pos.where(F.col("tid") >= first_new).select("sid").distinct()
     ahead = Window.partitionBy("sid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     here = pos.join(touched, "sid", "left_semi").withColumn("most", F.coalesce(F.max("util").over(ahead), F.lit(0)))
-    mirrored = cut(here.select("sid", (-F.col("tid")).alias("tid"), (-F.col("k")).alias("k"), "item", "util", F.col("pre").alias("rem"), "most"))
-    front = mirrored.where(F.col("tid") <= -first_new).select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    mirrored = here.select("sid", (-F.col("tid")).alias("tid"), (-F.col("k")).alias("k"), "item", "util", F.col("pre").alias("rem"), "most")
+    mirrored = _held(cut(mirrored, "sid"))
+    front = roots(mirrored.where(F.col("tid") <= -first_new))
     levels, n = [], 1
     while True:
         iu, before, most = F.col("iu"), F.col("rem"), F.col("most")
         each = F.least(n * (iu + before), F.greatest((n + 1) * iu, n * (n + 1) * most))
-        per = front.join(mirrored.select("sid", "k", "most"), ["sid", "k"]).groupBy("pat", "sid").agg(F.max(iu).alias("uhat"), F.max(each).alias("b"))
+        per = front.join(mirrored.select("sid", "share", "k", "most"), ["sid", "share", "k"]).groupBy("pat", "sid", "share").agg(F.max(iu).alias("uhat"), F.max(each).alias("b"))
         nodes = per.groupBy("pat").agg(F.sum("uhat").cast("long").alias("uhat"), F.sum("b").cast("long").alias("bound"))
         goes_on = (F.col("bound") > F.lit(limit) * (n * (n + 1))) & F.lit(xi * (n + 1) < 1)
         nodes = cut(nodes.select("pat", F.lit(n).alias("len"), "uhat", "bound", (F.col("uhat") > F.lit(limit) * n).alias("candidate"), goes_on.alias("extended")))
@@ -118,7 +167,7 @@ def backward(pos: DataFrame, first_new: int, xi: float, longest: int | None = No
         count = nodes.where("extended").count()
         if not count or n == longest:
             break
-        front = cut(extend(kept(front, nodes.where("extended"), count), mirrored))
+        front = cut(grow_named(kept(front, nodes.where("extended"), count), mirrored))
         n += 1
     sets = F.transform(F.split("pat", r"\)\("), lambda x: F.array_join(F.reverse(F.split(x, ",")), ","))
     return reduce(DataFrame.unionByName, levels).select(rendered(F.array_join(F.reverse(sets), ")(")).alias("pattern"), "len", "uhat", "bound", "candidate", "extended")

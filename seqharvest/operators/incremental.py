@@ -7,12 +7,14 @@ derived from su, so stored positions need no rewrite.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import cut, written
-from .mine import Mined, evaluate, extend, item_swu, kept, mine, positions, total_utility
+from .mine import BROADCAST_ROWS, Mined, dealt, evaluate, grow_named, item_swu, mine, positions, roots, total_utility
 
 
 # ---- schedules
@@ -158,22 +160,26 @@ def safety(xi: float, mu: float, total_at_rescan: int) -> tuple[float, float]:
     return lower, (xi - lower) / max(1e-12, 1 - xi) * total_at_rescan
 
 
+def follow(pos: DataFrame, names: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """Length by length, the occurrence ends in dealt positions of the patterns names(pat) and of their prefixes; nothing else is followed."""
+    ways = names.select("pat", F.explode(prefixes(F.col("pat"))).alias("way"))
+    paths = cut(ways.groupBy(F.col("way").alias("pat")).agg(F.max(F.col("way") != F.col("pat")).alias("inner"), F.max(F.size(F.regexp_extract_all("way", F.lit("[0-9]+"), F.lit(0)))).alias("len")))
+    count, longest = paths.agg(F.count("*"), F.max("len")).first()
+    at = lambda rows: F.broadcast(rows.select("pat")) if count <= BROADCAST_ROWS else rows.select("pat")
+    front = roots(pos).join(at(paths.where("len = 1")), "pat", "left_semi")
+    for n in range(1, (longest or 0) + 1):
+        yield n, front
+        if n < longest:
+            ends = front.join(at(paths.where(F.col("inner") & (F.col("len") == n))), "pat", "left_semi")
+            front = cut(grow_named(ends, pos).join(at(paths.where(F.col("len") == n + 1)), "pat", "left_semi"))
+
+
 def delta_nodes(pos: DataFrame, names: DataFrame) -> DataFrame:
     """u, bound and support over pos of the patterns in names(pat, len) only: their prefixes guide the search."""
-    longest = names.agg(F.max("len")).first()[0] or 0
-    pos = cut(pos)
     known = cut(names.select("pat", "len"))
-    at = lambda n: known.where(F.col("len") == n).select("pat")
-    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem").repartition("sid").join(at(1), "pat", "left_semi")
-    out = []
-    for n in range(1, longest + 1):
-        out.append(evaluate(front).select("pat", F.lit(n).alias("len"), "u", "bound", "support"))
-        if n < longest:
-            front = cut(extend(front, pos).join(at(n + 1), "pat", "left_semi"))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    found = [evaluate(front).select("pat", F.lit(n).alias("len"), "u", "bound", "support") for n, front in follow(cut(dealt(cut(pos))), known)]
+    empty = known.where("false").select("pat", "len", *[F.lit(0).cast("long").alias(c) for c in ("u", "bound", "support")])
+    return reduce(DataFrame.unionByName, found, empty).join(known.select("pat"), "pat", "left_semi")
 
 
 def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFrame, list[dict]]:

@@ -56,7 +56,8 @@ def total_utility(pos: DataFrame) -> int:
 
 def evaluate(front: DataFrame) -> DataFrame:
     """u, bound and support of each pattern."""
-    per = front.groupBy("pat", "sid").agg(F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach"))
+    keys = [c for c in ("pat", "sid", "share") if c in front.columns]
+    per = front.groupBy(*keys).agg(F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach"))
     return per.groupBy("pat").agg(F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support"))
 
 
@@ -102,38 +103,6 @@ def patterns(nodes: DataFrame, theta: float) -> DataFrame:
     )
 
 
-def extend(front: DataFrame, pos: DataFrame) -> DataFrame:
-    """All one-item extensions of a frontier by the positions pos (a subset of those the frontier ends in is enough).
-
-    Parent ends and positions of (pat, sid) are merged, and running maxima of
-    iu give each position its best parent: over earlier itemsets for a new
-    itemset, over earlier positions of the same itemset for a longer one.
-    """
-    carried = front.select("pat", "sid").distinct()
-    new = carried.join(pos.select("sid", "tid", "k", "item", "util", "rem"), "sid").select("pat", "sid", "tid", "k", "item", "util", "rem", F.lit(None).cast("long").alias("iu"))
-    old = front.select("pat", "sid", "tid", "k", F.lit(None).cast("int").alias("item"), F.lit(None).cast("long").alias("util"), F.lit(None).cast("long").alias("rem"), "iu")
-    both = new.unionAll(old)
-    w = Window.partitionBy("pat", "sid").orderBy("tid").rangeBetween(Window.unboundedPreceding, -1)
-    v = Window.partitionBy("pat", "sid", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
-    best = both.select("*", F.max("iu").over(w).alias("s_best"), F.max("iu").over(v).alias("i_best")).where("item is not null")
-    grown = best.select(
-        "sid",
-        "tid",
-        "k",
-        "rem",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(F.col("s_best").isNotNull(), F.struct(F.concat("pat", F.lit(")("), F.col("item").cast("string")).alias("pat"), (F.col("s_best") + F.col("util")).alias("iu"))),
-                    F.when(F.col("i_best").isNotNull(), F.struct(F.concat("pat", F.lit(","), F.col("item").cast("string")).alias("pat"), (F.col("i_best") + F.col("util")).alias("iu"))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("x"),
-    )
-    return grown.select("x.pat", "sid", "tid", "k", "x.iu", "rem")
-
-
 def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",)) -> DataFrame:
     """All one-item extensions of occurrence ends (keys, parent, tid, k, iu) by later positions (keys, tid, k, item, util, ...) of the same keys.
 
@@ -160,19 +129,33 @@ def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] =
     return best.select(*keys, "parent", "tid", "k", "item", *more, F.inline(children))
 
 
+def roots(pos: DataFrame) -> DataFrame:
+    """The frontier of single items in dealt positions."""
+    return pos.where("own").select(F.col("item").cast("string").alias("pat"), "sid", "share", "tid", "k", F.col("util").alias("iu"), "rem")
+
+
+def grow_named(front: DataFrame, pos: DataFrame) -> DataFrame:
+    """grow() for a frontier (pat, sid, share, tid, k, iu) of named patterns and dealt positions pos."""
+    ends = front.select("sid", "share", F.col("pat").alias("parent"), "tid", "k", "iu")
+    grown = grow(ends, pos.select("sid", "share", "tid", "k", "item", "util", "rem"), "sid", "share")
+    name = F.concat("parent", F.when(F.col("inside"), F.lit(",")).otherwise(F.lit(")(")), F.col("item").cast("string"))
+    return grown.select(name.alias("pat"), "sid", "share", "tid", "k", "iu", "rem")
+
+
 def kept(front: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     names = nodes.select("pat")
     return front.join(F.broadcast(names) if count <= BROADCAST_ROWS else names, "pat", "left_semi")
 
 
-def _dealt(pos: DataFrame) -> DataFrame:
-    """pos by share, with own: whether the share has the patterns that begin with the item."""
+def dealt(pos: DataFrame) -> DataFrame:
+    """pos (read more than once) by share, with own: whether the share has the patterns that begin with the item."""
     heavy = pos.groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items")).where(F.col("n") > HEAVY)
     shares = F.least(F.lit(SHARES), F.ceil(F.col("n") / HEAVY), F.col("items")).cast("int").alias("shares")
-    heavy = cut(heavy.select("sid", shares, "items"))
+    heavy = heavy.select("sid", shares, "items")
     light = pos.withColumns({"share": F.lit(0), "own": F.lit(True)})
     if heavy.isEmpty():
         return light
+    heavy = cut(heavy)
     long = pos.join(heavy, "sid")
     first = long.groupBy("sid", "item", "shares", "items").agg(F.min("k").alias("k"))
     turn = F.row_number().over(Window.partitionBy("sid").orderBy("k")) - 1
@@ -194,10 +177,10 @@ class Search:
         """pos: positions, cut; least: the SWU that an item of any pattern has at least; pairs: the extensions that are allowed, if not all."""
         self.pairs, self.length, self.names = pairs, 1, None
         known = item_swu(pos).where(F.col("swu") >= least)
-        dealt = _dealt(pos).join(known, "item")
+        known_pos = dealt(pos).join(known, "item")
         n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         columns = ("sid", "share", "own", "tid", "k", "item", "util", "rem", "swu")
-        self.items = cut(dealt.select(*columns).repartition(n, "sid", "share"), "sid", "share")
+        self.items = cut(known_pos.select(*columns).repartition(n, "sid", "share"), "sid", "share")
         self.front = self.items.where("own").select("sid", "share", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", F.col("util").alias("iu"), "rem")
 
     def nodes(self) -> DataFrame:

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
-from .incremental import prefixes
+from .incremental import follow, prefixes
 from .prices import priced
-from .mine import Mined, extend, mine, positions, rendered, total_utility
+from .mine import Mined, dealt, grow_named, mine, rendered, roots, total_utility
 
 
 def price_grid(raw: DataFrame, xi: float, items: list[int] | None, tenths: list[int]) -> DataFrame:
@@ -91,16 +91,8 @@ def compare_sets(one: DataFrame, other: DataFrame) -> DataFrame:
 def holders(pos: DataFrame, names: DataFrame) -> DataFrame:
     """(pat, sid): the sequences that hold each pattern of names(pat); only prefixes of the patterns are followed."""
     known = cut(names.select("pat").distinct())
-    paths = cut(known.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct())
-    longest = known.agg(F.max(F.size(F.regexp_extract_all("pat", F.lit("[0-9]+"), F.lit(0))))).first()[0] or 1
-    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem").join(paths, "pat", "left_semi")
-    out = None
-    for n in range(1, longest + 1):
-        here = front.select("pat", "sid").distinct().join(known, "pat", "left_semi")
-        out = here if out is None else out.unionAll(here)
-        if n < longest:
-            front = cut(extend(front, pos).join(paths, "pat", "left_semi"))
-    return out
+    levels = [front.select("pat", "sid").distinct().join(known, "pat", "left_semi") for _, front in follow(cut(dealt(cut(pos))), known)]
+    return reduce(DataFrame.unionAll, levels, known.join(pos.select("sid"), F.lit(False)))
 
 
 def rare_holders(pos: DataFrame, found: Mined, most: int) -> DataFrame:
@@ -115,8 +107,8 @@ def alone(pos: DataFrame, theta: float) -> DataFrame:
     Utility in one sequence is its largest occurrence, so a level's nodes are
     kept by (pattern, sequence); a sequence's bound prunes its own branches only.
     """
-    pos = cut(pos.where(F.col("su") >= theta))
-    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    pos = cut(dealt(cut(pos.where(F.col("su") >= theta))))
+    front = roots(pos)
     levels, n = [], 1
     while True:
         nodes = cut(front.groupBy("pat", "sid").agg(F.max("iu").alias("u"), F.max(F.col("iu") + F.col("rem")).alias("bound")))
@@ -124,5 +116,5 @@ def alone(pos: DataFrame, theta: float) -> DataFrame:
         open_ = nodes.where(F.col("bound") >= F.lit(theta) * (n + 1)).select("pat", "sid")
         if open_.isEmpty():
             return reduce(DataFrame.unionAll, levels)
-        front = cut(extend(front.join(open_, ["pat", "sid"], "left_semi"), pos))
+        front = cut(grow_named(front.join(open_, ["pat", "sid"], "left_semi"), pos))
         n += 1

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
-from .mine import BROADCAST_ROWS, Mined, evaluate, extend, item_swu, positions, total_utility
+from .mine import BROADCAST_ROWS, Mined, dealt, evaluate, grow_named, item_swu, positions, roots, total_utility
 
 
 #: Where a row of a frontier comes from: the stored tree, stored sequences searched again, new sequences.
@@ -27,7 +27,7 @@ HELD, LATE, NEW = 0, 1, 2
 @dataclass
 class Level:
     nodes: DataFrame  # pat, len, u, bound, support
-    front: DataFrame  # pat, sid, tid, k, iu, rem of all sequences so far, and origin in the last batch
+    front: DataFrame  # pat, sid, share, tid, k, iu, rem of all sequences so far, and origin in the last batch
     items: DataFrame  # the items that patterns of this length may end in
     extended: DataFrame | None = None  # pat of the nodes with children; None at the last level
 
@@ -47,11 +47,11 @@ def _below(df: DataFrame, extended: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _roots(pos: DataFrame, items: DataFrame) -> DataFrame:
-    return pos.join(items, "item", "left_semi").select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
+    return roots(pos.join(items, "item", "left_semi"))
 
 
 def _from(front: DataFrame, origin: int) -> DataFrame:
-    return front.select("pat", "sid", "tid", "k", "iu", "rem", F.lit(origin).alias("origin"))
+    return front.select("pat", "sid", "share", "tid", "k", "iu", "rem", F.lit(origin).alias("origin"))
 
 
 class PatternTree:
@@ -72,6 +72,7 @@ class PatternTree:
         theta = self.xi * self.total
         gained = item_swu(fresh)
         self.swu = cut(gained if self.swu is None else self.swu.unionByName(gained).groupBy("item").agg(F.sum("swu").cast("long").alias("swu")))
+        fresh = cut(dealt(fresh))
         stored = self.pos if self.pos is not None else fresh.limit(0)
         admitted = lambda n: self.swu.where(F.col("swu") >= F.lit(theta) * n).select("item")
 
@@ -108,15 +109,15 @@ class PatternTree:
             old = front.where(F.col("origin") != NEW)
             if known is None:
                 held, ends = [], []
-                late = extend(old.join(named, "pat", "left_semi"), stored.join(items, "item", "left_semi"))
+                late = grow_named(old.join(named, "pat", "left_semi"), stored.join(items, "item", "left_semi"))
             else:
                 was = self.levels[length - 1]
                 held, ends = [_below(was.nodes, open_, items)], [_below(was.front, open_, items)]
                 first_time, again = open_.join(known, "pat", "left_anti"), open_.join(known, "pat", "left_semi")
-                late = extend(old.join(first_time, "pat", "left_semi"), stored.join(items, "item", "left_semi")).unionByName(
-                    extend(old.join(again, "pat", "left_semi"), stored.join(items.join(was.items, "item", "left_anti"), "item", "left_semi"))
+                late = grow_named(old.join(first_time, "pat", "left_semi"), stored.join(items, "item", "left_semi")).unionByName(
+                    grow_named(old.join(again, "pat", "left_semi"), stored.join(items.join(was.items, "item", "left_anti"), "item", "left_semi"))
                 )
-            new = extend(front.where(F.col("origin") == NEW).join(named, "pat", "left_semi"), fresh.join(items, "item", "left_semi"))
+            new = grow_named(front.where(F.col("origin") == NEW).join(named, "pat", "left_semi"), fresh.join(items, "item", "left_semi"))
         self.levels = levels
         self.pos = cut(stored.unionByName(fresh)) if self.pos is not None else fresh
         return out

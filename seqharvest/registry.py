@@ -177,11 +177,10 @@ FROM (SELECT '<(' || a || CASE WHEN same THEN ',' ELSE ')(' END || b || ')>' AS
 
 
 def _level2(spark, d, sign):
-    from .operators.mine import evaluate, extend, rendered
+    from .operators.mine import dealt, evaluate, grow_named, rendered, roots
 
-    pos = years(spark, d)
-    front = pos.select(F.col("item").cast("string").alias("pat"), "sid", "tid", "k", F.col("util").alias("iu"), "rem")
-    return evaluate(extend(front, pos).where(F.col("pat").contains(sign))).select(rendered().alias("pattern"), "u", "bound", "support")
+    pos = dealt(cut(years(spark, d), "sid"))
+    return evaluate(grow_named(roots(pos), pos).where(F.col("pat").contains(sign))).select(rendered().alias("pattern"), "u", "bound", "support")
 
 
 @query(L2.format("same"))
@@ -625,6 +624,19 @@ def append_update(spark, d):
     return appends.update(years(spark, d), FIRST_NEW, XI, 3)
 
 
+def _update_stored(pos, first_new, xi):
+    old = positions(pos.where(F.col("tid") < first_new))
+    found = mine(old, xi)
+    stored = found.nodes().where(F.col("u") >= F.lit(found.theta) * F.col("len"))
+    return appends.update_stored(stored, pos, first_new, xi)
+
+
+@query(f"{MINED} SELECT pattern, len, utility FROM ({hausp_sql()})")
+def append_update_stored(spark, d):
+    """Patterns of any length after an append, from those before it and the backward search; the SQL mines anew."""
+    return _update_stored(years(spark, d), FIRST_NEW, XI)
+
+
 @query(f"""{ON_YEARS}, m AS (SELECT *, coalesce(max(util) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mx FROM pos),
 b AS (SELECT sid, item, max(least(util + pre, 2 * greatest(util, mx))) AS b FROM m WHERE tid >= {FIRST_NEW} GROUP BY 1, 2) SELECT item, CAST(sum(b) AS BIGINT) AS bound2 FROM b GROUP BY 1""")
 def anchored_bound_l1(spark, d):
