@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import cut
 from .mine import item_swu
 
-#: Most rows of a group in one array; pairs of larger groups are made block by block.
+#: Most rows of a group that one join key has; pairs of larger groups are made block by block.
 BLOCK = 2_000
 
 
@@ -20,50 +23,39 @@ def self_pairs(pos: DataFrame) -> DataFrame:
     return _ends(pos).where("first < last").groupBy("item").agg(F.sum("su").cast("long").alias("swu"))
 
 
-def _blocks(rows: DataFrame, order: str, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Groups of rows (keys, su, item, ...) as arrays: (keys, su, xs, ys) of groups of at most BLOCK rows, and of all pairs of blocks of larger ones.
+def _sides(rows: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, DataFrame, list[str]]]:
+    """Both sides and the keys of joins that pair all rows (keys, item, ...) of a group.
 
-    A group's pairs are made where its arrays lie; the blocks of a large group are dealt out, so no task makes more than BLOCK^2 pairs of one group at a time.
+    Groups of at most BLOCK rows are joined where they are held.  Larger ones are
+    joined by pairs of blocks, so that no key of a join has more than BLOCK rows.
     """
-    rest = [c for c in rows.columns if c not in (*keys, "su")]
-    w = Window.partitionBy(*keys)
-    sized = rows.withColumns({"n": F.count("*").over(w), "block": F.floor((F.row_number().over(w.orderBy(order)) - 1) / BLOCK).cast("int")})
-    arrays = lambda some, *more: some.groupBy(*keys, *more).agg(F.max("su").alias("su"), F.collect_list(F.struct(*rest)).alias("xs"))
-    small = arrays(sized.where(F.col("n") <= BLOCK)).withColumn("ys", F.col("xs"))
-    large = arrays(sized.where(F.col("n") > BLOCK), "block", "n")
-    others = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")))
-    x = large.select(*keys, "su", "xs", F.col("block").alias("i"), others.alias("j"))
-    y = large.select(*keys, F.col("xs").alias("ys"), F.col("block").alias("j"), others.alias("i"))
-    return small, x.join(y, [*keys, "i", "j"]).select(*keys, "su", "xs", "ys")
+    group = Window.partitionBy(*keys)
+    block = F.floor((F.row_number().over(group.orderBy("item")) - 1) / BLOCK).cast("int")
+    held = cut(rows.withColumns({"block": block, "blocks": F.ceil(F.count("*").over(group) / BLOCK).cast("int")}), *keys)
+    small = held.where("blocks = 1")
+    yield small, small, list(keys)
+    large = held.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = lambda i, j: large.withColumnsRenamed({"block": i, "other": j})
+    yield named("i", "j"), named("j", "i"), [*keys, "i", "j"]
 
 
 def s_pairs(pos: DataFrame) -> DataFrame:
     """(a, b), a != b: sum of u(S) where a is first seen before b is last seen."""
-    ends = cut(_ends(pos), "sid")
-
-    def pairs(arrays: DataFrame) -> DataFrame:
-        x = arrays.select("su", "ys", F.inline("xs").alias("a", "first", "_")).drop("_")
-        y = x.select("a", "first", "su", F.inline("ys").alias("b", "_", "last"))
-        return y.where("a != b and first < last").select("a", "b", "su")
-
-    small, large = _blocks(ends, "item", "sid")
-    return pairs(small).unionAll(pairs(large)).groupBy("a", "b").agg(F.sum("su").cast("long").alias("swu"))
+    found = []
+    for x, y, on in _sides(_ends(pos), "sid"):
+        pairs = x.select(*on, F.col("item").alias("a"), "first", "su").join(y.select(*on, F.col("item").alias("b"), "last"), on)
+        found.append(pairs.where("a != b and first < last").select("a", "b", "su"))
+    return reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.sum("su").cast("long").alias("swu"))
 
 
 def i_pairs(pos: DataFrame) -> DataFrame:
     """(a, b), a < b: sum of u(S), once a sequence, where a and b share an itemset."""
-    held = cut(pos.select("sid", "tid", "su", "item"), "sid")
-
-    def pairs(arrays: DataFrame) -> DataFrame:
-        x = arrays.select("sid", "su", "ys", F.inline("xs").alias("a"))
-        return x.select("sid", "a", "su", F.inline("ys").alias("b")).where("a < b").select("sid", "a", "b", "su")
-
-    small, large = _blocks(held, "item", "sid", "tid")
-    # a sequence's small itemsets lie together, so its pairs are made distinct there; those of large itemsets are added
-    once = pairs(small).distinct()
-    many = pairs(large).distinct()
-    each = once.unionAll(many.join(once.select("sid", "a", "b"), ["sid", "a", "b"], "left_anti"))
-    return each.groupBy("a", "b").agg(F.sum("su").cast("long").alias("swu"))
+    n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for x, y, on in _sides(pos.select("sid", "tid", "item", "su").repartition(n, "sid", "tid"), "sid", "tid"):
+        pairs = x.select(*on, F.col("item").alias("a"), "su").join(y.select(*on, F.col("item").alias("b")), on)
+        found.append(pairs.where("a < b").select("sid", "a", "b", "su"))
+    return reduce(DataFrame.unionAll, found).distinct().groupBy("a", "b").agg(F.sum("su").cast("long").alias("swu"))
 
 
 def pair_filter(pos: DataFrame, theta: float) -> DataFrame:
