@@ -17,9 +17,14 @@ only if its bound does.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from threading import Timer
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..storage import cut, steps
 
@@ -80,7 +85,8 @@ class Mined:
     theta: float
     total: int
     levels: list[DataFrame] = field(default_factory=list)  # nodes(pat, len, u, bound, support)
-    cut_at: int | None = None  # max_len, if it ended the search
+    cut_at: int | None = None  # the last whole level, if max_len or the deadline ended the search
+    dropped: list[tuple[int, int, int, int]] = field(default_factory=list)  # by level: len, occurrences kept, dropped by SWU, dropped by the pair filter
 
     def nodes(self) -> DataFrame:
         out = self.levels[0]
@@ -196,42 +202,112 @@ class Search:
         named = nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), "u", "bound", "support")
         return cut(named, outlives=True)  # the search's result
 
-    def advance(self, open_: DataFrame, count: int, least: float) -> None:
-        """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``."""
+    def advance(self, open_: DataFrame, count: int, least: float, counters: bool = False) -> tuple[int, int, int] | None:
+        """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``; counters: return the occurrences that are kept, and dropped by each layer."""
         self.names = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
         parents = self.names.select(F.col("id"), "parent", "inside", "item")
         ends = self.front.join(parents, ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
-        grown = grow(ends, self.items.where(F.col("swu") >= least), "sid", "share").select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
+        enough, made, kept_ = F.col("swu") >= least, Observation(), Observation()
+        grown = grow(ends, self.items if counters else self.items.where(enough), "sid", "share")
+        if counters:
+            grown = grown.observe(made, F.count("*").alias("all"), F.count_if(enough).alias("enough")).where(enough)
+        grown = grown.select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
         if self.pairs is not None:
             last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
             allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
             grown = grown.join(last, "parent").join(allowed, ["inside", "last_item", "item"], "left_semi").drop("last_item")
+        if counters:
+            grown = grown.observe(kept_, F.count("*").alias("kept"))
         self.front = cut(grown, "sid", "share")
         self.length += 1
-
-
-def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None) -> Mined:
-    """Mine pos at theta, or at xi of its total utility."""
+        if counters:
+            return kept_.get["kept"], made.get["all"] - made.get["enough"], made.get["enough"] - kept_.get["kept"]
+
+
+class DeadlinePassed(Exception):
+    """The time of a search is over."""
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancel the jobs that the block runs after ``seconds``, and raise DeadlinePassed."""
+    if seconds is None:
+        yield
+        return
+    tag, end = f"deadline-{uuid4().hex}", time.monotonic() + seconds
+    timer = Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if time.monotonic() >= end:
+            raise DeadlinePassed from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None, counters: bool = False, seconds: float | None = None) -> Mined:
+    """Mine pos at theta, or at xi of its total utility.
+
+    counters: count the occurrences that each layer drops; they are made first, so the search does more.
+    seconds: a deadline; a search that it ends returns its whole levels, in Mined.cut_at the number of them.
+    """
     options = options or Options()
-    with steps(pos.sparkSession):
+    spark = pos.sparkSession
+    with steps(spark):
         pos = cut(pos)
         total = total_utility(pos)
-        theta = xi * total if theta is None else theta
-        pairs = None
-        if options.eucs:
-            from .cooccurrence import pair_filter
-
-            pairs = cut(pair_filter(pos, theta))
-        search, out = Search(pos, theta, pairs), Mined(theta, total)
-        while True:
-            nodes = search.nodes()
-            out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
-            open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
-            count = open_.count()
-            if not count:
-                break
-            if options.max_len == search.length:
-                out.cut_at = search.length
-                break
-            search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta)
+        out = Mined(xi * total if theta is None else theta, total)
+        try:
+            with deadline(spark, seconds):
+                _levels(pos, out, options, counters, None if seconds is None else time.monotonic() + seconds)
+        except DeadlinePassed:
+            out.cut_at = len(out.levels)
+            if not out.levels:
+                out.levels.append(spark.createDataFrame([], "pat string, len int, u long, bound long, support long"))
     return out
+
+
+def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: float | None) -> None:
+    """Add the search's levels to out, until nothing is open, max_len is reached or the time is over."""
+    theta, pairs = out.theta, None
+    if options.eucs:
+        from .cooccurrence import pair_filter
+
+        pairs = cut(pair_filter(pos, theta))
+    search = Search(pos, theta, pairs)
+    if counters:
+        rows = search.items.where("own").count()
+        out.dropped.append((1, rows, pos.count() - rows, 0))
+    while True:
+        nodes = search.nodes()
+        out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
+        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
+        count = open_.count()
+        if not count:
+            return
+        if options.max_len == search.length:
+            out.cut_at = search.length
+            return
+        if end is not None and time.monotonic() >= end:  # between two jobs
+            raise DeadlinePassed
+        found = search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta, counters)
+        if found:
+            out.dropped.append((search.length, *found))
+
+
+def layer_counters(found: Mined) -> DataFrame:
+    """(len, nodes, extended, cut, patterns, occurrences, dropped_swu, dropped_pair) of a search that counted; cut: nodes that their bound closed."""
+    theta, n = F.lit(found.theta), F.col("len")
+    per = found.nodes().groupBy("len").agg(
+        F.count("*").alias("nodes"),
+        F.count_if(F.col("bound") >= theta * (n + 1)).alias("extended"),
+        F.count_if(F.col("bound") < theta * (n + 1)).alias("cut"),
+        F.count_if(F.col("u") >= theta * n).alias("patterns"),
+    )
+    dropped = per.sparkSession.createDataFrame(found.dropped, "len int, occurrences long, dropped_swu long, dropped_pair long")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return F.broadcast(dropped).join(per, "len", "left").select("len", *[zero(c) for c in ("nodes", "extended", "cut", "patterns")], "occurrences", "dropped_swu", "dropped_pair")

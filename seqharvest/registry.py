@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import appends, cooccurrence as co, incremental as inc, layer1, probes, profile, results, topk
 from .operators.maintained import Maintained
-from .operators.mine import Options, item_swu, mine, positions
+from .operators.mine import Options, item_swu, layer_counters as counted, mine, positions
 from .operators.tree import PatternTree
 from .plans.oracle import hausp_sql, mine_sql, pos_sql
 from .sources import logs, tables as T
@@ -225,6 +225,44 @@ def mine_lines_pair_filter(spark, d):
     return _lines_mined(spark, d, eucs=True).patterns()
 
 
+#: Threshold at which every layer of the search drops something, as a multiple of the mean item's utility, and the levels of the SQL.
+LAYER_SHARE, LAYER_LMAX = 10.0, 3
+
+
+def _layer_sql() -> str:
+    out = [
+        f"{ON_LINES}{ENDS}, t AS (SELECT CAST({LAYER_SHARE} AS DOUBLE) * sum(util) / count(DISTINCT item) AS theta FROM pos)",
+        f"""allowed AS (SELECT false AS inside, a AS last, b AS item FROM ({S_SQL}), t WHERE swu >= theta UNION ALL SELECT false, item, item FROM (SELECT item, sum(su) AS swu FROM e WHERE f < l GROUP BY 1), t WHERE swu >= theta
+ UNION ALL SELECT true, a, b FROM ({I_SQL}), t WHERE swu >= theta)""",
+        "x AS MATERIALIZED (SELECT pos.*, swu FROM pos JOIN swu USING (item), t WHERE swu >= theta)",
+        "f1 AS MATERIALIZED (SELECT CAST(item AS VARCHAR) AS pat, item, sid, tid, k, util AS iu, rem FROM x)",
+        "d1 AS (SELECT (SELECT count(*) FROM pos) - (SELECT count(*) FROM x) AS dropped_swu, 0 AS dropped_pair)",
+    ]
+    for n in range(1, LAYER_LMAX + 1):
+        if n > 1:
+            out.append(f"g{n} AS MATERIALIZED (SELECT * FROM f{n - 1} SEMI JOIN (SELECT pat FROM n{n - 1}, t WHERE bound >= theta * {n}) USING (pat))")
+            out.append(
+                f"a{n} AS MATERIALIZED (SELECT g.pat, g.item AS last, x.tid = g.tid AS inside, x.item, x.sid, x.tid, x.k, max(g.iu) + any_value(x.util) AS iu, any_value(x.rem) AS rem, any_value(x.swu) >= any_value(theta) * {n} AS enough"
+                f" FROM g{n} g JOIN x ON g.sid = x.sid AND x.k > g.k, t GROUP BY ALL)"
+            )
+            out.append(f"f{n} AS MATERIALIZED (SELECT pat || (CASE WHEN inside THEN ',' ELSE ')(' END) || item AS pat, item, sid, tid, k, iu, rem FROM a{n} SEMI JOIN allowed USING (inside, last, item) WHERE enough)")
+            out.append(f"d{n} AS (SELECT (SELECT count(*) FROM a{n} WHERE NOT enough) AS dropped_swu, (SELECT count(*) FROM a{n} WHERE enough) - (SELECT count(*) FROM f{n}) AS dropped_pair)")
+        out.append(f"n{n} AS MATERIALIZED (SELECT pat, CAST(sum(iu) AS BIGINT) AS u, CAST(sum(reach) AS BIGINT) AS bound FROM (SELECT pat, sid, max(iu) AS iu, max(iu + rem) AS reach FROM f{n} GROUP BY 1, 2) GROUP BY 1)")
+    level = lambda n: f"""SELECT CAST({n} AS INT) AS len, count(*) AS nodes, count(*) FILTER (bound >= theta * {n + 1}) AS extended, count(*) FILTER (bound < theta * {n + 1}) AS cut, count(*) FILTER (u >= theta * {n}) AS patterns,
+ (SELECT count(*) FROM f{n}) AS occurrences, (SELECT dropped_swu FROM d{n}) AS dropped_swu, (SELECT CAST(dropped_pair AS BIGINT) FROM d{n}) AS dropped_pair FROM n{n}, t"""
+    reached = " UNION ALL ".join([level(1)] + [f"SELECT * FROM ({level(n)}) WHERE EXISTS (SELECT 1 FROM g{n})" for n in range(2, LAYER_LMAX + 1)])
+    guard = f"coalesce((SELECT CASE WHEN count(*) > 0 THEN error('longer ones are open') ELSE 0 END FROM n{LAYER_LMAX}, t WHERE bound >= theta * {LAYER_LMAX + 1}), 0) = 0"
+    return f"{', '.join(out)} SELECT * FROM ({reached}) WHERE {guard}"
+
+
+@query(_layer_sql())
+def layer_counters(spark, d):
+    """What each layer of the search drops, level by level: SWU, pair filter, bound."""
+    pos = cut(line_pos(spark, d))
+    total, items = pos.agg(F.sum("util"), F.countDistinct("item")).first()
+    return counted(mine(pos, theta=LAYER_SHARE * total / items, options=Options(eucs=True), counters=True))
+
+
 WEEK_XI, WEEK_LMAX = 0.12, 8
 
 
