@@ -3,8 +3,8 @@
 A frontier row is an occurrence end of a pattern in a sequence: iu is the largest
 utility of the occurrences that end at position k, rem the utility after k.  A
 pattern is known by the number of its parent, the new item, and whether that item stands inside the
-parent's last itemset; its name is made once, with its node.  The frontier stays
-bucketed by (sid, share): extending it, the windows over it and the first half of the
+parent's last itemset; its name is made once, with its node.  Positions and the ends that are extended are
+bucketed by (sid, share): growing a frontier, the windows over it and the first half of the
 evaluation need no shuffle; only one row per pattern and partition is shuffled.
 A sequence of more than ``HEAVY`` positions has several shares, each with the patterns that
 begin with some of its items, so that no task has to do a long sequence alone; items are dealt in order of their
@@ -24,9 +24,9 @@ from dataclasses import dataclass, field
 from threading import Timer
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..storage import cut, steps
+from ..storage import cut, release, steps
 
 #: Rows up to which a table of pattern names is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
@@ -109,21 +109,28 @@ def patterns(nodes: DataFrame, theta: float) -> DataFrame:
     )
 
 
-def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",)) -> DataFrame:
+def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",), held: bool = False) -> DataFrame:
     """All one-item extensions of occurrence ends (keys, parent, tid, k, iu) by later positions (keys, tid, k, item, util, ...) of the same keys.
 
     Rows: the positions' columns, and parent, inside, iu.  parts: endings of the columns iu and util, if there are several of both.
+    held: both lie in the same buckets of the keys; else they are dealt out by them once, and what grows lies so.
     """
+    if not held:
+        n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ends, items = ends.repartition(n, *keys), items.repartition(n, *keys)
     first = ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"))
     later = first.join(items, list(keys)).where("k > first")
     more = [c for c in items.columns if c not in (*keys, "tid", "k", "item")]
     sums = [f"iu{p}" for p in parts]
-    both = later.select(*keys, "parent", "tid", "k", "item", *more, *[F.lit(None).cast("long").alias(c) for c in sums]).unionAll(
-        ends.select(*keys, "parent", "tid", "k", F.lit(None).cast("int").alias("item"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in more], *sums)
+    # a union keeps its sides' partitioning only if its keys are columns of its own: under their old names they would be shuffled for each window
+    own = [f"of_{c}" for c in keys]
+    named = [F.col(c).alias(o) for c, o in zip(keys, own)]
+    both = later.select(*named, "parent", "tid", "k", "item", *more, *[F.lit(None).cast("long").alias(c) for c in sums]).unionAll(
+        ends.select(*named, "parent", "tid", "k", F.lit(None).cast("int").alias("item"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in more], *sums)
     )
     # running maxima give each position its best parent: over earlier positions of its itemset, and over earlier itemsets; one sort serves both
-    within = Window.partitionBy(*keys, "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys, "parent").orderBy(F.col("tid").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*own, "parent", "tid").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*own, "parent").orderBy(F.col("tid").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
     best = both.select("*", *[F.max(f"iu{p}").over(within).alias(f"i_best{p}") for p in parts])
     best = best.select("*", *[F.max(f"iu{p}").over(before).alias(f"s_best{p}") for p in parts]).where("item is not null")
 
@@ -132,7 +139,7 @@ def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] =
         return F.when(top(parts[0]).isNotNull(), F.struct(F.lit(inside).alias("inside"), *[(top(p) + F.col(f"util{p}")).alias(f"iu{p}") for p in parts]))
 
     children = F.filter(F.array(child(False), child(True)), lambda x: x.isNotNull())
-    return best.select(*keys, "parent", "tid", "k", "item", *more, F.inline(children))
+    return best.select(*[F.col(o).alias(c) for c, o in zip(keys, own)], "parent", "tid", "k", "item", *more, F.inline(children))
 
 
 def roots(pos: DataFrame) -> DataFrame:
@@ -175,8 +182,9 @@ def dealt(pos: DataFrame) -> DataFrame:
 class Search:
     """A search level by level: nodes() evaluates the frontier, advance() extends it by one item.
 
-    A level's frontier is computed once and cut off from its plan, which would
-    otherwise grow with the length of the patterns.
+    A frontier is never written: it is grown from the ends of the nodes above it, once to
+    evaluate it, and once more for the ends of those of its nodes that are extended.  Only
+    these are held, until the next level's are, and a row of them has no more than its place and utility.
     """
 
     def __init__(self, pos: DataFrame, least: float, pairs: DataFrame | None = None):
@@ -184,15 +192,33 @@ class Search:
         self.pairs, self.length, self.names = pairs, 1, None
         known = item_swu(pos).where(F.col("swu") >= least)
         known_pos = dealt(pos).join(known, "item")
-        n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         columns = ("sid", "share", "own", "tid", "k", "item", "util", "rem", "swu")
-        self.items = cut(known_pos.select(*columns).repartition(n, "sid", "share"), "sid", "share")
-        self.front = self.items.where("own").select("sid", "share", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", F.col("util").alias("iu"), "rem")
-
-    def nodes(self) -> DataFrame:
-        """id, parent, inside, item, pat, len, u, bound, support of the frontier's patterns."""
-        per = self.front.groupBy("sid", "share", "parent", "inside", "item").agg(F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach"))
+        self.items = cut(known_pos.select(*columns).repartition(self.n, "sid", "share"), "sid", "share")
+        self.ends, self.least = None, least
+
+    def front(self, only: DataFrame | None = None) -> DataFrame:
+        """The frontier (sid, share, parent, inside, item, tid, k, iu, rem), not held; only: of some of its nodes, and few enough to be broadcast."""
+        columns = ("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
+        if self.ends is None:
+            return self.items.where("own").withColumns({"parent": F.lit(-1).cast("long"), "inside": F.lit(False), "iu": F.col("util")}).select(*columns)
+        ends, items = self.ends, self.items.where(F.col("swu") >= self.least)
+        if only is not None:  # nothing grows below other parents or by other items
+            ends = ends.join(F.broadcast(only.select("parent").distinct()), "parent", "left_semi")
+            items = items.join(F.broadcast(only.select("item").distinct()), "item", "left_semi")
+        grown = grow(ends, items, "sid", "share", held=True).select(*columns)
+        if self.pairs is None:
+            return grown
+        last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
+        allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
+        return grown.join(last, "parent").join(allowed, ["inside", "last_item", "item"], "left_semi").select(*columns)
+
+    def nodes(self, keep: Column | None = None) -> DataFrame:
+        """id, parent, inside, item, pat, len, u, bound, support of the frontier's patterns; keep: a test of u and bound, if not all are wanted."""
+        per = self.front().groupBy("sid", "share", "parent", "inside", "item").agg(F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach"))
         nodes = per.groupBy("parent", "inside", "item").agg(F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support"))
+        if keep is not None:
+            nodes = nodes.where(keep)
         item = F.col("item").cast("string")
         if self.names is None:
             nodes = nodes.withColumn("pat", item)
@@ -204,24 +230,21 @@ class Search:
 
     def advance(self, open_: DataFrame, count: int, least: float, counters: bool = False) -> tuple[int, int, int] | None:
         """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``; counters: return the occurrences that are kept, and dropped by each layer."""
-        self.names = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
-        parents = self.names.select(F.col("id"), "parent", "inside", "item")
-        ends = self.front.join(parents, ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
-        enough, made, kept_ = F.col("swu") >= least, Observation(), Observation()
-        grown = grow(ends, self.items if counters else self.items.where(enough), "sid", "share")
-        if counters:
-            grown = grown.observe(made, F.count("*").alias("all"), F.count_if(enough).alias("enough")).where(enough)
-        grown = grown.select("sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem")
-        if self.pairs is not None:
-            last = self.names.select(F.col("id").alias("parent"), F.col("item").alias("last_item"))
-            allowed = self.pairs.select((F.col("kind") == "i").alias("inside"), "last_item", F.col("new_item").alias("item"))
-            grown = grown.join(last, "parent").join(allowed, ["inside", "last_item", "item"], "left_semi").drop("last_item")
-        if counters:
-            grown = grown.observe(kept_, F.count("*").alias("kept"))
-        self.front = cut(grown, "sid", "share")
+        small = count <= BROADCAST_ROWS
+        names = F.broadcast(open_) if small else open_
+        front = self.front(open_ if small else None)
+        ends = front.join(names.select("id", "parent", "inside", "item"), ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
+        if not small or self.pairs is not None:  # a join may have been shuffled
+            ends = ends.repartition(self.n, "sid", "share")
+        before, self.ends = self.ends, cut(ends, "sid", "share")
+        if before is not None:
+            release(before)
+        self.names, self.least = names, least
         self.length += 1
         if counters:
-            return kept_.get["kept"], made.get["all"] - made.get["enough"], made.get["enough"] - kept_.get["kept"]
+            made = grow(self.ends, self.items, "sid", "share", held=True).agg(F.count("*"), F.count_if(F.col("swu") >= least)).first()
+            kept_ = self.front().count()
+            return kept_, made[0] - made[1], made[1] - kept_
 
 
 class DeadlinePassed(Exception):
@@ -249,11 +272,12 @@ def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
         spark.sparkContext.removeJobTag(tag)
 
 
-def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None, counters: bool = False, seconds: float | None = None) -> Mined:
+def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None, options: Options | None = None, counters: bool = False, seconds: float | None = None, patterns_only: bool = False) -> Mined:
     """Mine pos at theta, or at xi of its total utility.
 
     counters: count the occurrences that each layer drops; they are made first, so the search does more.
     seconds: a deadline; a search that it ends returns its whole levels, in Mined.cut_at the number of them.
+    patterns_only: hold only nodes that are patterns or extended, for a caller that asks for patterns().
     """
     options = options or Options()
     spark = pos.sparkSession
@@ -263,7 +287,7 @@ def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None,
         out = Mined(xi * total if theta is None else theta, total)
         try:
             with deadline(spark, seconds):
-                _levels(pos, out, options, counters, None if seconds is None else time.monotonic() + seconds)
+                _levels(pos, out, options, counters, None if seconds is None else time.monotonic() + seconds, patterns_only)
         except DeadlinePassed:
             out.cut_at = len(out.levels)
             if not out.levels:
@@ -271,7 +295,7 @@ def mine(pos: DataFrame, xi: float | None = None, *, theta: float | None = None,
     return out
 
 
-def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: float | None) -> None:
+def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: float | None, patterns_only: bool) -> None:
     """Add the search's levels to out, until nothing is open, max_len is reached or the time is over."""
     theta, pairs = out.theta, None
     if options.eucs:
@@ -283,9 +307,10 @@ def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: f
         rows = search.items.where("own").count()
         out.dropped.append((1, rows, pos.count() - rows, 0))
     while True:
-        nodes = search.nodes()
+        extended = F.col("bound") >= F.lit(theta) * (search.length + 1)
+        nodes = search.nodes((F.col("u") >= F.lit(theta) * search.length) | extended if patterns_only and options.bound else None)
         out.levels.append(nodes.select("pat", "len", "u", "bound", "support"))
-        open_ = nodes.where(F.col("bound") >= F.lit(theta) * (search.length + 1)) if options.bound else nodes
+        open_ = nodes.where(extended) if options.bound else nodes
         count = open_.count()
         if not count:
             return

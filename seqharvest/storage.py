@@ -16,6 +16,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -27,6 +28,8 @@ _PRIVATE: dict[str, str] = {}
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("steps", default=())
 #: Path of a bucketed table -> its name in the session's catalog.
 _NAMES: dict[str, str] = {}
+#: A bucketed table as cut() returned it -> its path.
+_AT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Tables that no block deletes.
 _RESULTS: list[tuple[SparkSession, str]] = []
 
@@ -116,4 +119,12 @@ def cut(df: DataFrame, *keys: str, codec: str = "lz4", outlives: bool = False) -
     name = f"seqharvest_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(n, *keys).option("compression", codec).option("path", path).saveAsTable(name)
     _NAMES[path] = name
-    return spark.table(name)
+    held = spark.table(name)
+    _AT[held] = path
+    return held
+
+
+def release(held: DataFrame) -> None:
+    """Delete a bucketed table before its block ends."""
+    if path := _AT.pop(held, None):
+        delete(held.sparkSession, path)
