@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..storage import cut, steps
+from ..storage import cut, release, steps
 from .mine import BROADCAST_ROWS, grow, rendered
 
 NODE = ["parent", "inside", "item"]
@@ -56,12 +56,14 @@ def priced(raw: DataFrame, xi: float, factors: list[Column], *, max_len: int | N
         n = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         items = pos.drop(*[f"su{p}" for p in every]).join(swu.where(reaches("swu", 1)), "item")
         items = cut(items.repartition(n, "sid"), "sid")
+        # as in mine.Search: a frontier is grown for its nodes and again for the ends that are extended, which alone are held
         front = items.select("sid", F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "tid", "k", *[F.col(f"util{p}").alias(f"iu{p}") for p in every], *[f"rem{p}" for p in every])
-        names, levels, length = None, [], 1
+        names, levels, length, held = None, [], 1, None
         while True:
             reach = lambda p: F.max(F.col(f"iu{p}") + F.col(f"rem{p}")).alias(f"reach{p}")
             per = front.groupBy("sid", *NODE).agg(*[F.max(f"iu{p}").alias(f"iu{p}") for p in every], *[reach(p) for p in every])
             nodes = per.groupBy(*NODE).agg(*[F.sum(f"iu{p}").cast("long").alias(f"u{p}") for p in every], *[F.sum(f"reach{p}").cast("long").alias(f"bound{p}") for p in every])
+            nodes = nodes.where(reaches("u", length) | reaches("bound", length + 1))  # others are neither patterns nor extended
             item = F.col("item").cast("string")
             if names is None:
                 nodes = nodes.withColumn("pat", item)
@@ -76,9 +78,12 @@ def priced(raw: DataFrame, xi: float, factors: list[Column], *, max_len: int | N
                 break
             names = F.broadcast(open_) if count <= BROADCAST_ROWS else open_
             ends = front.join(names.select("id", *NODE), NODE).select("sid", F.col("id").alias("parent"), "tid", "k", *[f"iu{p}" for p in every])
+            before, held = held, cut(ends if count <= BROADCAST_ROWS else ends.repartition(n, "sid"), "sid")
+            if before is not None:
+                release(before)
             length += 1
             admitted = items.where(reaches("swu", length)).drop(*[f"swu{p}" for p in every])
-            front = cut(grow(ends, admitted, "sid", parts=parts), "sid")
+            front = grow(held, admitted, "sid", parts=parts, held=True)
     is_one = [F.col(f"u{p}") >= F.lit(theta[p]) * F.col("len") for p in every]
     status = F.concat(*[F.when(t, "1").otherwise("0") for t in is_one])
     found = reduce(DataFrame.unionByName, levels).where(_any(is_one))
