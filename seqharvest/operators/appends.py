@@ -13,13 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import cut
 from .incremental import follow
-from .mine import dealt, grow_named, item_swu, kept, rendered, roots
-
-
-def _held(pos: DataFrame) -> DataFrame:
-    """pos dealt, held in buckets of (sid, share)."""
-    n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(dealt(pos).repartition(n, "sid", "share"), "sid", "share")
+from .mine import grow_named, held_dealt, held_front, item_swu, kept, rendered, roots
 
 
 def _anchored(front: DataFrame, first_new: int) -> DataFrame:
@@ -31,13 +25,13 @@ def _anchored(front: DataFrame, first_new: int) -> DataFrame:
 
 def anchored(pos: DataFrame, first_new: int, longest: int) -> DataFrame:
     """(pat, len, sid, u, uhat), zero where there is no such occurrence, of all patterns up to a length."""
-    pos = _held(pos)
+    pos = held_dealt(pos)
     front = roots(pos)
     levels = []
     for n in range(1, longest + 1):
         levels.append(_anchored(front, first_new).withColumn("len", F.lit(n)).select("pat", "len", "sid", "u", "uhat"))
         if n < longest:
-            front = grow_named(front, pos)
+            front = grow_named(front, pos, held=True)
             if n + 1 < longest:  # the last level is read once
                 front = cut(front, "sid", "share")
     return reduce(DataFrame.unionByName, levels)
@@ -109,12 +103,12 @@ def update_stored(stored: DataFrame, pos: DataFrame, first_new: int, xi: float)
         return rows.join(reduce(DataFrame.unionByName, levels, none), "pat", "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
     touched = pos.where(F.col("tid") >= first_new).select("sid").distinct()
-    here = _held(cut(pos.join(touched, "sid", "left_semi"), "sid"))
+    here = held_dealt(cut(pos.join(touched, "sid", "left_semi"), "sid"))
     gains = cut(sums(names, here, F.greatest(F.lit(0), F.col("uhat") - F.col("u")), "du"))
     fresh = cut(gains.join(stored, "pat", "left_anti").where(F.col("du") >= F.lit(limit * (1 - 1e-12)) * F.col("len")).select("pat", "len"))
     known = stored
     if not fresh.isEmpty():
-        known = stored.unionByName(sums(fresh, _held(cut(pos.where(F.col("tid") < first_new), "sid")), F.col("u"), "u"))
+        known = stored.unionByName(sums(fresh, held_dealt(cut(pos.where(F.col("tid") < first_new), "sid")), F.col("u"), "u"))
     after = known.join(gains.select("pat", "du"), "pat").select("pat", "len", (F.col("u") + F.col("du")).alias("u"))
     return after.where(F.col("u") >= F.lit(theta_new) * F.col("len")).select(rendered().alias("pattern"), "len", F.col("u").alias("utility"))
 
@@ -153,13 +147,13 @@ def backward(pos: DataFrame, first_new: int, xi: float, longest: int | None = No
     ahead = Window.partitionBy("sid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     here = pos.join(touched, "sid", "left_semi").withColumn("most", F.coalesce(F.max("util").over(ahead), F.lit(0)))
     mirrored = here.select("sid", (-F.col("tid")).alias("tid"), (-F.col("k")).alias("k"), "item", "util", F.col("pre").alias("rem"), "most")
-    mirrored = _held(cut(mirrored, "sid"))
-    front = roots(mirrored.where(F.col("tid") <= -first_new))
+    mirrored = held_dealt(cut(mirrored, "sid"))
+    front = roots(mirrored.where(F.col("tid") <= -first_new), "most")
     levels, n = [], 1
     while True:
         iu, before, most = F.col("iu"), F.col("rem"), F.col("most")
         each = F.least(n * (iu + before), F.greatest((n + 1) * iu, n * (n + 1) * most))
-        per = front.join(mirrored.select("sid", "share", "k", "most"), ["sid", "share", "k"]).groupBy("pat", "sid", "share").agg(F.max(iu).alias("uhat"), F.max(each).alias("b"))
+        per = front.groupBy("pat", "sid", "share").agg(F.max(iu).alias("uhat"), F.max(each).alias("b"))
         nodes = per.groupBy("pat").agg(F.sum("uhat").cast("long").alias("uhat"), F.sum("b").cast("long").alias("bound"))
         goes_on = (F.col("bound") > F.lit(limit) * (n * (n + 1))) & F.lit(xi * (n + 1) < 1)
         nodes = cut(nodes.select("pat", F.lit(n).alias("len"), "uhat", "bound", (F.col("uhat") > F.lit(limit) * n).alias("candidate"), goes_on.alias("extended")))
@@ -167,7 +161,9 @@ def backward(pos: DataFrame, first_new: int, xi: float, longest: int | None = No
         count = nodes.where("extended").count()
         if not count or n == longest:
             break
-        front = cut(grow_named(kept(front, nodes.where("extended"), count), mirrored))
+        # as in mine.Search: only the ends of extended nodes are held
+        ends = held_front(kept(front, nodes.where("extended"), count), count)
+        front = grow_named(ends, mirrored, "most", held=True)
         n += 1
     sets = F.transform(F.split("pat", r"\)\("), lambda x: F.array_join(F.reverse(F.split(x, ",")), ","))
     return reduce(DataFrame.unionByName, levels).select(rendered(F.array_join(F.reverse(sets), ")(")).alias("pattern"), "len", "uhat", "bound", "candidate", "extended")

@@ -14,7 +14,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import cut, written
-from .mine import BROADCAST_ROWS, Mined, dealt, evaluate, grow_named, item_swu, mine, positions, roots, total_utility
+from .mine import BROADCAST_ROWS, Mined, evaluate, grow_named, held_dealt, held_front, item_swu, mine, positions, roots, total_utility
 
 
 # ---- schedules
@@ -161,7 +161,7 @@ def safety(xi: float, mu: float, total_at_rescan: int) -> tuple[float, float]:
 
 
 def follow(pos: DataFrame, names: DataFrame) -> Iterator[tuple[int, DataFrame]]:
-    """Length by length, the occurrence ends in dealt positions of the patterns names(pat) and of their prefixes; nothing else is followed."""
+    """Length by length, the occurrence ends in dealt positions (mine.held_dealt) of the patterns names(pat) and of their prefixes; nothing else is followed."""
     ways = names.select("pat", F.explode(prefixes(F.col("pat"))).alias("way"))
     paths = cut(ways.groupBy(F.col("way").alias("pat")).agg(F.max(F.col("way") != F.col("pat")).alias("inner"), F.max(F.size(F.regexp_extract_all("way", F.lit("[0-9]+"), F.lit(0)))).alias("len")))
     count, longest = paths.agg(F.count("*"), F.max("len")).first()
@@ -171,13 +171,13 @@ def follow(pos: DataFrame, names: DataFrame) -> Iterator[tuple[int, DataFrame]]:
         yield n, front
         if n < longest:
             ends = front.join(at(paths.where(F.col("inner") & (F.col("len") == n))), "pat", "left_semi")
-            front = cut(grow_named(ends, pos).join(at(paths.where(F.col("len") == n + 1)), "pat", "left_semi"))
+            front = held_front(grow_named(ends, pos, held=True).join(at(paths.where(F.col("len") == n + 1)), "pat", "left_semi"), count)
 
 
 def delta_nodes(pos: DataFrame, names: DataFrame) -> DataFrame:
     """u, bound and support over pos of the patterns in names(pat, len) only: their prefixes guide the search."""
     known = cut(names.select("pat", "len"))
-    found = [evaluate(front).select("pat", F.lit(n).alias("len"), "u", "bound", "support") for n, front in follow(cut(dealt(cut(pos))), known)]
+    found = [evaluate(front).select("pat", F.lit(n).alias("len"), "u", "bound", "support") for n, front in follow(held_dealt(cut(pos)), known)]
     empty = known.where("false").select("pat", "len", *[F.lit(0).cast("long").alias(c) for c in ("u", "bound", "support")])
     return reduce(DataFrame.unionByName, found, empty).join(known.select("pat"), "pat", "left_semi")
 

@@ -142,17 +142,30 @@ def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] =
     return best.select(*[F.col(o).alias(c) for c, o in zip(keys, own)], "parent", "tid", "k", "item", *more, F.inline(children))
 
 
-def roots(pos: DataFrame) -> DataFrame:
-    """The frontier of single items in dealt positions."""
-    return pos.where("own").select(F.col("item").cast("string").alias("pat"), "sid", "share", "tid", "k", F.col("util").alias("iu"), "rem")
+def held_dealt(pos: DataFrame) -> DataFrame:
+    """pos dealt, held in buckets of (sid, share)."""
+    n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(dealt(pos).repartition(n, "sid", "share"), "sid", "share")
 
 
-def grow_named(front: DataFrame, pos: DataFrame) -> DataFrame:
-    """grow() for a frontier (pat, sid, share, tid, k, iu) of named patterns and dealt positions pos."""
+def held_front(front: DataFrame, count: int) -> DataFrame:
+    """A frontier of named patterns held in the buckets of its positions; count: the names that it was joined with."""
+    n = int(front.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # after joins with names that are broadcast, rows lie in the buckets already
+    return cut(front if count <= BROADCAST_ROWS else front.repartition(n, "sid", "share"), "sid", "share")
+
+
+def roots(pos: DataFrame, *more: str) -> DataFrame:
+    """The frontier of single items in dealt positions; more: further columns of the positions."""
+    return pos.where("own").select(F.col("item").cast("string").alias("pat"), "sid", "share", "tid", "k", F.col("util").alias("iu"), "rem", *more)
+
+
+def grow_named(front: DataFrame, pos: DataFrame, *more: str, held: bool = False) -> DataFrame:
+    """grow() for a frontier (pat, sid, share, tid, k, iu) of named patterns and dealt positions pos; more: further columns of pos; held: as in grow()."""
     ends = front.select("sid", "share", F.col("pat").alias("parent"), "tid", "k", "iu")
-    grown = grow(ends, pos.select("sid", "share", "tid", "k", "item", "util", "rem"), "sid", "share")
+    grown = grow(ends, pos.select("sid", "share", "tid", "k", "item", "util", "rem", *more), "sid", "share", held=held)
     name = F.concat("parent", F.when(F.col("inside"), F.lit(",")).otherwise(F.lit(")(")), F.col("item").cast("string"))
-    return grown.select(name.alias("pat"), "sid", "share", "tid", "k", "iu", "rem")
+    return grown.select(name.alias("pat"), "sid", "share", "tid", "k", "iu", "rem", *more)
 
 
 def kept(front: DataFrame, nodes: DataFrame, count: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..storage import cut
 from .incremental import follow, prefixes
 from .prices import priced
-from .mine import Mined, dealt, grow_named, mine, rendered, roots, total_utility
+from .mine import Mined, dealt, grow_named, held_dealt, mine, rendered, roots, total_utility
 
 
 def price_grid(raw: DataFrame, xi: float, items: list[int] | None, tenths: list[int]) -> DataFrame:
@@ -91,7 +91,7 @@ def compare_sets(one: DataFrame, other: DataFrame) -> DataFrame:
 def holders(pos: DataFrame, names: DataFrame) -> DataFrame:
     """(pat, sid): the sequences that hold each pattern of names(pat); only prefixes of the patterns are followed."""
     known = cut(names.select("pat").distinct())
-    levels = [front.select("pat", "sid").distinct().join(known, "pat", "left_semi") for _, front in follow(cut(dealt(cut(pos))), known)]
+    levels = [front.select("pat", "sid").distinct().join(known, "pat", "left_semi") for _, front in follow(held_dealt(cut(pos)), known)]
     return reduce(DataFrame.unionAll, levels, known.join(pos.select("sid"), F.lit(False)))
 
 
