@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut
-from .mine import BROADCAST_ROWS, Mined, dealt, evaluate, grow_named, item_swu, positions, roots, total_utility
+from .mine import BROADCAST_ROWS, Mined, evaluate, grow_named, held_dealt, held_front, item_swu, positions, roots, total_utility
 
 
 #: Where a row of a frontier comes from: the stored tree, stored sequences searched again, new sequences.
@@ -72,8 +72,8 @@ class PatternTree:
         theta = self.xi * self.total
         gained = item_swu(fresh)
         self.swu = cut(gained if self.swu is None else self.swu.unionByName(gained).groupBy("item").agg(F.sum("swu").cast("long").alias("swu")))
-        fresh = cut(dealt(fresh))
-        stored = self.pos if self.pos is not None else fresh.limit(0)
+        fresh = held_dealt(fresh)
+        stored = self.pos if self.pos is not None else fresh.where("false")
         admitted = lambda n: self.swu.where(F.col("swu") >= F.lit(theta) * n).select("item")
 
         items = admitted(1)
@@ -84,12 +84,12 @@ class PatternTree:
             held, ends = [was.nodes.join(names, "pat", "left_semi")], [was.front.join(names, "pat", "left_semi")]
             late = _roots(stored, items.join(was.items, "item", "left_anti"))
 
-        out, levels, length = Mined(theta, self.total), [], 1
+        out, levels, length, count = Mined(theta, self.total), [], 1, 0
         while True:
             front = _from(late, LATE).unionByName(_from(new, NEW))
             for kept in ends:
                 front = front.unionByName(_from(kept, HELD))
-            front = cut(front)
+            front = held_front(front, count)
             nodes = evaluate(front.where(F.col("origin") != HELD))
             for kept in held:
                 nodes = nodes.unionByName(kept.select(*nodes.columns))
@@ -109,15 +109,15 @@ class PatternTree:
             old = front.where(F.col("origin") != NEW)
             if known is None:
                 held, ends = [], []
-                late = grow_named(old.join(named, "pat", "left_semi"), stored.join(items, "item", "left_semi"))
+                late = grow_named(old.join(named, "pat", "left_semi"), stored.join(items, "item", "left_semi"), held=True)
             else:
                 was = self.levels[length - 1]
                 held, ends = [_below(was.nodes, open_, items)], [_below(was.front, open_, items)]
                 first_time, again = open_.join(known, "pat", "left_anti"), open_.join(known, "pat", "left_semi")
-                late = grow_named(old.join(first_time, "pat", "left_semi"), stored.join(items, "item", "left_semi")).unionByName(
-                    grow_named(old.join(again, "pat", "left_semi"), stored.join(items.join(was.items, "item", "left_anti"), "item", "left_semi"))
+                late = grow_named(old.join(first_time, "pat", "left_semi"), stored.join(items, "item", "left_semi"), held=True).unionByName(
+                    grow_named(old.join(again, "pat", "left_semi"), stored.join(items.join(was.items, "item", "left_anti"), "item", "left_semi"), held=True)
                 )
-            new = grow_named(front.where(F.col("origin") == NEW).join(named, "pat", "left_semi"), fresh.join(items, "item", "left_semi"))
+            new = grow_named(front.where(F.col("origin") == NEW).join(named, "pat", "left_semi"), fresh.join(items, "item", "left_semi"), held=True)
         self.levels = levels
-        self.pos = cut(stored.unionByName(fresh)) if self.pos is not None else fresh
+        self.pos = cut(stored.unionByName(fresh), "sid", "share") if self.pos is not None else fresh
         return out

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from seqharvest.operators import tree
 from seqharvest.operators.incremental import follow
 from seqharvest.operators.mine import grow_named, held_dealt, positions
 from seqharvest.storage import _AT, cut, steps
@@ -31,3 +34,12 @@ def test_followed_names_are_grown_in_their_buckets(spark):
             assert {r["pat"] for r in fronts[3].select("pat").distinct().collect()} <= {"1)(2,3", "2)(1)(4"}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_tree_holds_its_frontiers_and_positions_by_bucket(spark):
+    kept = tree.PatternTree(0.05)
+    for b in range(2):
+        kept.add(spark.createDataFrame(rows(8 + b, 100 * b), SCHEMA))
+    assert kept.pos in _AT and all(level.front in _AT for level in kept.levels) and len(kept.levels) > 1
+    assert exchanges(grow_named(kept.levels[0].front, kept.pos, held=True)) == 0
+    assert kept.levels[0].front.where(F.col("origin") == tree.NEW).count() > 0
