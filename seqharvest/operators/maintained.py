@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..storage import cut, delete, steps
 from .mine import BROADCAST_ROWS, Mined, grow
 
+#: The hash of sid that deals out buckets: that of Spark's own shuffles, so that what is shuffled by sid into as many parts lies in buckets.
+BUCKETS_BY = "murmur3"
 NODE = ["parent", "inside", "item"]
 ENDS = [*NODE, "sid", "tid", "k", "iu", "upto"]
 #: Columns of the tables by sequence; sid has the type that it comes with.
@@ -41,6 +43,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _beside(parts: list[DataFrame]) -> DataFrame:
+    """The union of parts that lie in buckets of sid; it lies so, too, since the column that is united is its own."""
+    return _union([p.withColumnRenamed("sid", "of_sid") for p in parts]).withColumnRenamed("of_sid", "sid")
+
+
 class Maintained:
     """Mining at the ratio xi in a store of tables at path: add() takes raw(sid, tid, item, util), tid ordering a sequence's itemsets inside the batch."""
 
@@ -53,6 +60,8 @@ class Maintained:
         self.total, self.version, self.depth = 0, -1, {}
         if self._there(f"{self.path}/manifest"):
             for r in spark.read.parquet(f"{self.path}/manifest").orderBy("batch").collect():
+                if "by" not in r or r["by"] != BUCKETS_BY:
+                    raise ValueError("the store's buckets were dealt out by another hash")
                 if r["batch"] == self.version + 1:
                     self.version, self.total, self.depth[r["batch"]] = r["batch"], r["total"], r["depth"]
                     if r["xi"] != xi or buckets not in (None, r["buckets"]):
@@ -64,17 +73,25 @@ class Maintained:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def _bucket(self):
-        return F.pmod(F.xxhash64("sid"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash("sid"), F.lit(self.buckets)).cast("int")
+
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _held(self, df: DataFrame) -> DataFrame:
+        """df held in buckets of sid while the batch is taken in."""
+        return cut(df.repartition(self._parts(), "sid"), "sid")
 
-    def _write(self, df: DataFrame, kind: str, batch: int, level: int | None = None, by_sequence: bool = True) -> DataFrame:
-        """Write a batch's part of a table, and return it as read back."""
+    def _write(self, df: DataFrame, kind: str, batch: int, level: int | None = None, by_sequence: bool = True, lies: bool = False) -> DataFrame:
+        """Write a batch's part of a table, and return it as read back.  lies: df was shuffled by sid, so that a task has rows of one bucket if there are as many."""
         at = f"{self.path}/{kind}/batch={batch}" + (f"/len={level}" if level else "")
         if by_sequence:
             schema = TABLES[kind].format(self.sid)
             df = df.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
         schema = df.schema
         if by_sequence:  # large buckets are split, small ones written by one task
-            df = df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+            df = df.withColumn("bucket", self._bucket())
+            df = df if lies and self.buckets == self._parts() else df.hint("rebalance", "bucket")
             df.write.option("compression", "zstd").partitionBy("bucket").mode("overwrite").parquet(at)
         else:
             df.write.option("compression", "zstd").mode("overwrite").parquet(at)
@@ -117,7 +134,7 @@ class Maintained:
         self.sid = raw.schema["sid"].dataType.simpleString()
         with steps(self.spark):
             total, depth = self._search(raw, now)
-        row = self.spark.createDataFrame([(self.xi, self.buckets, total, depth)], "xi double, buckets int, total long, depth int")
+        row = self.spark.createDataFrame([(self.xi, self.buckets, total, depth, BUCKETS_BY)], "xi double, buckets int, total long, depth int, by string")
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={now}")
         self.version, self.total, self.depth[now] = now, total, depth
         return self.answer()
@@ -149,7 +166,7 @@ class Maintained:
         fresh = self._write(place, "positions", now)
         ends = fresh.groupBy("sid").agg(F.max("upto").alias("su"), (F.max("k") + 1).alias("n"), (F.max("tid") + 1).alias("sets")).join(state.select("sid", "su0"), "sid")
         touched = self._write(ends, "sequences", now)
-        return fresh, touched.select("sid", "su0", F.col("su").alias("su1"), (F.col("su0") > 0).alias("known"))
+        return self._held(fresh), self._held(touched.select("sid", "su0", F.col("su").alias("su1"), (F.col("su0") > 0).alias("known")))
 
     def _search(self, raw: DataFrame, now: int) -> tuple[int, int]:
         """(total utility, length of the longest nodes) after the batch; writes all of the batch's tables."""
@@ -166,7 +183,8 @@ class Maintained:
             self.stored_rows[now] = sum(self.spark.read.parquet(f"{self.path}/{k}").where(F.col("batch") < now).count() for k in ("positions", "ends") if now)
         grown = fresh.select(F.lit(-1).cast("long").alias("parent"), F.lit(False).alias("inside"), "item", "sid", "tid", "k", F.col("util").alias("iu"), "upto")
         while True:
-            ends = self._write(grown, "ends", now, level).select(*ENDS)
+            ends = (grown if level == 1 else cut(grown, "sid")).select(*ENDS)
+            self._write(ends, "ends", now, level, lies=True)
             lists = self._lists(level, parents, touched, buckets)
             merged = self._merged(ends, lists, sequences)
             if level == 1:
@@ -199,7 +217,7 @@ class Maintained:
         if stored is None:
             return None
         mine = self._valid(stored.join(touched.where("known").select("sid"), "sid", "left_semi"), grandparents)
-        return cut(mine.groupBy(*NODE, "sid").agg(F.max("iu").alias("top0"), F.max(F.col("iu") - F.col("upto")).alias("lead0")))
+        return self._held(mine.groupBy(*NODE, "sid").agg(F.max("iu").alias("top0"), F.max(F.col("iu") - F.col("upto")).alias("lead0")))
 
     def _merged(self, ends: DataFrame, lists: DataFrame | None, sequences: DataFrame) -> DataFrame:
         """Each list that the batch changes, as it was (top0, lead0; null if new) and what came to it (top1, lead1), with su0 and su1."""
@@ -208,7 +226,7 @@ class Maintained:
         rows = new.select(*NODE, "sid", none.alias("top0"), none.alias("lead0"), "top1", "lead1")
         if lists is not None:
             old = lists.select(*NODE, "sid", "top0", "lead0", none.alias("top1"), none.alias("lead1"))
-            rows = rows.unionByName(old).groupBy(*NODE, "sid").agg(*[F.max(c).alias(c) for c in ("top0", "lead0", "top1", "lead1")])
+            rows = _beside([rows, old]).groupBy(*NODE, "sid").agg(*[F.max(c).alias(c) for c in ("top0", "lead0", "top1", "lead1")])
         return rows.join(sequences, "sid")
 
     def _swu(self, merged: DataFrame, now: int) -> DataFrame:
@@ -262,7 +280,7 @@ class Maintained:
             carried = [of(ends, old)]
             if lists is not None:  # of all stored ends, the best one counts, before any new position
                 carried.append(of(lists.select(*NODE, "sid", F.lit(-1).alias("tid"), F.lit(-1).alias("k"), F.col("top0").alias("iu")), old))
-            out.append(grow(_union(carried), fresh.join(before, "item", "left_semi"), "sid"))
+            out.append(grow(_beside(carried), fresh.join(before, "item", "left_semi"), "sid", held=True))
         if first or kept_ and newly is not None:
             stored, positions = self._stored("ends", level), self._stored("positions")
             every = ends if stored is None else ends.unionByName(self._valid(stored, self._grandparents(level)))
@@ -273,7 +291,7 @@ class Maintained:
             if kept_ and newly is not None:
                 new = places.join(F.broadcast(newly), "item", "left_semi")
                 out.append(grow(of(every.join(new.select("sid").distinct(), "sid", "left_semi"), old), new, "sid"))
-        return (_union(out).select(*ENDS) if out else None), late
+        return (_beside([x.select(*ENDS) for x in out]) if out else None), late
 
     def _grandparents(self, level: int) -> DataFrame | None:
         """The extended nodes above a length, as this batch has just written them."""
