@@ -123,16 +123,7 @@ def root_entries(pos: DataFrame) -> DataFrame:
     return pos.agg(F.count("*").alias("root_entries"))
 
 
-# ---- mining batch by batch
-
-
-def by_batch(raw: DataFrame, xi: float, batches: int) -> DataFrame:
-    """Patterns after every batch of raw(batch_id, ...): each answer is over all rows so far."""
-    out = None
-    for b in range(batches):
-        found = mine(positions(raw.where(F.col("batch_id") <= b)), xi, patterns_only=True).patterns().select(F.lit(b).alias("batch_id"), "*")
-        out = found if out is None else out.unionByName(found)
-    return out
+# ---- what a batch changes
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -205,21 +205,36 @@ class Search:
         self.pairs, self.length, self.names, self.pos = pairs, 1, None, pos
         #: (inside, last_item, item) of the extensions that their pair admits, from the third level on; whether rows are joined with them, or nodes.
         self.allowed, self.few = None, False
-        known = item_swu(pos).where(F.col("swu") >= least)
-        known_pos = dealt(pos).join(known, "item")
+        self.ends, self.least = None, least
+        swu = self._swu()
+        known_pos = dealt(pos).join(swu.where(self._enough()), "item")
         self.n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        columns = ("sid", "share", "own", "tid", "k", "item", "util", "rem", "swu", *(["su"] if pairs is not None else []))
+        columns = ("sid", "share", "own", "tid", "k", "item", "util", "rem", *[c for c in swu.columns if c != "item"], *self._carried(), *(["su"] if pairs is not None else []))
         self.items = cut(known_pos.select(*columns).repartition(self.n, "sid", "share"), "sid", "share")
-        self.ends, self.least = None, least
+
+    def _swu(self) -> DataFrame:
+        return item_swu(self.pos)
+
+    def _enough(self) -> Column:
+        """Whether an item's SWU admits it at the present length."""
+        return F.col("swu") >= self.least
+
+    def _carried(self) -> tuple[str, ...]:
+        """Further columns of the positions that the frontier has."""
+        return ()
+
+    def _sums(self) -> list[Column]:
+        """u, bound and support of the nodes, from iu and reach by sequence."""
+        return [F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support")]
 
     def front(self, only: DataFrame | None = None) -> DataFrame:
         """The frontier (sid, share, parent, inside, item, tid, k, iu, rem), not held; only: of some of its nodes, and few enough to be broadcast."""
-        columns = ["sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem"]
+        columns = ["sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem", *self._carried()]
         if self.pairs is not None and self.length == 2:
             columns.append("su")
         if self.ends is None:
             return self.items.where("own").withColumns({"parent": F.lit(-1).cast("long"), "inside": F.lit(False), "iu": F.col("util")}).select(*columns)
-        ends, items = self.ends, self.items.where(F.col("swu") >= self.least)
+        ends, items = self.ends, self.items.where(self._enough())
         if only is not None:  # nothing grows below other parents or by other items
             ends = ends.join(F.broadcast(only.select("parent").distinct()), "parent", "left_semi")
             items = items.join(F.broadcast(only.select("item").distinct()), "item", "left_semi")
@@ -239,7 +254,7 @@ class Search:
         """Sum up the pairs that the frontier would be grown by, and no others."""
         from .cooccurrence import reached
 
-        grown = grow(self.ends, self.items.where(F.col("swu") >= self.least), "sid", "share", held=True).select("parent", "inside", "item")
+        grown = grow(self.ends, self.items.where(self._enough()), "sid", "share", held=True).select("parent", "inside", "item")
         wanted = cut(grown.join(self._last(), "parent").select("inside", "last_item", "item").distinct())
         few = wanted.count() <= BROADCAST_ROWS
         self.allowed = cut(reached(self.pos, wanted, self.pairs, few))
@@ -251,23 +266,23 @@ class Search:
         A pattern of two items stands in the sequences that its pair is summed over, so its pair's sum is made beside its own.
         """
         of_pair = self.pairs is not None and self.length == 2
-        each = [F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach")] + [F.max("su").alias("su")] * of_pair + [F.count("*").alias("rows")] * counters
+        each = [F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach")] + [F.max(c).alias(c) for c in self._carried()] + [F.max("su").alias("su")] * of_pair + [F.count("*").alias("rows")] * counters
         per = self.front().groupBy("sid", "share", "parent", "inside", "item").agg(*each)
-        sums = [F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support")]
-        nodes = per.groupBy("parent", "inside", "item").agg(*sums, *[F.sum("su").alias("of_pair")] * of_pair, *[F.sum("rows").alias("rows")] * counters)
+        nodes = per.groupBy("parent", "inside", "item").agg(*self._sums(), *[F.sum("su").alias("of_pair")] * of_pair, *[F.sum("rows").alias("rows")] * counters)
         if of_pair:
             nodes = nodes.where(F.col("of_pair") >= self.pairs)
         if keep is not None:
             nodes = nodes.where(keep)
         if self.allowed is not None and not self.few:
             nodes = self._admitted(nodes)
+        sums = [c for c in nodes.columns if c not in ("parent", "inside", "item", "rows", "of_pair")]
         item = F.col("item").cast("string")
         if self.names is None:
             nodes = nodes.withColumn("pat", item)
         else:
             named = nodes.join(self.names.select(F.col("id").alias("parent"), F.col("pat").alias("start")), "parent")
             nodes = named.withColumn("pat", F.concat("start", F.when(F.col("inside"), F.lit(",")).otherwise(F.lit(")(")), item))
-        named = nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), "u", "bound", "support", *["rows"] * counters)
+        named = nodes.select(F.monotonically_increasing_id().alias("id"), "parent", "inside", "item", "pat", F.lit(self.length).alias("len"), *sums, *["rows"] * counters)
         return cut(named, outlives=True)  # the search's result
 
     def advance(self, open_: DataFrame, count: int, least: float, counters: bool = False) -> tuple[int, int] | None:
