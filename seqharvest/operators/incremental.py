@@ -173,6 +173,25 @@ def delta_nodes(pos: DataFrame, names: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found, empty).join(known.select("pat"), "pat", "left_semi")
 
 
+def decisions(sizes: list[int], xi: float, mu: float) -> list[dict]:
+    """Of batches of these utilities, which ask for a rescan: the first, and those that don't fit into the safety utility since the last.  No pattern decides that."""
+    at_rescan, held, total, log = None, 0, 0, []
+    for b, size in enumerate(sizes):
+        total += size
+        room = 0.0 if at_rescan is None else safety(xi, mu, at_rescan)[1]
+        rescan = at_rescan is None or held + size > room
+        log.append({"batch_id": b, "rescan": rescan, "safety": room, "buffer": held + size})
+        at_rescan, held = (total, 0) if rescan else (at_rescan, held + size)
+    return log
+
+
+def batch_sizes(raw: DataFrame, batches: int) -> list[int]:
+    """The utility of each batch of raw(batch_id, ...), over the rows that positions() keeps."""
+    good = raw.where("util > 0 and sid is not null and tid is not null and item is not null")
+    found = dict(good.where(F.col("batch_id").between(0, batches - 1)).groupBy("batch_id").agg(F.sum("util").cast("long")).collect())
+    return [found.get(b, 0) for b in range(batches)]
+
+
 def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFrame, list[dict]]:
     """Pre-large maintenance over batches of new sequences.
 
@@ -181,16 +200,11 @@ def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFr
     utility only updates stored patterns; otherwise everything is mined anew at
     the lower ratio, and nodes are kept that reach it or lead to one that does.
     """
-    state, at_rescan, held, total, log = None, 0, 0, 0, []
-    for b in range(batches):
-        delta = positions(raw.where(F.col("batch_id") == b))
-        size = total_utility(delta)
+    sizes = batch_sizes(raw, batches)
+    log, lower, state, total = decisions(sizes, xi, mu), safety(xi, mu, 0)[0], None, 0
+    for b, size in enumerate(sizes):
         total += size
-        lower, room = safety(xi, mu, at_rescan)
-        rescan = state is None or held + size > room
-        log.append({"batch_id": b, "rescan": rescan, "safety": 0.0 if state is None else room, "buffer": held + size})
-        if rescan:
-            at_rescan, held = total, 0
+        if log[b]["rescan"]:
             whole = positions(raw.where(F.col("batch_id") <= b))
             found = mine(whole, theta=lower * total)
             nodes = found.nodes()
@@ -199,8 +213,7 @@ def prelarge(raw: DataFrame, xi: float, mu: float, batches: int) -> tuple[DataFr
             ways = good.select(F.explode(prefixes(F.col("pat"))).alias("pat")).distinct()
             state = cut(nodes.join(ways, "pat", "left_semi"))
         else:
-            held += size
-            gain = delta_nodes(delta, state)
+            gain = delta_nodes(positions(raw.where(F.col("batch_id") == b)), state)
             state = state.unionByName(gain).groupBy("pat", "len").agg(F.sum("u").cast("long").alias("u"), F.sum("bound").cast("long").alias("bound"), F.sum("support").cast("long").alias("support"))
             state = cut(state)
     return state.withColumn("large", F.col("u") >= F.lit(xi * total) * F.col("len")), log
