@@ -12,6 +12,10 @@ from .mine import item_swu
 
 #: Most rows of a group that one join key has; pairs of larger groups are made block by block.
 BLOCK = 2_000
+#: Most sequences of an item whose pairs are summed in one task; those of more frequent items are summed in parts first.
+FREQUENT = 20_000
+#: Pairs that a task sums at most, on average, so that their sums need no disk.
+PAIRS = 4_000_000
 
 
 def _ends(pos: DataFrame) -> DataFrame:
@@ -23,15 +27,19 @@ def self_pairs(pos: DataFrame) -> DataFrame:
     return _ends(pos).where("first < last").groupBy("item").agg(F.sum("su").cast("long").alias("swu"))
 
 
-def _sides(rows: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, DataFrame, list[str]]]:
-    """Both sides and the keys of joins that pair all rows (keys, item, ...) of a group.
+def _blocks(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (keys, item, ...) held in buckets of the keys, with the block that each has in its group, and its group's number of blocks."""
+    group = Window.partitionBy(*keys)
+    block = F.floor((F.row_number().over(group.orderBy("item")) - 1) / BLOCK).cast("int")
+    return cut(rows.withColumns({"block": block, "blocks": F.ceil(F.count("*").over(group) / BLOCK).cast("int")}), *keys)
+
+
+def _sides(held: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, DataFrame, list[str]]]:
+    """Both sides and the keys of joins that pair all rows (keys, item, ...) of a group, held by _blocks().
 
     Groups of at most BLOCK rows are joined where they are held.  Larger ones are
     joined by pairs of blocks, so that no key of a join has more than BLOCK rows.
     """
-    group = Window.partitionBy(*keys)
-    block = F.floor((F.row_number().over(group.orderBy("item")) - 1) / BLOCK).cast("int")
-    held = cut(rows.withColumns({"block": block, "blocks": F.ceil(F.count("*").over(group) / BLOCK).cast("int")}), *keys)
     small = held.where("blocks = 1")
     yield small, small, list(keys)
     large = held.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -39,10 +47,11 @@ def _sides(rows: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, DataFrame,
     yield named("i", "j"), named("j", "i"), [*keys, "i", "j"]
 
 
-def _s_rows(pos: DataFrame) -> DataFrame:
-    """(a, b, su) of each sequence where a is first seen before b is last seen."""
+def _s_rows(held: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(a, b, su) of each sequence where a is first seen before b is last seen, of _ends() held by _blocks(); only: the items that a may be."""
     found = []
-    for x, y, on in _sides(_ends(pos), "sid"):
+    for x, y, on in _sides(held, "sid"):
+        x = x if only is None else x.join(only, "item", "left_semi")
         pairs = x.select(*on, F.col("item").alias("a"), "first", "su").join(y.select(*on, F.col("item").alias("b"), "last"), on)
         found.append(pairs.where("first < last").select("a", "b", "su"))
     return reduce(DataFrame.unionAll, found)
@@ -52,7 +61,7 @@ def _i_rows(pos: DataFrame) -> DataFrame:
     """(sid, a, b, su), a < b, of each itemset that a and b share."""
     n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = []
-    for x, y, on in _sides(pos.select("sid", "tid", "item", "su").repartition(n, "sid", "tid"), "sid", "tid"):
+    for x, y, on in _sides(_blocks(pos.select("sid", "tid", "item", "su").repartition(n, "sid", "tid"), "sid", "tid"), "sid", "tid"):
         pairs = x.select(*on, F.col("item").alias("a"), "su").join(y.select(*on, F.col("item").alias("b")), on)
         found.append(pairs.where("a < b").select("sid", "a", "b", "su"))
     return reduce(DataFrame.unionAll, found)
@@ -63,8 +72,23 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def s_pairs(pos: DataFrame) -> DataFrame:
-    """(a, b), a != b: sum of u(S) where a is first seen before b is last seen."""
-    return _summed(_s_rows(pos).where("a != b"))
+    """(a, b), a != b: sum of u(S) where a is first seen before b is last seen.
+
+    A sequence sends each item once, with the list of those that are last seen later, to where the item's pairs are summed.  Items of
+    more than FREQUENT sequences, or of any sequence of more than BLOCK items, send their pairs one by one, summed up before.
+    """
+    held = _blocks(_ends(pos), "sid")
+    wide = cut(held.groupBy("item").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).where((F.col("n") > FREQUENT) | (F.col("blocks") > 1)).select("item"))
+    small, none = held.where("blocks = 1"), wide.isEmpty()
+    pairs = small.groupBy("sid").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1)), F.lit(0)).cast("long")).first()[0]
+    parts = max(int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    lists = small.groupBy("sid").agg(F.collect_list(F.struct("item", "last")).alias("others"))
+    first = small.select("sid", F.col("item").alias("a"), "first", "su")
+    first = first if none else first.join(wide.select(F.col("item").alias("a")), "a", "left_anti")
+    later = F.filter("others", lambda other: (other["last"] > F.col("first")) & (other["item"] != F.col("a")))
+    sent = first.join(lists, "sid").select("a", "su", F.transform(later, lambda other: other["item"]).alias("later"))
+    narrow = _summed(sent.where(F.size("later") > 0).repartition(parts, "a").select("a", F.explode("later").alias("b"), "su"))
+    return narrow if none else narrow.unionAll(_summed(_s_rows(held, wide).where("a != b")))
 
 
 def i_pairs(pos: DataFrame) -> DataFrame:
@@ -76,7 +100,7 @@ def reached(pos: DataFrame, wanted: DataFrame, theta: float, few: bool) -> DataF
     """Those of wanted(inside, last_item, item), held, whose pair's sum reaches theta; few: they can be broadcast.  No other pairs are summed."""
     at = lambda rows: F.broadcast(rows) if few else rows
     found = []
-    for inside, rows in ((False, _s_rows), (True, lambda p: _i_rows(p).distinct())):
+    for inside, rows in ((False, lambda p: _s_rows(_blocks(_ends(p), "sid"))), (True, lambda p: _i_rows(p).distinct())):
         pairs = wanted.where(F.col("inside") == inside).select(F.col("last_item").alias("a"), F.col("item").alias("b"))
         items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
         sums = _summed(rows(pos.join(at(items), "item", "left_semi")).join(at(pairs), ["a", "b"], "left_semi"))
