@@ -233,6 +233,10 @@ class Search:
         """u, bound and support of the nodes, from iu and reach by sequence."""
         return [F.sum("iu").cast("long").alias("u"), F.sum("reach").cast("long").alias("bound"), F.count("*").alias("support")]
 
+    def _gathered(self, per: DataFrame) -> DataFrame:
+        """What _sums() sums up, of a row a node and sequence."""
+        return per
+
     def front(self, only: DataFrame | None = None) -> DataFrame:
         """The frontier (sid, share, parent, inside, item, tid, k, iu, rem), not held; only: of some of its nodes, and few enough to be broadcast."""
         columns = ["sid", "share", "parent", "inside", "item", "tid", "k", "iu", "rem", *self._carried()]
@@ -274,7 +278,7 @@ class Search:
         of_pair = self.pairs is not None and self.length == 2
         each = [F.max("iu").alias("iu"), F.max(F.col("iu") + F.col("rem")).alias("reach")] + [F.max(c).alias(c) for c in self._carried()] + [F.max("su").alias("su")] * of_pair + [F.count("*").alias("rows")] * counters
         per = self.front().groupBy("sid", "share", "parent", "inside", "item").agg(*each)
-        nodes = per.groupBy("parent", "inside", "item").agg(*self._sums(), *[F.sum("su").alias("of_pair")] * of_pair, *[F.sum("rows").alias("rows")] * counters)
+        nodes = self._gathered(per).groupBy("parent", "inside", "item").agg(*self._sums(), *[F.sum("su").alias("of_pair")] * of_pair, *[F.sum("rows").alias("rows")] * counters)
         if of_pair:
             nodes = nodes.where(F.col("of_pair") >= self.pairs)
         if keep is not None:

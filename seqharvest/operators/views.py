@@ -53,7 +53,7 @@ class _Views(Search):
         return has(view, len(self.thetas))
 
     def _swu(self) -> DataFrame:
-        held = self.pos.select("sid", "item", "su", "span").distinct()
+        held = self.pos.select("sid", "item", "su", "span").distinct().groupBy("item", "span").agg(F.sum("su").alias("su"))
         return held.groupBy("item").agg(*[F.sum(F.when(self.has(v), F.col("su"))).alias(f"swu{v}") for v in range(len(self.thetas))])
 
     def reaches(self, name: str, length: int) -> Column:
@@ -65,9 +65,13 @@ class _Views(Search):
     def _carried(self) -> tuple[str, ...]:
         return ("span",)
 
+    def _gathered(self, per: DataFrame) -> DataFrame:
+        # few spans, so that the many sums by view are made of few rows
+        return per.groupBy("parent", "inside", "item", "span").agg(F.sum("iu").alias("iu"), F.sum("reach").alias("reach"), F.count("*").alias("held"))
+
     def _sums(self) -> list[Column]:
         of = lambda c, name, v: F.sum(F.when(self.has(v), c)).cast("long").alias(f"{name}{v}")
-        return [of(c, name, v) for v in range(len(self.thetas)) for c, name in ((F.col("iu"), "u"), (F.col("reach"), "bound"), (F.lit(1), "support"))]
+        return [of(c, name, v) for v in range(len(self.thetas)) for c, name in ((F.col("iu"), "u"), (F.col("reach"), "bound"), (F.col("held"), "support"))]
 
 
 def by_batch(raw: DataFrame, xi: float, batches: int) -> DataFrame:
