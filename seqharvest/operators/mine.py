@@ -35,6 +35,8 @@ BROADCAST_ROWS = 100_000
 HEAVY, SHARES = 2_000, 64
 #: Rows that a task grows a frontier by, as estimated, so that it is sorted and summed in memory; frontiers that make more lie in more buckets.
 ROWS = 2_000_000
+#: A level is sparse if it makes fewer rows than this for each node that it could have; and the most pairs that a task sums to find which of them can matter.
+SPARSE, PAIRS = 1.0, 4_000_000
 
 
 def positions(raw: DataFrame) -> DataFrame:
@@ -112,17 +114,21 @@ def patterns(nodes: DataFrame, theta: float) -> DataFrame:
     )
 
 
-def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",), held: bool = False) -> DataFrame:
+def grow(ends: DataFrame, items: DataFrame, *keys: str, parts: tuple[str, ...] = ("",), held: bool = False, hits: DataFrame | None = None) -> DataFrame:
     """All one-item extensions of occurrence ends (keys, parent, tid, k, iu) by later positions (keys, tid, k, item, util, ...) of the same keys.
 
     Rows: the positions' columns, and parent, inside, iu.  parts: endings of the columns iu and util, if there are several of both.
     held: both lie in the same buckets of the keys; else they are dealt out by them once, and what grows lies so.
+    hits: (keys, parent, first, found) in the same buckets, if parents are extended only by some items, found, after position first.
     """
     if not held:
         n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ends, items = ends.repartition(n, *keys), items.repartition(n, *keys)
-    first = ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"))
-    later = first.join(items, list(keys)).where("k > first")
+    if hits is None:
+        first = ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"))
+        later = first.join(items, list(keys)).where("k > first")
+    else:
+        later = hits.join(items, list(keys)).where((F.col("k") > F.col("first")) & F.array_contains("found", F.col("item"))).drop("found")
     more = [c for c in items.columns if c not in (*keys, "tid", "k", "item")]
     sums = [f"iu{p}" for p in parts]
     # a union keeps its sides' partitioning only if its keys are columns of its own: under their old names they would be shuffled for each window
@@ -209,6 +215,8 @@ class Search:
         #: (inside, last_item, item) of the extensions that their pair admits, from the third level on; whether rows are joined with them, or nodes.
         self.allowed, self.few = None, False
         self.ends, self.least = None, least
+        #: Of a sparse level: the items by which the parents of each sequence are extended; and the number of items.
+        self.hits, self.kinds = None, None
         swu = self._swu()
         known_pos = dealt(pos).join(swu.where(self._enough()), "item")
         self.n = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -248,7 +256,7 @@ class Search:
         if only is not None:  # nothing grows below other parents or by other items
             ends = ends.join(F.broadcast(only.select("parent").distinct()), "parent", "left_semi")
             items = items.join(F.broadcast(only.select("item").distinct()), "item", "left_semi")
-        grown = grow(ends, items, "sid", "share", held=True).select(*columns)
+        grown = grow(ends, items, "sid", "share", held=True, hits=self.hits).select(*columns)
         return self._admitted(grown).select(*columns) if self.few else grown
 
     def _last(self) -> DataFrame:
@@ -264,7 +272,7 @@ class Search:
         """Sum up the pairs that the frontier would be grown by, and no others."""
         from .cooccurrence import reached
 
-        grown = grow(self.ends, self.items.where(self._enough()), "sid", "share", held=True).select("parent", "inside", "item")
+        grown = grow(self.ends, self.items.where(self._enough()), "sid", "share", held=True, hits=self.hits).select("parent", "inside", "item")
         wanted = cut(grown.join(self._last(), "parent").select("inside", "last_item", "item").distinct())
         few = wanted.count() <= BROADCAST_ROWS
         self.allowed = cut(reached(self.pos, wanted, self.pairs, few))
@@ -299,16 +307,56 @@ class Search:
         """In how many buckets the nodes open_ are extended: a node's sequences (by view, of the view that has most) have a row a later position."""
         supports = [c for c in open_.columns if c.startswith("support")]
         most = F.greatest(*supports) if len(supports) > 1 else F.col(supports[0])
-        need = ceil((open_.agg(F.sum(most)).first()[0] or 0) * self.mean / ROWS)
+        self.made = (open_.agg(F.sum(most)).first()[0] or 0) * self.mean
+        return self._tasks(self.made)
+
+    def _tasks(self, rows: float) -> int:
+        need = ceil(rows / ROWS)
         return self.n if need <= self.n else 2 * need  # so that the next levels seldom need more
 
-    def advance(self, open_: DataFrame, count: int, least: float, counters: bool = False) -> tuple[int, int] | None:
-        """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``; counters: return the occurrences that are made, and how many of them the SWU drops."""
+    def _sparse(self, count: int) -> bool:
+        """Whether the extensions of ``count`` nodes are mostly held by few sequences each, and many."""
+        if self.made <= ROWS or self.mean > HEAVY:
+            return False
+        if self.kinds is None:
+            self.kinds = self.items.select("item").distinct().count()
+        return self.made < SPARSE * count * self.kinds
+
+    def _hits(self, worth: float) -> DataFrame:
+        """(sid, share, parent, first, found): the later items that may extend a parent to a node whose bound reaches worth.
+
+        An occurrence reaches at most the largest utility of its parent's and what is left after the first of them.  That is sent
+        once a parent and sequence, with the list of later items, to where the parent's extensions are summed, instead of a row an extension.
+        """
+        keys = ["sid", "share"]
+        first = self.ends.groupBy(*keys, "parent").agg(F.min("k").alias("first"), F.max("iu").alias("top"))
+        left = F.col("util") + F.col("rem")
+        lists = self.items.where(self._enough()).groupBy(*keys).agg(F.collect_list(F.struct("k", "item", left.alias("left"))).alias("others"))
+        later = first.join(lists, keys).withColumn("later", F.filter("others", lambda x: x["k"] > F.col("first"))).where(F.size("later") > 0)
+        items = F.array_distinct(F.transform("later", lambda x: x["item"]))
+        reach = F.col("top") + F.array_max(F.transform("later", lambda x: x["left"]))
+        n = max(self.n, ceil(self.made / PAIRS))
+        sent = cut(later.select(*keys, "parent", "first", reach.alias("reach"), items.alias("items")).repartition(n, "parent"), "parent", buckets=n)
+        sums = sent.select("parent", "reach", F.explode("items").alias("item")).groupBy("parent", "item").agg(F.sum("reach").alias("reach"))
+        good = sums.where(F.col("reach") >= worth).groupBy("parent").agg(F.collect_list("item").alias("good"))
+        found = sent.join(good, "parent").select(*keys, "parent", "first", F.array_intersect("items", "good").alias("found")).where(F.size("found") > 0)
+        hits = cut(found.repartition(self.n, *keys), *keys, buckets=self.n)
+        release(sent)
+        return hits
+
+    def advance(self, open_: DataFrame, count: int, least: float, counters: bool = False, worth: float | None = None) -> tuple[int, int] | None:
+        """Extend the ``count`` nodes open_ by items whose SWU is at least ``least``; counters: return the occurrences that are made, and how many of them the SWU drops.
+
+        worth: the bound that any wanted node of the next level has at least; others may be left out.
+        """
         small = count <= BROADCAST_ROWS
         names = F.broadcast(open_) if small else open_
         front = self.front(open_ if small else None)
         ends = front.join(names.select("id", "parent", "inside", "item"), ["parent", "inside", "item"]).select("sid", "share", F.col("id").alias("parent"), "tid", "k", "iu")
         n = self._buckets(open_)
+        sparse = worth is not None and self._sparse(count)
+        if sparse:  # its extensions are not made; the ends are, about a row a node and sequence
+            n = self._tasks(self.made / self.mean)
         if not small or n > self.n:  # the join may have been shuffled
             ends = ends.repartition(n, "sid", "share")
         before, self.ends = self.ends, cut(ends, "sid", "share", buckets=n)
@@ -319,6 +367,9 @@ class Search:
             release(coarse)
         self.names, self.least = names, least
         self.length += 1
+        if self.hits is not None:
+            release(self.hits)
+        self.hits = self._hits(worth) if sparse else None
         if self.pairs is not None and self.length > 2:
             self._allow(small)
         if counters:
@@ -384,7 +435,8 @@ def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: f
         made = rows, rows - search.items.where("own").count()
     while True:
         extended = F.col("bound") >= F.lit(theta) * (search.length + 1)
-        keep = (F.col("u") >= F.lit(theta) * search.length) | extended if patterns_only and options.bound and not counters else None
+        some = patterns_only and options.bound and not counters
+        keep = (F.col("u") >= F.lit(theta) * search.length) | extended if some else None
         nodes = search.nodes(keep, counters)
         if counters:
             kept_ = nodes.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long")).first()[0]
@@ -399,7 +451,8 @@ def _levels(pos: DataFrame, out: Mined, options: Options, counters: bool, end: f
             return
         if end is not None and time.monotonic() >= end:  # between two jobs
             raise DeadlinePassed
-        made = search.advance(open_, count, theta * (search.length + 1) if options.length_swu else theta, counters)
+        more = theta * (search.length + 1)  # a pattern's utility, and so its bound, reaches it; that of an extended node does, too
+        made = search.advance(open_, count, more if options.length_swu else theta, counters, more if some else None)
 
 
 def layer_counters(found: Mined) -> DataFrame:
