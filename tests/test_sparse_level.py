@@ -6,6 +6,7 @@ import pytest
 
 from seqharvest.operators import mine as mining
 from seqharvest.operators.mine import Options, Search, mine, positions
+from seqharvest.storage import cut
 from test_mining import answer
 
 SCHEMA = "sid long, tid int, item int, util long"
@@ -44,3 +45,10 @@ def test_fewer_rows_are_made(spark, monkeypatch):
     grown.clear()
     mine(pos, 0.02)
     assert few < 0.5 * next(n for length, whole, n in grown if length == 2 and whole)
+
+
+def test_held_positions_are_not_written_again(spark, monkeypatch):
+    pos, written = mining.cut(positions(spark.createDataFrame(rows(5, 8, 5), SCHEMA))), []
+    monkeypatch.setattr(mining, "cut", lambda df, *keys, **how: written.append(df) or cut(df, *keys, **how))
+    mine(pos, 0.2, held=True)
+    assert not any(df is pos for df in written) and written
